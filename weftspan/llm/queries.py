@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftspan.llm import simhash
+from weftspan.llm import bpe, simhash, substring
 from weftspan.llm.common import tables
 
 
@@ -14,8 +15,40 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(tables(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(tables(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
+def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode(tables(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, arrays=False).drop("ids", "decoded")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op9_byte_level_bpe": op9_byte_level_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+OP6_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM words
+), marked AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s:s + 19], ' ') ORDER BY doc_id, s) > 1 AS later FROM starts
+), each_word AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM marked WHERE later
+), kept AS (
+  SELECT e.doc_id, count(c.p) AS n_removed, coalesce(string_agg(CASE WHEN c.p IS NULL THEN e.word END, ' ' ORDER BY e.p), '') AS left_over
+  FROM each_word e LEFT JOIN covered c ON e.doc_id = c.doc_id AND e.p = c.p GROUP BY e.doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.left_over, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_substring_dedup": OP6_SQL,
+}
