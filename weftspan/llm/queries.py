@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftspan.llm import bpe, simhash, substring
+from weftspan.llm import bpe, mixing, sharding, simhash, substring
 from weftspan.llm.common import tables
 
 
@@ -19,15 +20,26 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(tables(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
+def op7_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(tables(spark, sf_dir, "documents"), shards=16)
+    return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode(tables(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, arrays=False).drop("ids", "decoded")
 
 
+def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(tables(spark, sf_dir, "documents"), repetition=4.0, seed=7).drop("range")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_two_pass_sharding": op7_two_pass_sharding,
     "op9_byte_level_bpe": op9_byte_level_bpe,
+    "op10_temperature_mixing": op10_temperature_mixing,
 }
 
 OP6_SQL = r"""
@@ -49,6 +61,34 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) A
 FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
 """
 
+OP10_SQL = r"""
+WITH counted AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents
+), d AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, source, n_tokens) AS copy FROM counted
+), tot AS (
+  SELECT source, CAST(sum(n_tokens) AS BIGINT) AS n FROM d GROUP BY source HAVING sum(n_tokens) > 0
+), f AS (
+  SELECT CAST(max(n) AS DOUBLE) AS top, CAST(min(n) AS DOUBLE) AS low, count(*) AS k FROM tot
+), e AS (
+  SELECT top, CASE WHEN k < 2 THEN 1.0 WHEN ln(top / low) <= ln(4.0) THEN 0.0 ELSE round(1 - ln(4.0) / ln(top / low), 6) END AS t FROM f
+), u AS (
+  SELECT source, n, round(pow(top / n, 1 - t), 6) AS uses FROM tot, e
+), k AS (
+  SELECT d.*, coalesce(CAST(floor(u.uses) AS BIGINT), 1) AS whole, coalesce(CAST(floor(u.n * (u.uses - floor(u.uses))) AS BIGINT), 0) AS rest
+  FROM d LEFT JOIN u ON d.source IS NOT DISTINCT FROM u.source
+), b AS (
+  SELECT *, unnest(range(0, CASE WHEN n_tokens > 0 THEN whole + 1 ELSE 1 END)) AS block FROM k
+), p AS (
+  SELECT *, md5(concat_ws('/', '7', CAST(block AS VARCHAR), CAST(doc_id AS VARCHAR), CAST(copy AS VARCHAR), CAST(n_tokens AS VARCHAR))) AS permuted FROM b
+), r AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source, block ORDER BY permuted, doc_id, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM p
+)
+SELECT doc_id, source, n_tokens, CAST(block AS INTEGER) AS block, permuted, CAST(copy AS INTEGER) AS copy FROM r
+WHERE block < whole OR spent < rest
+"""
+
 ORACLES: dict[str, str] = {
+    "op10_temperature_mixing": OP10_SQL,
     "op6_substring_dedup": OP6_SQL,
 }
