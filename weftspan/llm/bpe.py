@@ -192,10 +192,12 @@ def _encode(ranks_path: str) -> Callable:
     return run
 
 
-def _assemble(ranks_path: str, arrays: bool) -> Callable:
+def _assemble(ranks_path: str, ids_too: bool, text_too: bool) -> Callable:
     """One chunk's documents and the ids of its words: the ids of each document, and what they decode to."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=["k", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
         numbers, counts, ids = [], [], []
         for blob in pdf.loc[pdf["share"] >= 0, "blob"]:
             a, b, c = map(unpack, _unframe(blob))
@@ -211,18 +213,18 @@ def _assemble(ranks_path: str, arrays: bool) -> Callable:
             seq = unpack(blob)
             own = ids[ranges(start[seq], length[seq])].astype("<u4")
             text = decode(own, ranks_path)
-            rows.append((None if pd.isna(k) else int(k), len(own), hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest(), own.tolist() if arrays else None, text.decode() if arrays else None))
+            rows.append((None if pd.isna(k) else int(k), len(own), hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest(), own.view(np.int32) if ids_too else None, text.decode() if text_too else None))
         return pd.DataFrame(rows, columns=["k", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
 
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", arrays: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", ids: bool = True, decoded: bool = False) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256, ids, decoded): one row for each row of ``docs``.
 
     ids are those of the vocabulary in ``ranks_path`` for each match of ``pattern`` on its own, in order; no special
     tokens. The digests are of the ids as little-endian unsigned 32-bit integers and of the bytes that they decode to;
-    ``ids`` and ``decoded`` themselves are null if ``arrays`` is off. Null and empty texts have no tokens. Keys are
+    ``ids`` and the ``decoded`` text themselves are null if not asked for. Null and empty texts have no tokens. Keys are
     integers and may be null or repeat; other columns may have any names. An empty table gives no rows. Chunks are
     numbered by the task that reads them, so ``docs`` should be a scan (a table read from files) or a checkpoint,
     whose partitions come out the same when a task is repeated.
@@ -232,4 +234,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(_split(pattern, shares), OUT.format(kind="long"))
     encoded = rows.repartitionById(shares, F.pmod("share", F.lit(shares))).sortWithinPartitions("share").mapInPandas(_encode(ranks_path), OUT.format(kind="long"))
     out = "k long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
-    return encoded.groupBy("chunk").applyInPandas(_assemble(ranks_path, arrays), out).withColumnRenamed("k", key)
+    return encoded.groupBy("chunk").applyInPandas(_assemble(ranks_path, ids, decoded), out).withColumnRenamed("k", key)
+
+
+def decode_column(rows: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``rows`` with the text that a column of id arrays decodes to (null for null; invalid UTF-8 is replaced)."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield b.map(lambda x: None if x is None else decode(np.asarray(x, np.int64), ranks_path).decode("utf-8", "replace"))
+
+    return rows.withColumn(out, run(F.col(ids)))

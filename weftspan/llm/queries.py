@@ -8,14 +8,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspan.llm import bpe, mixing, sharding, simhash, substring
+from weftspan.llm import bpe, extract, hamming, langid, media, mixing, sharding, simhash, substring, toxicity
 from weftspan.llm.common import tables
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(tables(spark, sf_dir, "pages"))
+
+
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables(spark, sf_dir, "embeddings")
+    return hamming.top_k(rows, rows.filter("vec_id % 100 = 0"), k=10)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(tables(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
+def op5_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(tables(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(tables(spark, sf_dir, "documents"), texts=False).drop("kept")
 
@@ -25,9 +42,13 @@ def op7_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(tables(spark, sf_dir, "documents"))
+
+
 def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.encode(tables(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, arrays=False).drop("ids", "decoded")
+    return bpe.encode(tables(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ids=False).drop("ids", "decoded")
 
 
 def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +56,14 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_exact_top_k": op2_exact_top_k,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op5_interleaved_media": op5_interleaved_media,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_two_pass_sharding": op7_two_pass_sharding,
+    "op8_language_id": op8_language_id,
     "op9_byte_level_bpe": op9_byte_level_bpe,
     "op10_temperature_mixing": op10_temperature_mixing,
 }
@@ -88,7 +114,22 @@ SELECT doc_id, source, n_tokens, CAST(block AS INTEGER) AS block, permuted, CAST
 WHERE block < whole OR spent < rest
 """
 
+OP2_SQL = """
+WITH bits AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id,
+    CAST(list_sum(list_transform(range(1, len(q.b) + 1), lambda i: abs(q.b[i] - r.b[i]))) AS INTEGER) AS distance
+  FROM bits q JOIN bits r ON len(q.b) = len(r.b) WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM pairs
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id, distance FROM ranked WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_exact_top_k": OP2_SQL,
     "op10_temperature_mixing": OP10_SQL,
     "op6_substring_dedup": OP6_SQL,
 }

@@ -166,7 +166,9 @@ def _hits(answers: pd.DataFrame, b: Bucket, shares: int, low_bits: int) -> np.nd
 
 def _bucket(pdf: pd.DataFrame, window: int) -> Bucket:
     pdf = pdf.sort_values(["k", "t"], kind="stable", na_position="first")
-    return Bucket(pdf["k"].to_numpy(np.int64), list(pdf["t"]), window)
+    b = Bucket(pdf["k"].to_numpy(np.int64), list(pdf["t"]), window)
+    b.rows = pdf
+    return b
 
 
 def _first_places(b: Bucket, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,14 +228,15 @@ def _keep(window: int, shares: int, low_bits: int, texts: bool) -> Callable:
             np.add.at(edge, repeated, 1)
             np.add.at(edge, repeated + window, -1)
             gone = np.cumsum(edge)[:-1] > 0
-        kept, removed, out = [], [], []
+        kept, removed, out, docs_text = [], [], [], list(b.rows["t"])
         for words, start, n in zip(b.words, b.start, b.count, strict=True):
             mask = gone[start : start + n]
             removed.append(int(mask.sum()))
             left = b" ".join([w for w, x in zip(words, mask.tolist(), strict=True) if not x] if removed[-1] else words)
             kept.append(hashlib.sha256(left).hexdigest())
-            out.append(left.decode() if texts else None)
-        return pd.DataFrame({"k": b.keys, "n_words": b.count, "n_removed": removed, "kept_sha256": kept, "kept": pd.Series(out, dtype=object)})
+            out.append(None if not texts else left.decode() if removed[-1] else docs_text[len(out)])
+        found = pd.DataFrame({"k": b.keys, "n_words": b.count, "n_removed": removed, "kept_sha256": kept, "kept": pd.Series(out, dtype=object)})
+        return found.assign(**{c: b.rows[c].to_numpy() for c in b.rows.columns if c.startswith("carried_")})
 
     return run
 
@@ -249,11 +252,14 @@ def _untouched(*args) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, texts: bool = True, low_bits: int = 32) -> DataFrame:
-    """(key, n_words, n_removed, kept_sha256, kept): one row for each row of ``docs``; other columns may have any names.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, texts: bool = True, carry: tuple[str, ...] = (), low_bits: int = 32) -> DataFrame:
+    """(key, n_words, n_removed, kept_sha256, kept, carried columns): one row for each row of ``docs``.
+
+    Columns of ``docs`` named in ``carry`` come along; all others are left behind and may have any names.
 
     A word goes if a run of ``window`` words that covers it also starts earlier: in a row with a smaller key, or
-    earlier in the same document. ``kept`` is the remaining words joined by one space (null if ``texts`` is off).
+    earlier in the same document. ``kept`` is the remaining words joined by one space, or the text as it is if all
+    remain (null if ``texts`` is off); ``kept_sha256`` is always of the joined words.
     Null, empty and short texts lose nothing. Rows that repeat a key are told apart by the order of their texts, the
     text that sorts first being the earlier. The key is an integer; rows with a null key come out unchanged, as they
     have no place in the order. An empty table gives no rows.
@@ -264,7 +270,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     size = total_bytes(docs, text)
     shares = max(16, parts(spark))
     buckets = max(8, -(-size // BUCKET_BYTES))
-    named = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    named = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
     dealt = named.filter("k is not null").withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)))
     by_bucket = dealt.repartition(min(buckets, 4 * shares), "bucket").groupBy("bucket")
     blocks = by_bucket.applyInPandas(_send_blocks(window, shares, low_bits), "share int, bucket long, kind int, blob binary")
@@ -272,7 +278,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     windows = by_bucket.cogroup(hits.groupBy("bucket")).applyInPandas(_send_windows(window, shares, low_bits), "share int, bucket long, hashes binary, keys binary, starts binary")
     later = windows.groupBy("share").applyInPandas(_find_later, "bucket long, blob binary")
     answers = hits.unionByName(later.withColumn("share", F.lit(-1)))
-    out = "k long, n_words long, n_removed long, kept_sha256 string, kept string"
+    kinds = "".join(f", carried_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    out = f"k long, n_words long, n_removed long, kept_sha256 string, kept string{kinds}"
     kept = by_bucket.cogroup(answers.groupBy("bucket")).applyInPandas(_keep(window, shares, low_bits, texts), out)
-    lone = named.filter("k is null").select("k", "t", F.lit(0).alias("bucket")).mapInPandas(_untouched(window, shares, low_bits, texts), out)
-    return kept.unionByName(lone).withColumnRenamed("k", key)
+    lone = named.filter("k is null").mapInPandas(_untouched(window, shares, low_bits, texts), out)
+    whole = kept.unionByName(lone)
+    return whole.select(F.col("k").alias(key), "n_words", "n_removed", "kept_sha256", "kept", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
