@@ -158,7 +158,7 @@ def classify(blocks: list[tuple[str, int, bool, int]]) -> list[bool]:
         if furniture:
             label.append(False)
         elif linked > LINK_DENSITY * dense:
-            label.append(None if len(text) < SHORT else False)
+            label.append(None if len(text) < SHORT and blocks[len(label)][3] else False)
         elif len(text) < SHORT:
             label.append(None)
         else:
@@ -167,11 +167,11 @@ def classify(blocks: list[tuple[str, int, bool, int]]) -> list[bool]:
             label.append(True if stops >= STOP_DENSITY * max(1, len(words)) else None)
     n = len(blocks)
 
-    def nearest(i: int, step: int, within: bool) -> tuple[int, bool] | None:
+    def nearest(i: int, step: int, within: bool) -> tuple[int, bool, bool] | None:
         j = i + step
         while 0 <= j < n and (not within or blocks[j][3] == blocks[i][3]):
             if label[j] is not None:
-                return abs(j - i), label[j]
+                return abs(j - i), step < 0, label[j]  # at equal distance what follows decides, as after a heading
             j += step
         return None
 
@@ -184,8 +184,8 @@ def classify(blocks: list[tuple[str, int, bool, int]]) -> list[bool]:
         inside = blocks[i][3] > 0
         around = [y for step in (-1, 1) if (y := nearest(i, step, inside))]
         if inside and blocks[i][1] <= LINK_DENSITY * len(blocks[i][0]):
-            around = [y for y in around if y[1]] or [(0, True)]  # not link text: only text of its article can decide it
-        decided.append(min(around)[1] if around else False)
+            around = [y for y in around if y[2]] or [(0, False, True)]  # not link text: only text of its article can decide it
+        decided.append(min(around)[2] if around else False)
     return decided
 
 
