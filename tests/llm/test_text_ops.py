@@ -64,7 +64,8 @@ def test_bpe_equals_the_library_and_round_trips(spark):
 
 def test_bpe_chunks(spark, monkeypatch):
     whole = {r.doc_id: r.ids_sha256 for r in bpe.encode(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), RANKS, public_tokenizers.PATTERN).collect()}
-    monkeypatch.setattr(bpe, "CHUNK_BYTES", 5000)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 5000)
+    monkeypatch.setattr(bpe, "COMMON", 10)
     small = {r.doc_id: r.ids_sha256 for r in bpe.encode(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), RANKS, public_tokenizers.PATTERN).collect()}
     assert small == whole
 

@@ -1,12 +1,14 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Texts are cut into pre-tokens. A chunk of documents keeps, for each document, the sequence of its words' numbers
-within the chunk (the exploded positions), and sends each of its distinct words once to the word's share of the hash
-space. There every distinct word is encoded once and its ids are joined back to the chunks that use it, where the
-documents are put together by position. Decoding joins the ids with the table of token bytes, which is as large as the
-vocabulary and no larger, and is sent along with the code.
-
-Words travel in packed rows, one for each chunk and share, so a frequent word costs one entry for each chunk.
+Texts are cut into pre-tokens. A chunk of documents keeps the sequence of its words' numbers within the chunk (the
+exploded positions), and sends each of its distinct words once to the word's share of the hash space. There every
+distinct word is encoded once and its ids are joined back to the chunks that use it, where the documents are put
+together by position. Decoding joins the ids with the table of token bytes, which is as large as the vocabulary and no
+larger, and which each task reads from the vocabulary file.
+
+Words travel in packed rows, one for each chunk and share, so a frequent word costs one entry for each chunk. The
+chunk's ``COMMON`` most frequent words have the smallest numbers, so that sequences pack well; all others are numbered
+by share and then in byte order, so that their numbers need not travel.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspan.llm.common import pack, parts, ranges, unpack
+from weftspan.llm.common import expand, pack, parts, ranges, squeeze, unpack
 
-#: UTF-8 bytes of text, about, that make one chunk.
-CHUNK_BYTES = 12 << 20
+#: Characters of text, about, that make one chunk.
+CHUNK_CHARS = 24 << 20
+#: Frequent words of a chunk that are numbered by how often they occur.
+COMMON = 1 << 13
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -116,30 +119,37 @@ def _unframe(blob: bytes) -> list[bytes]:
     return out
 
 
-OUT = "share int, chunk long, k {kind}, blob binary"
+PACKED = "share int, chunk long, blob binary"
+
+
+def _chunk_rows(number: int, keys: list, sequences: list[np.ndarray], known: dict[str, int], shares: int) -> pd.DataFrame:
+    """A row of the chunk's keys and sequences (share < 0), and a row of distinct words for each share."""
+    words = [w.encode() for w in known]
+    flat = np.concatenate(sequences)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    share = ((h >> np.uint64(40)) * np.uint64(shares) >> np.uint64(24)).astype(np.int64)
+    top = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")[:COMMON]
+    rank = np.zeros(len(words), np.int64)
+    rank[top] = np.arange(1, len(top) + 1)  # 0: not among the common
+    by = sorted(range(len(words)), key=lambda i: (share[i], words[i]))
+    order = np.array(by, np.int64)
+    numbers = np.empty(len(words), np.int64)
+    rare = rank[order] == 0
+    numbers[order[rare]] = len(top) + np.arange(int(rare.sum()))
+    numbers[top] = rank[top] - 1
+    known_key = np.array([k is not None for k in keys])
+    key = np.array([k or 0 for k in keys], np.int64).view(np.uint64)
+    ends = _frame(known_key.tobytes(), pack(np.concatenate([key & np.uint64(0xFFFFFFFF), key >> np.uint64(32)])), pack(np.fromiter(map(len, sequences), np.uint32, len(sequences))), pack(numbers[flat], 6))
+    rows = [(-1 - (number + (number >> 32)) % shares, number, ends)]
+    at = np.flatnonzero(np.diff(share[order])) + 1
+    for part in np.split(order, at) if len(order) else ():
+        mine = [words[i] for i in part.tolist()]
+        rows.append((int(share[part[0]]), number, _frame(pack(rank[part]), pack(np.fromiter(map(len, mine), np.uint32, len(mine))), squeeze(b"".join(mine), 6))))
+    return pd.DataFrame(rows, columns=["share", "chunk", "blob"])
 
 
 def _split(pattern: str, shares: int) -> Callable:
-    """Chunks of documents: a row for each document (share < 0) and a row of distinct words for each share."""
-
-    def chunk_rows(number: int, keys: list, sequences: list[np.ndarray], known: dict[str, int]) -> pd.DataFrame:
-        words = [w.encode() for w in known]
-        flat = np.concatenate(sequences)
-        order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-        rank = np.empty(len(words), np.uint32)
-        rank[order] = np.arange(len(words))  # frequent words get small numbers, which pack well
-        rows, at = [], 0
-        for i, (k, s) in enumerate(zip(keys, sequences, strict=True)):
-            rows.append((-1 - i % shares, number, k, pack(rank[flat[at : at + len(s)]])))
-            at += len(s)
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        share = ((h >> np.uint64(40)) * np.uint64(shares) >> np.uint64(24)).astype(np.int64)
-        by = np.argsort(share, kind="stable")
-        for part in np.split(by, np.flatnonzero(np.diff(share[by])) + 1) if len(by) else ():
-            mine = [words[i] for i in part.tolist()]
-            lengths = np.fromiter(map(len, mine), np.uint32, len(mine))
-            rows.append((int(share[part[0]]), number, None, _frame(pack(rank[part]), pack(lengths), zlib.compress(b"".join(mine), 1))))
-        return pd.DataFrame(rows, columns=["share", "chunk", "k", "blob"])
+    """Chunks of documents, as packed rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = regex.compile(pattern).findall
@@ -152,17 +162,17 @@ def _split(pattern: str, shares: int) -> Callable:
                 keys.append(k)
                 sequences.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words)))
                 size += len(t) if isinstance(t, str) else 0
-                if size >= CHUNK_BYTES:
-                    yield chunk_rows(number, keys, sequences, known)
+                if size >= CHUNK_CHARS:
+                    yield _chunk_rows(number, keys, sequences, known, shares)
                     number, keys, sequences, known, size = number + 1, [], [], {}, 0
         if keys:
-            yield chunk_rows(number, keys, sequences, known)
+            yield _chunk_rows(number, keys, sequences, known, shares)
 
     return run
 
 
 def _encode(ranks_path: str) -> Callable:
-    """All rows of some shares: documents pass through, each distinct word is encoded once."""
+    """All rows of some shares: sequences pass through, each distinct word is encoded once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks = _table(ranks_path)[0]
@@ -176,8 +186,8 @@ def _encode(ranks_path: str) -> Callable:
                     continue
                 if s != share:
                     share, known = s, {}
-                number, lengths, data = _unframe(blob)
-                data, out, at = zlib.decompress(data), [], 0
+                rank, lengths, data = _unframe(blob)
+                data, out, at = expand(data), [], 0
                 for n in unpack(lengths).tolist():
                     w = data[at : at + n]
                     at += n
@@ -186,35 +196,38 @@ def _encode(ranks_path: str) -> Callable:
                         ids = known[w] = encode_word(w, ranks)
                     out.append(ids)
                 flat = np.fromiter((i for x in out for i in x), np.uint32)
-                blobs.append(_frame(number, pack(np.fromiter(map(len, out), np.uint32, len(out))), pack(flat)))
+                blobs.append(_frame(rank, pack(np.fromiter(map(len, out), np.uint32, len(out)), 6), pack(flat, 6)))
             yield b.assign(blob=blobs)
 
     return run
 
 
 def _assemble(ranks_path: str, ids_too: bool, text_too: bool) -> Callable:
-    """One chunk's documents and the ids of its words: the ids of each document, and what they decode to."""
+    """One chunk's sequences and the ids of its words: the ids of each document, and what they decode to."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame(columns=["k", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
-        numbers, counts, ids = [], [], []
-        for blob in pdf.loc[pdf["share"] >= 0, "blob"]:
-            a, b, c = map(unpack, _unframe(blob))
-            numbers.append(a), counts.append(b), ids.append(c)
+        pdf = pdf.sort_values("share")
         none = [np.zeros(0, np.uint32)]
-        numbers, counts, ids = (np.concatenate(x or none) for x in (numbers, counts, ids))
-        begin = np.cumsum(counts, dtype=np.int64) - counts
-        start, length = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        words = [tuple(map(unpack, _unframe(blob))) for blob in pdf.loc[pdf["share"] >= 0, "blob"]]
+        rank, counts, ids = (np.concatenate([x[i] for x in words] or none).astype(np.int64) for i in range(3))
+        begin = np.cumsum(counts) - counts
+        start, length = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        rare = rank == 0
+        numbers = np.empty(len(rank), np.int64)
+        numbers[~rare] = rank[~rare] - 1
+        numbers[rare] = int((~rare).sum()) + np.arange(int(rare.sum()))
         start[numbers], length[numbers] = begin, counts
-        rows = []
-        docs = pdf[pdf["share"] < 0]
-        for k, blob in zip(docs["k"], docs["blob"], strict=True):
-            seq = unpack(blob)
+        known_key, keys, sizes, flat = _unframe(pdf.loc[pdf["share"] < 0, "blob"].iloc[0])
+        low, high = unpack(keys).astype(np.uint64).reshape(2, -1)
+        keys, flat, rows, at = (low | high << np.uint64(32)).view(np.int64).tolist(), unpack(flat), [], 0
+        for k, has, n in zip(keys, np.frombuffer(known_key, bool).tolist(), unpack(sizes).tolist(), strict=True):
+            seq = flat[at : at + n]
+            at += n
             own = ids[ranges(start[seq], length[seq])].astype("<u4")
             text = decode(own, ranks_path)
-            rows.append((None if pd.isna(k) else int(k), len(own), hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest(), own.view(np.int32) if ids_too else None, text.decode() if text_too else None))
-        return pd.DataFrame(rows, columns=["k", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
+            rows.append((k if has else None, len(own), hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest(), own.view(np.int32) if ids_too else None, text.decode() if text_too else None))
+        out = pd.DataFrame(rows, columns=["k", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
+        return out.assign(k=pd.array([r[0] for r in rows], dtype="Int64"))
 
     return run
 
@@ -231,8 +244,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     """
     spark = docs.sparkSession
     shares = max(16, parts(spark))
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(_split(pattern, shares), OUT.format(kind="long"))
-    encoded = rows.repartitionById(shares, F.pmod("share", F.lit(shares))).sortWithinPartitions("share").mapInPandas(_encode(ranks_path), OUT.format(kind="long"))
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(_split(pattern, shares), PACKED)
+    encoded = rows.repartitionById(shares, F.pmod("share", F.lit(shares))).sortWithinPartitions("share").mapInPandas(_encode(ranks_path), PACKED)
     out = "k long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
     return encoded.groupBy("chunk").applyInPandas(_assemble(ranks_path, ids, decoded), out).withColumnRenamed("k", key)
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-import zlib
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,14 +49,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def pack(values: np.ndarray) -> bytes:
+def squeeze(data: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
+
+
+def expand(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def pack(values: np.ndarray, level: int = 3) -> bytes:
     """Unsigned 32-bit integers as compressed byte planes: small numbers cost little."""
     planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    return squeeze(np.ascontiguousarray(planes).tobytes(), level)
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(expand(blob), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
