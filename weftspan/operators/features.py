@@ -39,7 +39,7 @@ def lengths_and_gaps(rows: DataFrame) -> DataFrame:
     gap = F.when(right, F.col("leafs_start") - F.coalesce(F.lag("leafs_end").over(_order()), first)).otherwise(F.coalesce(F.lag("leafs_start").over(_order()), last) - F.col("leafs_end"))
     rows = rows.withColumns({"length": length, "gap_size": gap, "orientation_score": F.try_divide((F.col("leafs_end") - F.col("leafs_start")).cast("double"), (F.col("anchor_end") - F.col("anchor_start")).cast("double"))})
     ratio = F.greatest("gap_size", F.lit(LEAST)).cast("double") / F.greatest("length", F.lit(LEAST)).cast("double")
-    return rows.withColumn("raw_gap_score", F.greatest(-F.log10(ratio), F.lit(0.0)))
+    return rows.withColumn("raw_gap_score", F.greatest(F.lit(0.0), -F.log10(ratio)))
 
 
 def quantile_knots(rows: DataFrame, levels: int = 50, column: str = "raw_gap_score") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,19 +31,21 @@ def islands(df: DataFrame, keys: Sequence[str], start: str = "start", end: str =
     across = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     carried = tiled.groupBy(*by).agg(F.max(end).alias("_end")).withColumn("_before", F.max("_end").over(across)).drop("_end")
     w = Window.partitionBy(*by).orderBy(start, end)
-    joined = tiled.join(carried, _same(tiled, carried, by), "inner").select(*(tiled[c] for c in tiled.columns), "_before")
+    joined = _attach(tiled, carried, by)
     seen = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_before")
     opened = joined.withColumn("_opens", F.when(seen.isNull() | (F.col(start) >= seen), 1).otherwise(0))
     counted = opened.withColumn("_here", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     totals = counted.groupBy(*by).agg(F.sum("_opens").alias("_all")).withColumn("_earlier", F.coalesce(F.sum("_all").over(across), F.lit(0))).drop("_all")
-    return counted.join(totals, _same(counted, totals, by), "inner").select(*(counted[c] for c in df.columns), (F.col("_here") + F.col("_earlier") - 1).alias(out))
+    return _attach(counted, totals, by).select(*df.columns, (F.col("_here") + F.col("_earlier") - 1).alias(out))
 
 
-def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
+def _attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row for each value of the keys; null keys match."""
+    other = facts.withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(keys)})
     cond = F.lit(True)
-    for n in names:
-        cond = cond & a[n].eqNullSafe(b[n])
-    return cond
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r{i}"))
+    return rows.join(other, cond).drop(*(f"_r{i}" for i in range(len(keys))))
 
 
 def global_islands(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", out: str = "island") -> DataFrame:
@@ -51,7 +53,7 @@ def global_islands(df: DataFrame, keys: Sequence[str], start: str = "start", end
     numbered = islands(df, keys, start, end, "_own")
     sizes = numbered.groupBy(*keys).agg((F.max("_own") + 1).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return numbered.join(before, _same(numbered, before, list(keys))).select(*(numbered[c] for c in df.columns), (F.col("_own") + F.col("_before")).alias(out))
+    return _attach(numbered, before, list(keys)).select(*df.columns, (F.col("_own") + F.col("_before")).alias(out))
 
 
 def union_self(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:

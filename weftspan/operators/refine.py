@@ -82,7 +82,7 @@ def merge(rows: DataFrame, runs: DataFrame) -> DataFrame:
     far end for L); scores move with their clusters and are not computed again."""
     joined = rows.join(runs, STRIPE)
     order = Window.partitionBy("graph", "direction", "run_id").orderBy(signed("leafs_start"), "stripe_id", "lc_idx")
-    return joined.withColumn("_idx", F.row_number().over(order) - 1).drop("lc_idx", "stripe_id").withColumnsRenamed({"_idx": "lc_idx", "run_id": "stripe_id"})
+    return joined.withColumn("_idx", (F.row_number().over(order) - 1).cast("long")).drop("lc_idx", "stripe_id").withColumnsRenamed({"_idx": "lc_idx", "run_id": "stripe_id"})
 
 
 def result(stripes: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def loop_clusters(clustered: DataFrame) -> DataFrame:
         F.min_by(F.struct("node_id_A", "node_id_B"), order).alias("first_edge"), F.collect_set("anchor").alias("fans"), F.collect_set("leaf").alias("leafs"),
     )
     w = Window.partitionBy(*CLUSTER).orderBy("loop_cluster")
-    return rows.withColumn("lc_idx", F.row_number().over(w) - 1)
+    return rows.withColumn("lc_idx", (F.row_number().over(w) - 1).cast("long"))
 
 
 def number_stripes(found: DataFrame) -> DataFrame:
