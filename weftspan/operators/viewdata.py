@@ -138,7 +138,7 @@ def gap_segments(rows: DataFrame, stripes: DataFrame, view: View, where: str = "
     ends = {"x0": F.when(right, before).otherwise(pos), "y0": F.when(right, pos).otherwise(before), "x1": F.when(right, F.col("leafs_start")).otherwise(pos), "y1": F.when(right, pos).otherwise(F.col("leafs_end"))}
     out = found.select("stripe_id", "lc_idx", *(c.alias(n) for n, c in ends.items()), F.col(score).alias("score"))
     if where.startswith("l"):
-        out = out.withColumnsRenamed({"x0": "y0", "y0": "x0", "x1": "y1", "y1": "x1"}).select("stripe_id", "lc_idx", "x0", "y0", "x1", "y1", "score")
+        out = out.select("stripe_id", "lc_idx", F.col("y0").alias("x0"), F.col("x0").alias("y0"), F.col("y1").alias("x1"), F.col("x1").alias("y1"), "score")
     return out
 
 
