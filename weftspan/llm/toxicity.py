@@ -86,12 +86,12 @@ class Model:
 
 def _rows(lists: list[np.ndarray], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the entries of a matrix with a row for each list and a column for each number."""
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.concatenate([np.zeros(0, np.uint32), *lists])
-    row = np.repeat(np.arange(len(lists)), size)
-    at = np.searchsorted(numbers, flat).clip(max=len(numbers) - 1)
-    known = numbers[at] == flat
-    return row[known], at[known]
+    cols, sizes = [np.zeros(0, np.int32)], []
+    for x in lists:
+        at = np.searchsorted(numbers, x).clip(max=len(numbers) - 1)
+        cols.append(at[numbers[at] == x].astype(np.int32))
+        sizes.append(len(cols[-1]))
+    return np.repeat(np.arange(len(lists), dtype=np.int32), sizes), np.concatenate(cols)
 
 
 def fit(lists: list[np.ndarray], toxic: np.ndarray, counter: list[np.ndarray | None], share: float, features_kept: int = 4096, least: int = 4, fairness: float = 1.0, ridge: float = 1e-3, prior: float = 0.5, steps: int = 300) -> Model:
@@ -104,10 +104,14 @@ def fit(lists: list[np.ndarray], toxic: np.ndarray, counter: list[np.ndarray | N
     pos, neg = int(toxic.sum()), int((1 - toxic).sum())
     if not pos or not neg:
         return Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log((pos + 0.5) / (neg + 0.5))))
-    flat = np.concatenate([np.zeros(0, np.uint32), *lists])
-    numbers, back, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    hit = np.bincount(back, weights=np.repeat(toxic, [len(x) for x in lists]), minlength=len(numbers))
-    n, expected = pos + neg, seen * pos / (pos + neg)
+    seen, hit = np.zeros(SPACE, np.int32), np.zeros(SPACE, np.int32)
+    for x, y in zip(lists, toxic, strict=True):
+        seen[x] += 1  # a list's numbers are distinct
+        if y:
+            hit[x] += 1
+    numbers = np.flatnonzero(seen).astype(np.uint32)
+    seen, hit = seen[numbers], hit[numbers]
+    n, expected = pos + neg, seen * (pos / (pos + neg))
     chi = (hit - expected) ** 2 / np.maximum(expected, 1e-9) + (hit - expected) ** 2 / np.maximum(seen - expected, 1e-9)
     chi[seen < least] = -1
     swaps = [i for i, c in enumerate(counter) if c is not None]
