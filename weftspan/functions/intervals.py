@@ -73,8 +73,11 @@ class Interval:
 
     def bin(self, size: int, origin: int = 0) -> Interval:
         """The interval widened to whole bins."""
-        i = self.bin_indices(size, origin)
-        return Interval(i.start * size + origin, i.end * size + origin)
+        if size <= 0:
+            raise ValueError("the bin size must be positive")
+        last = F.greatest(self.start, self.end - 1)
+        down = lambda x: x - F.pmod(x - origin, F.lit(size).cast("long"))
+        return Interval(down(self.start), down(last) + size)
 
     def expand(self, left: Number, right: Number | None = None) -> Interval:
         """Widened at both ends, or narrowed by negative amounts, but never inverted: the start gives way first."""

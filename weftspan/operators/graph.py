@@ -87,19 +87,30 @@ def nodes(assigned: DataFrame, aggregates: dict[str, Column] | None = None) -> D
     return rows.withColumn("midpoint", Interval.of().center())
 
 
+PAIR = [f"{n}_{s}" for s in SIDES for n in ("chromosome", "start", "end")]
+
+
+def bin_pairs(df: DataFrame) -> DataFrame:
+    """Prepared interactions summed by pair of anchors, with the columns of ``edge_aggregates``.
+
+    This is the one pass over all contacts: counts merge map-side, and what follows has a row for each pair of bins.
+    """
+    return df.withColumn("length", contact_length()).groupBy(*PAIR).agg(*(c.alias(n) for n, c in edge_aggregates().items()))
+
+
 def edges(df: DataFrame, assigned: DataFrame, aggregates: dict[str, Column] | None = None) -> DataFrame:
     """(graph, node_id_A, node_id_B, counts and extremes, is_contact, is_strand, weight): contacts summed by ordered node pair.
 
-    Contacts are first summed by pair of anchors where the aggregates allow it (the default ones), so that what is
-    joined with the nodes has one row for each pair of bins. Contacts within one node are left out.
+    ``df`` holds prepared interactions, or their ``bin_pairs`` if there are no aggregates of one's own. Contacts
+    within one node are left out.
     """
-    rows = df.select(F.col("chromosome_A").alias("graph"), *(c for s in SIDES for c in (f"chromosome_{s}", f"start_{s}", f"end_{s}")), "petcount", contact_length().alias("length"))
-    key = ["graph", *(f"{n}_{s}" for s in SIDES for n in ("chromosome", "start", "end"))]
     if aggregates is None:
-        rows = rows.groupBy(*key).agg(*(c.alias(n) for n, c in edge_aggregates().items()))
+        rows = df if "n_contacts" in df.columns else bin_pairs(df)
         specs = {"n_contacts": F.sum("n_contacts"), "total_petcount": F.sum("total_petcount"), "min_petcount": F.min("min_petcount"), "max_petcount": F.max("max_petcount"), "min_length": F.min("min_length"), "max_length": F.max("max_length")}
     else:
+        rows = df.withColumn("length", contact_length())
         specs = edge_aggregates() | aggregates
+    rows = rows.withColumn("graph", F.col("chromosome_A"))
     for s in SIDES:
         ids = assigned.select("graph", F.col("chromosome").alias(f"chromosome_{s}"), F.col("start").alias(f"start_{s}"), F.col("end").alias(f"end_{s}"), F.col("node_id").alias(f"node_id_{s}"))
         rows = rows.join(ids, ["graph", f"chromosome_{s}", f"start_{s}", f"end_{s}"])
@@ -117,5 +128,6 @@ def strand_edges(found: DataFrame) -> DataFrame:
 def build(df: DataFrame, strategy: Callable[[DataFrame], DataFrame] | None = None, node_aggs: dict[str, Column] | None = None, edge_aggs: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of prepared interactions; those between chromosomes are left out."""
     inside = within_chromosomes(df)
-    assigned = cut(assign_nodes(anchors(inside), strategy))
-    return cut(nodes(assigned, node_aggs)), cut(edges(inside, assigned, edge_aggs))
+    pairs = cut(bin_pairs(inside))
+    assigned = cut(assign_nodes(anchors(pairs), strategy))
+    return cut(nodes(assigned, node_aggs)), cut(edges(pairs if edge_aggs is None else inside, assigned, edge_aggs))

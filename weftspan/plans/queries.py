@@ -249,8 +249,8 @@ def nodes_one_each(spark, folder):
 
 @query
 def edges(spark, folder):
-    rows = prepared(spark, folder)
-    return graph.edges(rows, graph.assign_nodes(graph.anchors(rows))).drop("is_contact", "is_strand", "weight")
+    _, found = graph.build(prepared(spark, folder))
+    return found.drop("is_contact", "is_strand", "weight")
 
 
 @query

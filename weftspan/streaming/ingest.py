@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from weftspan.operators.graph import contact_length, prepare, within_chromosomes
+from weftspan.operators import graph
+from weftspan.operators.graph import prepare, within_chromosomes
 
 SCHEMA = "chromosome_A string, start_A long, end_A long, chromosome_B string, start_B long, end_B long, petcount long"
 
@@ -21,9 +22,7 @@ def stream_contacts(spark: SparkSession, path: str, schema: str = SCHEMA, max_fi
 
 def bin_pairs(contacts: DataFrame, bin_size: int = 5000) -> DataFrame:
     """Contacts summed by pair of bins: the sums merge map-side, and a stream keeps one row of state for each pair."""
-    rows = within_chromosomes(prepare(contacts, bin_size)).withColumn("length", contact_length())
-    key = ("chromosome_A", "start_A", "end_A", "chromosome_B", "start_B", "end_B")
-    return rows.groupBy(*key).agg(F.count("*").alias("n_contacts"), F.sum("petcount").alias("total_petcount"), F.min("petcount").alias("min_petcount"), F.max("petcount").alias("max_petcount"), F.min("length").alias("min_length"), F.max("length").alias("max_length"))
+    return graph.bin_pairs(within_chromosomes(prepare(contacts, bin_size)))
 
 
 def maintain(contacts: DataFrame, path: str, checkpoint: str, bin_size: int = 5000) -> StreamingQuery:
