@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftspan.llm.common import parts
+
 #: Rows of one block's index, and queries that are put to it at a time.
 BLOCK_ROWS, BLOCK_QUERIES = 1 << 13, 1 << 11
 
@@ -136,9 +138,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
     base = rows.select(F.col(key).cast("long").alias("id"), codes(rows, vector).alias("code")).filter("id is not null and code is not null")
     asked = queries.select(F.col(key).cast("long").alias("id"), codes(queries, vector).alias("code")).filter("id is not null and code is not null")
     n, m = max(1, -(-rows.count() // BLOCK_ROWS)), max(1, -(-queries.count() // BLOCK_QUERIES))
-    numbered = lambda df, own, count, other, size: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(count))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    left = numbered(asked, "qb", m, "rb", n).groupBy("qb", "rb")
-    right = numbered(base, "rb", n, "qb", m).groupBy("qb", "rb")
+    numbered = lambda df, own, count, other, size: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    # A given number of partitions: groups are small to read but take long, so adaptive execution should not join them.
+    tasks = min(4 * n * m, 8 * parts(rows.sparkSession))
+    left = numbered(asked, "qb", m, "rb", n).repartition(tasks, "qb", "rb").groupBy("qb", "rb")
+    right = numbered(base, "rb", n, "qb", m).repartition(tasks, "qb", "rb").groupBy("qb", "rb")
     near = left.cogroup(right).applyInPandas(_answer(k), "query_id long, id long, distance int")
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("neighbour_id"), "distance")
