@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -110,6 +111,31 @@ def test_large_subtrees_are_shared_out(spark, monkeypatch):
     assert {c: find(parent, c) for c in codes} == {c: find(want, c) for c in codes}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_shares_do_not_depend_on_the_partition_layout(seed):
+    rng = random.Random(seed)
+    low = simhash.segments(4)[0][1] + simhash.segments(4)[1][1]
+    trees = []
+    for top, size in ((5, 200 + seed), (9, 300)):
+        some = [rng.getrandbits(60 - low) << low | top for _ in range(size)]
+        trees.append(sorted({*some, *(c ^ 1 << low + rng.randrange(20) ^ 1 << low + rng.randrange(20, 38) for c in some)}))
+    found = set()
+    for share in range(3):
+        layout = rng.choice([[[0, 1]], [[0], [1]]]) if share == 2 else [[[0, 1]], [[0], [1]]][(seed + share) % 2]
+        for held in layout:
+            rows = pd.DataFrame([(0, share, 3, c, c) for t in held for c in trees[t]], columns=["which", "share", "shares", "fp", "rep"])
+            for out in simhash._walk(4)(iter([rows])):
+                found |= set(zip(out["a"].tolist(), out["b"].tolist(), strict=True))
+    for tree in trees:
+        parent, want = {c: c for c in tree}, {c: c for c in tree}
+        near = [(a, b) for a in tree for b in tree if a < b and (a ^ b).bit_count() <= 4]
+        for pairs, into in ((near, want), ([x for x in found if x[0] in parent], parent)):
+            for a, b in pairs:
+                x, y = sorted((find(into, a), find(into, b)))
+                into[y] = x
+        assert {c: find(parent, c) for c in tree} == {c: find(want, c) for c in tree}
+
+
 def brute_repeats(rows, window=20):
     seen, out = set(), {}
     for i, t in sorted(rows):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspan.llm.common import cut, parts, ranges, utf8
+from weftspan.llm.common import cut, mix, parts, ranges, utf8
 from weftspan.llm.components import components
 
 BITS = 64
@@ -99,7 +99,7 @@ def trie_join(codes: np.ndarray, depth: int, budget: int, own: tuple[int, int] =
 
     A subtree is a run of codes that agree in their top bits; ``depth`` is how many bits are left below them.
     ``start``: bounds of the runs. ``own`` (i, n): walk only the i-th of n shares of the node pairs; all tasks
-    together walk all of them.
+    together walk all of them, whatever other runs each of them is given.
     """
     n = len(codes)
     label = np.arange(n)
@@ -129,7 +129,9 @@ def trie_join(codes: np.ndarray, depth: int, budget: int, own: tuple[int, int] =
         if done.any():
             a0, a1, b0, b1 = la[done], ha[done], lb[done], hb[done]
             if own[1] > 1:
-                mine = (a0 * 31 + b0) % own[1] == own[0]
+                # By the nodes' paths: positions depend on which other subtrees the task happens to hold.
+                above = np.uint64(bit)
+                mine = mix((codes[a0] >> above) * np.uint64(31) + mix(codes[b0] >> above)) % np.uint64(own[1]) == np.uint64(own[0])
                 a0, a1, b0, b1 = a0[mine], a1[mine], b0[mine], b1[mine]
             na, nb = a1 - a0, b1 - b0
             step = max(1, (1 << 22) // SMALL)
