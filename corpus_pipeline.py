@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspan.llm import bpe, mixing, simhash, substring, toxicity
+from weftspan.llm import bpe, jaccard, mixing, substring, toxicity
 from weftspan.llm.common import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,11 +21,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id; documents without an id stay."""
-    classes = simhash.near_duplicates(docs)
-    first = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    """Of each group of near copies (five-word Jaccard similarity 0.8 or more, linked through others too) the row that
+    comes first by (doc_id, text); rows without an id stay. Texts without words are copies of each other."""
+    rows = docs.filter("doc_id is not null").withColumn("id", jaccard.identity())
+    classes = jaccard.near_copies(rows)
+    groups = rows.join(classes, "id", "left").groupBy(F.coalesce("component", "id").alias("component"))
+    kept = groups.agg(F.min(F.struct(*COLUMNS)).alias("first")).select("first.*")
+    return kept.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -191,3 +191,44 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
         uses[i] += n
     want = Counter({(i, hashlib.sha256((t or "").encode()).hexdigest()): uses[i] for i, t, _ in texts})
     assert got == want
+
+
+def brute_near_copies(rows):
+    """The rows that the stage keeps: of each component of five-word Jaccard >= 0.8 the first by (doc_id, text)."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if label[a] != label[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                label = [label[b] if x == label[a] else x for x in label]
+    first = {}
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i][0], rows[i][1] or "")):
+        first.setdefault(label[i], rows[i])
+    return Counter(first.values())
+
+
+def stage_rows(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_duplicates_match_jaccard_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}é" for i in range(500)]
+    line = " ".join(rng.choice(vocabulary) for _ in range(25))
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 150))) for _ in range(60)]
+    for t in texts[:40]:
+        w = t.split()
+        for _ in range(3):
+            for _ in range(rng.randrange(1, 4)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            texts.append(" ".join(w[: len(w) - rng.randrange(min(len(w), 6))]))
+    long = [rng.choice(vocabulary) for _ in range(120)]
+    texts += [f"{' '.join(long[:-k])} tail{k}" for k in range(1, 40)]  # a chain: neighbours alike, ends not
+    texts += [f"{line} only {i}" for i in range(12)] + [f"{line} {t}" for t in texts[:20]]
+    texts += [None, "", " \n", "One", "one", texts[3], texts[3].upper(), "a b c d e", "a b c d"]
+    rows = list(enumerate(texts))
+    got = corpus_pipeline.drop_near_duplicates(spark, stage_rows(spark, rows).repartition(5), "")
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == brute_near_copies(rows)
