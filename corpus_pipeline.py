@@ -7,9 +7,10 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftspan.llm import bpe, jaccard, mixing, substring, toxicity
-from weftspan.llm.common import shared_folder
+from weftspan.llm.common import WORD, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -38,11 +39,18 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's weight asks for, at least once and at most twice and a part."""
-    uses = mixing.mix(docs.filter("doc_id is not null"), repetition=2.0).groupBy("doc_id", "source").agg(F.count("*").alias("uses"))
-    known = docs.join(uses.withColumnRenamed("source", "used_source"), "doc_id", "left")
-    times = F.sequence(F.lit(1), F.coalesce(F.col("uses"), F.lit(1)).cast("int"))
-    return known.withColumn("use", F.explode(times)).select(*COLUMNS)
+    """Every document as often as its source's weight asks for, at least once and at most twice and a part.
+
+    Rows that agree in id, source and words are told apart by text; rows without an id are used once.
+    """
+    known = docs.filter("doc_id is not null").withColumn("n_tokens", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    alike = Window.partitionBy("doc_id", "source", "n_tokens").orderBy("text", "lang", "n_chars")
+    known = known.withColumn("copy", F.row_number().over(alike))
+    keys = ["doc_id", "source", "n_tokens", "copy"]
+    uses = mixing.mix(docs.filter("doc_id is not null"), repetition=2.0).groupBy(*keys).agg(F.count("*").alias("uses"))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys]
+    used = known.alias("d").join(uses.alias("u"), same).withColumn("use", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))))
+    return used.select(*(f"d.{c}" for c in COLUMNS)).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -232,3 +232,22 @@ def test_near_duplicates_match_jaccard_brute_force(spark):
     rows = list(enumerate(texts))
     got = corpus_pipeline.drop_near_duplicates(spark, stage_rows(spark, rows).repartition(5), "")
     assert Counter((r.doc_id, r.text) for r in got.collect()) == brute_near_copies(rows)
+
+
+def test_repeated_ids_with_other_texts_keep_their_rows(spark):
+    say = lambda w, n=30: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(3, say("a")), (5, say("a")), (5, say("b")), (5, say("b")), (7, say("c")), (7, say("d")), (7, say("d", 31)), (8, None)]
+    for parts in (1, 3):
+        got = corpus_pipeline.drop_near_duplicates(spark, stage_rows(spark, rows).repartition(parts), "")
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(3, say("a")), (5, say("b")), (7, say("c")), (7, say("d")), (8, None)]) == brute_near_copies(rows)
+
+
+def test_mixing_stage_uses_rows_and_not_ids(spark):
+    rows = [(i, f"t{i} " * (i % 9), "big" if i % 8 else "small") for i in range(200)]
+    rows += [(1, "x y", "small"), (1, "x z", "small"), (1, "x z", "small"), (2, "u", None), (2, "v", None), (2, "u v w", "big")]
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in [*rows, (None, "n", "big"), (None, "n", "big")]], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.source, len(r.text.split())) for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    want = Counter({(None, "big", 1): 2})
+    for (i, s, n, _, _), k in brute_mix(rows, 2.0).items():
+        want[i, s, n] += k
+    assert got == want
