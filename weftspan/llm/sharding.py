@@ -34,6 +34,10 @@ def size_of(text: str = "text") -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
+def _body(text: str) -> Column:
+    return F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+
+
 def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, size, text_crc32, shard, slot): one row for each row of ``docs``; other columns may have any names.
 
@@ -42,8 +46,13 @@ def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 7, key: str = "
     like others. A null key is a key of its own. An empty table gives no rows. The order depends on the rows and the
     seed (and on the number of partitions that Spark is told to use), not on where the rows are read.
     """
-    body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(key).alias("k"), size_of(text).alias("size"), F.crc32(body).alias("crc"))
+    placed = _places(docs, shards, seed, key, text)
+    return placed.select(F.col("k").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
+
+
+def _places(docs: DataFrame, shards: int, seed: int, key: str, text: str) -> DataFrame:
+    """(k, size, crc, copy, shard, slot); copy numbers the rows that agree in the three before it from 1."""
+    rows = docs.select(F.col(key).alias("k"), size_of(text).alias("size"), F.crc32(_body(text)).alias("crc"))
     rows = cut(rows.groupBy("k", "size", "crc").agg(F.count("*").alias("copies")))
     n = rows.agg(F.sum("copies")).first()[0] or 0
     buckets = max(1, -(-n // BUCKET_ROWS))
@@ -56,14 +65,20 @@ def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 7, key: str = "
     offsets = running_total(permuted.select("bucket", F.size("rows").cast("long").alias("n")), "bucket", "n", "offset").select("bucket", "offset")
     placed = permuted.join(offsets, "bucket").select("offset", F.posexplode("rows").alias("i", "r"))
     at = F.col("offset") + F.col("i")
-    return placed.select(F.col("r.k").alias(key), F.col("r.size").alias("size"), F.col("r.crc").alias("text_crc32"), F.pmod(at, F.lit(shards)).cast("int").alias("shard"), F.floor(at / shards).alias("slot"))
+    return placed.select("r.*", F.pmod(at, F.lit(shards)).cast("int").alias("shard"), F.floor(at / shards).alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write ``docs`` to ``path``/shard=N in slot order, and return what was written.
+    """Write ``docs`` to ``path``/shard=N in slot order, and return what was written: each row once.
 
-    Keys are to be distinct here (rows are joined to their places by key).
+    Keys may be null or repeated. Rows that agree in key, size and checksum are numbered by all their columns (but
+    maps) and take the places of that many copies.
     """
-    places = assign_shards(docs, shards, seed, key, text).select(F.col(key), "shard", "slot")
-    docs.join(places, key).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    places = _places(docs, shards, seed, key, text).select(*(F.col(c).alias(f"place_{c}") for c in ("k", "size", "crc", "copy")), "shard", "slot")
+    rows = docs.withColumns({"own_size": size_of(text), "own_crc": F.crc32(_body(text))})
+    whole = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    rows = rows.withColumn("own_copy", F.row_number().over(Window.partitionBy(key, "own_size", "own_crc").orderBy(whole)))
+    same = F.col(key).eqNullSafe(F.col("place_k")) & (F.col("own_size") == F.col("place_size")) & (F.col("own_crc") == F.col("place_crc")) & (F.col("own_copy") == F.col("place_copy"))
+    placed = rows.join(places, same).select(*(F.col(f"`{c}`") for c in docs.columns), "shard", "slot")
+    placed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.parquet(path)
