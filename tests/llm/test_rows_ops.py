@@ -73,6 +73,16 @@ def test_written_shards(spark, tmp_path):
     assert [r.slot for r in first] == list(range(33))
 
 
+def test_written_shards_keep_null_and_repeated_keys(spark, tmp_path):
+    rows = [*((i, f"text {i}", 0) for i in range(50)), *((7, "copy", n) for n in range(30)), (7, "copy", 1), (7, "else", 0), (None, "n", 0), (None, "n", 0), (None, None, 0), (8, None, 0), (8, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other int")
+    back = sharding.write_shards(docs, str(tmp_path / "out"), shards=3).collect()
+    assert Counter((r.doc_id, r.text, r.other) for r in back) == Counter(rows)
+    for k in range(3):
+        slots = [r.slot for r in back if r.shard == k]
+        assert sorted(slots) == list(range(len(slots))) and abs(len(slots) - len(rows) / 3) < 1
+
+
 def brute_mix(rows, repetition, seed=7):
     import hashlib
 

@@ -21,7 +21,9 @@ from weftspan.llm.common import cut, utf8
 from weftspan.llm.components import components
 
 #: Texts whose shingles are counted for the order, and how many of the most common are told apart.
-SAMPLE, COMMON = 8000, 1 << 17
+SAMPLE, COMMON = 4000, 1 << 17
+#: Shared shingles that are sent to all tasks (some 30 MB); more are shuffled.
+SENT = 1 << 20
 #: Rounds that compare each set with one other set of its shingle only, before all pairs that are still apart.
 ROUNDS = 1
 
@@ -82,13 +84,21 @@ def _prefixes(texts: DataFrame, words: int) -> DataFrame:
     return rows.select("id", "size", F.posexplode("first").alias("pos", "h"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; only the texts of these pairs are read into sets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "s": [shingles(t, words).tobytes() for t in b["t"]]})
 
     @F.pandas_udf("boolean")
     def check(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
+    pairs = cut(pairs)
+    asked = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    some = texts.join(F.broadcast(asked) if asked.count() <= SENT // 4 else asked, "id", "left_semi")
+    sets = cut(some.dropDuplicates(["id"]).mapInPandas(run, "id binary, s binary"))
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     return pairs.join(left, "a").join(right, "b").filter(check("sa", "sb")).select("a", "b")
@@ -110,14 +120,8 @@ def near_copies(docs: DataFrame, text: str = "text", words: int = 5) -> DataFram
     """
     texts = docs.select(identity(text).alias("id"), F.col(text).alias("t"))
     rows = _prefixes(texts, words)
-    shared = rows.groupBy("h").count().filter("count > 1").select("h")
-    rows = cut(rows.join(shared, "h", "left_semi"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "s": [shingles(t, words).tobytes() for t in b["t"]]})
-
-    sets = cut(texts.join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInPandas(run, "id binary, s binary"))
+    shared = cut(rows.groupBy("h").count().filter("count > 1").select("h"))
+    rows = cut(rows.join(F.broadcast(shared) if shared.count() <= SENT else shared, "h", "left_semi"))
     found, parts = None, None
     for k in range(ROUNDS + 1):
         live = rows.withColumn("c", F.col("id"))
@@ -133,7 +137,7 @@ def near_copies(docs: DataFrame, text: str = "text", words: int = 5) -> DataFram
         if k == ROUNDS:
             met = met.filter(F.col("x.id") < F.col("y.id"))
         pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        new = _verified(pairs, sets)
+        new = _verified(pairs, texts, words)
         found = cut(new if found is None else found.unionByName(new))
         parts = cut(components(found))
     return parts.select(F.col("node").alias("id"), "component")
