@@ -4,17 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, set from ``spark.checkpoint.dir``; one of our own only in local mode.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset do we set one of our own. Later plans begin at
-    the written rows, so they stay small, and a lost executor costs no more than reading them again.
+    On a cluster a folder of the driver's own machine would be out of the executors' reach, so that is an error there.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the checkpoint folder and read from there.
+
+    Later plans begin at the written rows, so they stay small, and a lost executor costs no more than reading them again.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
