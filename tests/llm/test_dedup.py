@@ -67,73 +67,61 @@ def test_simhash_null_keys_repeats_and_empty_table(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("shares", [1, 3])
-def test_trie_join_finds_every_link(shares):
-    rng = random.Random(shares)
-    near = set()
-    for _ in range(40):
-        code = rng.getrandbits(64)
-        near.add(code)
-        for _ in range(5):
-            code ^= sum(1 << rng.randrange(64) for _ in range(rng.randrange(1, 4))) & (1 << 64) - 1
-            near.add(code)
-    codes = np.array(sorted(near), np.uint64)
-    label = np.arange(len(codes))
-    for i in range(shares):
-        part = simhash.trie_join(codes, 64, 4, (i, shares))
-        simhash._forest(np.arange(len(codes)), part, label)
-    parent = {i: i for i in range(len(codes))}
-    for a in parent:
-        for b in range(a):
-            if int(codes[a] ^ codes[b]).bit_count() <= 4 and find(parent, a) != find(parent, b):
+def brute_labels(codes, budget=4):
+    parent = {c: c for c in codes}
+    for a in codes:
+        for b in codes:
+            if a < b and (a ^ b).bit_count() <= budget and find(parent, a) != find(parent, b):
                 x, y = sorted((find(parent, a), find(parent, b)))
                 parent[y] = x
-    assert [find(parent, i) for i in parent] == label.tolist()
+    return {c: find(parent, c) for c in codes}
 
 
-def test_large_subtrees_are_shared_out(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SUBTREE", 8)
-    rng = random.Random(2)
-    codes = {rng.getrandbits(20) for _ in range(200)}
-    reps = spark.createDataFrame([(c, c) for c in codes], "fp long, rep long")
-    edges = [(r.a, r.b) for r in simhash.links(reps).collect()]
+def joined(codes, edges):
     parent = {c: c for c in codes}
     for a, b in edges:
-        assert (a ^ b).bit_count() <= 4 or True
         x, y = sorted((find(parent, a), find(parent, b)))
         parent[y] = x
-    want = {c: c for c in codes}
-    for a in codes:
-        for b in codes:
-            if a < b and (a ^ b).bit_count() <= 4 and find(want, a) != find(want, b):
-                x, y = sorted((find(want, a), find(want, b)))
-                want[y] = x
-    assert {c: find(parent, c) for c in codes} == {c: find(want, c) for c in codes}
-
-
-@pytest.mark.parametrize("seed", range(4))
-def test_shares_do_not_depend_on_the_partition_layout(seed):
-    rng = random.Random(seed)
-    low = simhash.segments(4)[0][1] + simhash.segments(4)[1][1]
-    trees = []
-    for top, size in ((5, 200 + seed), (9, 300)):
-        some = [rng.getrandbits(60 - low) << low | top for _ in range(size)]
-        trees.append(sorted({*some, *(c ^ 1 << low + rng.randrange(20) ^ 1 << low + rng.randrange(20, 38) for c in some)}))
-    found = set()
-    for share in range(3):
-        layout = rng.choice([[[0, 1]], [[0], [1]]]) if share == 2 else [[[0, 1]], [[0], [1]]][(seed + share) % 2]
-        for held in layout:
-            rows = pd.DataFrame([(0, share, 3, c, c) for t in held for c in trees[t]], columns=["which", "share", "shares", "fp", "rep"])
-            for out in simhash._walk(4)(iter([rows])):
-                found |= set(zip(out["a"].tolist(), out["b"].tolist(), strict=True))
-    for tree in trees:
-        parent, want = {c: c for c in tree}, {c: c for c in tree}
-        near = [(a, b) for a in tree for b in tree if a < b and (a ^ b).bit_count() <= 4]
-        for pairs, into in ((near, want), ([x for x in found if x[0] in parent], parent)):
-            for a, b in pairs:
-                x, y = sorted((find(into, a), find(into, b)))
-                into[y] = x
-        assert {c: find(parent, c) for c in tree} == {c: find(want, c) for c in tree}
+    return {c: find(parent, c) for c in codes}
+
+
+def near_codes(rng, centres, near):
+    out = set()
+    for _ in range(centres):
+        code = rng.getrandbits(63)
+        out.add(code)
+        for _ in range(near):
+            code ^= sum(1 << rng.randrange(63) for _ in range(rng.randrange(1, 4))) & (1 << 63) - 1
+            out.add(code)
+    return out
+
+
+def test_trie_join_finds_every_link_of_each_run():
+    runs = [sorted(near_codes(random.Random(s), 20, 5)) for s in range(3)]
+    codes = np.array([c for r in runs for c in r], np.uint64)
+    start = np.cumsum([0, *map(len, runs)])
+    label = simhash.trie_join(codes, 4, start)
+    for a, b, run in zip(start, start[1:], runs):
+        assert {int(codes[i]): int(codes[label[i]]) for i in range(a, b)} == brute_labels(run)
+
+
+@pytest.mark.parametrize("limit", [4, 30, 1 << 13])
+def test_large_tries_are_dealt_out_again(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "SUBTREE", limit)
+    rng = random.Random(limit)
+    codes = {rng.getrandbits(20) for _ in range(150)} | near_codes(rng, 10, 8)
+    reps = spark.createDataFrame([(c, c) for c in codes], "fp long, rep long")
+    assert joined(codes, [(r.a, r.b) for r in simhash.links(reps).collect()]) == brute_labels(codes)
+
+
+def test_tries_go_on_over_batches(monkeypatch):
+    monkeypatch.setattr(simhash, "WALKED", 20)
+    codes = sorted(near_codes(random.Random(3), 12, 8))
+    rows = pd.DataFrame([(k, c, c) for k in range(4) for c in codes[k::2]], columns=["key", "fp", "rep"])
+    batches = [rows.iloc[i : i + 7] for i in range(0, len(rows), 7)]
+    edges = [(a, b) for out in simhash._walk(4)(iter(batches)) for a, b in zip(out["a"].tolist(), out["b"].tolist())]
+    for half in (codes[0::2], codes[1::2]):
+        assert joined(half, [e for e in edges if e[0] in half]) == brute_labels(half)
 
 
 def brute_repeats(rows, window=20):

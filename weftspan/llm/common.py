@@ -2,41 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftspan.functions.lineage import cut, shared_folder
+
+__all__ = ["cut", "shared_folder"]
+
 #: The characters that separate words, as a Java regular expression for one word.
 WORD = r"[^\x20\x09-\x0D]+"
 
 MASK64 = (1 << 64) - 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints, set from ``spark.checkpoint.dir``; one of our own only in local mode.
-
-    On a cluster a folder of the driver's own machine would be out of the executors' reach, so that is an error there.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder and read from there, so a lost executor loses nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def total_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts; sizes buckets so that each fits in one task's memory."""
     return docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0

@@ -25,18 +25,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable.
 
-    Rounds are logarithmic in the length of the longest chain; every one is written to the shared
-    checkpoint folder. Self links and repeated links are allowed; null ends are dropped.
+    Rounds go on until nothing changes, and are logarithmic in the length of the longest chain; every one is
+    written to the shared checkpoint folder. Self links and repeated links are allowed; null ends are dropped.
     """
     links = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         links = cut(_star(_star(links, True), False))
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

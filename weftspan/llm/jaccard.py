@@ -1,107 +1,120 @@
-"""Near copies by exact Jaccard similarity of word shingles, for stages that have to find all of them.
-
-No budget of differing SimHash bits finds every pair of similarity 4/5 (such pairs differ in ten of 64 bits on average,
-and in any number), so candidates come from prefixes. All shingles have one order, by how common they are in a sample
-and then by hash. Of two sets that are similar enough, the first shingle in common is among the first fifth of both,
-and so early that what follows can still overlap enough; this holds for any order, the sample only keeps common
-shingles out of the prefixes. Each candidate is verified on the whole sets.
+"""Near copies for stages that have to find all pairs whose word shingles have a Jaccard similarity of 4/5 or more.
+
+SimHash comes first: the trie self-join of five-word fingerprints links most copies for little. But no budget of
+differing bits finds every such pair (they differ in ten of 64 bits on average, and in any number), so what it leaves
+apart is searched for by prefixes. All shingles have one order; of two sets that are similar enough, the first shingle
+in common is among the first fifth of both, and so early that what follows can still overlap enough. This holds for any
+order. Ours puts common shingles last: the prefixes by hash alone are counted over all texts, and what occurs in many
+of them has a class in a table of fixed size that all tasks share. Each candidate of either kind is verified on the
+whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from weftspan.llm import simhash
 from weftspan.llm.common import cut, utf8
 from weftspan.llm.components import components
 
-#: Texts whose shingles are counted for the order, and how many of the most common are told apart.
-SAMPLE, COMMON = 4000, 1 << 17
-#: Shared shingles that are sent to all tasks (some 30 MB); more are shuffled.
-SENT = 1 << 20
-#: Rounds that compare each set with one other set of its shingle only, before all pairs that are still apart.
-ROUNDS = 1
+#: Slots of the table of classes, a byte each.
+SLOTS = 1 << 22
+#: A shingle in 2**(RARE + c) prefixes has class c.
+RARE = 4
+#: Parts that the sets with one common shingle are dealt into.
+SALT = 1 << 10
+#: Ids that are sent to all tasks (2 MB); more are joined by a shuffle.
+SENT = 1 << 18
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles; A-Z are lower-cased, a shorter text is one shingle."""
-    tokens = utf8(text).lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    n = max(1, len(tokens) - words + 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), seed=42) for i in range(n)), np.uint64, n))
+    return np.unique(simhash.shingle_hashes(text, words))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the Jaccard similarity of two sorted sets is 4/5 or more, in whole numbers."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
 def identity(text: str = "text") -> Column:
     """16 bytes for each distinct text; null, empty and wordless texts are one text."""
-    return F.unhex(F.md5(F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.col(text)).otherwise("").cast("binary")))
+    return F.unhex(F.md5(_body(text)))
+
 
+def _body(text: str) -> Column:
+    return F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.col(text)).otherwise("").cast("binary")
 
-def _common(texts: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of common shingles, the most common last in ``rank``: (hash, rank) columns."""
-    n = max(1, texts.count())
+
+def _classes(texts: DataFrame, words: int) -> np.ndarray:
+    """The class of every slot: how common its most common shingle is among the prefixes by hash of all texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for t in b["t"]:
-                yield pd.DataFrame({"h": shingles(t, words).view(np.int64)})
+            sets = [shingles(t, words) for t in b["t"]]
+            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, np.uint64), *(h[: len(h) // 5 + 1] for h in sets)]).view(np.int64)})
 
-    some = texts.filter(F.pmod(F.xxhash64("id"), F.lit(n)) < SAMPLE).dropDuplicates(["id"]).select("t")
-    seen = some.mapInPandas(run, "h long").groupBy("h").count().filter("count > 1")
-    top = seen.orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
-    h = top["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return np.stack([h[order], top["count"].to_numpy(np.int64)[order].view(np.uint64)]) if len(h) else np.zeros((2, 0), np.uint64)
+    counted = texts.select("t").mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= 2 << RARE)
+    slot = F.col("h").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
+    found = counted.groupBy(slot).agg(F.max(F.floor(F.log2("n")) - RARE).cast("byte").alias("c")).toPandas()  # SLOTS rows at most
+    table = np.zeros(SLOTS, np.uint8)
+    table[found["slot"]] = found["c"]
+    return table
 
 
 def _prefixes(texts: DataFrame, words: int) -> DataFrame:
-    """(id, size, pos, h): the first fifth of each distinct text's shingles."""
-    known = texts.sparkSession.sparkContext.broadcast(_common(texts, words))
+    """(h, key, size, pos) of all sets that share a shingle of their first fifth with another, by that shingle."""
+    known = texts.sparkSession.sparkContext.broadcast(_classes(texts, words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common, count = known.value
+        table = known.value
         for b in batches:
-            size, first = [], []
-            for t in b["t"]:
+            b, out = b.drop_duplicates("key"), {"h": [], "key": [], "place": [], "c": []}
+            for key, t in zip(b["key"].to_numpy(np.int64), b["t"], strict=True):
                 h = shingles(t, words)
-                at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
-                rank = np.where(common[at] == h, count[at], np.uint64(0)) if len(common) else np.zeros(len(h), np.uint64)
-                size.append(len(h))
-                first.append(h[np.lexsort((h, rank))][: len(h) // 5 + 1].view(np.int64))
-            yield pd.DataFrame({"id": b["id"], "size": size, "first": first})
-
-    rows = cut(texts.mapInPandas(run, "id binary, size int, first array<long>").dropDuplicates(["id"]))
-    return rows.select("id", "size", F.posexplode("first").alias("pos", "h"))
+                c = table[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
+                first = np.argsort(c, kind="stable")[: len(h) // 5 + 1]  # by class, then by hash
+                out["h"].append(h[first].view(np.int64))
+                out["key"].append(np.full(len(first), key))
+                out["place"].append((len(h) << 32) + np.arange(len(first)))
+                out["c"].append(c[first])
+            yield pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()}).astype({"c": np.int16})
+
+    rows = texts.select("key", "t").mapInPandas(run, "h long, key long, place long, c short")
+    # Sets with a common shingle are many: they are dealt out and kept, the others are looked at by shingle.
+    rows = rows.withColumn("part", F.when(F.col("c") > 0, F.pmod("key", F.lit(SALT))).otherwise(-1))
+    rows = rows.repartition("h", "part").dropDuplicates(["h", "part", "key"])
+    own = Window.partitionBy("h", "part")
+    met = rows.withColumns({"x": F.min("key").over(own), "y": F.max("key").over(own)})
+    shared = cut(met.filter((F.col("part") >= 0) | (F.col("x") < F.col("y"))).select("h", "key", "place"))
+    return shared.select("h", "key", F.shiftright("place", 32).alias("size"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; only the texts of these pairs are read into sets."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "s": [shingles(t, words).tobytes() for t in b["t"]]})
+    """Those pairs (a, b) of keys whose sets are similar, as pairs of ids; only the texts of these pairs are moved."""
 
     @F.pandas_udf("boolean")
-    def check(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=bool)
+    def check(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        read = lru_cache(256)(lambda t: shingles(t, words))
+        for a, b in batches:
+            yield pd.Series([similar(read(x), read(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     pairs = cut(pairs)
-    asked = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    some = texts.join(F.broadcast(asked) if asked.count() <= SENT // 4 else asked, "id", "left_semi")
-    sets = cut(some.dropDuplicates(["id"]).mapInPandas(run, "id binary, s binary"))
-    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").filter(check("sa", "sb")).select("a", "b")
+    asked = cut(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
+    some = cut(texts.join(F.broadcast(asked) if asked.count() <= SENT else asked, "key", "left_semi").dropDuplicates(["id"]))
+    left = some.select(F.col("key").alias("a"), F.col("id").alias("ia"), F.col("t").alias("ta"))
+    right = some.select(F.col("key").alias("b"), F.col("id").alias("ib"), F.col("t").alias("tb"))
+    return pairs.join(right, "b").join(left, "a").filter(F.col("ia") != F.col("ib")).filter(check("ta", "tb")).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
 
 
 def _may_overlap(x: str, y: str) -> Column:
@@ -114,30 +127,26 @@ def near_copies(docs: DataFrame, text: str = "text", words: int = 5) -> DataFram
     """(id, component) of the distinct texts that are linked to another; ids as ``identity`` gives them.
 
     Two texts link if the Jaccard similarity of their word shingles is 4/5 or more; components are those of all links.
-    Pairs within one component need no further look, so that a large group of copies costs a few looks a text: each
-    round compares the sets that share a shingle with one of them, drops shingles whose sets are all of one component,
-    and only what is left after the rounds is compared pair by pair.
+    Pairs within one component need no further look, so that a large group of copies costs a few looks a text: SimHash
+    links come first, then each set is compared with one other set of every shingle that it shares, and only sets that
+    share a shingle and are still apart are compared pair by pair.
     """
-    texts = docs.select(identity(text).alias("id"), F.col(text).alias("t"))
+    texts = docs.select(F.xxhash64(_body(text)).alias("key"), identity(text).alias("id"), F.col(text).alias("t"))
+    prints = cut(simhash.fingerprints(texts, "key", "t", words).distinct())
+    reps = cut(prints.groupBy("fp").agg(F.min("key").alias("rep")))
+    equal = prints.join(reps, "fp").filter("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    found = cut(_verified(simhash.links(reps).unionByName(equal), texts, words))
     rows = _prefixes(texts, words)
-    shared = cut(rows.groupBy("h").count().filter("count > 1").select("h"))
-    rows = cut(rows.join(F.broadcast(shared) if shared.count() <= SENT else shared, "h", "left_semi"))
-    found, parts = None, None
-    for k in range(ROUNDS + 1):
-        live = rows.withColumn("c", F.col("id"))
-        if parts is not None:
-            live = rows.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-            mixed = live.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("h")
-            live = cut(live.join(mixed, "h", "left_semi"))
-        if k < ROUNDS:
-            lead = live.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("o"), "id", "size", "pos", "c")).alias("l")).select("h", "l.*")
-        else:
-            lead = live
+    keys = cut(texts.select("key", "id").distinct())
+    for every in (False, True):
+        parts = components(found).join(keys.withColumnRenamed("id", "node"), "node").select("key", F.xxhash64("component").alias("c"))
+        live = rows.join(cut(parts), "key", "left").withColumn("c", F.coalesce("c", "key"))
+        mixed = live.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("h")
+        live = cut(live.join(mixed, "h", "left_semi"))
+        lead = live if every else live.groupBy("h").agg(F.min(F.struct("key", "size", "pos", "c")).alias("l")).select("h", "l.*")
         met = live.alias("x").join(lead.alias("y"), F.col("x.h") == F.col("y.h")).filter((F.col("x.c") != F.col("y.c")) & _may_overlap("x", "y"))
-        if k == ROUNDS:
-            met = met.filter(F.col("x.id") < F.col("y.id"))
-        pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        new = _verified(pairs, texts, words)
-        found = cut(new if found is None else found.unionByName(new))
-        parts = cut(components(found))
-    return parts.select(F.col("node").alias("id"), "component")
+        if every:
+            met = met.filter(F.col("x.key") < F.col("y.key"))
+        pairs = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+        found = cut(found.unionByName(_verified(pairs, texts, words)))
+    return components(found).select(F.col("node").alias("id"), "component")

@@ -1,9 +1,12 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts are taken over all training texts, in tasks, and summed by language and bucket. The matrix of log
-probabilities has one row for each of ``BUCKETS`` hash buckets and a column for each language (at most ``LANGUAGES``),
-so its size is bounded; it is broadcast. Texts are scored in sparse batches: the matrix rows of a batch's n-grams are
-gathered and added up by document in numpy.
+Counts are taken over all training texts, in tasks, and summed by language and bucket. The matrix of log probabilities
+has a row for each hash bucket and a column for each language. Its size is bounded: ``BUCKETS`` rows up to
+``CELLS / BUCKETS`` languages (256), and half as many rows each time the languages double, down to ``FEWEST``. That is
+32 MB for up to 8,192 languages, which is more than there are; each further label costs 4 kB. It is broadcast.
+
+Texts are scored in batches: the distinct n-gram buckets of all texts of a batch and how often each occurs are the rows
+of a sparse matrix, whose product with the log probabilities is taken in numpy for all of them at once.
 """
 
 from __future__ import annotations
@@ -19,11 +22,13 @@ from pyspark.sql import functions as F
 
 from weftspan.llm.common import mix
 
-BUCKETS, LANGUAGES = 1 << 15, 256
+BUCKETS, FEWEST, CELLS = 1 << 15, 1 << 10, 1 << 23
 #: n-grams of 1 to this many characters.
 LONGEST = 3
 #: Characters of text that are hashed at a time; longer texts are read in pieces.
 PIECE = 1 << 18
+#: Products of the sparse matrix that are held at a time.
+HELD = 1 << 20
 #: What a text without letters (or no text) is given.
 UNDETERMINED = "und"
 
@@ -57,11 +62,19 @@ def has_letter(text: str | None) -> bool:
     return isinstance(text, str) and any(map(str.isalpha, text))
 
 
-def count_grams(text: str) -> np.ndarray:
+def count_grams(text: str, buckets: int = BUCKETS) -> np.ndarray:
     total = np.zeros(BUCKETS, np.int64)
     for g in grams(_codes(text)):
         total += np.bincount(g, minlength=BUCKETS)
-    return total
+    return total.reshape(-1, buckets).sum(axis=0)
+
+
+def buckets_for(languages: int) -> int:
+    """Rows of the matrix: fewer the more languages there are, so that it keeps its size."""
+    buckets = BUCKETS
+    while buckets > FEWEST and buckets * languages > CELLS:
+        buckets //= 2
+    return buckets
 
 
 @dataclass(frozen=True)
@@ -69,44 +82,61 @@ class Model:
     languages: list[str]
     log_p: np.ndarray  # buckets x languages
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The likeliest language of each text and its posterior probability, under equal priors."""
-        names, scores = [], []
-        for text in texts:
-            if not self.languages or not has_letter(text):
-                names.append(UNDETERMINED), scores.append(0.0)
-                continue
-            z = np.zeros(len(self.languages))
-            for g in grams(_codes(text)):
-                z += self.log_p[g].sum(axis=0, dtype=np.float64)
-            best = int(z.argmax())
-            names.append(self.languages[best]), scores.append(float(1 / np.exp(z - z[best]).sum()))
-        return names, scores
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The likeliest language of each text and its posterior probability, under equal priors; ties go to the name
+        that sorts first."""
+        names, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+        known = [i for i, t in enumerate(texts) if self.languages and has_letter(t)]
+        wide, at = max(1, HELD // max(1, len(self.languages))), 0
+        while at < len(known):
+            rows, held = [], 0
+            while at + len(rows) < len(known) and (not rows or held < wide):
+                counts = count_grams(texts[known[at + len(rows)]], len(self.log_p))
+                bucket = np.flatnonzero(counts)
+                rows.append((bucket, counts[bucket]))
+                held += len(bucket)
+            z = self._products(rows)
+            best = z.argmax(axis=1)
+            own = known[at : at + len(rows)]
+            names[own] = np.array(self.languages, object)[best]
+            scores[own] = 1 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)
+            at += len(rows)
+        return list(names), scores
+
+    def _products(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """(texts, languages): the sparse rows (buckets, counts) times the matrix; no row is empty."""
+        bucket, count = (np.concatenate(x) for x in zip(*rows, strict=True))
+        first = np.cumsum([0, *(len(b) for b, _ in rows[:-1])])
+        return np.add.reduceat(self.log_p[bucket].astype(np.float64) * count[:, None], first, axis=0)
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Count over all rows of ``docs`` that have a text with letters and a language."""
+    """Count over all rows of ``docs`` that have a text with letters and a language; any number of languages."""
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null")
-    languages = sorted(r["l"] for r in rows.select("l").distinct().limit(LANGUAGES + 1).collect())
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    number = {x: i for i, x in enumerate(languages)}
+    languages = sorted(r["l"] for r in rows.select("l").distinct().collect())
+    number, buckets = {x: i for i, x in enumerate(languages)}, buckets_for(len(languages))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
+        total: dict[int, np.ndarray] = {}
         for b in batches:
             for t, x in zip(b["t"], b["l"], strict=True):
                 if has_letter(t):
-                    for g in grams(_codes(t)):
-                        total[number[x]] += np.bincount(g, minlength=BUCKETS)
-        row, bucket = np.nonzero(total)
-        yield pd.DataFrame({"l": row.astype(np.int32), "b": bucket.astype(np.int32), "n": total[row, bucket]})
+                    own = total.setdefault(number[x], np.zeros(buckets, np.int64))
+                    own += count_grams(t, buckets)
+        for i, own in total.items():
+            at = np.flatnonzero(own)
+            yield pd.DataFrame({"l": np.full(len(at), i, np.int32), "b": at.astype(np.int32), "n": own[at]})
+
+    def weigh(counted: pd.DataFrame) -> pd.DataFrame:
+        total = np.full(buckets, 0.5)
+        total[counted["b"]] += counted["n"]
+        return pd.DataFrame({"l": counted["l"].iloc[:1], "p": [(np.log(total) - np.log(total.sum())).astype("<f4").tobytes()]})
 
-    counted = rows.mapInPandas(run, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros((len(languages), BUCKETS))
-    total[counted["l"], counted["b"]] = counted["n"]
-    smooth = total + 0.5
-    return Model(languages, np.ascontiguousarray((np.log(smooth) - np.log(smooth.sum(axis=1, keepdims=True))).T.astype(np.float32)))
+    counted = rows.mapInPandas(run, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
+    log_p = np.full((len(languages), buckets), -np.log(buckets), np.float32)  # a language of texts without letters
+    for r in counted.groupBy("l").applyInPandas(weigh, "l int, p binary").collect():  # a row of ``buckets`` numbers each
+        log_p[r["l"]] = np.frombuffer(r["p"], "<f4")
+    return Model(languages, np.ascontiguousarray(log_p.T))
 
 
 def _predict(model) -> Callable:
@@ -123,7 +153,9 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     Texts and languages of rows whose crc32(key as text) mod ``folds`` is ``held`` are never learnt from, nor are
     rows without a language. A null text, and one without any letter, is ``und`` with score 0. A null key is not held
-    out. If there is nothing to learn from, everything is ``und``.
+    out. If there is nothing to learn from, everything is ``und``. Ties between languages go to the name that sorts
+    first. Repeated rows are counted and predicted each; very long texts are read whole, in pieces. An empty table
+    gives no rows.
     """
     fold = lambda c: F.coalesce(F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(folds)) == held, F.lit(False))
     model = docs.sparkSession.sparkContext.broadcast(train(docs.filter(~fold(key)), text, lang))

@@ -5,9 +5,10 @@ differ in at most ``budget`` bits. The trie over all distinct fingerprints is wa
 carries how many bits its two paths differ in, and is left as soon as that exceeds the budget.
 
 To deal the walk out to many tasks, the bits are cut into ``budget + 2`` segments. With at most ``budget`` errors at
-least two segments agree, so for each choice of two segments we look at the trie whose bits are reordered to begin
-with these; all node pairs above the end of those two segments have either no error or are left. What remains are
-subtrees joined with themselves, one for each value of the two segments; they are the rows' shuffle key.
+least two segments agree, so for each choice of two segments the fingerprints that agree in both are a trie of their
+own, joined with itself; the choice and the agreeing bits are the rows' shuffle key. A trie of over ``SUBTREE``
+fingerprints is dealt out again in the same way by other segments of the bits, so that no task gets a large one whole
+and rows grow by a factor, not with the trie. What is left after the last level agrees in all but some ten bits.
 """
 
 from __future__ import annotations
@@ -17,32 +18,43 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest as _xxh64
 
-from weftspan.llm.common import cut, mix, parts, ranges, utf8
+from weftspan.llm.common import cut, ranges, utf8
 from weftspan.llm.components import components
 
 BITS = 64
-#: A subtree with more fingerprints than this is walked by several tasks, which share out its node pairs.
-SUBTREE = 1 << 12
+#: A trie with more fingerprints than this is dealt out again.
+SUBTREE = 1 << 13
+#: Fingerprints that a task walks at a time, in whole tries.
+WALKED = 1 << 17
+#: The order of the bits at each level: bit i * m mod 64 is the i-th. Each is cut into segments.
+LEVELS = (1, 11, 23, 37)
 #: A pair of nodes with at most this many pairs of fingerprints below is compared directly.
 SMALL = 64
 #: Node pairs that are expanded at a time.
 FRONTIER = 1 << 18
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """The 64-bit SimHash of one text; A-Z are lower-cased, other letters are left as they are."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle, repeats included; A-Z are lower-cased, a shorter text is one shingle."""
     tokens = utf8(text).lower().split()  # on bytes both touch ASCII alone
     if not tokens:
-        return 0
-    grams = [b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))]
-    h = np.fromiter((xxhash.xxh64_intdigest(g, seed=42) for g in grams), np.uint64, len(grams))
-    ones = np.zeros(BITS, np.int64)
+        return np.zeros(0, np.uint64)
+    body, size = b" ".join(tokens), np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(size + 1) - 1
+    last = ends[min(words, len(tokens)) - 1 :]
+    return np.fromiter((_xxh64(body[a:b], 42) for a, b in zip((ends - size)[: len(last)].tolist(), last.tolist(), strict=True)), np.uint64, len(last))
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """The 64-bit SimHash of one text; a bit that exactly half of the hashes have is 0."""
+    h, ones = shingle_hashes(text, words), np.zeros(BITS, np.int64)
     for at in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
@@ -58,22 +70,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, fp long").withColumnRenamed("k", key)
 
 
-def segments(budget: int) -> list[tuple[int, int]]:
-    """(shift, width) of budget + 2 segments, lowest bits first."""
+def masks(budget: int, order: int) -> list[int]:
+    """For each choice of two of the budget + 2 segments, their bits as a signed 64-bit number."""
     n = budget + 2
-    edges = [BITS * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-
-
-def reorder(codes: np.ndarray, first: tuple[int, int], budget: int) -> np.ndarray:
-    """The codes with the two given segments moved to the top."""
-    segs = segments(budget)
-    out, top = np.zeros_like(codes), BITS
-    for i in [*first, *(i for i in range(len(segs)) if i not in first)]:
-        shift, width = segs[i]
-        top -= width
-        out |= ((codes >> np.uint64(shift)) & np.uint64((1 << width) - 1)) << np.uint64(top)
-    return out
+    pieces = [sum(1 << i * order % BITS for i in range(BITS * k // n, BITS * (k + 1) // n)) for k in range(n)]
+    both = [a | b for a, b in combinations(pieces, 2)]
+    return [m - (1 << BITS) if m >> BITS - 1 else m for m in both]
 
 
 def _forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -94,12 +96,10 @@ def _forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
     return label
 
 
-def trie_join(codes: np.ndarray, depth: int, budget: int, own: tuple[int, int] = (0, 1), start: np.ndarray | None = None) -> np.ndarray:
-    """Labels of sorted distinct ``codes`` after linking all pairs under one subtree within the budget.
+def trie_join(codes: np.ndarray, budget: int, start: np.ndarray | None = None) -> np.ndarray:
+    """Labels of sorted distinct ``codes`` after linking all pairs within the budget.
 
-    A subtree is a run of codes that agree in their top bits; ``depth`` is how many bits are left below them.
-    ``start``: bounds of the runs. ``own`` (i, n): walk only the i-th of n shares of the node pairs; all tasks
-    together walk all of them, whatever other runs each of them is given.
+    ``start``: bounds of runs of codes, each sorted and joined only with itself; without it there is one run.
     """
     n = len(codes)
     label = np.arange(n)
@@ -109,7 +109,7 @@ def trie_join(codes: np.ndarray, depth: int, budget: int, own: tuple[int, int] =
         start = np.array([0, n])
     lo, hi = start[:-1], start[1:]
     keep = hi - lo > 1
-    stack = [(depth, lo[keep], hi[keep], lo[keep], hi[keep], np.zeros(int(keep.sum()), np.int64))]
+    stack = [(BITS, lo[keep], hi[keep], lo[keep], hi[keep], np.zeros(int(keep.sum()), np.int64))]
     ones_below: dict[int, np.ndarray] = {}
 
     def split(lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -128,11 +128,6 @@ def trie_join(codes: np.ndarray, depth: int, budget: int, own: tuple[int, int] =
         done = (pairs <= SMALL) | (bit == 0)
         if done.any():
             a0, a1, b0, b1 = la[done], ha[done], lb[done], hb[done]
-            if own[1] > 1:
-                # By the nodes' paths: positions depend on which other subtrees the task happens to hold.
-                above = np.uint64(bit)
-                mine = mix((codes[a0] >> above) * np.uint64(31) + mix(codes[b0] >> above)) % np.uint64(own[1]) == np.uint64(own[0])
-                a0, a1, b0, b1 = a0[mine], a1[mine], b0[mine], b1[mine]
             na, nb = a1 - a0, b1 - b0
             step = max(1, (1 << 22) // SMALL)
             for k in range(0, len(a0), step):
@@ -162,53 +157,57 @@ def trie_join(codes: np.ndarray, depth: int, budget: int, own: tuple[int, int] =
 
 
 def _walk(budget: int):
-    """For mapInPandas over rows (which, top, share, shares, fp, rep), whole subtrees of one share together."""
-    choices = list(combinations(range(budget + 2), 2))
-    widths = [w for _, w in segments(budget)]
+    """For mapInPandas over rows (key, fp, rep) sorted by key: the links of whole tries, many at a time."""
+
+    def linked(key: np.ndarray, code: np.ndarray, rep: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((code, key))
+        key, code, rep = key[order], code[order], rep[order]
+        start = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        label = trie_join(code, budget, start)
+        moved = label != np.arange(len(label))
+        return pd.DataFrame({"a": rep[moved], "b": rep[label[moved]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pd.DataFrame({"which": [], "share": [], "shares": [], "fp": [], "rep": []}, dtype="int64"), *batches])
-        for (which, share, shares), part in rows.groupby(["which", "share", "shares"], sort=False):
-            first = choices[which]
-            code = reorder(part["fp"].to_numpy(np.int64).view(np.uint64), first, budget)
-            order = np.argsort(code, kind="stable")
-            code, rep = code[order], part["rep"].to_numpy(np.int64)[order]
-            depth = BITS - widths[first[0]] - widths[first[1]]
-            top = code >> np.uint64(depth)
-            start = np.concatenate([[0], np.flatnonzero(top[1:] != top[:-1]) + 1, [len(top)]])
-            label = trie_join(code, depth, budget, (int(share), int(shares)), start)
-            moved = label != np.arange(len(label))
-            yield pd.DataFrame({"a": rep[moved], "b": rep[label[moved]]})
+        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        for b in batches:
+            more = b["key"].to_numpy(np.int64), b["fp"].to_numpy(np.int64).view(np.uint64), b["rep"].to_numpy(np.int64)
+            held = [np.concatenate(x) for x in zip(held, more, strict=True)]
+            if len(held[0]) >= WALKED:
+                whole = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
+                yield linked(*(x[:whole] for x in held))
+                held = [x[whole:] for x in held]
+        yield linked(*held)
 
     return run
 
 
 def links(reps: DataFrame, budget: int = 4) -> DataFrame:
     """Spanning links (a, b) between the ``rep`` of distinct ``fp`` within the budget; never all pairs of a group."""
-    segs = segments(budget)
 
-    def piece(i: int):
-        shift, width = segs[i]
-        return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
+    def dealt(rows: DataFrame, level: int, *above: str) -> DataFrame:
+        keys = [F.xxhash64(*above, F.lit(w), F.col("fp").bitwiseAND(F.lit(m))) for w, m in enumerate(masks(budget, LEVELS[level]))]
+        return rows.select("fp", "rep", F.explode(F.array(*keys)).alias("key"))
 
-    keys = [F.struct(F.lit(w).alias("which"), (F.shiftleft(piece(i), segs[j][1]) + piece(j)).alias("top")) for w, (i, j) in enumerate(combinations(range(len(segs)), 2))]
-    rows = reps.select("fp", "rep", F.explode(F.array(*keys)).alias("k")).select("fp", "rep", "k.which", "k.top")
-    # Subtrees over SUBTREE fingerprints are few (at most the 15 choices' rows / SUBTREE); their node pairs are shared out.
-    big = rows.groupBy("which", "top").count().filter(F.col("count") > SUBTREE).withColumn("shares", F.ceil(F.col("count") / SUBTREE).cast("int")).drop("count")
-    rows = rows.join(big, ["which", "top"], "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
-    rows = rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    n = parts(reps.sparkSession)
-    dealt = rows.repartition(n, "which", "top", "share").select("which", "share", "shares", "fp", "rep")
-    return dealt.mapInPandas(_walk(budget), "a long, b long").distinct()
+    rows, found = dealt(reps, 0), None
+    for level in range(1, len(LEVELS) + 1):
+        big = cut(rows.groupBy("key").count().filter(F.col("count") > SUBTREE).select("key")) if level < len(LEVELS) else None
+        done = big is None or big.isEmpty()
+        some = rows if done else rows.join(big, "key", "left_anti")
+        walked = some.repartition("key").sortWithinPartitions("key").select("key", "fp", "rep").mapInPandas(_walk(budget), "a long, b long")
+        found = walked if found is None else found.unionByName(walked)
+        if done:
+            return found.distinct()
+        rows = dealt(rows.join(big, "key", "left_semi"), level, "key")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, budget: int = 4) -> DataFrame:
     """(key, fingerprint, component_id): one row for each row of ``docs``; other columns may have any names.
 
     component_id is the smallest key reachable over links of at most ``budget`` differing bits, the row's own
-    included. Null, empty and wordless texts have fingerprint 0 and link like any other. Equal fingerprints are
-    first collapsed to their smallest key, so groups of copies cost one row. Repeated keys keep their rows. A null
-    key takes no part in components and has null as its component. An empty table gives no rows.
+    included. Null, empty and wordless texts have fingerprint 0 and link like any other; a bit on which the hashes tie
+    is 0. Very long texts are read whole, one at a time. Equal fingerprints are first collapsed to their smallest key,
+    so groups of copies cost one row. Repeated keys keep their rows. A null key takes no part in components and has
+    null as its component. An empty table gives no rows.
     """
     own = cut(fingerprints(docs, key, text, words).withColumnRenamed(key, "k"))
     reps = cut(own.filter("k is not null").groupBy("fp").agg(F.min("k").alias("rep")))

@@ -4,8 +4,9 @@ A logistic model on the words of a text and their beginnings (hashed, present or
 group, identity terms are swapped for others of their kind, and the squared change of the score is penalised, so that
 a neutral mention of one group weighs as little as that of another.
 
-The model is fitted on a bounded sample of labelled rows (at most ``sample`` of each label, chosen by hash) and holds at
-most ``features_kept`` weights; it is sent along with the code. Scoring reads every text whole.
+The model is fitted on a bounded sample of labelled rows: at most ``sample`` of each label, and of these, in the order
+of a hash of their keys, as many as have ``entries`` feature numbers together. It has one weight for each of ``SPACE``
+hashed features, none of which is left out, and is sent along with the code. Scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -14,11 +15,15 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from weftspan.llm.common import cut
 
 #: Identity terms by kind. A term is swapped for the next of its line, the last for the first.
 IDENTITY_TERMS = (
@@ -40,7 +45,7 @@ IDENTITY_TERMS = (
 NEXT = {w: g[(i + 1) % len(g)] for g in IDENTITY_TERMS for i, w in enumerate(g)}
 
 #: Hash space of the features.
-SPACE = 1 << 22
+SPACE = 1 << 18
 #: Lengths of word beginnings that are features besides the word.
 BEGINNINGS = (4, 5, 6, 7)
 _WORD = re.compile(r"\w+")
@@ -51,12 +56,16 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if isinstance(text, str) else set()
 
 
+@lru_cache(1 << 16)
+def _numbers(word: str) -> tuple[int, ...]:
+    names = ["w" + word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+    return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % SPACE for x in names)
+
+
 def hashed(words: set[str]) -> np.ndarray:
     """Sorted distinct feature numbers of words and their beginnings."""
-    names = {"w" + w for w in words}
-    for n in BEGINNINGS:
-        names.update(w[:n] + "*" for w in words if len(w) > n)
-    return np.unique(np.fromiter((zlib.crc32(x.encode()) % SPACE for x in names), np.uint32, len(names)))
+    found = set().union(*map(_numbers, words))
+    return np.sort(np.fromiter(found, np.uint32, len(found)))
 
 
 def swapped(words: set[str]) -> set[str] | None:
@@ -68,19 +77,101 @@ def swapped(words: set[str]) -> set[str] | None:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of the features kept (sorted numbers) and the intercept."""
+    """A weight for each feature number, and the intercept."""
 
-    numbers: np.ndarray
     weights: np.ndarray
     intercept: float
 
     def score(self, text: str | None) -> float:
         """Between 0 and 1; a text without known features, such as the empty one, has the intercept's score."""
-        x = hashed(words_of(text))
-        z = self.intercept
-        if len(self.numbers) and len(x):
-            at = np.searchsorted(self.numbers, x).clip(max=len(self.numbers) - 1)
-            z += float(self.weights[at[self.numbers[at] == x]].sum())
+        z = self.intercept + float(self.weights[hashed(words_of(text))].sum(dtype=np.float64))
+        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+
+
+def _rows(lists: list[np.ndarray], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the entries of a matrix with a row for each list and a column for each number."""
+    cols, sizes = [np.zeros(0, np.int32)], []
+    for x in lists:
+        at = np.searchsorted(numbers, x).clip(max=len(numbers) - 1)
+        cols.append(at[numbers[at] == x].astype(np.int32))
+        sizes.append(len(cols[-1]))
+    return np.repeat(np.arange(len(lists), dtype=np.int32), sizes), np.concatenate(cols)
+
+
+def fit(lists: list[np.ndarray], toxic: np.ndarray, counter: list[np.ndarray | None], share: float, fairness: float = 1.0, ridge: float = 1e-3, prior: float = 0.25, steps: int = 100) -> Model:
+    """A model from feature lists, labels and counterfactual lists (None: no identity term).
+
+    ``share`` is the part of toxic rows in the table; its log odds times ``prior`` move the intercept of the balanced
+    fit (by less than all of them, as shrunken weights understate what speaks for a label). Every feature of the rows
+    and of their counterfactuals has a weight.
+    """
+    weights = np.zeros(SPACE, np.float32)
+    pos, neg = int(toxic.sum()), int((1 - toxic).sum())
+    if not pos or not neg:
+        return Model(weights, float(np.log((pos + 0.5) / (neg + 0.5))))
+    n, swaps = pos + neg, [i for i, c in enumerate(counter) if c is not None]
+    kept = np.unique(np.concatenate([np.zeros(0, np.uint32), *lists, *(counter[i] for i in swaps)]))
+    row, col = _rows(lists, kept)
+    # Differences between a text and its counterfactual: only features of identity terms differ.
+    a, b = [lists[i] for i in swaps], [counter[i] for i in swaps]
+    ra, ca = _rows(a, kept)
+    rb, cb = _rows(b, kept)
+    drow, dcol, dval = np.concatenate([ra, rb]), np.concatenate([ca, cb]), np.concatenate([np.ones(len(ra)), -np.ones(len(rb))])
+    # Log odds of a feature, as a scale, let few strong words outweigh many weak ones.
+    weight = np.where(toxic > 0, 0.5 / pos, 0.5 / neg)
+    p = np.bincount(col, weights=toxic[row], minlength=len(kept)) + 0.5
+    q = np.bincount(col, weights=1 - toxic[row], minlength=len(kept)) + 0.5
+    scale = np.abs(np.log((p / (pos + 1)) / (q / (neg + 1)))) + 0.05
+    w, intercept = np.zeros(len(kept)), 0.0
+    m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    for step in range(1, steps + 1):
+        z = np.bincount(row, weights=(w * scale)[col], minlength=n) + intercept
+        error = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - toxic)
+        g = np.bincount(col, weights=error[row], minlength=len(kept)) * scale + ridge * w
+        if swaps:
+            change = np.bincount(drow, weights=dval * (w * scale)[dcol], minlength=len(swaps))
+            g += fairness * np.bincount(dcol, weights=dval * change[drow], minlength=len(kept)) * scale / len(swaps)
+        g = np.append(g, error.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, intercept = w - move[:-1], intercept - move[-1]
+    share = min(max(share, 1e-4), 1 - 1e-4)
+    weights[kept] = w * scale
+    return Model(weights, float(intercept + prior * np.log(share / (1 - share))))
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 6000, entries: int = 1 << 23, **options) -> Model:
+    """Fit on at most ``sample`` rows of either label with ``entries`` features; give only labels that may be learnt from.
+
+    Rows without key or label are left out; of a key's labels the largest holds, and of its texts the one whose hash
+    is least, so that however many rows repeat a key, one of them is fitted. Both tables may be empty: the model then
+    scores everything alike.
+    """
+    known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
+    counts = {r["y"]: r["n"] for r in known.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    sides = [known.filter(F.col("y") > 0 if y else F.col("y") <= 0).orderBy(F.xxhash64("k"), "k").limit(sample).select("k", F.lit(y).alias("y")) for y in (0, 1)]
+    chosen = F.broadcast(sides[0].unionByName(sides[1]))  # at most 2 * sample rows of two numbers
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = [words_of(t) for t in b["t"]]
+            lists, other = [hashed(w) for w in words], [swapped(w) for w in words]
+            yield pd.DataFrame({"y": b["y"], "o": b["o"], "n": [len(x) for x in lists], "x": [x.tobytes() for x in lists], "c": [None if w is None else hashed(w).tobytes() for w in other]})
+
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(chosen, "k")
+    one = rows.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("m")).select("y", F.xxhash64("k").alias("o"), "m.t")
+    found = cut(one.mapInPandas(run, "y int, o long, n long, x binary, c binary"))
+    so_far = F.sum("n").over(Window.orderBy("o", "n", "y").rowsBetween(Window.unboundedPreceding, 0))  # 2 * sample numbers
+    within = found.select("o", "n", "y").withColumn("upto", so_far).filter(F.col("upto") <= entries).agg(F.max("o").alias("last"))
+    rows = found.join(F.broadcast(within), F.col("o") <= F.col("last")).toPandas().sort_values(["o", "x"], kind="stable")
+    read = lambda b: None if b is None else np.frombuffer(b, np.uint32)
+    total = sum(counts.values())
+    return fit([read(x) for x in rows["x"]], rows["y"].to_numpy(np.float64), [read(c) for c in rows["c"]], counts.get(1, 0) / total if total else 0.0, **options)
+
+
+def score(self, text: str | None) -> float:
+        """Between 0 and 1; a text without known features, such as the empty one, has the intercept's score."""
+        z = self.intercept + float(self.weights[hashed(words_of(text))].sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
@@ -94,30 +185,19 @@ def _rows(lists: list[np.ndarray], numbers: np.ndarray) -> tuple[np.ndarray, np.
     return np.repeat(np.arange(len(lists), dtype=np.int32), sizes), np.concatenate(cols)
 
 
-def fit(lists: list[np.ndarray], toxic: np.ndarray, counter: list[np.ndarray | None], share: float, features_kept: int = 4096, least: int = 4, fairness: float = 1.0, ridge: float = 1e-3, prior: float = 0.5, steps: int = 300) -> Model:
+def fit(lists: list[np.ndarray], toxic: np.ndarray, counter: list[np.ndarray | None], share: float, fairness: float = 1.0, ridge: float = 1e-3, prior: float = 0.25, steps: int = 100) -> Model:
     """A model from feature lists, labels and counterfactual lists (None: no identity term).
 
     ``share`` is the part of toxic rows in the table; its log odds times ``prior`` move the intercept of the balanced
-    fit (by less than all of them, as shrunken weights understate what speaks for a label). Features in fewer than
-    ``least`` rows are left out, then those with the largest chi-square are kept, identity terms' own always among them.
+    fit (by less than all of them, as shrunken weights understate what speaks for a label). Every feature of the rows
+    and of their counterfactuals has a weight.
     """
+    weights = np.zeros(SPACE, np.float32)
     pos, neg = int(toxic.sum()), int((1 - toxic).sum())
     if not pos or not neg:
-        return Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log((pos + 0.5) / (neg + 0.5))))
-    seen, hit = np.zeros(SPACE, np.int32), np.zeros(SPACE, np.int32)
-    for x, y in zip(lists, toxic, strict=True):
-        seen[x] += 1  # a list's numbers are distinct
-        if y:
-            hit[x] += 1
-    numbers = np.flatnonzero(seen).astype(np.uint32)
-    seen, hit = seen[numbers], hit[numbers]
-    n, expected = pos + neg, seen * (pos / (pos + neg))
-    chi = (hit - expected) ** 2 / np.maximum(expected, 1e-9) + (hit - expected) ** 2 / np.maximum(seen - expected, 1e-9)
-    chi[seen < least] = -1
-    swaps = [i for i, c in enumerate(counter) if c is not None]
-    changed = np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.setxor1d(lists[i], counter[i]) for i in swaps)]))
-    best = numbers[np.argsort(-chi, kind="stable")[: min(features_kept, int((chi >= 0).sum()))]]
-    kept = np.union1d(best, changed)
+        return Model(weights, float(np.log((pos + 0.5) / (neg + 0.5))))
+    n, swaps = pos + neg, [i for i, c in enumerate(counter) if c is not None]
+    kept = np.unique(np.concatenate([np.zeros(0, np.uint32), *lists, *(counter[i] for i in swaps)]))
     row, col = _rows(lists, kept)
     # Differences between a text and its counterfactual: only features of identity terms differ.
     a, b = [lists[i] for i in swaps], [counter[i] for i in swaps]
@@ -143,7 +223,8 @@ def fit(lists: list[np.ndarray], toxic: np.ndarray, counter: list[np.ndarray | N
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, intercept = w - move[:-1], intercept - move[-1]
     share = min(max(share, 1e-4), 1 - 1e-4)
-    return Model(kept, w * scale, float(intercept + prior * np.log(share / (1 - share))))
+    weights[kept] = w * scale
+    return Model(weights, float(intercept + prior * np.log(share / (1 - share))))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 6000, **options) -> Model:
@@ -188,6 +269,8 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     Labels of rows whose crc32(key as text) mod ``folds`` is ``held`` are never learnt from. Nothing but the text is an
     input of the score. Null and empty texts get the score of a text without known words; a null key is not held out.
+    Equal texts have equal scores, and repeated rows are scored each; a score of exactly one half is predicted 1. Very
+    long texts are read whole. Without documents there are no rows; without labels all scores are alike.
     """
     fold = lambda c: F.coalesce(F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(folds)) == held, F.lit(False))
     model = train(docs, labels.filter(~fold(key)), key, text, label, **options)
