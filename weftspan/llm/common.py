@@ -66,5 +66,12 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(before, counts) + np.repeat(starts, counts)
 
 
+def each_copy(rows: DataFrame, copies: str = "copies", out: str = "copy", step: int = 1024) -> DataFrame:
+    """``rows`` as often as ``copies`` says, numbered from 1; in two steps, so that no array is as long as a hot row's copies."""
+    many, first = F.col(copies).cast("long"), F.col("_block") * step
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((many - 1) / step))))
+    return blocks.withColumn(out, F.explode(F.sequence(first + 1, F.least(first + step, many)))).drop("_block", copies)
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

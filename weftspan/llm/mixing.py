@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftspan.llm.common import WORD, cut
+from weftspan.llm.common import WORD, cut, each_copy
 
-#: Steps of the bisection; the exponent is then good to 2**-STEPS.
-STEPS = 40
+#: Steps of the bisection; the exponent is then good to 2**-STEPS. Of those for the entropy, WAYS are one Spark job.
+STEPS, WAYS = 40, 5
 #: Rows that a hash range of a block's running total should have at most.
 RANGE_ROWS = 1 << 16
 
@@ -28,56 +28,53 @@ def source_totals(rows: DataFrame) -> DataFrame:
 
 
 def temperature(totals: DataFrame, entropy: float | None = None, repetition: float | None = None) -> float:
-    """The exponent in [0, 1]: the largest with at least the target entropy (nats, as a part of the most possible),
+    """The exponent in [0, 1]: the largest with at least the target entropy (as a part of the most possible),
     lowered no further than the repetition limit allows. With exponent 1 the weights are the shares themselves."""
     facts = totals.agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.min("n").alias("low"), F.count("*").alias("k")).first()
     if not facts["all"] or facts["k"] < 2:
         return 1.0
     share = F.col("n") / F.lit(float(facts["all"]))
 
-    def bisect(too_flat) -> float:
-        low, high = 0.0, 1.0
-        if not too_flat(low):
-            return low
-        for _ in range(STEPS):
-            mid = (low + high) / 2
-            low, high = (mid, high) if too_flat(mid) else (low, mid)
-        return high
-
-    def entropy_at(t: float) -> float:
-        s = totals.agg(F.sum(F.pow(share, F.lit(t))).alias("z"), F.sum(F.pow(share, F.lit(t)) * F.log(share) * t).alias("l")).first()
-        return math.log(s["z"]) - s["l"] / s["z"]
+    def entropies(steps: list[float]) -> list[float]:
+        """Entropy in nats at each exponent; one job for all of them."""
+        sums = [x for t in steps for x in (F.sum(F.pow(share, F.lit(t))), F.sum(F.pow(share, F.lit(t)) * F.log(share) * t))]
+        s = totals.agg(*(x.alias(str(i)) for i, x in enumerate(sums))).first()
+        return [math.log(s[i]) - s[i + 1] / s[i] for i in range(0, len(sums), 2)]
 
     t = 0.0
     if entropy is not None:
-        goal = entropy * math.log(facts["k"])
-        low, high = 0.0, 1.0
-        if entropy_at(1.0) >= goal:
+        goal, low, high = entropy * math.log(facts["k"]), 0.0, 1.0
+        if entropies([1.0])[0] >= goal:
             low = 1.0
-        else:
-            for _ in range(STEPS):
-                mid = (low + high) / 2
-                low, high = (mid, high) if entropy_at(mid) >= goal else (low, mid)
+        for _ in range(STEPS // WAYS if low < 1 else 0):  # the interval is cut in 2**WAYS parts at a time
+            steps = [low + (high - low) * i / 2**WAYS for i in range(1, 2**WAYS)]
+            reached = sum(e >= goal for e in entropies(steps))
+            low, high = ([low, *steps][reached], [*steps, high][reached])
         t = low
     if repetition is not None:
-        spread = math.log(facts["top"] / facts["low"])
-        t = max(t, bisect(lambda x: (1 - x) * spread > math.log(repetition)))
+        spread, low, high = math.log(facts["top"] / facts["low"]), 0.0, 1.0
+        if spread > math.log(repetition):
+            for _ in range(STEPS):
+                mid = (low + high) / 2
+                low, high = (mid, high) if (1 - mid) * spread > math.log(repetition) else (low, mid)
+            t = max(t, high)
     return t
 
 
-def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None = 4.0, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None = 4.0, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source", budget: int | None = None) -> DataFrame:
     """(key, source, n_tokens, block, range, permuted, copy): the documents of the mix, a row for each time they are used.
 
-    Tokens are counted as words. The budget is such that the source which is repeated least is used exactly once, so
-    no document is left out; a source that is to be used r times gives floor(r) whole blocks and then documents of one
+    Tokens are counted as words. Without a ``budget`` (of tokens, for all sources) it is such that the source which is
+    repeated least is used exactly once, so no document is left out; a source that is to be used r times gives floor(r) whole blocks and then documents of one
     more block, in that block's order, as long as those before them have not spent the rest of its tokens. ``block``
     numbers the passes from 0, and (range, permuted) orders a block. A null source is a source of its own. Documents
     without words (null, empty) are used once, in block 0. Repeated keys are further rows of their source; ``copy``
-    numbers rows that agree in key and words. An empty table gives no rows.
+    numbers rows that agree in key and words. Of a text only its number of words travels, however long it is. An empty
+    table gives no rows.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
     rows = rows.groupBy("k", "source", "n_tokens").agg(F.count("*").alias("copies"))
-    rows = cut(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies"))
+    rows = cut(each_copy(rows).withColumn("copy", F.col("copy").cast("int")))
     totals = cut(source_totals(rows))
     count, digits = rows.count(), 2
     while count > RANGE_ROWS * 16**digits:
@@ -85,10 +82,13 @@ def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None
     t = round(temperature(totals, entropy, repetition), 6)
     # Weight over share is n**(t-1) up to a factor; the largest source is repeated least.
     top = totals.agg(F.max("n")).first()[0] or 1
-    uses = totals.select("source", F.round(F.pow(F.lit(float(top)) / F.col("n"), F.lit(1 - t)), 6).alias("uses"), "n")
+    uses = F.pow(F.lit(float(top)) / F.col("n"), F.lit(1 - t))
+    if budget is not None:
+        uses = uses * (budget / (totals.agg(F.sum(F.col("n") * uses)).first()[0] or 1.0))
+    uses = totals.select("source", F.round(uses, 6).alias("uses"), "n")
     uses = uses.select(F.col("source").alias("u_source"), F.floor("uses").alias("whole"), F.floor(F.col("n") * (F.col("uses") - F.floor("uses"))).alias("rest"))
     known = rows.join(F.broadcast(uses) if totals.count() <= 10_000 else uses, F.col("source").eqNullSafe(F.col("u_source")), "left").select(*rows.columns, F.coalesce("whole", F.lit(1)).alias("whole"), F.coalesce("rest", F.lit(0)).alias("rest"))
-    whole = known.withColumn("block", F.explode(F.sequence(F.lit(0), F.when(F.col("n_tokens") > 0, F.col("whole").cast("int") - 1).otherwise(0))))
+    whole = known.filter("n_tokens = 0 or whole > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.when(F.col("n_tokens") > 0, F.col("whole").cast("int") - 1).otherwise(0))))
     part = known.filter("rest > 0").withColumn("block", F.col("whole").cast("int"))
 
     def ordered(df: DataFrame) -> DataFrame:

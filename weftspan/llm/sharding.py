@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftspan.llm.common import cut, parts
+from weftspan.llm.common import cut, each_copy, parts
 
 #: Rows that a bucket should have; their keys take some 100 kB, their texts some 10 MB.
 BUCKET_ROWS = 2048
@@ -43,7 +43,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 7, key: str = "
 
     size is the text's UTF-8 bytes plus 1, text_crc32 that of its bytes; a null text counts as empty. Rows that agree
     in key, size and checksum are counted first and numbered apart, so that copies of one row, however many, scatter
-    like others. A null key is a key of its own. An empty table gives no rows. The order depends on the rows and the
+    like others. A null key is a key of its own. Of a text only its size and checksum travel, however long it is. An empty table gives no rows. The order depends on the rows and the
     seed (and on the number of partitions that Spark is told to use), not on where the rows are read.
     """
     placed = _places(docs, shards, seed, key, text)
@@ -56,7 +56,7 @@ def _places(docs: DataFrame, shards: int, seed: int, key: str, text: str) -> Dat
     rows = cut(rows.groupBy("k", "size", "crc").agg(F.count("*").alias("copies")))
     n = rows.agg(F.sum("copies")).first()[0] or 0
     buckets = max(1, -(-n // BUCKET_ROWS))
-    each = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
+    each = each_copy(rows)
     scattered = each.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "k", "size", "crc", "copy"), F.lit(buckets)))
     # One row for each bucket; a fixed number of partitions and sorted buckets make the seeded permutation repeatable.
     gathered = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("k", "size", "crc", "copy"))).alias("rows"))
