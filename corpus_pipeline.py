@@ -1,4 +1,9 @@
-"""From documents to token ids: five stages, each over all that the one before it kept."""
+"""From documents to token ids: five stages, each over all that the one before it kept.
+
+Every stage but the last returns the columns of ``documents``; others are left behind, and may have any names. Ids may
+be null or repeated: a row is judged by its own text, and is lost only where a stage's rule names it. Null, empty and
+very long texts, repeated rows and an empty table are allowed throughout; each stage says what becomes of them.
+"""
 
 from __future__ import annotations
 
@@ -16,14 +21,21 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under one half; a null or empty text stays."""
-    model = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, out="toxicity_score").filter("toxicity_score < 0.5").select(*COLUMNS)
+    """Documents whose toxicity score is under one half; a null, empty or wordless text stays, whatever it would score.
+
+    Equal texts go or stay together. Without labels all others have one score, so all of them stay."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scored = toxicity.score(docs, toxicity.train(read("documents"), read("labels")), out="toxicity_score")
+    wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    return scored.filter((F.col("toxicity_score") < 0.5) | wordless).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word Jaccard similarity 0.8 or more, linked through others too) the row that
-    comes first by (doc_id, text); rows without an id stay. Texts without words are copies of each other."""
+    comes first by (doc_id, text); rows without an id stay. Texts without words are copies of each other.
+
+    The links are those of operator 3 with five words, verified, and what its bit budget does not reach (see ``jaccard``).
+    """
     rows = docs.filter("doc_id is not null").withColumn("id", jaccard.identity())
     classes = jaccard.near_copies(rows)
     groups = rows.join(classes, "id", "left").groupBy(F.coalesce("component", "id").alias("component"))
@@ -32,7 +44,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 20 words or more that also start earlier; others keep their text as it is."""
+    """All documents, without passages of 20 words or more that also start earlier; others keep their text as it is.
+
+    A document whose words all repeat stays, with an empty text; null texts stay null, rows without an id as they are."""
     found = substring.remove_repeats(docs, carry=("lang", "source", "n_chars"))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
     return found.select("doc_id", F.col("kept").alias("text"), "lang", "source", n_chars.alias("n_chars"))
@@ -41,7 +55,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's weight asks for, at least once and at most twice and a part.
 
-    Rows that agree in id, source and words are told apart by text; rows without an id are used once.
+    Rows that agree in id, source and words are told apart by text; rows without an id, and texts without words, are
+    used once. A null source is a source of its own.
     """
     known = docs.filter("doc_id is not null").withColumn("n_tokens", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     alike = Window.partitionBy("doc_id", "source", "n_tokens").orderBy("text", "lang", "n_chars")
@@ -54,7 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document, a row for each row; null and empty texts have none."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("decoded")
 
@@ -72,11 +87,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each result is written to the shared folder and read again."""
-    shared_folder(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4()}"
+    """Apply all stages to ``documents``; each result is written to the shared folder and read again.
+
+    A stage's input is removed once its result is written, so the result of the last stage is all that stays there.
+    """
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
     return docs
