@@ -2,7 +2,11 @@
 
 import base64
 import hashlib
+import math
+import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -22,6 +26,15 @@ PAGES = {
     "unclosed": (f"<body><nav><ul><li><a href=x>Menu</a><article><p><b>{PROSE}<br><p>{PROSE}", f"{PROSE}\n{PROSE}"),
     "no article tag": (f"<body><div><a href=x>One</a> <a href=y>Two</a></div><div><h2>Head</h2><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p></div><div><a href=z>Imprint</a></div></body>", f"Head\n{PROSE}\nShort.\n{PROSE}"),
     "foreign": ("<article><p>XQ!! ZV!! KJ!! XQ!! ZV!! KJ!! XQ!! ZV!! KJ!! XQ!! ZV!! KJ!! XQ!! ZV!! KJ!! XQ!! ZV!! KJ!! XQ!!</p></article>", "XQ!! ZV!! KJ!! " * 6 + "XQ!!"),
+    "wrapper named for what it has": (f'<div class="has-sidebar"><article><h1 class="page-header">T</h1><p>{PROSE}</p></article></div>', f"T\n{PROSE}"),
+    "named wrapper with all text": (f'<form><div class="no-sidebar"><p>{PROSE}</p><p>{PROSE}</p></div></form>', f"{PROSE}\n{PROSE}"),
+    "names in an article": (f'<article><p>{PROSE}</p><div class="related-work"><p>{PROSE}</p></div><section class="user-comments"><p>{PROSE} I agree.</p></section></article>', f"{PROSE}\n{PROSE}"),
+    "linked heading, list of links": (f"<article><h2><a href=t>Head</a></h2><p>{PROSE}</p><h2>Related</h2><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></article>", f"Head\n{PROSE}"),
+    "link around a block": (f"<article><p>{PROSE}</p><a href=x><div>{PROSE}</div></a></article>", PROSE),
+    "comments as articles": (f'<article class="comment"><p>{PROSE} No.</p></article><article><p>{PROSE}</p></article>', PROSE),
+    "badly quoted": (f'<article><p class="a"">{PROSE}</p><p title=\'it"s\' x = y>{PROSE}</p></article>', f"{PROSE}\n{PROSE}"),
+    "open quote": (f'<article><p>{PROSE}</p><p class="a>{PROSE}</p></article>', PROSE),
+    "no text but short": ("<p>Hello</p>", "Hello"),
     "empty": ("", ""),
     "links": ("<article></article><ul><li><a href=x>" + PROSE + "</a></li></ul>", ""),
 }
@@ -33,8 +46,48 @@ def test_main_text(name):
     assert extract.main_text(markup) == want
 
 
+def brute_inherit(blocks, label):
+    out = []
+    for i, b in enumerate(blocks):
+        if label[i] is not None:
+            out.append(label[i])
+            continue
+        same = [(abs(j - i), j > i, label[j]) for j, c in enumerate(blocks) if c.article == b.article and label[j] is not None]
+        before, after = (min((x for x in same if x[1] == side), default=None) for side in (False, True))
+        link = b.linked > 0.5 * len(b.text.replace(" ", ""))
+        if before and after and before[0] == after[0] and before[2] != after[2]:
+            out.append(after[2] if b.heading else b.article > 0 and not link)
+        elif before or after:
+            out.append(min(x for x in (before, after) if x)[2])
+        else:
+            out.append(not link and (b.article > 0 or all(x is None for x in label)))
+    return out
+
+
+def test_labels_are_those_of_the_nearest_neighbours():
+    rng = random.Random(7)
+    for _ in range(300):
+        blocks = [extract.Block("x" * rng.choice([5, 90]), rng.random() < 0.2, rng.choice([0, 0, 5]), 0, 1, rng.choice([0, 1, 1, 2]), 0) for _ in range(rng.randrange(14))]
+        label = [rng.choice([True, False, None, None]) for _ in blocks]
+        assert extract.inherit(blocks, label) == brute_inherit(blocks, label)
+
+
+BROKEN = ["<a ", "<div>", "<p>x", "<svg>", "<![CDATA[", '<p a="', "< ", "<div class=ad>a", "<nav><article>a", "<div class=ad><article>a</article>", "<!--", "&&&&", "<ul></p></li>", "<a href=x>a", "<p a=' b=\""]
+
+
+def test_broken_pages_take_linear_time():
+    began = time.process_time()
+    for piece in BROKEN:
+        extract.main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 30 * len(BROKEN)
+    for piece in ("<a ", "<p>x", "<svg>"):
+        began = time.process_time()
+        extract.main_text(piece * (1_000_000 // len(piece)))
+        assert time.process_time() - began < 20
+
+
 def test_extract_table(spark):
-    rows = [(i, "u", m, "old") for i, (m, _) in enumerate(PAGES.values())] + [(None, None, None, None), (99, "u", "<article>" + f"<p>{PROSE}</p>" * 5000, "x")]
+    rows = [(i, "u", m, "old") for i, (m, _) in enumerate(PAGES.values())] + [(None, None, None, None), (0, "u", PAGES["plain"][0], "old"), (99, "u", "<article>" + f"<p>{PROSE}</p>" * 5000, "x")]
     got = {r.page_id: r for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
     assert all(got[i].text == want and got[i].n_chars == len(want) for i, (_, want) in enumerate(PAGES.values()))
     assert got[None].text == "" and got[99].text.count("\n") == 4999
@@ -123,6 +176,63 @@ def test_language_pieces_add_up(monkeypatch):
     assert (langid.count_grams(text) == whole).all()
 
 
+def brute_grams(text, buckets):
+    code = []
+    for ch in f" {text.lower()} ":
+        c = ord(ch) if ch.isalpha() else 32
+        if c != 32 or not code or code[-1] != 32:
+            code.append(c)
+    out = Counter()
+    for i in range(len(code)):
+        h = 0
+        for n in range(min(3, len(code) - i)):
+            h = (h * 0x100000001B3 + code[i + n] + n + 1) & (1 << 64) - 1
+            if n or code[i] != 32:
+                x = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+                x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+                out[(x ^ x >> 31) % buckets] += 1
+    return out
+
+
+def brute_languages(rows, buckets):
+    """(language, score) of each text from counts in plain Python."""
+    counts = {}
+    for t, x in rows:
+        if t and x and any(map(str.isalpha, t)):
+            counts.setdefault(x, Counter()).update(brute_grams(t, buckets))
+    out = []
+    for t, _ in rows:
+        if not t or not any(map(str.isalpha, t)):
+            out.append(("und", 0.0))
+            continue
+        own = brute_grams(t, buckets)
+        z = {x: sum(k * math.log((c[b] + 0.5) / (sum(c.values()) + buckets / 2)) for b, k in own.items()) for x, c in counts.items()}
+        best = min(z, key=lambda x: (-z[x], x))
+        out.append((best, 1 / sum(math.exp(v - z[best]) for v in z.values())))
+    return out
+
+
+def test_language_matches_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 12))), x) for x, letters in (("en", "abcdefgh12"), ("de", "äöübcdß "), ("fr", "éèaeiou'.")) for _ in range(25)]
+    rows += [(None, "en"), ("", "de"), ("1 2", "fr"), ("abc äöü", None), rows[0], rows[0]]
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, folds=1, held=1).collect()}
+    for i, (name, score) in enumerate(brute_languages(rows, langid.BUCKETS)):
+        assert got[i][0] == name and abs(got[i][1] - score) < 1e-4
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CELLS", 1 << 20)
+    monkeypatch.setattr(langid, "HELD", 1 << 12)
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x5000 + i % 7)} " * 9, f"x{i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, folds=1, held=1).collect()}
+    assert langid.buckets_for(600) < langid.BUCKETS and sum(got[i] == x for i, _, x in rows) > 550
+    model = langid.train(docs)
+    assert len(model.languages) == 600 and model.log_p.shape == (langid.buckets_for(600), 600)
+
+
 def toxic_rows():
     return [(i, f"word{i % 7} the {'idiot' if i % 3 == 0 else 'house'} of it {'women' if i % 2 else 'men'}", int(i % 3 == 0)) for i in range(300)]
 
