@@ -124,7 +124,7 @@ def test_bpe_chunks(spark, monkeypatch):
 
 
 def test_media_round_trip(spark):
-    texts = ["", None, "é" * 96, "x" * 193, "same", "same", "y" * 300_000]
+    texts = ["", None, "é" * 96, "x" * 193, "same", "same", "y" * 300_000, "one & <b>two</b>\n\n  three\n&lt; 'four' \"", 'a\nb">\nc <img src="media:0">']
     docs = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)], "doc_id long, text string, digest string, media string")
     got = {r.doc_id: r for r in media.media_columns(docs).collect()}
     assert len(got) == len(texts)
@@ -135,7 +135,10 @@ def test_media_round_trip(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
         assert r.media_sha256 == hashlib.sha256(media.store_png(p)).hexdigest() and r.media_bytes == len(media.store_png(p))
         assert media.read_png(media.store_png(p)).tobytes() == p
-        assert r.position == 1 and r.caption.startswith("payload ")
+        said = [x for x in (" ".join(line.split()) for line in (t or "").split("\n")) if x]
+        first = len([x for x in (t or "").split("\n")[:1] if x.split()])
+        assert r.n_items == len(said) + 2 and r.text_sha256 == hashlib.sha256("\n".join(said).encode()).hexdigest()
+        assert r.positions == [first, len(said) + 1] and r.captions == [f"Payload {r.payload_sha256[:8]}", "Payload again"]
     assert got[4][2:] == got[5][2:] and got[0].feature == got[1].feature
     assert media.media_columns(docs.limit(0)).count() == 0
 
@@ -143,12 +146,18 @@ def test_media_round_trip(spark):
 def test_sequences_keep_positions_and_captions(spark):
     digests = [hashlib.sha256(bytes([i])).hexdigest() for i in range(3)]
     page = f'<p>One <b>two</b></p><figure><img src="media:{digests[0]}" alt="alt"><figcaption>A &amp; B</figcaption></figure>three<img src="x.png"><img alt=\'C\' src="sha256:{digests[1]}"><p>four</p><img src="media:{digests[2]}">'
-    assert media.parse(page) == [(0, "text", "One two", None, None), (1, "media", None, digests[0], "A & B"), (2, "text", "three", None, None), (3, "media", None, digests[1], "C"), (4, "text", "four", None, None), (5, "media", None, digests[2], None)]
+    want = [(0, "text", "One two", None, None), (1, "media", None, digests[0], "A & B"), (2, "text", "three", None, None), (3, "media", None, None, None), (4, "media", None, digests[1], "C"), (5, "text", "four", None, None), (6, "media", None, digests[2], None)]
+    assert [tuple(x.values())[:5] for x in media.parse(page)] == want and media.parse(page)[3]["source"] == "x.png"
+    figure = f'<figure>in <i>it</i><img src=media:{digests[0]}><div><img alt="own" src="media:{digests[0].upper()}"></div>after<figcaption>Both <b>of</b><br>them</figcaption></figure><figure><figcaption>alone</figcaption></figure><figure><img src="media:{digests[1]}" alt=x'
+    got = [(x["kind"], x["text"], x["digest"], x["caption"]) for x in media.parse(figure)]
+    assert got == [("text", "in it", None, None), ("media", None, digests[0], "Both of them"), ("media", None, digests[0], "Both of them"), ("text", "after", None, None), ("text", "alone", None, None)]
     assert media.parse(None) == []
     pages = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
     known = spark.createDataFrame([(d, bytes([i])) for i, d in enumerate(digests[:2])], "digest string, media binary")
     rows = {(r.page_id, r.position): (r.kind, r.caption, r.media) for r in media.resolve(media.sequences(pages), known).collect()}
-    assert rows[1, 1] == ("media", "A & B", bytearray([0])) and rows[1, 3] == ("media", "C", bytearray([1])) and rows[1, 5][2] is None and len(rows) == 6
+    assert rows[1, 1] == ("media", "A & B", bytearray([0])) and rows[1, 4] == ("media", "C", bytearray([1])) and rows[1, 6][2] is None and len(rows) == 7
+    refs = {r.digest: (r.positions, r.captions) for r in media.references(media.sequences(spark.createDataFrame([(1, page + page), (2, None)], "page_id long, html string"))).collect()}
+    assert refs[digests[0]] == ([1, 8], ["A & B", "A & B"]) and refs[digests[2]] == ([6, 13], [None, None]) and len(refs) == 3
 
 
 def test_language_held_out(spark):

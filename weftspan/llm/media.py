@@ -1,8 +1,9 @@
 """Interleaved document sequences: text and media references in page order, payloads resolved by digest.
 
-``sequences`` parses HTML into an ordered array of structs (position, kind, text, digest, caption); ``resolve`` joins
-the references with a media table on the digest and keeps positions and captions aligned. A media table has each
-payload once: bytes are stored losslessly as 8-bit RGB samples of a PNG image of width 64.
+``sequences`` parses HTML into an ordered array of structs (position, kind, text, digest, caption, source);
+``references`` gives the distinct digests of each sequence with their positions and captions, and ``resolve`` joins the
+items with a media table on the digest. A media table has each payload once: bytes are stored losslessly as 8-bit RGB
+samples of a PNG image of width 64.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftspan.llm.common import cut
+from weftspan.llm.extract import tokens
 
 #: Payload bytes of one image row: 64 pixels of 3 samples.
 ROW = 192
@@ -75,13 +77,17 @@ def features(samples: np.ndarray) -> str:
     return f"{samples.shape[1]}x{samples.shape[0]};mean={means};var={spread};ahash={bits}"
 
 
+def padded(body: Column) -> Column:
+    """Bytes with spaces after them, up to a positive multiple of ``ROW``."""
+    size = F.octet_length(body)
+    whole = F.greatest(F.lit(ROW), F.ceil(size / ROW) * ROW).cast("int")
+    return F.concat(body, F.repeat(F.lit(" "), whole - size).cast("binary"))
+
+
 def payloads(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, payload, digest): UTF-8 text padded with spaces to a positive multiple of 192 bytes, and its SHA-256."""
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(key), F.octet_length(body).cast("long").alias("n_bytes"), body.alias("body"))
-    padded = F.greatest(F.lit(ROW), F.ceil(F.col("n_bytes") / ROW) * ROW).cast("int")
-    pad = F.repeat(F.lit(" "), padded - F.col("n_bytes").cast("int")).cast("binary")
-    return rows.select(key, "n_bytes", F.concat("body", pad).alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    return docs.select(F.col(key), F.octet_length(body).cast("long").alias("n_bytes"), padded(body).alias("payload")).withColumn("digest", F.sha2("payload", 256))
 
 
 def store(found: DataFrame) -> DataFrame:
@@ -113,58 +119,87 @@ def measure(media: DataFrame) -> DataFrame:
     return media.select("digest", run("media").alias("m")).select("digest", "m.*")
 
 
-_PIECE = re.compile(r"<figure\b[^>]*>(.*?)</figure\s*>|<img\b([^>]*)>|<(?:script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->|<(/?)([a-zA-Z][\w-]*)[^>]*>", re.S | re.I)
-_REF = re.compile(r"""\bsrc\s*=\s*["']?(?:media|sha256):([0-9a-f]{64})""", re.I)
-_ALT = re.compile(r"""\balt\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.I)
-_CAPTION = re.compile(r"<figcaption\b[^>]*>(.*?)</figcaption\s*>", re.S | re.I)
-_INLINE = frozenset("a abbr b bdi bdo cite code em i kbd mark q s samp small span strong sub sup time u var".split())
+_REF = re.compile(r"\s*(?:media|sha256):([0-9a-f]{64})\s*", re.I)
+_INLINE = frozenset("a abbr b bdi bdo cite code em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_ITEM = "position:int,kind:string,text:string,digest:string,caption:string,source:string"
+
 
+def parse(markup: str | None) -> list[dict]:
+    """The items of a page in order: text between block tags, and images, each where it stands.
 
-def _plain(markup: str) -> str:
-    return " ".join(entities.unescape(re.sub(r"<[^>]*>", "", markup)).split())
+    The images of a figure share its caption, and an image without one has its alternative text. An image whose source
+    is no digest has a null digest and keeps its source. The text of a figure is text; its caption too, if it has no image.
+    """
+    items: list[dict] = []
+    text: list[str] = []
+    figure: list[dict] | None = None  # images of the open figure
+    caption: list[str] | None = None  # its caption, once it has begun
+    in_caption = False
 
+    def plain(parts: list[str]) -> str:
+        return " ".join(entities.unescape("".join(parts)).split())
 
-def parse(markup: str | None) -> list[tuple[int, str, str | None, str | None, str | None]]:
-    """(position, kind, text, digest, caption) in page order; kind is text or media. An image without a digest is left out."""
-    items, text, at = [], "", 0
-    markup = markup if isinstance(markup, str) else ""
+    def put(kind: str, **values: str | None) -> dict:
+        items.append({"position": len(items), "kind": kind, "text": None, "digest": None, "caption": None, "source": None} | values)
+        return items[-1]
 
     def flush() -> None:
-        nonlocal text
-        if plain := _plain(text):
-            items.append((len(items), "text", plain, None, None))
-        text = ""
-
-    for m in _PIECE.finditer(markup):
-        text += markup[at : m.start()]
-        at = m.end()
-        if m[1] is not None or m[2] is not None:
-            ref = _REF.search(m[1] if m[1] is not None else m[2])
-            caption = _CAPTION.search(m[1] or "")
-            alt = _ALT.search(m[1] or m[2] or "")
-            if ref:
-                flush()
-                words = _plain(caption[1]) if caption else entities.unescape(alt[1] or alt[2] or "") if alt else ""
-                items.append((len(items), "media", None, ref[1].lower(), words or None))
-        elif m[4] and m[4].lower() not in _INLINE:
+        if said := plain(text):
+            put("text", text=said)
+        text.clear()
+
+    def close_figure() -> None:
+        nonlocal figure, caption, in_caption
+        flush()
+        said = plain(caption or [])
+        for image in figure or ():
+            image["caption"] = said or image["caption"]
+        if said and not figure:
+            put("text", text=said)
+        figure, caption, in_caption = None, None, False
+
+    for kind, value, attributes in tokens(markup) if isinstance(markup, str) else ():
+        if kind == "text":
+            (caption if in_caption else text).append(value)
+        elif value == "img":
+            flush()
+            source = entities.unescape(attributes.get("src", ""))
+            digest = _REF.fullmatch(source)
+            image = put("media", digest=digest[1].lower() if digest else None, caption=plain([attributes.get("alt", "")]) or None, source=source or None)
+            if figure is not None:
+                figure.append(image)
+        elif value == "figure":
+            close_figure()
+            figure = [] if kind == "open" else None
+        elif value == "figcaption" and figure is not None:
+            in_caption, caption = kind == "open", [*(caption or []), " "]
+        elif in_caption and value not in _INLINE:
+            caption.append(" ")
+        elif value not in _INLINE:
             flush()
-    text += markup[at:]
-    flush()
+    close_figure()
     return items
 
 
 def sequences(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with ``items`` array<struct<position, kind, text, digest, caption>> instead of the html."""
+    """``pages`` with ``items`` array<struct<position, kind, text, digest, caption, source>> instead of the html."""
 
-    @F.pandas_udf("array<struct<position:int,kind:string,text:string,digest:string,caption:string>>")
+    @F.pandas_udf(f"array<struct<{_ITEM}>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        names = ("position", "kind", "text", "digest", "caption")
         for b in batches:
-            yield pd.Series([[dict(zip(names, x, strict=True)) for x in parse(t)] for t in b], dtype=object)
+            yield pd.Series([parse(t) for t in b], dtype=object)
 
     return pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in (html, "items")), run(html).alias("items"))
 
 
+def references(found: DataFrame) -> DataFrame:
+    """A row for each distinct digest of each row's items, with its positions and captions (aligned) instead of the items."""
+    of = lambda d: F.filter("items", lambda x: x["digest"] == d)
+    digests = F.array_distinct(F.transform(F.filter("items", lambda x: x["digest"].isNotNull()), lambda x: x["digest"]))
+    each = F.transform(digests, lambda d: F.struct(d.alias("digest"), F.transform(of(d), lambda x: x["position"]).alias("positions"), F.transform(of(d), lambda x: x["caption"]).alias("captions")))
+    return found.select(*(F.col(f"`{c}`") for c in found.columns if c != "items"), F.explode(each).alias("r")).select("*", "r.*").drop("r")
+
+
 def resolve(found: DataFrame, media: DataFrame) -> DataFrame:
     """One row for each item of ``found`` with the media table's columns joined by digest (null for text and unknown digests).
 
@@ -174,15 +209,30 @@ def resolve(found: DataFrame, media: DataFrame) -> DataFrame:
     return rows.join(media, "digest", "left")
 
 
-def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), a row for each row of ``docs``.
+def page_of(text: Column, digest: Column) -> Column:
+    """A document as a page: its lines as paragraphs, a figure of its payload after the first, a small image at the end."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    escaped = F.transform(lines, lambda x: F.concat(F.lit("<p>"), F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p>")))
+    figure = F.concat(F.lit('<figure><img src="media:'), digest, F.lit('" alt="payload"><figcaption>Payload '), F.substring(digest, 1, 8), F.lit("</figcaption></figure>"))
+    small = F.concat(F.lit('<p><img src="media:'), digest, F.lit('" alt="Payload again"></p>'))
+    return F.concat(F.lit("<article>"), F.get(escaped, F.lit(0)), figure, F.array_join(F.slice(escaped, 2, F.size(escaped)), ""), small, F.lit("</article>"))
+
 
-    Each document becomes a page that refers to its payload by digest; the page is parsed, its reference resolved in
-    the media table of all payloads, and what the stored bytes hold is joined to it. Null and empty texts have a
-    payload of 192 spaces. Repeated rows and null keys keep their rows; other columns may have any names.
+def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_items, text_sha256,
+    positions, captions), a row for each row of ``docs``.
+
+    Each document becomes a page of its own paragraphs around two references to its payload. The page is parsed into a
+    sequence; its references are resolved in the media table of all payloads, and what the stored bytes hold is joined
+    to them. ``positions`` and ``captions`` are those of the payload's references in the sequence, ``n_items`` counts
+    it, and ``text_sha256`` is of its text items, joined by line feeds. Null and empty texts have a payload of 192
+    spaces and no text items; very long ones are stored and parsed whole. Repeated rows and null keys keep their rows;
+    other columns may have any names. An empty table gives no rows.
     """
     found = payloads(docs, key, text)
     known = cut(measure(store(found)))
-    pages = found.select(F.col(key).alias("k"), "n_bytes", F.format_string('<article><p>%d bytes</p><figure><img src="media:%s"><figcaption>payload %s</figcaption></figure></article>', "n_bytes", "digest", F.substring("digest", 1, 8)).alias("html"))
-    rows = resolve(sequences(pages).withColumn("items", F.filter("items", lambda x: x["kind"] == "media")), known)
-    return rows.select(F.col("k").alias(key), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    pages = docs.select(F.col(key).alias("k"), F.octet_length(body).cast("long").alias("n_bytes"), page_of(F.col(text), F.sha2(padded(body), 256)).alias("html"))
+    said = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"])
+    rows = sequences(pages).select("k", "n_bytes", "items", F.size("items").alias("n_items"), F.sha2(F.array_join(said, "\n"), 256).alias("text_sha256"))
+    return references(rows).join(known, "digest", "left").select(F.col("k").alias(key), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_items", "text_sha256", "positions", "captions")
