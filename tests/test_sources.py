@@ -33,6 +33,10 @@ def test_headers_and_counts(spark, tmp_path):
     assert rows_of(bedpe.read_contacts(spark, mixed, fix_chromosome=False)) == [("chr1", 1, 2, "2", 3, 4)]
     with pytest.raises(ValueError, match="at least 3"):
         bedpe.read_contacts(spark, write(tmp_path / "e", "chr1\t5"))
+    late = write(tmp_path / "g", "# c\n" * 1500 + "a\tstart\tend\tb\tstart\tend\n" + BODY)
+    assert bedpe.read_contacts(spark, late).count() == 2
+    assert rows_of(bedpe.read_contacts(spark, mixed, prefixed=True)) == [("chr1", 1, 2, "2", 3, 4)]
+    assert bedpe.read_contacts(spark, write(tmp_path / "h", "")).count() == 0
     skipped = write(tmp_path / "f", "junk line\n" + BODY)
     assert bedpe.read_contacts(spark, skipped, skiprows=1).count() == 2
 
@@ -86,12 +90,35 @@ def test_catalog(spark, tmp_path):
 def test_split_write(spark, tmp_path):
     import re
 
-    df = spark.createDataFrame([("a-b", -1, 1.5), ("c", 2, 2.5)], "name string, n int, v double")
-    path, pattern, kinds = catalog.split_write(df, str(tmp_path / "out"), ["name", "n"])
-    assert kinds == ("string", "int") and spark.read.parquet(path).count() == 2
-    found = {tuple(re.search(pattern, str(p)).group("name", "n")) for p in (tmp_path / "out").rglob("part-*")}
-    assert found == {("a-b", "-1"), ("c", "2")}
-    assert catalog.key_pattern("string", ["ab", "c1"]) == r"\w+" and catalog.key_pattern("string", ["+", "-"]) == r"[\+\-]+" and catalog.key_pattern("int", [1]) == r"\d+"
+    rows = [("a-b_c", -1, 1.5), ("c", 2, 2.5), ("x y/z+%\u00fc", 0, 1e10), (None, 7, 0.25), ("c", 2, 3.5), ("gone", 5, 0.5)]
+    df = spark.createDataFrame(rows, "name string, n int, v double")
+    root, pattern, kinds = catalog.split_write(df, f"{tmp_path}/out/run_", ["name", "n"], suffix=".csv", format="csv", header=True, fix=lambda d: d.filter("coalesce(name, '') <> 'gone'"))
+    assert (root, kinds) == (f"{tmp_path}/out", ("string", "int"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(["run_a-b%5Fc_-1.csv", "run_c_2.csv", "run_x+y%2Fz%2B%25%C3%BC_0.csv", "run___HIVE_DEFAULT_PARTITION___7.csv", "run_gone_5.csv"])
+    (tmp_path / "out/run_c_2.csv.other").mkdir()
+    (tmp_path / "out/run_c_2.csv.other/part-0").write_text("v")
+    c = catalog.Catalog(spark, root, ["name", "n"]).add("runs", pattern, types={"n": "int"}, encoded=True)
+    assert {(r["name"], r.n) for r in c.paths("runs").collect()} == {r[:2] for r in rows}
+    assert all(re.search(pattern, r.path) for r in c.paths("runs").collect())
+    back = catalog.read_and_concat(spark, c.paths("runs"), ["name", "n"], lambda s, p: s.read.csv(p, header=True, schema="v double"), row_number="row")
+    assert {(r["name"], r.n, r.v) for r in back.collect()} == set(rows[:-1]) and sorted(r.row for r in back.collect()) == [0, 1, 2, 3, 4]
+    seen = []
+    catalog.split_write(df, f"{tmp_path}/two/", ["v"], write=lambda w, p: seen.append(p) or w.json(p), skip_empty=True)
+    assert len(seen) == 1 and sorted(p.name for p in (tmp_path / "two").iterdir()) == ["0.25", "0.5", "1.0E10", "1.5", "2.5", "3.5"]
+    double = re.compile(catalog.restore_pattern({"v": "double"}, "", "_", ""))
+    assert all(double.fullmatch(f"{x}/part-0") for x in ("0.5", "1.0E10", "-1.0E-5", "NaN", "-Infinity")) and not double.fullmatch("x/part-0")
+
+
+def test_catalog_keys_of_a_path_and_overlapping_sources(spark, tmp_path, caplog):
+    (tmp_path / "a_1.csv").write_text("v\n1\n")
+    (tmp_path / "b_2.csv").write_text("w,v\n5,6\n")
+    c = catalog.Catalog(spark, str(tmp_path), ["sample", "rep"]).add("runs", r"(?P<sample>\w)_(?P<rep>\d+)\.csv", types={"rep": "int"}).add("runs", r"(?P<sample>a)_1\.csv", defaults={"rep": 9}, types={"rep": "int"})
+    assert c.keys_of("runs", "/else/where/q_77.csv") == {"sample": "q", "rep": 77} and c.keys_of("runs", "/x.txt") is None
+    with caplog.at_level("WARNING"):
+        assert c.paths("runs").count() == 3
+    assert any("several sources" in m and "a_1.csv" in m for m in caplog.messages)
+    unlike = catalog.read_and_concat(spark, c.paths("runs").filter("rep < 9"), ["sample"], lambda s, p: s.read.csv(p, header=True), alike=False)
+    assert {(r.sample, r.v, r.w) for r in unlike.collect()} == {("a", "1", None), ("b", "6", "5")}
 
 
 def test_streamed_edges_equal_the_batch(spark, tmp_path):

@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+#: First part of the name of the folder that holds an application's cuts.
+OWN = "cuts"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,9 +32,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the checkpoint folder and read from there.
+    """The same rows, written to the checkpoint folder as Parquet and read from there.
+
+    Later plans begin at the written rows and read the columns they need; a lost executor costs no more than reading
+    them again. The files stay until ``clear`` removes them, as plans that read them may run at any time.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{OWN}-{spark.sparkContext.applicationId}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application has cut; to be called when its results are written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{OWN}-{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def number_rows(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """``df`` with a running number from 0 in the order of columns that tell all rows apart.
 
-    Later plans begin at the written rows, so they stay small, and a lost executor costs no more than reading them again.
+    Rows are sorted by range; a row's number is its place in its partition and what the partitions before it hold, so
+    only one row a partition meets in one task.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    placed = cut(df.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return placed.withColumn("_own", own).join(offsets, "_part").withColumn(out, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")

@@ -7,10 +7,13 @@ for every loop cluster.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from weftspan.functions.lineage import cut
 from weftspan.operators.stripes import CLUSTER
 
 #: Lengths and gaps count as this at least.
@@ -42,12 +45,34 @@ def lengths_and_gaps(rows: DataFrame) -> DataFrame:
     return rows.withColumn("raw_gap_score", F.greatest(F.lit(0.0), -F.log10(ratio)))
 
 
+def quantiles(rows: DataFrame, levels: Sequence[float]) -> DataFrame:
+    """(feature, level, q): exact quantiles of the values ``v`` of each ``feature``, linear between neighbours.
+
+    Equal values are counted first, then sorted by range; the running count of a value is what its partition has before
+    it and what the partitions before that have, so no task sees more than its range. Null values are left out.
+    """
+    counted = rows.filter("v is not null").groupBy("feature", "v").agg(F.count("*").alias("n"))
+    placed = cut(counted.orderBy("feature", "v").withColumn("part", F.spark_partition_id()))
+    sums = placed.groupBy("feature", "part").agg(F.sum("n").alias("s"))
+    own = Window.partitionBy("feature").orderBy("part")
+    sums = sums.select("feature", "part", F.coalesce(F.sum("s").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), F.sum("s").over(Window.partitionBy("feature")).alias("total"))
+    within = Window.partitionBy("feature", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = placed.withColumn("upto", F.sum("n").over(within)).join(sums, ["feature", "part"])
+    last, first = F.col("ahead") + F.col("upto"), F.col("ahead") + F.col("upto") - F.col("n")
+    # The value of rank r (from 0) is the one with first <= r < last; each level asks for the two ranks around it.
+    asked = F.array(*(F.struct(F.lit(float(q)).alias("level"), (F.lit(float(q)) * (F.col("total") - 1)).alias("at")) for q in levels))
+    holds = lambda r: (first <= r) & (r < last)
+    met = upto.select("feature", "v", F.explode(F.filter(asked, lambda x: holds(F.floor(x["at"])) | holds(F.ceil(x["at"])))).alias("x"), first.alias("first"), last.alias("last"))
+    part = F.max(F.col("x.at") - F.floor("x.at"))
+    low, high = F.min("v"), F.max("v")
+    return met.groupBy("feature", F.col("x.level").alias("level")).agg((low + (high - low) * part).alias("q"))
+
+
 def quantile_knots(rows: DataFrame, levels: int = 50, column: str = "raw_gap_score") -> DataFrame:
     """(q, level): quantiles of all values at levels + 2 even steps from 0 to 1; equal quantiles keep the lowest level."""
     steps = [i / (levels + 1) for i in range(levels + 2)]
-    exact = rows.agg(F.percentile(column, F.array(*map(F.lit, steps))).alias("q"))
-    pairs = exact.select(F.explode(F.arrays_zip("q", F.array(*map(F.lit, steps)).alias("level"))).alias("z")).select(F.round("z.q", 12).alias("q"), F.col("z.level").alias("level"))
-    return pairs.groupBy("q").agg(F.min("level").alias("level"))
+    found = quantiles(rows.select(F.lit("").alias("feature"), F.col(column).alias("v")), steps)
+    return found.groupBy(F.round("q", 12).alias("q")).agg(F.min("level").alias("level"))
 
 
 def interpolate(value: Column, xs: Column, ys: Column) -> Column:
@@ -93,12 +118,30 @@ def cross_scores(rows: DataFrame, links: DataFrame, compat: str = "reference") -
     return scored.withColumn("cross_score", cross).drop("_w", "_least")
 
 
-def describe(rows: DataFrame, columns: list[str], levels: tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) -> DataFrame:
+#: Levels of ``describe``; part of the semantics.
+DESCRIBED = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+
+
+def _long(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
+
+
+def describe(rows: DataFrame, columns: Sequence[str], levels: Sequence[float] = DESCRIBED) -> DataFrame:
     """(feature, count, mean, std, min, percentiles, max): one row for each column."""
-    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
-    steps = [F.element_at("_p", i + 1).alias(f"p{round(100 * q)}") for i, q in enumerate(levels)]
-    facts = long.groupBy("feature").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev("v").alias("std"), F.min("v").alias("min"), F.percentile("v", F.array(*map(F.lit, levels))).alias("_p"), F.max("v").alias("max"))
-    return facts.select("feature", "count", "mean", "std", "min", *steps, "max")
+    long = _long(rows, columns)
+    facts = long.groupBy("feature").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    steps = quantiles(long, levels).groupBy("feature").agg(*(F.max(F.when(F.col("level") == float(q), F.col("q"))).alias(f"p{round(100 * q)}") for q in levels))
+    return facts.join(steps, "feature", "left").select("feature", "count", "mean", "std", "min", *(f"p{round(100 * q)}" for q in levels), "max")
+
+
+def histograms(rows: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFrame:
+    """(feature, bin, low, high, n): counts of each column in even bins between its least and largest value."""
+    long = _long(rows, columns).filter("v is not null")
+    facts = long.groupBy("feature").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+    width = (F.col("most") - F.col("least")) / bins
+    at = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("least")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
+    counted = long.join(facts, "feature").groupBy("feature", at.alias("bin"), "least", width.alias("width")).agg(F.count("*").alias("n"))
+    return counted.select("feature", "bin", (F.col("least") + F.col("bin") * F.col("width")).alias("low"), (F.col("least") + (F.col("bin") + 1) * F.col("width")).alias("high"), "n")
 
 
 def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int = 50, by: tuple[str, ...] = ()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +55,8 @@ def cluster_overlapping(expand_by: int = -1, from_midpoint: bool = False) -> Cal
     def run(found: DataFrame) -> DataFrame:
         base = Interval.of("midpoint", None) if from_midpoint else Interval.of()
         wide = base.expand(expand_by).assign_to(found, "_start", "_end")
-        return islands(wide, ["graph", "chromosome"], "_start", "_end", "node").drop("_start", "_end")
+        # Distinct anchors are pairs of bin edges: a chromosome has as many as its length allows, however many contacts.
+        return islands(wide, ["graph", "chromosome"], "_start", "_end", "node", tile=0).drop("_start", "_end")
 
     return run
 
@@ -125,9 +126,38 @@ def strand_edges(found: DataFrame) -> DataFrame:
     return rows.filter("node_id_B is not null").withColumns({"is_contact": F.lit(False), "is_strand": F.lit(True)})
 
 
-def build(df: DataFrame, strategy: Callable[[DataFrame], DataFrame] | None = None, node_aggs: dict[str, Column] | None = None, edge_aggs: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of prepared interactions; those between chromosomes are left out."""
+def with_defaults(df: DataFrame, columns: Sequence[str], kinds: dict[str, str]) -> DataFrame:
+    """``df`` with all ``columns``: those it lacks hold the default of their type (0, false, empty text; null for others)."""
+    plain = {"long": 0, "bigint": 0, "int": 0, "double": 0.0, "float": 0.0, "boolean": False, "string": ""}
+    return df.select(*(F.col(c) if c in df.columns else F.lit(plain.get(kinds[c])).cast(kinds[c]).alias(c) for c in columns))
+
+
+def add_strand_edges(weight: float = 1.0) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Edge hook: all strand edges beside the contacts, with no contacts and the given weight."""
+
+    def run(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        kinds = {f.name: f.dataType.simpleString() for f in edges.schema} | {"length": "bigint"}
+        both = [*edges.columns, *(["length"] if "length" not in edges.columns else [])]
+        strands = with_defaults(strand_edges(nodes).withColumn("weight", F.lit(float(weight))), both, kinds)
+        return with_defaults(edges, both, kinds).unionByName(strands)
+
+    return run
+
+
+def build(
+    df: DataFrame, strategy: Callable[[DataFrame], DataFrame] | None = None, node_aggs: dict[str, Column] | None = None, edge_aggs: dict[str, Column] | None = None,
+    extra_nodes: Callable[[DataFrame], DataFrame] | None = None, extra_edges: Callable[[DataFrame], DataFrame] | None = None, strands: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of prepared interactions; those between chromosomes are left out.
+
+    Hooks, in this order: ``extra_nodes`` may add rows to the nodes and ``extra_edges`` to the edges; ``strands`` then
+    gives the final edges from both (``add_strand_edges()`` adds those along the chromosome).
+    """
     inside = within_chromosomes(df)
     pairs = cut(bin_pairs(inside))
     assigned = cut(assign_nodes(anchors(pairs), strategy))
-    return cut(nodes(assigned, node_aggs)), cut(edges(pairs if edge_aggs is None else inside, assigned, edge_aggs))
+    found = nodes(assigned, node_aggs)
+    found = extra_nodes(found) if extra_nodes else found
+    linked = edges(pairs if edge_aggs is None else inside, assigned, edge_aggs)
+    linked = extra_edges(linked) if extra_edges else linked
+    return found, cut(strands(found, linked) if strands else linked)

@@ -4,33 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftspan.functions.intervals import floor_div
 
 
-def islands(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", out: str = "island", tile: int | None = None) -> DataFrame:
+#: Tiles that the extent of a table of intervals is cut into.
+TILES = 4096
+
+
+def tile_width(df: DataFrame, start: str = "start", tiles: int = TILES) -> Column:
+    """The width of a tile such that there are about ``tiles`` of them; a scalar subquery."""
+    extent = F.max(start) - F.min(start)
+    return df.agg(F.greatest(F.lit(1).cast("long"), F.coalesce(F.floor(extent / tiles), F.lit(1)))).scalar()
+
+
+def islands(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", out: str = "island", tile: int | None = None, order: Sequence[str] = ()) -> DataFrame:
     """``df`` with the number (from 0, within its keys) of the island that each interval belongs to.
 
     An interval opens a new island if it starts at or after the end of all intervals before it in the order of
-    (start, end): touching intervals do not overlap. Each empty interval at an edge is an island of its own.
+    (start, end): touching intervals do not overlap. Each empty interval at an edge is an island of its own; columns
+    named in ``order`` say which comes first of several equal ones.
 
-    With ``tile``, rows are dealt by (keys, start // tile) and tiles pass on their largest end and number of islands,
-    so that one group may hold any part of all rows without landing in one task.
+    Rows are dealt by (keys, start // tile) and tiles pass on their largest end and number of islands, so that one
+    group may hold any part of all rows without landing in one task. The width of a tile comes from the extent of all
+    starts unless it is given; with 0 each group is one tile, which suits groups of a bounded size.
     """
     keys = list(keys)
-    if tile is None:
-        w = Window.partitionBy(*keys).orderBy(start, end)
+    if tile == 0:
+        w = Window.partitionBy(*keys).orderBy(start, end, *order)
         seen = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
         opens = F.when(seen.isNull() | (F.col(start) >= seen), 1).otherwise(0)
         return df.withColumn("_opens", opens).withColumn(out, F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_opens")
     by = [*keys, "_tile"]
-    tiled = df.withColumn("_tile", floor_div(F.col(start), tile))
+    width = tile_width(df, start) if tile is None else F.lit(tile).cast("long")
+    tiled = df.withColumn("_tile", floor_div(F.col(start), width))
     across = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     carried = tiled.groupBy(*by).agg(F.max(end).alias("_end")).withColumn("_before", F.max("_end").over(across)).drop("_end")
-    w = Window.partitionBy(*by).orderBy(start, end)
+    w = Window.partitionBy(*by).orderBy(start, end, *order)
     joined = _attach(tiled, carried, by)
     seen = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_before")
     opened = joined.withColumn("_opens", F.when(seen.isNull() | (F.col(start) >= seen), 1).otherwise(0))
@@ -48,12 +61,16 @@ def _attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame
     return rows.join(other, cond).drop(*(f"_r{i}" for i in range(len(keys))))
 
 
-def global_islands(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", out: str = "island") -> DataFrame:
-    """Islands numbered on through the groups in the order of their keys."""
-    numbered = islands(df, keys, start, end, "_own")
+def global_islands(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", out: str = "island", ascending: bool = True, order: Sequence[str] = (), tile: int | None = None) -> DataFrame:
+    """Islands numbered on through the groups in the order of their keys.
+
+    With ``ascending`` off, the islands of each group are numbered from the far end: its last island is the first.
+    """
+    numbered = islands(df, keys, start, end, "_own", tile, order)
     sizes = numbered.groupBy(*keys).agg((F.max("_own") + 1).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return _attach(numbered, before, list(keys)).select(*df.columns, (F.col("_own") + F.col("_before")).alias(out))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.col("_own") if ascending else F.col("_n") - 1 - F.col("_own")
+    return _attach(numbered, before, list(keys)).select(*df.columns, (own + F.col("_before")).alias(out))
 
 
 def union_self(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -110,6 +127,15 @@ def intersect_other(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), start:
     return pairs.select(*keys, F.greatest("_s1", "_s2").alias(start), F.least("_e1", "_e2").alias(end))
 
 
+def subset(df: DataFrame, take: Column | Sequence[int], row_id: str | None = None) -> DataFrame:
+    """Rows that a condition holds for, or those with the given numbers in the column ``row_id``, once for each time
+    that a number is given; ``place`` is where it stands in the list."""
+    if isinstance(take, Column):
+        return df.filter(take)
+    asked = df.sparkSession.createDataFrame([(int(x), i) for i, x in enumerate(take)], "_row long, place long")
+    return df.join(asked, F.col(row_id) == F.col("_row")).drop("_row")
+
+
 def drop_empty(df: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     return df.filter(F.col(start) != F.col(end))
 

@@ -7,38 +7,60 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftspan.functions.intervals import Interval, floor_div
 
-#: Width of the buckets of a range join where none can be estimated.
-WIDTH = 10_000
+#: Lengths of one class differ by this factor at most; the class is the exponent.
+FACTOR = 16
+#: The largest class: every length of 64 bits is below FACTOR ** CLASSES.
+CLASSES = 16
 
 
-def bucket_width(df: DataFrame, start: str, end: str) -> int:
-    """About the median length: most intervals then fall into one or two buckets."""
-    row = df.agg(F.percentile_approx(F.col(end) - F.col(start), 0.5, 1000).alias("w"), F.count("*").alias("n")).first()
-    return max(1, int(row["w"] or 1)) if row["n"] else WIDTH
+def length_class(length: Column) -> Column:
+    """The smallest k with length <= FACTOR ** k."""
+    k = F.lit(CLASSES)
+    for i in range(CLASSES - 1, -1, -1):
+        k = F.when(length <= F.lit(FACTOR**i), i).otherwise(k)
+    return k
 
 
-def _buckets(i: Interval, width: int) -> Column:
-    return F.sequence(floor_div(i.start, width), floor_div(F.greatest(i.start, i.end - 1), width))
+def _classes(df: DataFrame, i: Interval) -> list[int]:
+    return sorted(r["k"] for r in df.select(length_class(i.length()).alias("k")).distinct().collect())  # CLASSES + 1 at most
+
+
+def _dealt(df: DataFrame, i: Interval, levels: Column) -> DataFrame:
+    """A row for each level (class, side) and each bucket of the class's width that the interval lies in; two at most."""
+    level = df.withColumn("_level", F.explode(levels))
+    width = F.element_at(F.array(*(F.lit(FACTOR**k) for k in range(CLASSES))), F.col("_level.k") + 1)
+    buckets = F.sequence(floor_div(i.start, width), floor_div(F.greatest(i.start, i.end - 1), width))
+    return level.withColumns({"_width": width, "_bucket": F.explode(buckets)})
 
 
 def overlapping_pairs(a: DataFrame, b: DataFrame, ends_a: tuple[str, str], ends_b: tuple[str, str], keys: Sequence[str] = (), width: int | None = None) -> DataFrame:
     """Rows of ``a`` and ``b`` with equal keys whose intervals overlap: start < other end, both ways.
 
-    Both sides are dealt into buckets of their coordinates and joined on keys and bucket; a pair is kept only in the
-    bucket where its overlap begins, so it comes out once. Empty intervals pair if strictly inside another. Column
-    names other than the keys must differ. The join is a plain equi-join: skewed buckets are split by adaptive
-    execution, and a small side is broadcast only where Spark measures it to be small.
+    Intervals have classes by length. A pair meets at the class of the longer one, in buckets as wide as that class, of
+    which either interval touches two at most; so neither one very long interval nor many short ones multiply rows. A
+    pair is kept only in the bucket where its overlap begins, so it comes out once. Empty intervals pair if strictly
+    inside another. Column names other than the keys must differ. The join is a plain equi-join on keys, class and
+    bucket: skewed buckets are split by adaptive execution, and a small side is broadcast only where Spark measures it
+    to be small. With a ``width`` all intervals are dealt into buckets of that width.
     """
-    width = width or bucket_width(b, *ends_b)
     ia, ib = Interval.of(*ends_a), Interval.of(*ends_b)
-    left = a.withColumn("_bucket", F.explode(_buckets(ia, width)))
-    right = b.withColumn("_bucket", F.explode(_buckets(ib, width)))
-    pairs = left.join(right, [*keys, "_bucket"])
-    first = F.greatest(floor_div(ia.start, width), floor_div(ib.start, width))
-    return pairs.filter((ia.start < ib.end) & (ib.start < ia.end) & (F.col("_bucket") == first)).drop("_bucket")
+    if width:
+        split = lambda df, i: df.withColumns({"_level": F.lit(0), "_width": F.lit(width).cast("long"), "_bucket": F.explode(F.sequence(floor_div(i.start, width), floor_div(F.greatest(i.start, i.end - 1), width)))})
+        left, right = split(a, ia), split(b, ib)
+    else:
+        in_a, in_b = _classes(a, ia), _classes(b, ib)
+        at = lambda ks, side, keep: F.transform(F.filter(F.array(*map(F.lit, ks)).cast("array<int>"), keep), lambda k: F.struct(k.alias("k"), F.lit(side).alias("side")))
+        own_a, own_b = length_class(ia.length()), length_class(ib.length())
+        # Side 0: the longer is of a (or both are of one class); side 1: the longer is of b.
+        left = _dealt(a, ia, F.concat(at(in_a, 0, lambda k: k == own_a), at(in_b, 1, lambda k: k > own_a)))
+        right = _dealt(b, ib, F.concat(at(in_a, 0, lambda k: k >= own_b), at(in_b, 1, lambda k: k == own_b)))
+    pairs = left.join(right.drop("_width"), [*keys, "_level", "_bucket"])
+    first = F.greatest(floor_div(ia.start, F.col("_width")), floor_div(ib.start, F.col("_width")))
+    return pairs.filter((ia.start < ib.end) & (ib.start < ia.end) & (F.col("_bucket") == first)).drop("_level", "_width", "_bucket")
 
 
 def range_join(a: DataFrame, b: DataFrame, ends_a: tuple[str, str] = ("start", "end"), ends_b: tuple[str, str] = ("start", "end"), on: Sequence[str] | Sequence[tuple[str, str]] = (), tolerance: int = 0, suffixes: tuple[str, str] = ("_A", "_B"), overlap: str = "overlap", width: int | None = None) -> DataFrame:
@@ -104,6 +126,12 @@ def align(tables: dict[str, DataFrame], keys: Sequence[str], missing: str = "")
     return out.fillna(missing, subset=list(tables)).orderBy(*keys)
 
 
+def group_members(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
+    """(keys, row_id, place, n): each row's place in its group, by row id, and the size of the group."""
+    own = Window.partitionBy(*keys)
+    return df.select(*keys, row_id, (F.row_number().over(own.orderBy(row_id)) - 1).cast("long").alias("place"), F.count("*").over(own).alias("n"))
+
+
 def match_groups(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Keys of two tables with how many rows each has of them; ``how``: inner, left, right or outer."""
     if how not in ("inner", "left", "right", "outer"):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftspan.functions.intervals import Interval, floor_div
+from weftspan.operators.features import quantiles
 
 
 @dataclass(frozen=True)
@@ -158,7 +159,8 @@ def contact_matrix(df: DataFrame, view: View, value: str = "petcount") -> DataFr
 
 def colour_limit(matrix: DataFrame, q: float = 0.95) -> DataFrame:
     """(limit): a quantile of the matrix values, 1 at least."""
-    return matrix.agg(F.greatest(F.percentile("value", F.lit(q)), F.lit(1.0)).alias("limit"))
+    found = quantiles(matrix.select(F.lit("").alias("feature"), F.col("value").cast("double").alias("v")), [q])
+    return found.agg(F.greatest(F.max("q"), F.lit(1.0)).alias("limit"))
 
 
 def stripe_counts(stripes: DataFrame) -> DataFrame:

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 CORE = ("chromosome_A", "start_A", "end_A", "chromosome_B", "start_B", "end_B")
 #: Header names of a count column, in the order in which they are looked for.
 COUNT_NAMES = ("count", "numColapsed", "petcount")
-#: Lines that are looked at to find the header.
-HEAD = 1000
 
 
 def _is_int(text: str) -> bool:
@@ -27,7 +25,8 @@ def sniff(lines: Sequence[str], sep: str = "\t", comment: str = "#") -> tuple[st
     """(header line or None, index of the count column or None) from the first lines of a file.
 
     Comment lines are passed over; the first other line is a header if its second and third fields are no integers.
-    The count column is looked for by name in the very first line, be it a comment or not.
+    The count column is looked for by name in the very first line, be it a comment or not. So a file's very first line
+    and its first line that is no comment are all that need be given.
     """
     header = None
     for line in lines:
@@ -44,12 +43,13 @@ def sniff(lines: Sequence[str], sep: str = "\t", comment: str = "#") -> tuple[st
     return header, count
 
 
-def read_contacts(spark: SparkSession, path: str | list[str], *extra: tuple[int, str, str], sep: str = "\t", skiprows: int = -1, comment: str = "#", min_petcount: int = 0, chromosomes: str | Sequence[str] | None = None, intrachromosomal: bool = True, interchromosomal: bool = True, nrows: int | None = None, petcount_col: int = -1, fix_chromosome: bool = True) -> DataFrame:
+def read_contacts(spark: SparkSession, path: str | list[str], *extra: tuple[int, str, str], sep: str = "\t", skiprows: int = -1, comment: str = "#", min_petcount: int = 0, chromosomes: str | Sequence[str] | None = None, intrachromosomal: bool = True, interchromosomal: bool = True, nrows: int | None = None, petcount_col: int = -1, fix_chromosome: bool = True, prefixed: bool | None = None) -> DataFrame:
     """Interactions of a file: six core columns, petcount if there is one, and extra columns (index, name, type).
 
     With ``skiprows`` below 0 a header is found by looking at the first lines, otherwise so many lines are passed over;
     likewise ``petcount_col`` below 0 looks for a count column by name. What follows a comment sign is cut off a line.
-    If not all chromosome names begin with chr, all get that prefix. ``chromosomes``: one name (on either side), or
+    If not all chromosome names begin with chr, all get that prefix; that takes a look at all rows when the result is
+    computed, unless ``prefixed`` says whether they do. ``chromosomes``: one name (on either side), or
     several (on both). ``nrows`` takes the first rows of the file, before any filter. Several files that are read
     together must have the same header.
     """
@@ -59,8 +59,12 @@ def read_contacts(spark: SparkSession, path: str | list[str], *extra: tuple[int,
             raise ValueError(f"column {i} ({name}) is taken already")
         taken.add(i)
     text = spark.read.text(path)
-    first = [r["value"] for r in text.limit(max(HEAD, skiprows + 1)).collect()]
-    header, found = sniff(first, sep, comment) if skiprows < 0 else (None, sniff(first[:1] or [""], sep, "\0")[1] if first and len(first[0].split(sep)) >= 3 else None)
+    first = [r["value"] for r in text.limit(max(1, skiprows)).collect()]
+    if skiprows < 0:
+        body = text.filter(~F.col("value").startswith(comment)).first()  # however many comments come before it
+        header, found = sniff([*first, *([body["value"]] if body else [])], sep, comment)
+    else:
+        header, found = None, sniff(first[:1], sep, "\0")[1] if first and len(first[0].split(sep)) >= 3 else None
     count = petcount_col if petcount_col >= 0 else found
     lines = text
     if skiprows > 0:
@@ -80,16 +84,18 @@ def read_contacts(spark: SparkSession, path: str | list[str], *extra: tuple[int,
     columns += [F.get(field, i).cast(kind).alias(n) for i, n, kind in extra]
     rows = lines.select(*columns)
     if fix_chromosome:
-        rows = with_prefix(rows)
+        rows = with_prefix(rows, prefixed)
     return filter_contacts(rows, min_petcount, chromosomes, intrachromosomal, interchromosomal)
 
 
-def with_prefix(rows: DataFrame) -> DataFrame:
-    """Chromosome names with chr before them, unless all have it already."""
-    have = rows.agg(F.bool_and(F.col("chromosome_A").startswith("chr") & F.col("chromosome_B").startswith("chr")).alias("all")).first()["all"]
-    if have is None or have:
-        return rows
-    return rows.withColumns({c: F.concat(F.lit("chr"), F.col(c)) for c in ("chromosome_A", "chromosome_B")})
+def with_prefix(rows: DataFrame, prefixed: bool | None = None) -> DataFrame:
+    """Chromosome names with chr before them, unless all have it already; ``prefixed`` gives the answer if it is known."""
+    if prefixed is None:
+        every = F.bool_and(F.col("chromosome_A").startswith("chr") & F.col("chromosome_B").startswith("chr"))
+        have = rows.agg(F.coalesce(every, F.lit(True))).scalar()
+    else:
+        have = F.lit(prefixed)
+    return rows.withColumns({c: F.when(have, F.col(c)).otherwise(F.concat(F.lit("chr"), F.col(c))) for c in ("chromosome_A", "chromosome_B")})
 
 
 def filter_contacts(rows: DataFrame, min_petcount: int = 0, chromosomes: str | Sequence[str] | None = None, intrachromosomal: bool = True, interchromosomal: bool = True) -> DataFrame:

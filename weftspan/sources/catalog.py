@@ -4,21 +4,29 @@ from __future__ import annotations
 
 import logging
 import re
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from weftspan.functions.lineage import number_rows
 from weftspan.operators.joins import align
 
 log = logging.getLogger(__name__)
 
+#: What a null key is called in a file name.
+NULL_NAME = "__HIVE_DEFAULT_PARTITION__"
+
 
 @dataclass(frozen=True)
 class Source:
-    """Files under ``root`` whose path matches ``pattern``; ``types`` casts keys, ``defaults`` fills absent groups."""
+    """Files under ``root`` whose path matches ``pattern``; ``types`` casts keys, ``defaults`` fills absent groups.
+
+    ``encoded``: text keys stand in the path as ``split_write`` puts them there, and are decoded.
+    """
 
     name: str
     root: str
@@ -28,6 +36,7 @@ class Source:
     filters: tuple[Callable[[DataFrame], Column], ...] = ()
     fix: Callable[[DataFrame], DataFrame] | None = None
     action: Callable[[Column], Column] | None = None
+    encoded: bool = False
 
 
 class Catalog:
@@ -44,14 +53,15 @@ class Catalog:
         self.sources.append(Source(name, at, f"^(?:.*/)?{pattern}$" if anywhere else f"^{pattern}$", **options))
         return self
 
-    def _listed(self, s: Source) -> DataFrame:
-        """(keys, path): matching files. Only their names are read, by Spark's own listing."""
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(s.root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    def _matched(self, s: Source, files: DataFrame) -> DataFrame:
+        """(keys, path, file): those of the files (path) that belong to a source."""
         groups = re.compile(s.pattern).groupindex
         java = s.pattern.replace("(?P<", "(?<")
-        rows = files.filter(F.col("path").rlike(java))
+        rows = files.filter(F.col("path").rlike(java)).withColumn("file", F.col("path"))
         for k in self.keys:
             value = F.regexp_extract("path", java, groups[k]) if k in groups else F.lit(s.defaults.get(k))
+            if s.encoded and k in groups:
+                value = F.when(value != NULL_NAME, F.try_url_decode(value))
             rows = rows.withColumn(k, value.cast(s.types.get(k, "string")))
         if s.fix:
             rows = s.fix(rows)
@@ -59,24 +69,41 @@ class Catalog:
             rows = rows.filter(f(rows))
         if s.action:
             rows = rows.withColumn("path", s.action(F.col("path")))
-        return rows.select(*self.keys, "path")
+        return rows.select(*self.keys, "path", "file")
+
+    def _listed(self, s: Source) -> DataFrame:
+        """Matching files. Only their names are read, by Spark's own listing."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(s.root)
+        return self._matched(s, files.select(F.regexp_replace("path", "^file:/+", "/").alias("path")))
+
+    def _named(self, name: str) -> list[Source]:
+        found = [s for s in self.sources if s.name == name]
+        if not found:
+            raise KeyError(name)
+        return found
+
+    def keys_of(self, name: str, path: str) -> dict[str, object] | None:
+        """The keys of one path, whether the file is there or not; None if it belongs to no source of that name."""
+        one = self.spark.createDataFrame([(path,)], "path string")
+        for s in self._named(name):
+            for r in self._matched(s, one).collect():
+                return {k: r[k] for k in self.keys}
+        return None
 
     def paths(self, name: str, limit_per_source: int | None = None, check_unique: bool = True) -> DataFrame:
-        """(keys, path) of all sources of a name; keys that come twice are logged."""
+        """(keys, path) of all sources of a name; keys that come twice, and files of several sources, are logged."""
         out = None
-        for s in self.sources:
-            if s.name != name:
-                continue
+        for s in self._named(name):
             rows = self._listed(s)
             if limit_per_source is not None:
-                rows = rows.orderBy("path").limit(limit_per_source)
+                rows = rows.orderBy("file").limit(limit_per_source)
             out = rows if out is None else out.unionByName(rows)
-        if out is None:
-            raise KeyError(name)
         if check_unique:
             for r in out.groupBy(*self.keys).count().filter("count > 1").limit(20).collect():
                 log.warning("several files of %s have the keys %s", name, tuple(r)[:-1])
-        return out
+            for r in out.groupBy("file").count().filter("count > 1").limit(20).collect():
+                log.warning("several sources of %s have the file %s", name, r["file"])
+        return out.select(*self.keys, "path")
 
     def table(self, missing: str = "") -> DataFrame:
         """All sources side by side on their keys, with ``missing`` where a source has no file."""
@@ -84,43 +111,88 @@ class Catalog:
         return align({n: self.paths(n) for n in names}, self.keys, missing)
 
 
-def read_and_concat(spark: SparkSession, paths: DataFrame, keys: Sequence[str], read: Callable[[SparkSession, str], DataFrame], fix: Callable[[DataFrame], DataFrame] = lambda d: d, row_number: str | None = None) -> DataFrame:
+def file_of() -> Column:
+    """The path of the file that a row is read from, as a catalog lists it."""
+    plain = F.try_url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(F.coalesce(plain, F.input_file_name()), "^file:/+", "/")
+
+
+def read_and_concat(spark: SparkSession, paths: DataFrame, keys: Sequence[str], read: Callable[[SparkSession, list[str]], DataFrame], fix: Callable[[DataFrame], DataFrame] = lambda d: d, row_number: str | None = None, alike: bool = True) -> DataFrame:
     """The files of a catalog listing by column name, each row with its file's keys; optionally numbered from 0.
 
-    Files are few against their rows: each is one scan in the union.
+    ``read`` is given all paths at once, so that they are one scan; keys are joined to its rows by file. ``fix`` sees
+    the rows of all files, with their file in the column ``_file``, which it is to keep. Without ``alike``, files may
+    differ in their columns: each is then read on its own, and columns that it lacks are null.
     """
-    out = None
-    for r in paths.collect():
-        part = fix(read(spark, r["path"])).withColumns({k: F.lit(r[k]) for k in keys})
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+    named = paths.select(*keys, F.col("path").alias("_file"))
+    files = [r["_file"] for r in named.select("_file").distinct().orderBy("_file").collect()]
+    if not files:
         raise ValueError("no files to read")
-    if row_number:
-        out = out.withColumn(row_number, F.row_number().over(Window.orderBy(*keys, F.monotonically_increasing_id())) - 1)
-    return out
+    rows = None
+    for some in [files] if alike else [[f] for f in files]:
+        part = fix(read(spark, some).withColumn("_file", file_of()))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    if not row_number:
+        return rows.join(named, "_file").drop("_file")
+    rows = rows.withColumn("_place", F.monotonically_increasing_id()).join(named, "_file")
+    return number_rows(rows, [*keys, "_file", "_place"], row_number).drop("_file", "_place")
+
+
+#: Text of a value of each type, as Spark casts it. Other types are text.
+_INTEGER, _DECIMAL = r"-?[0-9]+", r"-?(?:[0-9]+(?:\.[0-9]+)?(?:E-?[0-9]+)?|Infinity|NaN)"
+VALUES = {"tinyint": _INTEGER, "smallint": _INTEGER, "int": _INTEGER, "bigint": _INTEGER, "float": _DECIMAL, "double": _DECIMAL, "boolean": "(?:true|false)", "date": r"-?[0-9]{4,}-[0-9]{2}-[0-9]{2}"}
 
 
-def key_pattern(kind: str, values: Sequence) -> str:
-    """A regular expression that matches the text of a key's values."""
-    if kind in ("int", "bigint", "smallint", "tinyint"):
-        return r"\d+" if all(v >= 0 for v in values) else r"-?\d+"
-    if kind in ("double", "float") or kind.startswith("decimal"):
-        return r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?"
-    found = sorted({c for v in values for c in str(v)})
-    if "".join(found).isalnum():
-        return r"\w+"
-    if len(found) <= 3:
-        return "[" + "".join(map(re.escape, found)) + "]+"
-    return r"[\w" + "".join(re.escape(c) for c in found if not c.isalnum()) + "]+"
+def name_part(value: Column, sep: str) -> Column:
+    """A key's value as a part of a file name: characters with a meaning in paths, and those of ``sep``, are encoded."""
+    text = F.url_encode(value.cast("string"))
+    for c in dict.fromkeys(sep):
+        text = F.replace(text, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return F.coalesce(text, F.lit(NULL_NAME))
+
+
+def restore_pattern(kinds: dict[str, str], prefix: str, sep: str, suffix: str) -> str:
+    """The pattern whose groups are the keys (name to type) of the names that ``split_write`` gives.
+
+    It follows from the types: encoded text holds no character of the separator, and numbers are what a cast makes.
+    Where a separator may occur in a number (as "-" does), names still have one reading, unless it is a digit.
+    """
+    text = f"[^/{''.join(map(re.escape, dict.fromkeys(sep)))}]+"
+    value = {k: VALUES.get(kind, _DECIMAL if kind.startswith("decimal") else text) for k, kind in kinds.items()}
+    groups = (f"(?P<{k}>{v}|{NULL_NAME})" for k, v in value.items())
+    return f"{re.escape(prefix)}{re.escape(sep).join(groups)}{re.escape(suffix)}/part-[^/]*$"
 
 
-def split_write(df: DataFrame, path: str, by: Sequence[str], format: str = "parquet", **options) -> tuple[str, str, tuple[str, ...]]:
-    """Write one folder for each value of the keys; returns (path, pattern that restores the keys, types of the keys).
+def split_write(
+    df: DataFrame, prefix: str, by: Sequence[str], sep: str = "_", suffix: str = "", format: str = "csv", fix: Callable[[DataFrame], DataFrame] = lambda d: d,
+    write: Callable[[DataFrameWriter, str], None] | None = None, skip_empty: bool = False, **options,
+) -> tuple[str, str, tuple[str, ...]]:
+    """Write one table for each value of the keys, called prefix + values joined by ``sep`` + suffix.
 
-    The keys' values are looked up on the driver to make the pattern: there are as many as folders.
+    Returns (root folder, pattern that restores the keys from paths, types of the keys). All tables are written in one
+    pass and then given their names. ``fix`` changes rows and is to keep the keys; values of which it leaves no row get
+    an empty table unless ``skip_empty``. ``write`` saves a writer to a path, by default in ``format`` with ``options``.
     """
-    df.write.mode("overwrite").partitionBy(*by).format(format).options(**options).save(path)
-    facts = df.agg(*(F.collect_set(k).alias(k) for k in by)).first()
-    kinds = tuple(df.schema[k].dataType.simpleString() for k in by)
-    parts = "/".join(f"{re.escape(k)}=(?P<{k}>{key_pattern(kind, facts[k])})" for k, kind in zip(by, kinds, strict=True))
-    return path, parts + r"/part-[^/]*$", kinds
+    spark, (root, _, name) = df.sparkSession, prefix.rpartition("/")
+    kinds = {k: df.schema[k].dataType.simpleString() for k in by}
+    called = F.concat(F.lit(name), F.concat_ws(sep, *(name_part(F.col(k), sep) for k in by)), F.lit(suffix))
+    save = write or (lambda w, path: w.format(format).options(**options).save(path))
+    fixed = fix(df)
+    staging = f"{root or '.'}/.split-{uuid.uuid4()}"
+    save(fixed.withColumn("_name", called).drop(*by).write.partitionBy("_name"), staging)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(staging).getFileSystem(spark._jsc.hadoopConfiguration())
+    moved = set()
+    for status in fs.listStatus(path(staging)):
+        folder = status.getPath().getName()
+        if folder.startswith("_name="):
+            target = unquote(folder.removeprefix("_name="))  # what Spark has escaped in the folder's name
+            fs.delete(path(f"{root or '.'}/{target}"), True)
+            fs.rename(status.getPath(), path(f"{root or '.'}/{target}"))
+            moved.add(target)
+    fs.delete(path(staging), True)
+    if not skip_empty:
+        for r in df.select(called.alias("_name")).distinct().collect():  # as many as there are tables
+            if r["_name"] not in moved:
+                save(fixed.drop(*by).limit(0).write, f"{root or '.'}/{r['_name']}")
+    return root, restore_pattern(kinds, name, sep, suffix), tuple(kinds.values())
