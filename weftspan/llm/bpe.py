@@ -3,8 +3,9 @@
 Texts are cut into pre-tokens. A chunk of documents keeps the sequence of its words' numbers within the chunk (the
 exploded positions), and sends each of its distinct words once to the word's share of the hash space. There every
 distinct word is encoded once and its ids are joined back to the chunks that use it, where the documents are put
-together by position. Decoding joins the ids with the table of token bytes, which is as large as the vocabulary and no
-larger, and which each task reads from the vocabulary file.
+together by position. Two steps differ from a plain join: positions travel as one packed row for each chunk instead of
+a row for each word, and decoding looks the ids up in the table of token bytes, which is as large as the vocabulary and
+no larger, and which each task reads from the vocabulary file, instead of joining it as a table.
 
 Words travel in packed rows, one for each chunk and share, so a frequent word costs one entry for each chunk. The
 chunk's ``COMMON`` most frequent words have the smallest numbers, so that sequences pack well; all others are numbered
@@ -27,10 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspan.llm.common import expand, pack, parts, ranges, squeeze, unpack
+from weftspan.llm.common import expand, pack, parts, ranges, squeeze, total_bytes, unpack
 
 #: Characters of text, about, that make one chunk.
 CHUNK_CHARS = 24 << 20
+#: Text bytes whose words' ids meet in one share.
+SHARE_BYTES = 32 << 20
 #: Frequent words of a chunk that are numbered by how often they occur.
 COMMON = 1 << 13
 
@@ -238,12 +241,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     ids are those of the vocabulary in ``ranks_path`` for each match of ``pattern`` on its own, in order; no special
     tokens. The digests are of the ids as little-endian unsigned 32-bit integers and of the bytes that they decode to;
     ``ids`` and the ``decoded`` text themselves are null if not asked for. Null and empty texts have no tokens. Keys are
-    integers and may be null or repeat; other columns may have any names. An empty table gives no rows. Chunks are
+    integers and may be null or repeat; other columns may have any names. Very long texts are one chunk each. An empty
+    table gives no rows. Chunks are
     numbered by the task that reads them, so ``docs`` should be a scan (a table read from files) or a checkpoint,
     whose partitions come out the same when a task is repeated.
     """
     spark = docs.sparkSession
-    shares = max(16, parts(spark))
+    shares = max(16, parts(spark), -(-total_bytes(docs, text) // SHARE_BYTES))  # what a task holds does not grow with the input
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(_split(pattern, shares), PACKED)
     encoded = rows.repartitionById(shares, F.pmod("share", F.lit(shares))).sortWithinPartitions("share").mapInPandas(_encode(ranks_path), PACKED)
     out = "k long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"

@@ -16,13 +16,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftspan.llm import simhash
-from weftspan.llm.common import cut, utf8
+from weftspan.llm.common import cut, distinct
 from weftspan.llm.components import components
 
 #: Slots of the table of classes, a byte each.
@@ -31,13 +30,13 @@ SLOTS = 1 << 22
 RARE = 4
 #: Parts that the sets with one common shingle are dealt into.
 SALT = 1 << 10
-#: Ids that are sent to all tasks (2 MB); more are joined by a shuffle.
+#: Keys that are sent to all tasks, with a number each (4 MB); more are joined by a shuffle.
 SENT = 1 << 18
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles; A-Z are lower-cased, a shorter text is one shingle."""
-    return np.unique(simhash.shingle_hashes(text, words))
+    return distinct(simhash.shingle_hashes(text, words))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -72,14 +71,17 @@ def _classes(texts: DataFrame, words: int) -> np.ndarray:
     return table
 
 
-def _prefixes(texts: DataFrame, words: int) -> DataFrame:
-    """(h, key, size, pos) of all sets that share a shingle of their first fifth with another, by that shingle."""
+def _prefixes(texts: DataFrame, linked: DataFrame, words: int) -> DataFrame:
+    """(h, key, size, pos) of the sets by the shingles of their first fifth, where sets that share one are still apart.
+
+    ``linked`` (key, c) has the components so far; a text that is in none is one by itself.
+    """
     known = texts.sparkSession.sparkContext.broadcast(_classes(texts, words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = known.value
         for b in batches:
-            b, out = b.drop_duplicates("key"), {"h": [], "key": [], "place": [], "c": []}
+            b, out = b.drop_duplicates("key"), {"h": [], "key": [], "place": [], "part": []}
             for key, t in zip(b["key"].to_numpy(np.int64), b["t"], strict=True):
                 h = shingles(t, words)
                 c = table[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
@@ -87,17 +89,21 @@ def _prefixes(texts: DataFrame, words: int) -> DataFrame:
                 out["h"].append(h[first].view(np.int64))
                 out["key"].append(np.full(len(first), key))
                 out["place"].append((len(h) << 32) + np.arange(len(first)))
-                out["c"].append(c[first])
-            yield pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()}).astype({"c": np.int16})
+                out["part"].append(np.where(c[first] > 0, key % SALT, -1))
+            yield pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()}).astype({"part": np.int16})
 
-    rows = texts.select("key", "t").mapInPandas(run, "h long, key long, place long, c short")
+    rows = texts.select("key", "t").mapInPandas(run, "h long, key long, place long, part short")
+    rows = rows.join(_sent(linked), "key", "left").withColumn("c", F.coalesce("c", "key"))
     # Sets with a common shingle are many: they are dealt out and kept, the others are looked at by shingle.
-    rows = rows.withColumn("part", F.when(F.col("c") > 0, F.pmod("key", F.lit(SALT))).otherwise(-1))
-    rows = rows.repartition("h", "part").dropDuplicates(["h", "part", "key"])
     own = Window.partitionBy("h", "part")
-    met = rows.withColumns({"x": F.min("key").over(own), "y": F.max("key").over(own)})
-    shared = cut(met.filter((F.col("part") >= 0) | (F.col("x") < F.col("y"))).select("h", "key", "place"))
-    return shared.select("h", "key", F.shiftright("place", 32).alias("size"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
+    met = rows.withColumns({"x": F.min("c").over(own), "y": F.max("c").over(own)})
+    apart = cut(met.filter((F.col("part") >= 0) | (F.col("x") < F.col("y"))).select("h", "key", "place"))
+    return apart.select("h", "key", F.shiftright("place", 32).alias("size"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
+
+
+def _sent(keys: DataFrame) -> DataFrame:
+    """A written table of keys, marked to be sent to all tasks if it is small."""
+    return F.broadcast(keys) if keys.count() <= SENT else keys
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -105,13 +111,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def check(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        read = lru_cache(256)(lambda t: shingles(t, words))
+        read = lru_cache(64)(lambda t: shingles(t, words))
         for a, b in batches:
             yield pd.Series([similar(read(x), read(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     pairs = cut(pairs)
     asked = cut(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
-    some = cut(texts.join(F.broadcast(asked) if asked.count() <= SENT else asked, "key", "left_semi").dropDuplicates(["id"]))
+    some = cut(texts.join(_sent(asked), "key", "left_semi").dropDuplicates(["id"]))
     left = some.select(F.col("key").alias("a"), F.col("id").alias("ia"), F.col("t").alias("ta"))
     right = some.select(F.col("key").alias("b"), F.col("id").alias("ib"), F.col("t").alias("tb"))
     return pairs.join(right, "b").join(left, "a").filter(F.col("ia") != F.col("ib")).filter(check("ta", "tb")).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
@@ -136,13 +142,14 @@ def near_copies(docs: DataFrame, text: str = "text", words: int = 5) -> DataFram
     reps = cut(prints.groupBy("fp").agg(F.min("key").alias("rep")))
     equal = prints.join(reps, "fp").filter("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
     found = cut(_verified(simhash.links(reps).unionByName(equal), texts, words))
-    rows = _prefixes(texts, words)
-    keys = cut(texts.select("key", "id").distinct())
+    keys, rows = cut(texts.select("key", "id").distinct()), None
     for every in (False, True):
-        parts = components(found).join(keys.withColumnRenamed("id", "node"), "node").select("key", F.xxhash64("component").alias("c"))
-        live = rows.join(cut(parts), "key", "left").withColumn("c", F.coalesce("c", "key"))
+        linked = components(found).join(keys.withColumnRenamed("id", "node"), "node")
+        linked = cut(linked.select("key", F.xxhash64("component").alias("c")))
+        rows = _prefixes(texts, linked, words) if rows is None else rows
+        live = rows.join(_sent(linked), "key", "left").withColumn("c", F.coalesce("c", "key"))
         mixed = live.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("h")
-        live = cut(live.join(mixed, "h", "left_semi"))
+        live = cut(live.join(mixed, "h", "left_semi").distinct())
         lead = live if every else live.groupBy("h").agg(F.min(F.struct("key", "size", "pos", "c")).alias("l")).select("h", "l.*")
         met = live.alias("x").join(lead.alias("y"), F.col("x.h") == F.col("y.h")).filter((F.col("x.c") != F.col("y.c")) & _may_overlap("x", "y"))
         if every:

@@ -29,13 +29,13 @@ BITS = 64
 #: A trie with more fingerprints than this is dealt out again.
 SUBTREE = 1 << 13
 #: Fingerprints that a task walks at a time, in whole tries.
-WALKED = 1 << 17
+WALKED = 1 << 16
 #: The order of the bits at each level: bit i * m mod 64 is the i-th. Each is cut into segments.
 LEVELS = (1, 11, 23, 37)
 #: A pair of nodes with at most this many pairs of fingerprints below is compared directly.
 SMALL = 64
-#: Node pairs that are expanded at a time.
-FRONTIER = 1 << 18
+#: Node pairs that are expanded at a time, and pairs of fingerprints that are compared at a time.
+FRONTIER, COMPARED = 1 << 16, 1 << 19
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -129,7 +129,7 @@ def trie_join(codes: np.ndarray, budget: int, start: np.ndarray | None = None) -
         if done.any():
             a0, a1, b0, b1 = la[done], ha[done], lb[done], hb[done]
             na, nb = a1 - a0, b1 - b0
-            step = max(1, (1 << 22) // SMALL)
+            step = max(1, COMPARED // SMALL)
             for k in range(0, len(a0), step):
                 s = slice(k, k + step)
                 left = ranges(a0[s], na[s])

@@ -28,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspan.llm.common import mix, pack, parts, total_bytes, unpack, utf8
+from weftspan.llm.common import distinct, mix, pack, parts, total_bytes, unpack, utf8
 
-#: Text bytes that one bucket should have.
-BUCKET_BYTES = 4 << 20
+#: Text bytes that one bucket should have, and those whose hashes meet in one share: some three million of 4 bytes.
+BUCKET_BYTES, SHARE_BYTES = 4 << 20, 16 << 20
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -154,7 +154,7 @@ def _find_hits(low_bits: int) -> Callable:
 def _hits(answers: pd.DataFrame, b: Bucket, shares: int, low_bits: int) -> np.ndarray:
     """The full hashes of this bucket that the answers name by share and low bits."""
     _, h = b.blocks()
-    seen = np.unique(h)
+    seen = distinct(h)
     share, low = _dealt(seen, shares), seen & np.uint64((1 << low_bits) - 1)
     named = [np.zeros(0, np.uint64)]
     own = dict(_groups(share))
@@ -268,7 +268,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """
     spark = docs.sparkSession
     size = total_bytes(docs, text)
-    shares = max(16, parts(spark))
+    shares = max(16, parts(spark), -(-size // SHARE_BYTES))  # what a task holds does not grow with the input
     buckets = max(8, -(-size // BUCKET_BYTES))
     named = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
     dealt = named.filter("k is not null").withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftspan.llm.common import cut
+from weftspan.llm.common import cut, distinct
 
 #: Identity terms by kind. A term is swapped for the next of its line, the last for the first.
 IDENTITY_TERMS = (
@@ -88,14 +88,36 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _rows(lists: list[np.ndarray], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the entries of a matrix with a row for each list and a column for each number."""
-    cols, sizes = [np.zeros(0, np.int32)], []
-    for x in lists:
-        at = np.searchsorted(numbers, x).clip(max=len(numbers) - 1)
-        cols.append(at[numbers[at] == x].astype(np.int32))
-        sizes.append(len(cols[-1]))
-    return np.repeat(np.arange(len(lists), dtype=np.int32), sizes), np.concatenate(cols)
+class _Sparse:
+    """Rows of distinct column numbers; sums over the entries of each row or column, in single precision."""
+
+    def __init__(self, lists: list[np.ndarray], numbers: np.ndarray):
+        self.shape = len(lists), len(numbers)
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.col = np.searchsorted(numbers, np.concatenate([np.zeros(0, np.uint32), *lists])).astype(np.int32)
+        order = np.argsort(self.col, kind="stable")
+        self.row = np.repeat(np.arange(len(lists), dtype=np.int32), size)[order]
+        self.rows, self.row_at = self._starts(size)
+        self.cols, self.col_at = self._starts(np.bincount(self.col, minlength=len(numbers)))
+
+    @staticmethod
+    def _starts(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = np.flatnonzero(size)
+        return some, (np.cumsum(size) - size)[some]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The sum of ``w`` over the columns of each row."""
+        out = np.zeros(self.shape[0], np.float32)
+        if len(self.rows):
+            out[self.rows] = np.add.reduceat(w.astype(np.float32)[self.col], self.row_at)
+        return out
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        """The sum of ``r`` over the rows of each column."""
+        out = np.zeros(self.shape[1], np.float32)
+        if len(self.cols):
+            out[self.cols] = np.add.reduceat(r.astype(np.float32)[self.row], self.col_at)
+        return out
 
 
 def fit(lists: list[np.ndarray], toxic: np.ndarray, counter: list[np.ndarray | None], share: float, fairness: float = 1.0, ridge: float = 1e-3, prior: float = 0.25, steps: int = 100) -> Model:
@@ -109,28 +131,25 @@ def fit(lists: list[np.ndarray], toxic: np.ndarray, counter: list[np.ndarray | N
     pos, neg = int(toxic.sum()), int((1 - toxic).sum())
     if not pos or not neg:
         return Model(weights, float(np.log((pos + 0.5) / (neg + 0.5))))
-    n, swaps = pos + neg, [i for i, c in enumerate(counter) if c is not None]
-    kept = np.unique(np.concatenate([np.zeros(0, np.uint32), *lists, *(counter[i] for i in swaps)]))
-    row, col = _rows(lists, kept)
-    # Differences between a text and its counterfactual: only features of identity terms differ.
-    a, b = [lists[i] for i in swaps], [counter[i] for i in swaps]
-    ra, ca = _rows(a, kept)
-    rb, cb = _rows(b, kept)
-    drow, dcol, dval = np.concatenate([ra, rb]), np.concatenate([ca, cb]), np.concatenate([np.ones(len(ra)), -np.ones(len(rb))])
+    swaps = [i for i, c in enumerate(counter) if c is not None]
+    kept = distinct(np.concatenate([np.zeros(0, np.uint32), *lists, *(counter[i] for i in swaps)]))
+    x = _Sparse(lists, kept)
+    # Between a text and its counterfactual only features of identity terms differ.
+    gone = _Sparse([np.setdiff1d(lists[i], counter[i], True) for i in swaps], kept)
+    come = _Sparse([np.setdiff1d(counter[i], lists[i], True) for i in swaps], kept)
     # Log odds of a feature, as a scale, let few strong words outweigh many weak ones.
     weight = np.where(toxic > 0, 0.5 / pos, 0.5 / neg)
-    p = np.bincount(col, weights=toxic[row], minlength=len(kept)) + 0.5
-    q = np.bincount(col, weights=1 - toxic[row], minlength=len(kept)) + 0.5
+    p, q = x.back(toxic) + 0.5, x.back(1 - toxic) + 0.5
     scale = np.abs(np.log((p / (pos + 1)) / (q / (neg + 1)))) + 0.05
     w, intercept = np.zeros(len(kept)), 0.0
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for step in range(1, steps + 1):
-        z = np.bincount(row, weights=(w * scale)[col], minlength=n) + intercept
+        z = x.times(w * scale) + intercept
         error = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - toxic)
-        g = np.bincount(col, weights=error[row], minlength=len(kept)) * scale + ridge * w
+        g = x.back(error) * scale + ridge * w
         if swaps:
-            change = np.bincount(drow, weights=dval * (w * scale)[dcol], minlength=len(swaps))
-            g += fairness * np.bincount(dcol, weights=dval * change[drow], minlength=len(kept)) * scale / len(swaps)
+            change = gone.times(w * scale) - come.times(w * scale)
+            g += fairness * (gone.back(change) - come.back(change)) * scale / len(swaps)
         g = np.append(g, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -140,7 +159,7 @@ def fit(lists: list[np.ndarray], toxic: np.ndarray, counter: list[np.ndarray | N
     return Model(weights, float(intercept + prior * np.log(share / (1 - share))))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 6000, entries: int = 1 << 23, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 6000, entries: int = 1 << 22, **options) -> Model:
     """Fit on at most ``sample`` rows of either label with ``entries`` features; give only labels that may be learnt from.
 
     Rows without key or label are left out; of a key's labels the largest holds, and of its texts the one whose hash
@@ -197,7 +216,7 @@ def fit(lists: list[np.ndarray], toxic: np.ndarray, counter: list[np.ndarray | N
     if not pos or not neg:
         return Model(weights, float(np.log((pos + 0.5) / (neg + 0.5))))
     n, swaps = pos + neg, [i for i, c in enumerate(counter) if c is not None]
-    kept = np.unique(np.concatenate([np.zeros(0, np.uint32), *lists, *(counter[i] for i in swaps)]))
+    kept = distinct(np.concatenate([np.zeros(0, np.uint32), *lists, *(counter[i] for i in swaps)]))
     row, col = _rows(lists, kept)
     # Differences between a text and its counterfactual: only features of identity terms differ.
     a, b = [lists[i] for i in swaps], [counter[i] for i in swaps]
