@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from weftspan.llm.common import expand, pack, parts, ranges, squeeze, total_bytes, unpack
 
 #: Characters of text, about, that make one chunk.
-CHUNK_CHARS = 24 << 20
+CHUNK_CHARS = 16 << 20
 #: Text bytes whose words' ids meet in one share.
 SHARE_BYTES = 32 << 20
 #: Frequent words of a chunk that are numbered by how often they occur.
