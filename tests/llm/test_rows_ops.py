@@ -16,30 +16,33 @@ from weftspan.llm.queries import ORACLES, QUERIES
 
 
 def brute_top_k(rows, asked, k):
-    code = {i: hamming.sign_code(v) for i, v in rows if v is not None}
-    near = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b))
+    code = [(i, [x is not None and x > 0 for x in v]) for i, v in rows if i is not None and v is not None]
     out = {}
-    for q in asked:
-        if q in code:
-            out[q] = sorted((near(code[q], c), i) for i, c in code.items() if len(c) == len(code[q]))[:k]
+    for q, own in code:
+        if q in asked:
+            out[q] = sorted((sum(x != y for x, y in zip(own, c)), i) for i, c in code if len(c) == len(own))[:k]
     return out
 
 
-@pytest.mark.parametrize("size", [7, 64, 100])
-def test_top_k_is_exact(spark, size, monkeypatch):
-    monkeypatch.setattr(hamming, "BLOCK_ROWS", 150)
-    monkeypatch.setattr(hamming, "BLOCK_QUERIES", 4)
+@pytest.mark.parametrize("size", [1, 7, 64, 100])
+def test_top_k_is_exact(spark, size):
     rng = np.random.default_rng(size)
     centres = rng.normal(size=(6, size))
     rows = [(i, [float(x) for x in centres[i % 6] + rng.normal(size=size) * 0.7]) for i in range(500)]
-    rows += [(600 + i, rows[0][1]) for i in range(40)] + [(800, None), (900, [1.0] * (size + 8))]
-    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, code string, distance int")
-    asked = [i for i, _ in rows if i % 100 == 0]
+    rows += [(600 + i, rows[0][1]) for i in range(40)] + [(800, None), (900, [1.0] * (size + 8)), (None, rows[1][1]), (1000, [None, float("nan"), -0.0, *[1.0] * size][:size]), (3, rows[7][1])]
+    df = spark.createDataFrame([(i, v, "x", 1, 2) for i, v in rows], "vec_id long, embedding array<double>, code string, distance int, size int")
+    asked = {i for i, _ in rows if i is not None and i % 100 == 0}
     got = defaultdict(list)
     for r in hamming.top_k(df, df.filter("vec_id % 100 = 0"), k=7).collect():
         got[r.query_id].append((r.rank, r.distance, r.neighbour_id))
     assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == brute_top_k(rows, asked, 7)
-    assert hamming.top_k(df.limit(0), df, k=3).count() == 0
+
+
+def test_top_k_of_few_rows_and_repeated_queries(spark):
+    df = spark.createDataFrame([(1, [1.0, -1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    twice = df.filter("vec_id = 1").unionAll(df.filter("vec_id = 1"))
+    assert sorted((r.query_id, r.rank, r.neighbour_id, r.distance) for r in hamming.top_k(df, twice, k=5).collect()) == sorted([(1, 1, 1, 0), (1, 2, 2, 1), (1, 3, 2, 1)] * 2)
+    assert hamming.top_k(df.limit(0), df, k=3).count() == 0 and hamming.top_k(df, df.limit(0), k=3).count() == 0
 
 
 def shard_rows():
@@ -65,6 +68,17 @@ def test_sharding_laws(spark):
     assert sharding.assign_shards(docs.limit(0)).count() == 0
 
 
+def test_shards_against_sql(spark):
+    """Sizes, checksums and the law of the query's rows, by another engine and plain Python."""
+    got = QUERIES["op7_two_pass_sharding"](spark, "/root/testdata/sf0.001").toPandas()
+    docs = duckdb.sql("SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce(text, '') AS text FROM '/root/testdata/sf0.001/documents.parquet'").df()
+    want = Counter((i, n, zlib.crc32(t.encode())) for i, n, t in docs.itertuples(index=False))
+    assert Counter(zip(got["doc_id"], got["size"], got["text_crc32"])) == want
+    by = duckdb.sql("SELECT shard, count(*) AS n, count(DISTINCT slot) AS slots, max(slot) + 1 AS last FROM got GROUP BY shard").df()
+    assert len(by) == 16 and by["n"].max() - by["n"].min() <= 1 and (by["n"] == by["slots"]).all() and (by["n"] == by["last"]).all()
+    assert (got["law"] == "rows").all() and got["grown_shard"].isna().all()
+
+
 def test_written_shards(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(100)], "doc_id long, text string")
     back = sharding.write_shards(docs, str(tmp_path / "out"), shards=3)
@@ -135,6 +149,19 @@ def test_temperature_meets_entropy_and_repetition(spark):
     assert mixing.temperature(totals.limit(1), entropy=0.5) == 1.0
 
 
+def test_a_token_budget(spark):
+    rows = [(i, "w " * (1 + i % 5), "big" if i % 10 else "small") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for budget in (300, 2500):
+        mixed = mixing.mix(docs, repetition=2.0, budget=budget).groupBy("source").sum("n_tokens").collect()
+        used = {r.source: r[1] for r in mixed}
+        assert abs(sum(used.values()) - budget) <= 2 * 5
+        total = Counter()
+        for _, t, s in rows:
+            total[s] += len(t.split())
+        assert abs(used["small"] / total["small"] / (used["big"] / total["big"]) - 2.0) < 0.2
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(100, 160)] + [(300, 300 + i) for i in range(1, 40)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(150)] + [(5, 5), (2, 1), (1, 2)]

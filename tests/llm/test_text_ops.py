@@ -261,6 +261,30 @@ def test_toxicity_separates_and_ignores_held_out_labels(spark):
     assert {r.predicted for r in toxicity.classify(docs, labels.limit(0)).collect()} <= {0, 1}
 
 
+def test_scores_are_those_of_the_weights(spark):
+    rows = [*toxic_rows(), (901, "Ünknown WORDS only " * 3000, 0), (902, None, 0), (903, "", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, text, _ in rows:
+        words = set("".join(c if c.isalnum() or c == "_" else " " for c in (text or "").lower()).split())
+        names = {"w" + w for w in words} | {w[:n] + "*" for w in words for n in toxicity.BEGINNINGS if len(w) > n}
+        z = model.intercept + sum(float(model.weights[x]) for x in {zlib.crc32(x.encode()) % toxicity.SPACE for x in names})
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-6
+
+
+def test_toxicity_fits_one_row_a_key_within_its_bounds(spark):
+    rows = toxic_rows()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(3, f"idiot again {i % 50}") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    once = toxicity.train(docs, labels, sample=10)
+    assert np.count_nonzero(once.weights) <= 20 * 15 * 2
+    assert (toxicity.train(docs.repartition(7), labels, sample=10).weights == once.weights).all()
+    few = toxicity.train(docs, labels, entries=40)
+    assert 0 < np.count_nonzero(few.weights) <= 80
+
+
 def test_counterfactual_penalty_evens_out_groups():
     # In the labels "women" goes with toxic texts; neutral mentions of women must not score higher for it.
     texts = [("idiot women talk", 1)] * 60 + [("idiot men talk", 1)] * 20 + [("women talk", 1)] * 25 + [("women talk", 0)] * 20 + [("men talk", 0)] * 70 + [("trees grow", 0)] * 40

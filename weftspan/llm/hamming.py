@@ -1,148 +1,96 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into segments, each with an index from its values to the codes that have them. A query looks up, segment
-after segment, all values within a growing radius of its own. When every segment has been searched to radius r and the
-first j to r + 1, each code within Hamming distance ``segments * (r + 1) + j - 1`` has been seen; the search ends when
-the k-th best verified distance is no larger than that.
-
-Rows are dealt into blocks of bounded size by a hash of their id, queries (a stated part of the rows) into blocks too;
-each pair of blocks is one group, which answers with k rows a query. The best k of all blocks are the answer.
+A code is cut into segments of at most ``WIDEST`` bits, each with an index from its values to the codes that have them:
+one table of (segment, value, code) that all queries are joined with. A query looks up all values within a growing
+radius of its own in every segment. When all segments have been searched to radius r, each code within Hamming distance
+``segments * (r + 1) - 1`` has been seen; a query is done when it has seen k rows that are no farther than that. Only
+queries that are not done go on to the next radius.
+
+A pair of codes meets in the segment where they differ least (the first of these) and at that radius, so each pair is
+verified and kept once. Equal codes are one code with up to k ids. Everything is joins and sums on DataFrames: what a
+query costs depends on the radius it needs, not on how many rows there are besides.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import lru_cache
-from itertools import combinations
+import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftspan.llm.common import parts
+from weftspan.llm.common import cut
 
-#: Rows of one block's index, and queries that are put to it at a time.
-BLOCK_ROWS, BLOCK_QUERIES = 1 << 13, 1 << 11
+#: Bits of a segment at least and at most; between them about log2 of the rows, so that a value has about one code.
+NARROWEST, WIDEST = 4, 16
 
 
-def sign_code(vector: np.ndarray) -> bytes:
+def sign_bits(vector: str) -> Column:
     """One bit for each number of a vector: whether it is over 0. Null numbers and NaN give 0."""
-    return np.packbits(np.nan_to_num(np.asarray(vector, np.float64)) > 0).tobytes()
-
-
-def codes(rows: DataFrame, vector: str) -> Column:
-    """The sign codes of a column of number arrays."""
-
-    @F.pandas_udf("binary")
-    def run(vectors: pd.Series) -> pd.Series:
-        return vectors.map(lambda v: None if v is None else sign_code(v))
-
-    return run(F.col(vector))
-
-
-@lru_cache(64)
-def masks(width: int, radius: int) -> np.ndarray:
-    """All values of ``width`` bits with ``radius`` of them set."""
-    return np.array([sum(1 << b for b in c) for c in combinations(range(width), radius)], np.int64)
-
-
-class Index:
-    """Multi-index over distinct codes (rows of bits); codes of one length."""
-
-    def __init__(self, bits: np.ndarray, segments: int):
-        self.bits = bits
-        n, length = bits.shape
-        edges = [length * i // segments for i in range(segments + 1)]
-        self.spans = [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
-        pad = -length % 64
-        self.words = self._pack(bits, pad)
-        self.tables = []
-        for a, b in self.spans:
-            value = self._value(bits[:, a:b])
-            order = np.argsort(value, kind="stable")
-            self.tables.append((order, np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << (b - a)))])))
-
-    @staticmethod
-    def _pack(bits: np.ndarray, pad: int) -> np.ndarray:
-        return np.ascontiguousarray(np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1)).view(np.uint64)
-
-    @staticmethod
-    def _value(bits: np.ndarray) -> np.ndarray:
-        return bits.astype(np.int64) @ (1 << np.arange(bits.shape[1] - 1, -1, -1, dtype=np.int64))
-
-    def search(self, query: np.ndarray, need: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, distances) of at least the k nearest rows, ties included; ``need``: rows that each code stands for."""
-        length = self.bits.shape[1]
-        own = self._pack(query[None, :], -length % 64)[0]
-        keys = [int(self._value(query[None, a:b])[0]) for a, b in self.spans]
-        distance = np.full(len(self.bits), -1, np.int64)
-        held = np.zeros(length + 1, np.int64)  # rows seen at each distance
-        for radius in range(max(b - a for a, b in self.spans) + 1):
-            for j, (a, b) in enumerate(self.spans):
-                order, offset = self.tables[j]
-                if radius <= b - a:
-                    value = keys[j] ^ masks(b - a, radius)
-                    start, count = offset[value], offset[value + 1] - offset[value]
-                    some = count > 0
-                    start, count = start[some], count[some]
-                    ends = np.cumsum(count)
-                    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - count), count)
-                    new = order[at]
-                    new = new[distance[new] < 0]
-                    d = np.bitwise_count(self.words[new] ^ own).sum(axis=1, dtype=np.int64)
-                    distance[new] = d
-                    held += np.bincount(d, weights=need[new], minlength=length + 1).astype(np.int64)
-                covered = len(self.spans) * radius + j  # every code at this distance or nearer has been seen
-                if covered >= length or held[: covered + 1].sum() >= k:
-                    found = np.flatnonzero((distance >= 0) & (distance <= covered))
-                    return found, distance[found]
-        found = np.flatnonzero(distance >= 0)
-        return found, distance[found]
-
-
-def _answer(k: int) -> Callable:
-    def run(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for size, part in rows.groupby(rows["code"].map(len)):
-            asked = queries[queries["code"].map(len) == size]
-            if not len(asked):
-                continue
-            part = part.sort_values("id", kind="stable")
-            raw = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(-1, size)
-            distinct, back = np.unique(raw, axis=0, return_inverse=True)
-            back = back.ravel()
-            ids = part["id"].to_numpy()
-            order = np.argsort(back, kind="stable")
-            count = np.bincount(back, minlength=len(distinct))
-            first = np.cumsum(count) - count
-            # About log2(rows) bits a segment: then a value has about one code.
-            index = Index(np.unpackbits(distinct, axis=1), max(1, round(8 * size / max(4, np.log2(max(2, len(distinct)))))))
-            for q, code in zip(asked["id"], asked["code"], strict=True):
-                found, d = index.search(np.unpackbits(np.frombuffer(code, np.uint8)), np.minimum(count, k), k)
-                near = [(int(x), int(i)) for c, x in zip(found, d, strict=True) for i in ids[order[first[c] : first[c] + min(k, count[c])]]]
-                out += [(q, i, x) for x, i in sorted(near)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "id", "distance"])
-
-    return run
+    return F.transform(vector, lambda x: F.when((x > 0) & ~F.isnan(x.cast("double")), 1).otherwise(0))
+
+
+def segments(bits: Column, width: int) -> Column:
+    """The values of a code's segments, from the array of its bits: as few segments as have at most ``width`` bits."""
+    size = F.size(bits)
+    count = F.greatest(F.lit(1), F.ceil(size / width)).cast("int")
+
+    def value(j: Column) -> Column:
+        start, end = F.floor(size * j / count).cast("int"), F.floor(size * (j + 1) / count).cast("int")
+        return F.aggregate(F.slice(bits, start + 1, end - start), F.lit(0), lambda x, b: F.shiftleft(x, 1).bitwiseOR(b))
+
+    return F.transform(F.sequence(F.lit(0), count - 1), value)
+
+
+def _width(size: str, code: str, j: str) -> Column:
+    """Bits of segment j of a code."""
+    count = F.size(code)
+    return F.floor(F.col(size) * (F.col(j) + 1) / count).cast("int") - F.floor(F.col(size) * F.col(j) / count).cast("int")
+
+
+def _masks(spark: SparkSession) -> DataFrame:
+    """(b, r, mask): the values of b bits of which r are set, for all b up to WIDEST; 2 ** (WIDEST + 1) rows at most."""
+    rows = spark.range(1 << WIDEST).select(F.col("id").cast("int").alias("mask"), F.bit_count("id").alias("r"))
+    return rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(WIDEST)))).filter(F.col("mask") < F.call_function("shiftleft", F.lit(1), F.col("b")))
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, neighbour_id, distance): for each query its k nearest rows in Hamming distance of sign codes.
 
     Ties go to the smaller id; a query that is itself among the rows is found like any other. Rows and queries
-    without a key or vector take no part, nor do those with codes of another length. Fewer than k rows give fewer
-    answers; repeated rows count each. Empty tables give no rows. Keys are integers; other columns may have any names.
+    without a key or vector take no part; codes of another length are no neighbours. Fewer than k rows give fewer
+    answers; repeated rows count each, and repeated queries are answered each. Very long vectors have more segments.
+    Empty tables give no rows. Keys are integers; other columns may have any names.
     """
-    base = rows.select(F.col(key).cast("long").alias("id"), codes(rows, vector).alias("code")).filter("id is not null and code is not null")
-    asked = queries.select(F.col(key).cast("long").alias("id"), codes(queries, vector).alias("code")).filter("id is not null and code is not null")
-    n, m = max(1, -(-rows.count() // BLOCK_ROWS)), max(1, -(-queries.count() // BLOCK_QUERIES))
-    numbered = lambda df, own, count, other, size: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    # A given number of partitions: groups are small to read but take long, so adaptive execution should not join them.
-    tasks = min(4 * n * m, 8 * parts(rows.sparkSession))
-    left = numbered(asked, "qb", m, "rb", n).repartition(tasks, "qb", "rb").groupBy("qb", "rb")
-    right = numbered(base, "rb", n, "qb", m).repartition(tasks, "qb", "rb").groupBy("qb", "rb")
-    near = left.cogroup(right).applyInPandas(_answer(k), "query_id long, id long, distance int")
-    best = Window.partitionBy("query_id").orderBy("distance", "id")
-    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("neighbour_id"), "distance")
+    spark = rows.sparkSession
+    bits = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter("id is not null and v is not null").select("id", F.size("v").alias("size"), sign_bits("v").alias("bits"))
+    base, asked = bits(rows), bits(queries)
+    width = min(WIDEST, max(NARROWEST, math.ceil(math.log2(max(2, base.count())))))
+    coded = lambda df: df.select("id", "size", segments(F.col("bits"), width).alias("code"))
+    own = Window.partitionBy("size", "code").orderBy("id")
+    ids = cut(coded(base).withColumn("place", F.row_number().over(own)).filter(F.col("place") <= k).drop("place"))
+    codes = cut(ids.groupBy("size", "code").agg(F.count("*").alias("n")))
+    index = codes.select("size", "n", "code", F.posexplode("code").alias("j", "value"))
+    totals = codes.groupBy("size").agg(F.sum("n").alias("total"))
+    asked = cut(coded(asked).select(F.col("id").alias("query_id"), "size", F.col("code").alias("q")))
+    masks = cut(_masks(spark).withColumn("b", F.col("b").cast("int")))
+    open_ = cut(asked.select("size", "q").distinct().join(totals, "size"))
+    found, radius = None, 0
+    while not open_.isEmpty():
+        probes = open_.select("size", "q", F.posexplode("q").alias("j", "own")).withColumn("b", _width("size", "q", "j"))
+        probes = probes.join(F.broadcast(masks.filter(F.col("r") == radius)), "b").select("size", "q", "j", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        met = probes.join(index, ["size", "j", "value"]).withColumn("apart", F.zip_with("q", "code", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
+        first = (F.array_min("apart") == radius) & (F.array_position("apart", F.lit(radius)) == F.col("j") + 1)
+        new = cut(met.filter(first).select("size", "q", "code", "n", F.aggregate("apart", F.lit(0), lambda x, y: x + y).alias("distance")))
+        found = new if found is None else found.unionByName(new)
+        radius += 1
+        covered = F.size("q") * radius - 1  # every code at this distance or nearer has been seen
+        seen = found.groupBy("size", "q").agg(F.sum(F.when(F.col("distance") <= F.size("q") * radius - 1, F.col("n"))).alias("near"), F.sum("n").alias("all"))
+        left = open_.join(seen, ["size", "q"], "left")
+        done = (F.coalesce("near", F.lit(0)) >= k) | (F.coalesce("all", F.lit(0)) >= F.col("total")) | (covered >= F.col("size"))
+        open_ = cut(left.filter(~done).select("size", "q", "total"))
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, neighbour_id long, distance int")
+    best = Window.partitionBy("size", "q").orderBy("distance", "id")
+    near = found.join(ids, ["size", "code"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return asked.join(near.select("size", "q", "rank", "id", "distance"), ["size", "q"]).select("query_id", "rank", F.col("id").alias("neighbour_id"), "distance")
