@@ -18,7 +18,7 @@ def _sizes(df: DataFrame, keys: Sequence[str], ids: str, suffix: str) -> DataFra
     return df.groupBy(*(F.col(k).alias(k + suffix) for k in keys)).agg(F.count_distinct(ids).alias("n" + suffix))
 
 
-def _counted(pairs: DataFrame, a: DataFrame, b: DataFrame, keys_a: Sequence[str], keys_b: Sequence[str], ids: tuple[str, str], min_overlap: int, overlap: str) -> DataFrame:
+def _counted(pairs: DataFrame, a: DataFrame, b: DataFrame, keys_a: Sequence[str], keys_b: Sequence[str], ids: tuple[str, str], min_overlap: int, overlap: str, absent: bool) -> DataFrame:
     """m: distinct ids in pairs by both sides' keys; n: all distinct ids by own keys; p = m / n."""
     names_a, names_b = [k + SUFFIXES[0] for k in keys_a], [k + SUFFIXES[1] for k in keys_b]
     met = pairs.filter(F.col(overlap) >= min_overlap)
@@ -27,19 +27,24 @@ def _counted(pairs: DataFrame, a: DataFrame, b: DataFrame, keys_a: Sequence[str]
     m_a = met.select(*groups, ids[0]).distinct().groupBy(*groups).agg(F.count(ids[0]).alias("m_A"))
     m_b = met.select(*groups, ids[1]).distinct().groupBy(*groups).agg(F.count(ids[1]).alias("m_B"))
     plain = lambda n, s: n.removesuffix(s)
-    rows = m_a.join(m_b, groups).join(_sizes(a, keys_a, plain(ids[0], "_A"), "_A"), names_a).join(_sizes(b, keys_b, plain(ids[1], "_B"), "_B"), names_b)
+    size_a, size_b = _sizes(a, keys_a, plain(ids[0], "_A"), "_A"), _sizes(b, keys_b, plain(ids[1], "_B"), "_B")
+    if absent:  # combinations of key values, not of rows: as many as the table of counts has cells
+        every = size_a.crossJoin(size_b)
+        rows = every.join(m_a, groups, "left").join(m_b, groups, "left").fillna(0, subset=["m_A", "m_B"])
+    else:
+        rows = m_a.join(m_b, groups).join(size_a, names_a).join(size_b, names_b)
     return rows.select(*groups, "m_A", "m_B", "n_A", "n_B", (F.col("m_A") / F.col("n_A")).alias("p_A"), (F.col("m_B") / F.col("n_B")).alias("p_B"))
 
 
-def count_overlaps(pairs: DataFrame, a: DataFrame, b: DataFrame, by_a: Sequence[str], by_b: Sequence[str], ids: str, min_overlap: int = 0, overlap: str = "overlap") -> DataFrame:
-    """Counts of two tables' overlaps by the columns ``by_a`` and ``by_b``."""
-    return _counted(pairs, a, b, by_a, by_b, (f"{ids}_A", f"{ids}_B"), min_overlap, overlap)
+def count_overlaps(pairs: DataFrame, a: DataFrame, b: DataFrame, by_a: Sequence[str], by_b: Sequence[str], ids: str, min_overlap: int = 0, overlap: str = "overlap", absent: bool = False) -> DataFrame:
+    """Counts of two tables' overlaps by the columns ``by_a`` and ``by_b``; with ``absent``, rows of 0 for keys that do not meet."""
+    return _counted(pairs, a, b, by_a, by_b, (f"{ids}_A", f"{ids}_B"), min_overlap, overlap, absent)
 
 
-def count_overlaps_single(pairs: DataFrame, df: DataFrame, by: Sequence[str], on: Sequence[str], ids: str, min_overlap: int = 0, overlap: str = "overlap") -> DataFrame:
-    """Counts of a table's overlaps with itself, by ``on`` and ``by`` on both sides."""
+def count_overlaps_single(pairs: DataFrame, df: DataFrame, by: Sequence[str], on: Sequence[str], ids: str, min_overlap: int = 0, overlap: str = "overlap", absent: bool = False) -> DataFrame:
+    """Counts of a table's overlaps with itself, by ``on`` and ``by`` on both sides; ``absent`` as in ``count_overlaps``."""
     keys = [*on, *by]
-    return _counted(pairs, df, df, keys, keys, (f"{ids}_A", f"{ids}_B"), min_overlap, overlap)
+    return _counted(pairs, df, df, keys, keys, (f"{ids}_A", f"{ids}_B"), min_overlap, overlap, absent)
 
 
 def mapping_table(counts: DataFrame, by: Sequence[str], on: Sequence[str], prop: bool = False, a_to_b: bool = True, values: Sequence[str] | None = None) -> DataFrame:
@@ -64,6 +69,18 @@ def mapping_percentages(counts: DataFrame, by: Sequence[str], on: Sequence[str])
     return counts.select(*keys, percent.alias("percent"), F.when(same, F.col("n_A")).otherwise(percent).cast("string").alias("label"))
 
 
+def stripe_table(sets: DataFrame | dict[str | tuple[str, ...], DataFrame], names: Sequence[str] = ("dataset",)) -> DataFrame:
+    """One table of stripes: a table as it is, or several by their keys, which become the columns ``names``."""
+    if isinstance(sets, DataFrame):
+        return sets
+    out = None
+    for key, df in sets.items():
+        values = (key,) if isinstance(key, str) else key
+        part = df.withColumns({n: F.lit(v) for n, v in zip(names, values, strict=True)})
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def compare_stripes(stripes: DataFrame, by: Sequence[str], on: Sequence[str], inner_on: Sequence[str] = ("chromosome", "direction"), ids: str = "stripe_id", tolerance: int = 0, ends: tuple[str, str] = ("anchor_start", "anchor_end")) -> tuple[DataFrame, DataFrame]:
     """(pairs, counts) of the anchors of several datasets of stripes."""
     pairs = merge_ranges_single(stripes, by=by, on=on, ids=[ids], inner_on=inner_on, ends=ends, tolerance=tolerance)

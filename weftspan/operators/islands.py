@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -127,6 +127,15 @@ def intersect_other(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), start:
     return pairs.select(*keys, F.greatest("_s1", "_s2").alias(start), F.least("_e1", "_e2").alias(end))
 
 
+def from_records(spark: SparkSession, records: Sequence[tuple], keys: Sequence[str] = (), start: str = "start", end: str = "end") -> DataFrame:
+    """A table of given intervals: tuples of the key columns (text) and both ends; no records give no rows."""
+    if any(len(r) != len(keys) + 2 for r in records):
+        raise ValueError(f"a record must have {len(keys) + 2} values")
+    if any(r[-2] > r[-1] for r in records):
+        raise ValueError("an interval ends before it starts")
+    return spark.createDataFrame(list(records), ", ".join([*(f"`{k}` string" for k in keys), f"`{start}` long", f"`{end}` long"]))
+
+
 def subset(df: DataFrame, take: Column | Sequence[int], row_id: str | None = None) -> DataFrame:
     """Rows that a condition holds for, or those with the given numbers in the column ``row_id``, once for each time
     that a number is given; ``place`` is where it stands in the list."""

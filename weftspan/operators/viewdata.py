@@ -147,7 +147,8 @@ def stripe_labels(rows: DataFrame, stripes: DataFrame) -> DataFrame:
     """(stripe_id, x, y, label): the far end and middle of each stripe, and its scores as text."""
     order = F.col("lc_idx")
     facts = rows.groupBy("stripe_id", "direction").agg(F.max_by("stripe_score", order).alias("s"), F.avg("worst_gap_score").alias("g"), F.avg("cross_score").alias("c"), F.max("orientation_score").alias("o"), F.min("leafs_start").alias("low"), F.max("leafs_end").alias("high"))
-    text = F.format_string("%d(%.2f|%.2f|%.2f|%.1f)", "stripe_id", "s", "g", "c", "o")
+    # Ties go to the even digit.
+    text = F.format_string("%d(%.2f|%.2f|%.2f|%.1f)", "stripe_id", *(F.bround(c, 2) for c in "sgc"), F.bround("o", 1))
     return _with_position(facts, stripes).select("stripe_id", F.when(F.col("direction") == "R", F.col("high")).otherwise(F.col("low")).alias("x"), F.col("position").alias("y"), text.alias("label"))
 
 

@@ -110,6 +110,7 @@ def _spans(select: str, *ctes: str) -> str:
 
 _OFF = 'greatest(b.start - a."end", a.start - b."end")'
 _PAIR = 'FROM spans a JOIN regions b ON a.key = b.key'
+_SAME = 'FROM spans a JOIN regions b ON a.id = b.id'
 _MEET = 'a.start < b."end" AND b.start < a."end"'
 _SETS = "sets AS (SELECT *, id % 3 AS dataset FROM spans)"
 _TRIM_STOP = "direction = 'L' AND length >= 20000 AND (length > 4000000 OR worst_gap_score < 0.3)"
@@ -130,17 +131,17 @@ ORACLES: dict[str, str] = {
     "interval_split_at": _spans('SELECT id, least(start, 5000) AS left_start, least(5000, "end") AS left_end, greatest(start, 5000) AS right_start, greatest(5000, "end") AS right_end, least("end" - 10, start) AS tail_left_start, least("end" - 10, "end") AS tail_left_end, greatest("end" - 10, start) AS tail_right_start, "end" AS tail_right_end FROM spans'),
     "interval_split_ratio": _spans('SELECT id, least(start, start + CAST(round_even(("end" - start) * 0.5, 0) AS BIGINT)) AS left_start, least(start + CAST(round_even(("end" - start) * 0.5, 0) AS BIGINT), "end") AS left_end, greatest(start + CAST(round_even(("end" - start) * 0.5, 0) AS BIGINT), start) AS right_start, "end" AS right_end FROM spans'),
     "interval_measures": _spans(f'SELECT id, "end" - start AS length, {floor_div("start + \"end\"", 2)} AS center, "end" = start AS empty, "end" >= start AS valid FROM spans'),
-    "interval_and_or_sup_gap": _spans(f'SELECT a.id AS id_a, b.id AS id_b, greatest(a.start, b.start) AS and_start, greatest(greatest(a.start, b.start), least(a."end", b."end")) AS and_end, least(a.start, b.start) AS sup_start, greatest(a."end", b."end") AS sup_end, least(a."end", b."end") AS gap_start, greatest(least(a."end", b."end"), greatest(a.start, b.start)) AS gap_end, least(a.start, b.start) AS or_left_start, CASE WHEN {_OFF} <= 0 THEN greatest(a."end", b."end") ELSE least(a."end", b."end") END AS or_left_end, CASE WHEN {_OFF} <= 0 THEN greatest(a."end", b."end") ELSE greatest(a.start, b.start) END AS or_right_start, greatest(a."end", b."end") AS or_right_end {_PAIR} WHERE a.id % 10 = b.id % 10'),
-    "interval_offset_distance_overlap": _spans(f'SELECT a.id AS id_a, b.id AS id_b, {_OFF} AS "offset", greatest({_OFF}, 0) AS distance, least(a."end" - a.start, b."end" - b.start, -least({_OFF}, 0)) AS overlap, greatest(b.start - a."end", a.start - b.start) AS point_offset {_PAIR} WHERE a.id % 10 = b.id % 10'),
-    "interval_predicates": _spans(f'''SELECT a.id AS id_a, b.id AS id_b, c AS contains, c OR b.start = b."end" AS superset, d AS contained, d OR a.start = a."end" AS subset, least(a."end" - a.start, b."end" - b.start, -least({_OFF}, 0)) > 0 AS intersects, {_OFF} > 0 AS separated, a.start = b.start AND a."end" = b."end" AS equal, a.start <= b.start AND (b.start < a."end" OR a.start = a."end") AS contains_point
-FROM (SELECT a, b, a.start <= b.start AND (b.start < a."end" OR a.start = a."end") AND (a.start < b."end" OR b.start = b."end") AND b."end" <= a."end" AS c, b.start <= a.start AND (a.start < b."end" OR b.start = b."end") AND (b.start < a."end" OR a.start = a."end") AND a."end" <= b."end" AS d {_PAIR} WHERE a.id % 10 = b.id % 10)'''),
-    "interval_format_parse": _spans("SELECT id, 'chr' || key || ':' || start || '-' || \"end\" AS label, 'chr' || key AS chromosome, start, \"end\", '#' || id || ' [' || printf('%08d', start) || ']' AS formatted FROM spans WHERE start >= 0"),
-    "interval_islands": _spans("SELECT key, id, start, \"end\", island FROM i", *_island("(SELECT DISTINCT ON (key, start, \"end\") * FROM spans ORDER BY key, start, \"end\", id)", "key", "i")),
+    "interval_and_or_sup_gap": _spans(f'SELECT a.id AS id, greatest(a.start, b.start) AS and_start, greatest(greatest(a.start, b.start), least(a."end", b."end")) AS and_end, least(a.start, b.start) AS sup_start, greatest(a."end", b."end") AS sup_end, least(a."end", b."end") AS gap_start, greatest(least(a."end", b."end"), greatest(a.start, b.start)) AS gap_end, least(a.start, b.start) AS or_left_start, CASE WHEN {_OFF} <= 0 THEN greatest(a."end", b."end") ELSE least(a."end", b."end") END AS or_left_end, CASE WHEN {_OFF} <= 0 THEN greatest(a."end", b."end") ELSE greatest(a.start, b.start) END AS or_right_start, greatest(a."end", b."end") AS or_right_end {_SAME}'),
+    "interval_offset_distance_overlap": _spans(f'SELECT a.id AS id, {_OFF} AS "offset", greatest({_OFF}, 0) AS distance, least(a."end" - a.start, b."end" - b.start, -least({_OFF}, 0)) AS overlap, greatest(b.start - a."end", a.start - b.start) AS point_offset {_SAME}'),
+    "interval_predicates": _spans(f'''SELECT a.id AS id, c AS contains, c OR b.start = b."end" AS superset, d AS contained, d OR a.start = a."end" AS subset, least(a."end" - a.start, b."end" - b.start, -least({_OFF}, 0)) > 0 AS intersects, {_OFF} > 0 AS separated, a.start = b.start AND a."end" = b."end" AS equal, a.start <> b.start OR a."end" <> b."end" AS differs, a.start <= b.start AND (b.start < a."end" OR a.start = a."end") AS contains_point
+FROM (SELECT a, b, a.start <= b.start AND (b.start < a."end" OR a.start = a."end") AND (a.start < b."end" OR b.start = b."end") AND b."end" <= a."end" AS c, b.start <= a.start AND (a.start < b."end" OR b.start = b."end") AND (b.start < a."end" OR a.start = a."end") AND a."end" <= b."end" AS d {_SAME})'''),
+    "interval_format_parse": _spans("SELECT id, 'chr' || key || ':' || start || '..' || \"end\" AS label, 'chr' || key AS chromosome, start, \"end\", '#' || id || ' [' || printf('%08d', start) || ']' AS formatted FROM spans"),
+    "interval_islands": _spans("SELECT key, id, start, \"end\", island FROM i", *_island("spans", "key", "i", rest=", id")),
     "interval_union_self": _spans("SELECT * FROM u", *_union_self("spans", "key", "u")),
     "interval_union_other": _spans("SELECT * FROM u", 'both_sets AS (SELECT key, start, "end" FROM spans UNION ALL SELECT key, start, "end" FROM regions)', *_union_self("both_sets", "key", "u")),
-    "interval_intersect_self": _spans('SELECT key, id % 7 AS part, max(start) AS start, min("end") AS "end" FROM spans WHERE start BETWEEN 5000 AND 5040 GROUP BY key, id % 7 HAVING max(start) <= min("end")'),
+    "interval_intersect_self": _spans(f'SELECT key, {floor_div("start", 50)} AS part, max(start) AS start, min("end") AS "end" FROM spans GROUP BY ALL HAVING max(start) <= min("end")'),
     "interval_intersect_other": _spans(f'SELECT a.key, greatest(a.start, b.start) AS start, least(a."end", b."end") AS "end" FROM u a JOIN v b ON a.key = b.key AND {_MEET}', *_union_self("spans", "key", "u"), *_union_self("regions", "key", "v")),
-    "interval_disjoint": _spans('SELECT key, max(island) + 1 = count(*) AS disjoint FROM i GROUP BY key', "few AS (SELECT * FROM spans WHERE id % 40 = 0)", *_island("few", "key", "i")),
+    "interval_disjoint": _spans("SELECT key, part, max(island) + 1 = count(*) AS disjoint FROM i GROUP BY key, part", f'parts AS (SELECT *, {floor_div("start", 200)} AS part FROM spans)', *_island("parts", "key, part", "i")),
     "interval_hull": _spans('SELECT key, count(*) AS n, min(start) AS start, max("end") AS "end" FROM spans GROUP BY key'),
     "interval_concat": _spans("SELECT 'spans' AS part, key, id, start, \"end\" FROM spans UNION ALL SELECT 'regions', key, id, start, \"end\" FROM regions"),
     "interval_head_tail": _spans("SELECT * FROM (SELECT 'head' AS part, start, \"end\" FROM spans ORDER BY start, \"end\" LIMIT 20) UNION ALL SELECT * FROM (SELECT 'tail', start, \"end\" FROM spans ORDER BY start DESC, \"end\" DESC LIMIT 20)"),
@@ -167,7 +168,9 @@ JOIN (SELECT dataset, count(*) AS n FROM u GROUP BY dataset) a ON a.dataset = da
     "strand_edges": _call("SELECT graph, node_id AS node_id_A, node_id_B, length FROM (SELECT graph, node_id, lead(node_id) OVER w AS node_id_B, lead(midpoint) OVER w - midpoint AS length FROM nodes WINDOW w AS (PARTITION BY graph ORDER BY node_id)) WHERE node_id_B IS NOT NULL"),
     "fans": _call("SELECT graph, direction, anchor, min(anchor_start) AS anchor_start, max(anchor_end) AS anchor_end, min(leaf_start) AS leafs_start, max(leaf_end) AS leafs_end, CAST(sum(times) AS BIGINT) AS size FROM blades GROUP BY graph, direction, anchor HAVING sum(times) BETWEEN 2 AND 50"),
     "fan_span_clusters": _call("SELECT DISTINCT graph, direction, anchor_start, fan_cluster FROM fanned"),
-    "fan_sort_order": _call("SELECT graph, direction, CASE WHEN min(anchor_start) = max(anchor_start) THEN 'Constant' ELSE 'Ascending' END AS \"order\" FROM blades GROUP BY graph, direction"),
+    "fan_sort_order": _call(f"""SELECT graph, direction, CASE WHEN min(anchor_start) = max(anchor_start) THEN 'Constant' ELSE 'Ascending' END AS "order" FROM blades GROUP BY graph, direction
+UNION ALL SELECT graph, direction, CASE WHEN low = 0 AND high = 0 THEN 'Constant' WHEN low >= 0 THEN 'Ascending' WHEN high <= 0 THEN 'Descending' ELSE 'Unsorted' END FROM (SELECT graph, direction, coalesce(min(step), 0) AS low, coalesce(max(step), 0) AS high FROM (
+SELECT CAST(key AS VARCHAR) AS graph, CAST({floor_div("id", 200)} AS VARCHAR) AS direction, start - lag(start) OVER (PARTITION BY key, {floor_div("id", 200)} ORDER BY id) AS step FROM spans) GROUP BY graph, direction)""", [_SPANS]),
     "loop_clusters": _call("SELECT graph, direction, fan_cluster, loop_cluster, lc_idx, stripe_id, anchor_start, anchor_end, leafs_start, leafs_end, n_edges, weight, loop_count FROM lc"),
     "orthogonal_links": _call("SELECT * FROM links"),
     "lc_lengths_gaps": _call("SELECT stripe_id, lc_idx, length, gap_size, round(orientation_score, 6) AS orientation_score, round(raw_gap_score, 6) AS raw_gap_score FROM lg"),
@@ -180,7 +183,7 @@ JOIN (SELECT dataset, count(*) AS n FROM u GROUP BY dataset) a ON a.dataset = da
     "stripes_filtered": _call(_RESULT + f"({_filter('raw_stripes')})", _summary("cs", "raw_stripes")),
     "stripes_merge_runs": _call("SELECT graph, direction, stripe_id, run_id FROM runs", _FINAL),
     "stripes_final": _call(_RESULT + "final_stripes", _FINAL),
-    "feature_describe": _call("SELECT feature, count(v) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min, round(quantile_cont(v, 0.05), 6) AS p5, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95, max(v) AS max FROM (SELECT 'length' AS feature, CAST(length AS DOUBLE) AS v FROM lg UNION ALL SELECT 'gap_size', CAST(gap_size AS DOUBLE) FROM lg UNION ALL SELECT 'loop_count', CAST(loop_count AS DOUBLE) FROM lg) GROUP BY feature"),
+    "feature_describe": _call("SELECT feature, count(v) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min, " + ", ".join(f"round(quantile_cont(v, {q / 100}), 6) AS p{q}" for q in (1, 5, 25, 50, 75, 95, 99)) + ", max(v) AS max FROM (SELECT 'length' AS feature, CAST(length AS DOUBLE) AS v FROM lg UNION ALL SELECT 'gap_size', CAST(gap_size AS DOUBLE) FROM lg UNION ALL SELECT 'loop_count', CAST(loop_count AS DOUBLE) FROM lg) GROUP BY feature"),
     "stripe_histogram": _call("SELECT direction, CAST(least(greatest(floor((length - 0.0) / 200000.0), 0), 49) AS INTEGER) AS bin, count(*) AS n FROM lg GROUP BY ALL"),
     "stripe_counts": _call("SELECT graph AS chromosome, direction, count(*) AS n FROM raw_stripes GROUP BY ALL", _summary("cs", "raw_stripes")),
     "viewer_export": _call("SELECT substr(graph, 4) AS chr, anchor_start - 10 - CASE WHEN direction = 'R' THEN 1 ELSE 0 END AS pos1, anchor_end + 10 AS pos2, substr(graph, 4) AS chr2, start - CASE WHEN direction = 'R' THEN 25 ELSE 10 END AS pos3, \"end\" + CASE WHEN direction = 'R' THEN 10 ELSE 25 END AS pos4, '#009900' AS color, stripe_id, direction FROM raw_stripes", _summary("cs", "raw_stripes")),
@@ -202,4 +205,48 @@ JOIN (SELECT stripe_id, (anchor_start + anchor_end) // 2 AS pos FROM raw_stripes
     "threeway_merge": "SELECT c.c_custkey, c.c_nationkey, n.n_nationkey, n.n_regionkey AS n_regionkey, n.n_name, s.s_suppkey, s.s_nationkey, s.s_acctbal FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey JOIN supplier s ON s.s_nationkey = n.n_nationkey",
     "group_matching": "SELECT coalesce(a.key, b.key) AS key, coalesce(a.n, 0) AS n_A, coalesce(b.n, 0) AS n_B FROM (SELECT o_custkey % 997 AS key, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT user_id % 1009 AS key, count(*) AS n FROM events GROUP BY 1) b ON a.key = b.key",
     "catalog_align": "SELECT coalesce(s.k, p.k) AS k, coalesce(s.path, '') AS supplier, coalesce(p.path, '') AS part FROM (SELECT s_suppkey AS k, 'supplier/' || s_suppkey AS path FROM supplier) s FULL JOIN (SELECT p_partkey * 3 AS k, 'part/' || p_partkey AS path FROM part) p ON s.k = p.k",
+    "interval_drop_empty": _spans('SELECT * FROM spans WHERE start <> "end"'),
+    "interval_sort": _spans('SELECT *, row_number() OVER (ORDER BY key, start, "end", id) - 1 AS place FROM spans'),
+    "interval_sort_descending": _spans('SELECT key, id, lag(id) OVER (PARTITION BY key ORDER BY start DESC, "end" DESC, id) AS after FROM spans'),
+    "interval_subset": _spans("SELECT s.*, v.place, 'numbers' AS how FROM spans s JOIN (VALUES (5, 0), (3, 1), (3, 2), (77, 3), (1000000000000, 4), (9, 5)) v(row, place) ON s.id = v.row UNION ALL SELECT *, NULL, 'mask' FROM spans WHERE key < 7"),
+    "interval_records": "SELECT * FROM (VALUES ('chr1', 'x', 5, 9), ('chr1', 'y', 7, 7), ('chr2', 'x', -3, 4)) t(chromosome, name, start, \"end\")",
+    "interval_accessors": _spans('SELECT key, count(start) AS n, min(start) AS first_start, max("end") AS last_end, count(DISTINCT id) AS ids FROM spans GROUP BY key'),
+    "interval_global_islands": _spans(
+        "SELECT i.key, id, island + before AS island, n - 1 - island + before AS from_end FROM i JOIN (SELECT key, n, coalesce(sum(n) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT key, max(island) + 1 AS n FROM i GROUP BY key)) b ON b.key = i.key",
+        *_island("spans", "key", "i", rest=", id"),
+    ),
+    "interval_merge_sorted": _spans('SELECT *, row_number() OVER (ORDER BY key, start, "end", side) - 1 AS place FROM (SELECT key, start, "end", 0 AS side FROM spans UNION ALL SELECT key, start, "end", 1 FROM regions)'),
+    "unsorted_points": _spans(f'SELECT part, min(CASE WHEN start < before THEN id END) AS "at" FROM (SELECT *, {floor_div("id", 100)} AS part, lag(start) OVER (PARTITION BY {floor_div("id", 100)} ORDER BY id) AS before FROM spans) GROUP BY part'),
+    "unsorted_ranges": _spans(f'SELECT part, min(CASE WHEN (block < b) OR (block = b AND "end" < e) THEN id END) AS "at" FROM (SELECT *, lag(block) OVER w AS b, lag("end") OVER w AS e FROM (SELECT *, {floor_div("id", 50)} AS part, {floor_div("start", 5000)} AS block FROM spans) WINDOW w AS (PARTITION BY part ORDER BY id)) GROUP BY part'),
+    "overlap_counts_threshold": _spans(
+        f"SELECT dataset_A, dataset_B, m_A, m_B, a.n AS n_A, b.n AS n_B, round(m_A / a.n, 6) AS p_A, round(m_B / b.n, 6) AS p_B FROM (SELECT a.dataset AS dataset_A, b.dataset AS dataset_B, count(DISTINCT a.id) AS m_A, count(DISTINCT b.id) AS m_B FROM sets a JOIN sets b ON a.key = b.key AND {_OFF} <= -40 GROUP BY ALL) JOIN sizes a ON a.dataset = dataset_A JOIN sizes b ON b.dataset = dataset_B",
+        _SETS, _COUNTS[2],
+    ),
+    "overlap_counts_absent": _spans(
+        f"SELECT a.dataset AS dataset_A, b.dataset AS dataset_B, coalesce(m_A, 0) AS m_A, coalesce(m_B, 0) AS m_B, a.n AS n_A, b.n AS n_B, round(coalesce(m_A, 0) / a.n, 6) AS p_A, round(coalesce(m_B, 0) / b.n, 6) AS p_B FROM sizes a CROSS JOIN sizes b LEFT JOIN (SELECT a.dataset AS da, b.dataset AS db, count(DISTINCT a.id) AS m_A, count(DISTINCT b.id) AS m_B FROM sets a JOIN sets b ON a.key = b.key AND {_MEET} GROUP BY ALL) ON a.dataset = da AND b.dataset = db",
+        f"sets AS (SELECT *, {floor_div('start', 2000)} AS dataset FROM spans)", _COUNTS[2],
+    ),
+    "join_by_indices": _spans('SELECT a.key AS key_A, a.id AS row_id_A, a.start AS start_A, a."end" AS end_A, b.key AS key_B, b.id AS row_id_B, b.start AS start_B, b."end" AS end_B FROM spans a JOIN regions b ON b.id = a.id * 3 + 1'),
+    "group_positions": _spans("SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY key) AS n FROM spans"),
+    "nodes_sorted": _call("SELECT graph, node_id, max_length, row_number() OVER (ORDER BY max_length, graph, node_id) - 1 AS place FROM nodes"),
+    "edges_with_strands": _call("SELECT graph, node_id_A, node_id_B, n_contacts, total_petcount, true AS is_contact, false AS is_strand, total_petcount AS weight, 0 AS length FROM edges UNION ALL SELECT graph, node_id, nxt, 0, 0.0, false, true, 2.0, length FROM (SELECT graph, node_id, lead(node_id) OVER w AS nxt, lead(midpoint) OVER w - midpoint AS length FROM nodes WINDOW w AS (PARTITION BY graph ORDER BY node_id)) WHERE nxt IS NOT NULL"),
+    "graph_hooks": _call("SELECT n.graph, nodes + 1 AS nodes, 0 AS first, 0 AS least, edges + 1 AS edges, CAST(contacts AS BIGINT) AS contacts, -1 AS low FROM (SELECT graph, count(*) AS nodes FROM nodes GROUP BY graph) n JOIN (SELECT graph, count(*) AS edges, sum(n_contacts) AS contacts FROM edges GROUP BY graph) e ON e.graph = n.graph"),
+    "stripe_histograms": _call(
+        "SELECT feature, bin, round(least + bin * width, 6) AS low, round(least + (bin + 1) * width, 6) AS high, count(*) AS n FROM (SELECT f.feature, least, (most - least) / 50 AS width, CAST(CASE WHEN most > least THEN least(floor((v - least) / ((most - least) / 50)), 49) ELSE 0 END AS INTEGER) AS bin FROM f JOIN (SELECT feature, min(v) AS least, max(v) AS most FROM f GROUP BY feature) m ON m.feature = f.feature) GROUP BY ALL",
+        ["f AS (SELECT 'length' AS feature, CAST(length AS DOUBLE) AS v FROM lg UNION ALL SELECT 'loop_count', CAST(loop_count AS DOUBLE) FROM lg)"],
+    ),
+    "stripes_of_datasets": _call("SELECT dataset, graph AS chromosome, direction, count(*) AS n, min(anchor_start) AS first, CAST(sum(width) AS BIGINT) AS width FROM (SELECT 'raw' AS dataset, graph, direction, anchor_start, width FROM raw_stripes UNION ALL SELECT 'final', graph, direction, anchor_start, width FROM final_stripes) GROUP BY ALL", _FINAL),
+    "stripes_compare": _call(
+        f"SELECT dataset_A, dataset_B, m_A, m_B, a.n AS n_A, b.n AS n_B, round(m_A / a.n, 6) AS p_A, round(m_B / b.n, 6) AS p_B FROM (SELECT a.dataset AS dataset_A, b.dataset AS dataset_B, count(DISTINCT a.id) AS m_A, count(DISTINCT b.id) AS m_B FROM sets a JOIN sets b ON a.graph = b.graph AND a.direction = b.direction AND {_OFF} <= 0 GROUP BY ALL) JOIN sizes a ON a.dataset = dataset_A JOIN sizes b ON b.dataset = dataset_B",
+        [*_FINAL, "sets AS (SELECT 'raw' AS dataset, graph, direction, stripe_id AS id, anchor_start AS start, anchor_end AS \"end\" FROM raw_stripes UNION ALL SELECT 'final', graph, direction, stripe_id, anchor_start, anchor_end FROM final_stripes)", _COUNTS[2]],
+    ),
+    "view_regions": _call(f"""SELECT stripe_id, x0 AS start_x, x1 AS end_x, y0 AS start_y, y1 AS end_y FROM (
+SELECT stripe_id, CASE WHEN below THEN anchor_start ELSE start END AS x0, CASE WHEN below THEN anchor_end ELSE "end" END AS x1, CASE WHEN below THEN start ELSE anchor_start END AS y0, CASE WHEN below THEN "end" ELSE anchor_end END AS y1
+FROM (SELECT *, abs(start - anchor_end) < abs("end" - anchor_start) AS below FROM raw_stripes WHERE graph = 'chr1')) WHERE {_VIEW}""", _summary("cs", "raw_stripes")),
+    "view_rectangles_padded": _call(f"""SELECT stripe_id, x0 AS start_x, x1 AS end_x, y0 AS start_y, y1 AS end_y FROM (
+SELECT stripe_id, anchor_start - 2500 AS x0, anchor_end + 2500 AS x1, start - CASE WHEN direction = 'L' THEN 7000 ELSE 0 END AS y0, "end" + CASE WHEN direction = 'L' THEN 0 ELSE 7000 END AS y1 FROM raw_stripes WHERE graph = 'chr1') WHERE {_VIEW}""", _summary("cs", "raw_stripes")),
+    "view_labels": _call("""SELECT c.stripe_id, CASE WHEN direction = 'R' THEN high ELSE low END AS x, pos AS y, printf('%d(%.2f|%.2f|%.2f|%.1f)', c.stripe_id, s, g, k, o) AS label FROM (
+SELECT stripe_id, direction, arg_max(stripe_score, lc_idx) AS s, avg(worst_gap_score) AS g, avg(cross_score) AS k, max(orientation_score) AS o, min(leafs_start) AS low, max(leafs_end) AS high FROM cs GROUP BY stripe_id, direction) c
+JOIN (SELECT stripe_id, (anchor_start + anchor_end) // 2 AS pos FROM raw_stripes) p ON p.stripe_id = c.stripe_id""", _summary("cs", "raw_stripes")),
+    "view_colour_limit": _call("SELECT round(greatest(quantile_cont(value, 0.95), 1.0), 6) AS \"limit\" FROM (SELECT CAST(sum(petcount) AS DOUBLE) AS value FROM contacts WHERE graph = 'chr1' AND (sa + ea) // 2 BETWEEN 0 AND 5000000 AND (sb + eb) // 2 BETWEEN 0 AND 5000000 GROUP BY floor(((sa + ea) // 2) / 50000.0), floor(((sb + eb) // 2) / 50000.0))"),
 }

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftspan.functions.chromosomes import chromosome_index
-from weftspan.functions.intervals import Interval, format_columns, parse_intervals
+from weftspan.functions.intervals import Interval, floor_div, format_columns, parse_intervals
+from weftspan.functions.lineage import number_rows
 from weftspan.operators import compare, features, graph, islands, joins, refine, spans, stripes, viewdata
 from weftspan.plans.pipeline import Call, StripeCaller
 from weftspan.sources import adapters, dialects
@@ -37,10 +38,10 @@ def prepared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def paired(spark: SparkSession, folder: str) -> tuple[DataFrame, Interval, Interval]:
-    """Some pairs of intervals of one group, side by side."""
-    a = adapters.spans(spark, folder).select("key", F.col("id").alias("id_a"), F.col("start").alias("s1"), F.col("end").alias("e1"), (F.col("id") % 10).alias("m"))
-    b = adapters.regions(spark, folder).select("key", F.col("id").alias("id_b"), F.col("start").alias("s2"), F.col("end").alias("e2"), (F.col("id") % 10).alias("m"))
-    return a.join(b, ["key", "m"]), Interval.of("s1", "e1"), Interval.of("s2", "e2")
+    """Intervals of both sets with one id, side by side."""
+    a = adapters.spans(spark, folder).select("id", F.col("start").alias("s1"), F.col("end").alias("e1"))
+    b = adapters.regions(spark, folder).select("id", F.col("start").alias("s2"), F.col("end").alias("e2"))
+    return a.join(b, "id"), Interval.of("s1", "e1"), Interval.of("s2", "e2")
 
 
 def ends(i: Interval, name: str) -> list[Column]:
@@ -86,34 +87,33 @@ def interval_measures(spark, folder):
 def interval_and_or_sup_gap(spark, folder):
     df, a, b = paired(spark, folder)
     left, right = a.unite(b)
-    return df.select("id_a", "id_b", *ends(a.intersect(b), "and"), *ends(a.sup(b), "sup"), *ends(a.gap_between(b), "gap"), *ends(left, "or_left"), *ends(right, "or_right"))
+    return df.select("id", *ends(a.intersect(b), "and"), *ends(a.sup(b), "sup"), *ends(a.gap_between(b), "gap"), *ends(left, "or_left"), *ends(right, "or_right"))
 
 
 @query
 def interval_offset_distance_overlap(spark, folder):
     df, a, b = paired(spark, folder)
-    return df.select("id_a", "id_b", a.offset(b).alias("offset"), a.distance(b).alias("distance"), a.overlap(b).alias("overlap"), a.offset(F.col("s2")).alias("point_offset"))
+    return df.select("id", a.offset(b).alias("offset"), a.distance(b).alias("distance"), a.overlap(b).alias("overlap"), a.offset(F.col("s2")).alias("point_offset"))
 
 
 @query
 def interval_predicates(spark, folder):
     df, a, b = paired(spark, folder)
-    named = {"contains": a.contains(b), "superset": a.is_superset_of(b), "contained": a.is_contained_in(b), "subset": a.is_subset_of(b), "intersects": a.intersects(b), "separated": a.is_separated_from(b), "equal": a.equals(b), "contains_point": a.contains(F.col("s2"))}
-    return df.select("id_a", "id_b", *(c.alias(n) for n, c in named.items()))
+    named = {"contains": a.contains(b), "superset": a.is_superset_of(b), "contained": a.is_contained_in(b), "subset": a.is_subset_of(b), "intersects": a.intersects(b), "separated": a.is_separated_from(b), "equal": a.equals(b), "differs": a.differs(b), "contains_point": a.contains(F.col("s2"))}
+    return df.select("id", *(c.alias(n) for n, c in named.items()))
 
 
 @query
 def interval_format_parse(spark, folder):
-    rows = adapters.spans(spark, folder).filter("start >= 0").withColumn("chromosome", F.concat(F.lit("chr"), F.col("key").cast("string")))
-    labelled = rows.select("id", Interval.of().to_string("chromosome").alias("label"), format_columns("#{id} [{start:08d}]").alias("formatted"))
-    (name,), i = parse_intervals("label")
+    rows = adapters.spans(spark, folder).withColumn("chromosome", F.concat(F.lit("chr"), F.col("key").cast("string")))
+    labelled = rows.select("id", Interval.of().to_string("chromosome", sep="..").alias("label"), format_columns("#{id} [{start:08d}]").alias("formatted"))
+    (name,), i = parse_intervals("label", sep="..")
     return labelled.select("id", "label", name.alias("chromosome"), *i.columns(), "formatted")
 
 
 @query
 def interval_islands(spark, folder):
-    rows = adapters.spans(spark, folder).groupBy("key", "start", "end").agg(F.min("id").alias("id"))
-    return islands.islands(rows, ["key"], tile=2000).select("key", "id", "start", "end", "island")
+    return islands.islands(adapters.spans(spark, folder), ["key"], order=["id"]).select("key", "id", "start", "end", "island")
 
 
 @query
@@ -128,7 +128,7 @@ def interval_union_other(spark, folder):
 
 @query
 def interval_intersect_self(spark, folder):
-    rows = adapters.spans(spark, folder).filter("start between 5000 and 5040").withColumn("part", F.col("id") % 7)
+    rows = adapters.spans(spark, folder).withColumn("part", floor_div(F.col("start"), 50))
     return islands.intersect_self(rows, ["key", "part"])
 
 
@@ -139,7 +139,7 @@ def interval_intersect_other(spark, folder):
 
 @query
 def interval_disjoint(spark, folder):
-    return islands.is_disjoint(adapters.spans(spark, folder).filter("id % 40 = 0"), ["key"])
+    return islands.is_disjoint(adapters.spans(spark, folder).withColumn("part", floor_div(F.col("start"), 200)), ["key", "part"])
 
 
 @query
@@ -279,7 +279,10 @@ def fan_span_clusters(spark, folder):
 
 @query
 def fan_sort_order(spark, folder):
-    return spans.sort_order(stripes.fans(call(spark, folder).blades), ["graph", "direction"], "anchor_start", "anchor_start")
+    """All four answers: fans of a side by anchor, and intervals of small groups by id."""
+    fans = spans.sort_order(stripes.fans(call(spark, folder).blades), ["graph", "direction"], "anchor_start", "anchor_start")
+    rows = adapters.spans(spark, folder).withColumns({"graph": F.col("key").cast("string"), "direction": floor_div(F.col("id"), 200).cast("string")})
+    return fans.unionByName(spans.sort_order(rows, ["graph", "direction"], "start", "id"))
 
 
 @query
@@ -350,8 +353,8 @@ def stripes_final(spark, folder):
 
 @query
 def feature_describe(spark, folder):
-    found = features.describe(call(spark, folder).loop_clusters, ["length", "gap_size", "loop_count"], (0.05, 0.5, 0.95))
-    return rounded(found, "mean", "std", "p5", "p50", "p95")
+    found = features.describe(call(spark, folder).loop_clusters, ["length", "gap_size", "loop_count"])
+    return rounded(found, "mean", "std", "p1", "p5", "p25", "p50", "p75", "p95", "p99")
 
 
 @query
@@ -422,3 +425,161 @@ def catalog_align(spark, folder):
     s = adapters.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("supplier/"), "s_suppkey").alias("path"))
     p = adapters.table(spark, folder, "part").select((F.col("p_partkey") * 3).alias("k"), F.concat(F.lit("part/"), "p_partkey").alias("path"))
     return joins.align({"supplier": s, "part": p}, ["k"])
+
+
+@query
+def interval_drop_empty(spark, folder):
+    return islands.drop_empty(adapters.spans(spark, folder))
+
+
+@query
+def interval_sort(spark, folder):
+    rows = islands.sort(adapters.spans(spark, folder), keys=["key"])
+    return number_rows(rows, ["key", "start", "end", "id"], "place")
+
+
+@query
+def interval_sort_descending(spark, folder):
+    """The order of all intervals from the far end, by what each follows."""
+    from pyspark.sql.window import Window
+
+    rows = islands.sort(adapters.spans(spark, folder), ascending=False)
+    order = Window.partitionBy("key").orderBy(F.desc("start"), F.desc("end"), "id")
+    return rows.select("key", "id", F.lag("id").over(order).alias("after"))
+
+
+@query
+def interval_subset(spark, folder):
+    rows = adapters.spans(spark, folder)
+    taken = islands.subset(rows, [5, 3, 3, 77, 10**12, 9], "id").withColumn("how", F.lit("numbers"))
+    masked = islands.subset(rows, F.col("key") < 7).withColumns({"place": F.lit(None).cast("long"), "how": F.lit("mask")})
+    return taken.unionByName(masked)
+
+
+@query
+def interval_records(spark, folder):
+    return islands.from_records(spark, [("chr1", "x", 5, 9), ("chr1", "y", 7, 7), ("chr2", "x", -3, 4)], ["chromosome", "name"])
+
+
+@query
+def interval_accessors(spark, folder):
+    rows = adapters.spans(spark, folder)
+    return rows.groupBy("key").agg(F.count("start").alias("n"), F.min("start").alias("first_start"), F.max("end").alias("last_end"), F.count_distinct("id").alias("ids"))
+
+
+@query
+def interval_global_islands(spark, folder):
+    rows, keep = adapters.spans(spark, folder), ["key", "id", "island"]
+    up = islands.global_islands(rows, ["key"], order=["id"]).select(*keep)
+    down = islands.global_islands(rows, ["key"], order=["id"], ascending=False).select("id", F.col("island").alias("from_end"))
+    return up.join(down, "id")
+
+
+@query
+def interval_merge_sorted(spark, folder):
+    rows = islands.merge_sorted(adapters.spans(spark, folder), adapters.regions(spark, folder), ["key"])
+    return number_rows(rows, ["key", "start", "end", "side"], "place")
+
+
+@query
+def unsorted_points(spark, folder):
+    return spans.first_unsorted(adapters.spans(spark, folder).withColumn("part", floor_div(F.col("id"), 100)), ["part"], "id", "start")
+
+
+@query
+def unsorted_ranges(spark, folder):
+    rows = adapters.spans(spark, folder).withColumns({"part": floor_div(F.col("id"), 50), "block": floor_div(F.col("start"), 5000)})
+    return spans.first_unsorted(rows, ["part"], "id", "block", "end")
+
+
+@query
+def overlap_counts_threshold(spark, folder):
+    rows = datasets(spark, folder)
+    pairs = joins.merge_ranges_single(rows, by=["dataset"], on=[], ids=["id"], inner_on=["key"], tolerance=3)
+    return rounded(compare.count_overlaps_single(pairs, rows, ["dataset"], [], "id", min_overlap=40), "p_A", "p_B")
+
+
+@query
+def overlap_counts_absent(spark, folder):
+    """Datasets whose intervals lie far apart have rows with no overlap."""
+    rows = adapters.spans(spark, folder).withColumn("dataset", floor_div(F.col("start"), 2000))
+    pairs = joins.merge_ranges_single(rows, by=["dataset"], on=[], ids=["id"], inner_on=["key"])
+    return rounded(compare.count_overlaps_single(pairs, rows, ["dataset"], [], "id", absent=True), "p_A", "p_B")
+
+
+@query
+def join_by_indices(spark, folder):
+    a, b = adapters.spans(spark, folder).withColumnRenamed("id", "row_id"), adapters.regions(spark, folder).withColumnRenamed("id", "row_id")
+    pairs = adapters.spans(spark, folder).select(F.col("id").alias("i"), (F.col("id") * 3 + 1).alias("j"))
+    return joins.join_by_indices(a, b, pairs)
+
+
+@query
+def group_positions(spark, folder):
+    return joins.group_members(adapters.spans(spark, folder), ["key"], "id")
+
+
+@query
+def nodes_sorted(spark, folder):
+    found = graph.nodes(graph.assign_nodes(graph.anchors(prepared(spark, folder))))
+    return number_rows(found.select("graph", "node_id", "max_length"), ["max_length", "graph", "node_id"], "place")
+
+
+@query
+def edges_with_strands(spark, folder):
+    _, found = graph.build(prepared(spark, folder), strands=graph.add_strand_edges(2.0))
+    return found.select("graph", "node_id_A", "node_id_B", "n_contacts", "total_petcount", "is_contact", "is_strand", "weight", "length")
+
+
+@query
+def graph_hooks(spark, folder):
+    """A node of no contacts in each graph, and an edge from node 0 to it."""
+    one = lambda d: d.select("graph").distinct().withColumns({"node_id": F.lit(-1).cast("long"), "chromosome": F.col("graph"), "start": F.lit(0).cast("long"), "end": F.lit(1).cast("long")})
+    kinds = lambda d: {f.name: f.dataType.simpleString() for f in d.schema}
+    more_nodes = lambda d: d.unionByName(graph.with_defaults(one(d), d.columns, kinds(d)))
+    more_edges = lambda d: d.unionByName(graph.with_defaults(d.select("graph").distinct().withColumns({"node_id_A": F.lit(-1).cast("long"), "node_id_B": F.lit(0).cast("long")}), d.columns, kinds(d)))
+    found, linked = graph.build(prepared(spark, folder), extra_nodes=more_nodes, extra_edges=more_edges)
+    sides = found.groupBy("graph").agg(F.count("*").alias("nodes"), F.min("start").alias("first"), F.min("n_anchors").alias("least"))
+    return sides.join(linked.groupBy("graph").agg(F.count("*").alias("edges"), F.sum("n_contacts").alias("contacts"), F.min("node_id_A").alias("low")), "graph")
+
+
+@query
+def stripe_histograms(spark, folder):
+    return rounded(features.histograms(call(spark, folder).loop_clusters, ["length", "loop_count"]), "low", "high")
+
+
+@query
+def stripes_of_datasets(spark, folder):
+    found = call(spark, folder)
+    return compare.stripe_table({"raw": found.raw, "final": found.final}, ["dataset"]).groupBy("dataset", "chromosome", "direction").agg(F.count("*").alias("n"), F.min("anchor_start").alias("first"), F.sum("width").alias("width"))
+
+
+@query
+def stripes_compare(spark, folder):
+    found = call(spark, folder)
+    both = compare.stripe_table({"raw": found.raw, "final": found.final}, ["dataset"])
+    _, counts = compare.compare_stripes(both, by=["dataset"], on=[], tolerance=1000)
+    return rounded(counts, "p_A", "p_B")
+
+
+@query
+def view_regions(spark, folder):
+    rows = call(spark, folder).raw.select("stripe_id", F.col("chromosome").alias("chromosome_x"), F.col("anchor_start").alias("start_x"), F.col("anchor_end").alias("end_x"), F.col("chromosome").alias("chromosome_y"), F.col("start").alias("start_y"), F.col("end").alias("end_y"))
+    return viewdata.regions(rows, VIEW, "lower").select("stripe_id", "start_x", "end_x", "start_y", "end_y")
+
+
+@query
+def view_rectangles_padded(spark, folder):
+    found = viewdata.stripe_rectangles(call(spark, folder).raw, VIEW, "asis", pad_w=2500, pad_l=7000)
+    return found.select("stripe_id", "start_x", "end_x", "start_y", "end_y")
+
+
+@query
+def view_labels(spark, folder):
+    found = call(spark, folder)
+    return viewdata.stripe_labels(found.scored, found.raw)
+
+
+@query
+def view_colour_limit(spark, folder):
+    return rounded(viewdata.colour_limit(view_matrix(spark, folder)), "limit")

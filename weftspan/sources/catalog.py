@@ -56,7 +56,8 @@ class Catalog:
     def _matched(self, s: Source, files: DataFrame) -> DataFrame:
         """(keys, path, file): those of the files (path) that belong to a source."""
         groups = re.compile(s.pattern).groupindex
-        java = s.pattern.replace("(?P<", "(?<")
+        number = iter(range(1, len(groups) + 1))
+        java = re.sub(r"\(\?P<\w+>", lambda _: f"(?<g{next(number)}>", s.pattern)  # names in Java have no underscores
         rows = files.filter(F.col("path").rlike(java)).withColumn("file", F.col("path"))
         for k in self.keys:
             value = F.regexp_extract("path", java, groups[k]) if k in groups else F.lit(s.defaults.get(k))
