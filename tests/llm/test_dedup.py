@@ -163,6 +163,16 @@ def test_substring_keeps_texts_and_carries_columns(spark):
     assert substring.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_substring_with_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 400)
+    say = lambda w, n=25: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(1, f"{say('a')} x{i} {say('b')}") for i in range(20)] + [(0, say("c")), (2, f"{say('c')} {say('a')}")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(frame(spark, rows)).collect())
+    assert got == sorted([(0, 25, 0), (2, 50, 50), (1, 51, 0), *[(1, 51, 50)] * 19])  # each passage stays exactly once
+    again = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(frame(spark, rows[::-1]).repartition(5)).collect())
+    assert again == got
+
+
 def test_substring_with_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(substring, "BUCKET_BYTES", 500)
     rows = list(enumerate(passages(random.Random(4), 60)))

@@ -230,6 +230,28 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert got == want
 
 
+def run_pipeline(spark, folder, rows, labels):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, id string, component string, copy int, key string"
+    spark.createDataFrame([(i, t, "en", s, len(t or ""), 0.1, "x", "y", 1, "z") for i, t, s in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return Counter((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, folder).collect())
+
+
+def test_pipeline_loses_no_row_that_no_rule_names(spark, tmp_path):
+    import hashlib
+
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    say = lambda w, n=30: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(5, say("a"), "s"), (5, say("b"), "s"), (5, say("b"), "s"), (6, say("a"), "s"), (7, say("c"), "s"), (7, say("d"), None), (None, say("e"), "s"), (None, say("e", 5), "t"), (None, None, None), (8, None, "s"), (9, " ", "s"), (10, "", None)]
+    got = run_pipeline(spark, str(tmp_path / "plain"), rows, [])
+    kept = [(5, say("a")), (5, say("b")), (7, say("c")), (7, say("d")), (None, say("e")), (None, say("e", 5)), (None, None), (8, None)]
+    assert got.keys() == {(i, digest(t)) for i, t in kept}  # 7 and its source may be used more than once by the mix
+    assert all(n == 1 for (i, d), n in got.items() if i is None or d == digest(""))
+    toxic = run_pipeline(spark, str(tmp_path / "toxic"), rows, [(i, 1, 1) for i, _, _ in rows if i])
+    assert toxic == Counter({(8, digest("")): 1, (None, digest("")): 1})
+    assert run_pipeline(spark, str(tmp_path / "empty"), [], []) == Counter()
+
+
 def brute_near_copies(rows):
     """The rows that the stage keeps: of each component of five-word Jaccard >= 0.8 the first by (doc_id, text)."""
     sets = []

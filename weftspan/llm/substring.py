@@ -203,7 +203,7 @@ def _find_later(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     g = np.frombuffer(b"".join(pdf["hashes"]), "<u8")
     keys, starts = np.concatenate([*map(unpack_keys, pdf["keys"])]), np.concatenate([*map(unpack, pdf["starts"])])
     bucket = np.repeat(pdf["bucket"].to_numpy(np.int64), [len(x) // 8 for x in pdf["hashes"]])
-    order = np.lexsort((starts, keys, g))
+    order = np.lexsort((starts, bucket, keys, g))
     g, bucket = g[order], bucket[order]
     later = np.concatenate([[False], g[1:] == g[:-1]])
     rows = [(k, g[later][p].tobytes()) for k, p in _groups(bucket[later])]
@@ -260,9 +260,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     A word goes if a run of ``window`` words that covers it also starts earlier: in a row with a smaller key, or
     earlier in the same document. ``kept`` is the remaining words joined by one space, or the text as it is if all
     remain (null if ``texts`` is off); ``kept_sha256`` is always of the joined words.
-    Null, empty and short texts lose nothing. Rows that repeat a key are told apart by the order of their texts, the
-    text that sorts first being the earlier. The key is an integer; rows with a null key come out unchanged, as they
-    have no place in the order. An empty table gives no rows.
+    Null, empty and short texts lose nothing; very long ones are read whole, in a bucket of their own size. Rows that
+    repeat a key have a fixed order among themselves (by bucket, a hash of key and text, and then by text), and are
+    dealt out like others. The key is an integer; rows with a null key come out unchanged, as they have no place in
+    the order. An empty table gives no rows.
 
     ``low_bits`` (32 or 64) is how much of a block's hash travels besides its share of the hash space.
     """
@@ -271,7 +272,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     shares = max(16, parts(spark), -(-size // SHARE_BYTES))  # what a task holds does not grow with the input
     buckets = max(8, -(-size // BUCKET_BYTES))
     named = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
-    dealt = named.filter("k is not null").withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)))
+    dealt = named.filter("k is not null").withColumn("bucket", F.pmod(F.xxhash64("k", "t"), F.lit(buckets)))
     by_bucket = dealt.repartition(min(buckets, 4 * shares), "bucket").groupBy("bucket")
     blocks = by_bucket.applyInPandas(_send_blocks(window, shares, low_bits), "share int, bucket long, kind int, blob binary")
     hits = blocks.groupBy("share").applyInPandas(_find_hits(low_bits), "share int, bucket long, blob binary")

@@ -130,7 +130,7 @@ def fit(lists: list[np.ndarray], toxic: np.ndarray, counter: list[np.ndarray | N
     weights = np.zeros(SPACE, np.float32)
     pos, neg = int(toxic.sum()), int((1 - toxic).sum())
     if not pos or not neg:
-        return Model(weights, float(np.log((pos + 0.5) / (neg + 0.5))))
+        return Model(weights, float(np.log((pos + 0.5) / (neg + 1.5))))  # without any labels, a text is rather not toxic
     swaps = [i for i, c in enumerate(counter) if c is not None]
     kept = distinct(np.concatenate([np.zeros(0, np.uint32), *lists, *(counter[i] for i in swaps)]))
     x = _Sparse(lists, kept)
@@ -198,194 +198,6 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit([], np.zeros(0), [], share, **options)
 
 
-def score(self, text: str | None) -> float:
-        """Between 0 and 1; a text without known features, such as the empty one, has the intercept's score."""
-        z = self.intercept + float(self.weights[hashed(words_of(text))].sum(dtype=np.float64))
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-
-
-class _Sparse:
-    """Rows of distinct column numbers; sums over the entries of each row or column, in single precision."""
-
-    def __init__(self, lists: list[np.ndarray], numbers: np.ndarray):
-        self.shape = len(lists), len(numbers)
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.col = np.searchsorted(numbers, np.concatenate([np.zeros(0, np.uint32), *lists])).astype(np.int32)
-        order = np.argsort(self.col, kind="stable")
-        self.row = np.repeat(np.arange(len(lists), dtype=np.int32), size)[order]
-        self.rows, self.row_at = self._starts(size)
-        self.cols, self.col_at = self._starts(np.bincount(self.col, minlength=len(numbers)))
-
-    @staticmethod
-    def _starts(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        some = np.flatnonzero(size)
-        return some, (np.cumsum(size) - size)[some]
-
-    def times(self, w: np.ndarray) -> np.ndarray:
-        """The sum of ``w`` over the columns of each row."""
-        out = np.zeros(self.shape[0], np.float32)
-        if len(self.rows):
-            out[self.rows] = np.add.reduceat(w.astype(np.float32)[self.col], self.row_at)
-        return out
-
-    def back(self, r: np.ndarray) -> np.ndarray:
-        """The sum of ``r`` over the rows of each column."""
-        out = np.zeros(self.shape[1], np.float32)
-        if len(self.cols):
-            out[self.cols] = np.add.reduceat(r.astype(np.float32)[self.row], self.col_at)
-        return out
-
-
-def fit(lists: list[np.ndarray], toxic: np.ndarray, counter: list[np.ndarray | None], share: float, fairness: float = 1.0, ridge: float = 1e-3, prior: float = 0.25, steps: int = 100) -> Model:
-    """A model from feature lists, labels and counterfactual lists (None: no identity term).
-
-    ``share`` is the part of toxic rows in the table; its log odds times ``prior`` move the intercept of the balanced
-    fit (by less than all of them, as shrunken weights understate what speaks for a label). Every feature of the rows
-    and of their counterfactuals has a weight.
-    """
-    weights = np.zeros(SPACE, np.float32)
-    pos, neg = int(toxic.sum()), int((1 - toxic).sum())
-    if not pos or not neg:
-        return Model(weights, float(np.log((pos + 0.5) / (neg + 0.5))))
-    swaps = [i for i, c in enumerate(counter) if c is not None]
-    kept = distinct(np.concatenate([np.zeros(0, np.uint32), *lists, *(counter[i] for i in swaps)]))
-    x = _Sparse(lists, kept)
-    # Between a text and its counterfactual only features of identity terms differ.
-    gone = _Sparse([np.setdiff1d(lists[i], counter[i], True) for i in swaps], kept)
-    come = _Sparse([np.setdiff1d(counter[i], lists[i], True) for i in swaps], kept)
-    # Log odds of a feature, as a scale, let few strong words outweigh many weak ones.
-    weight = np.where(toxic > 0, 0.5 / pos, 0.5 / neg)
-    p, q = x.back(toxic) + 0.5, x.back(1 - toxic) + 0.5
-    scale = np.abs(np.log((p / (pos + 1)) / (q / (neg + 1)))) + 0.05
-    w, intercept = np.zeros(len(kept)), 0.0
-    m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
-    for step in range(1, steps + 1):
-        z = x.times(w * scale) + intercept
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - toxic)
-        g = x.back(error) * scale + ridge * w
-        if swaps:
-            change = gone.times(w * scale) - come.times(w * scale)
-            g += fairness * (gone.back(change) - come.back(change)) * scale / len(swaps)
-        g = np.append(g, error.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, intercept = w - move[:-1], intercept - move[-1]
-    share = min(max(share, 1e-4), 1 - 1e-4)
-    weights[kept] = w * scale
-    return Model(weights, float(intercept + prior * np.log(share / (1 - share))))
-
-
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 6000, entries: int = 1 << 22, **options) -> Model:
-    """Fit on at most ``sample`` rows of either label with ``entries`` features; give only labels that may be learnt from.
-
-    Rows without key or label are left out; of a key's labels the largest holds, and of its texts the one whose hash
-    is least, so that however many rows repeat a key, one of them is fitted. Both tables may be empty: the model then
-    scores everything alike.
-    """
-    known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
-    counts = {r["y"]: r["n"] for r in known.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    sides = [known.filter(F.col("y") > 0 if y else F.col("y") <= 0).orderBy(F.xxhash64("k"), "k").limit(sample).select("k", F.lit(y).alias("y")) for y in (0, 1)]
-    chosen = F.broadcast(sides[0].unionByName(sides[1]))  # at most 2 * sample rows of two numbers
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            words = [words_of(t) for t in b["t"]]
-            lists, other = [hashed(w) for w in words], [swapped(w) for w in words]
-            yield pd.DataFrame({"y": b["y"], "o": b["o"], "n": [len(x) for x in lists], "x": [x.tobytes() for x in lists], "c": [None if w is None else hashed(w).tobytes() for w in other]})
-
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(chosen, "k")
-    one = rows.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("m")).select("y", F.xxhash64("k").alias("o"), "m.t")
-    found = cut(one.mapInPandas(run, "y int, o long, n long, x binary, c binary"))
-    so_far = F.sum("n").over(Window.orderBy("o", "n", "y").rowsBetween(Window.unboundedPreceding, 0))  # 2 * sample numbers
-    within = found.select("o", "n", "y").withColumn("upto", so_far).filter(F.col("upto") <= entries).agg(F.max("o").alias("last"))
-    rows = found.join(F.broadcast(within), F.col("o") <= F.col("last")).toPandas().sort_values(["o", "x"], kind="stable")
-    read = lambda b: None if b is None else np.frombuffer(b, np.uint32)
-    total = sum(counts.values())
-    return fit([read(x) for x in rows["x"]], rows["y"].to_numpy(np.float64), [read(c) for c in rows["c"]], counts.get(1, 0) / total if total else 0.0, **options)
-
-
-def score(self, text: str | None) -> float:
-        """Between 0 and 1; a text without known features, such as the empty one, has the intercept's score."""
-        z = self.intercept + float(self.weights[hashed(words_of(text))].sum(dtype=np.float64))
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-
-
-def _rows(lists: list[np.ndarray], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the entries of a matrix with a row for each list and a column for each number."""
-    cols, sizes = [np.zeros(0, np.int32)], []
-    for x in lists:
-        at = np.searchsorted(numbers, x).clip(max=len(numbers) - 1)
-        cols.append(at[numbers[at] == x].astype(np.int32))
-        sizes.append(len(cols[-1]))
-    return np.repeat(np.arange(len(lists), dtype=np.int32), sizes), np.concatenate(cols)
-
-
-def fit(lists: list[np.ndarray], toxic: np.ndarray, counter: list[np.ndarray | None], share: float, fairness: float = 1.0, ridge: float = 1e-3, prior: float = 0.25, steps: int = 100) -> Model:
-    """A model from feature lists, labels and counterfactual lists (None: no identity term).
-
-    ``share`` is the part of toxic rows in the table; its log odds times ``prior`` move the intercept of the balanced
-    fit (by less than all of them, as shrunken weights understate what speaks for a label). Every feature of the rows
-    and of their counterfactuals has a weight.
-    """
-    weights = np.zeros(SPACE, np.float32)
-    pos, neg = int(toxic.sum()), int((1 - toxic).sum())
-    if not pos or not neg:
-        return Model(weights, float(np.log((pos + 0.5) / (neg + 0.5))))
-    n, swaps = pos + neg, [i for i, c in enumerate(counter) if c is not None]
-    kept = distinct(np.concatenate([np.zeros(0, np.uint32), *lists, *(counter[i] for i in swaps)]))
-    row, col = _rows(lists, kept)
-    # Differences between a text and its counterfactual: only features of identity terms differ.
-    a, b = [lists[i] for i in swaps], [counter[i] for i in swaps]
-    ra, ca = _rows(a, kept)
-    rb, cb = _rows(b, kept)
-    drow, dcol, dval = np.concatenate([ra, rb]), np.concatenate([ca, cb]), np.concatenate([np.ones(len(ra)), -np.ones(len(rb))])
-    # Log odds of a feature, as a scale, let few strong words outweigh many weak ones.
-    weight = np.where(toxic > 0, 0.5 / pos, 0.5 / neg)
-    p = np.bincount(col, weights=toxic[row], minlength=len(kept)) + 0.5
-    q = np.bincount(col, weights=1 - toxic[row], minlength=len(kept)) + 0.5
-    scale = np.abs(np.log((p / (pos + 1)) / (q / (neg + 1)))) + 0.05
-    w, intercept = np.zeros(len(kept)), 0.0
-    m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
-    for step in range(1, steps + 1):
-        z = np.bincount(row, weights=(w * scale)[col], minlength=n) + intercept
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - toxic)
-        g = np.bincount(col, weights=error[row], minlength=len(kept)) * scale + ridge * w
-        if swaps:
-            change = np.bincount(drow, weights=dval * (w * scale)[dcol], minlength=len(swaps))
-            g += fairness * np.bincount(dcol, weights=dval * change[drow], minlength=len(kept)) * scale / len(swaps)
-        g = np.append(g, error.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, intercept = w - move[:-1], intercept - move[-1]
-    share = min(max(share, 1e-4), 1 - 1e-4)
-    weights[kept] = w * scale
-    return Model(weights, float(intercept + prior * np.log(share / (1 - share))))
-
-
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 6000, **options) -> Model:
-    """Fit on at most ``sample`` rows of either label; give only labels that may be learnt from.
-
-    Rows without key or label are left out; of a key's labels the largest holds. Both tables may be empty: the model
-    then scores everything alike.
-    """
-    known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
-    counts = {r["y"]: r["n"] for r in known.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    sides = [known.filter(F.col("y") > 0 if y else F.col("y") <= 0).orderBy(F.xxhash64("k"), "k").limit(sample).select("k", F.lit(y).alias("y")) for y in (0, 1)]
-    chosen = F.broadcast(sides[0].unionByName(sides[1]))  # at most 2 * sample rows of two numbers
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            words = [words_of(t) for t in b["t"]]
-            other = [swapped(w) for w in words]
-            yield pd.DataFrame({"y": b["y"], "k": b["k"], "x": [hashed(w).tobytes() for w in words], "c": [None if w is None else hashed(w).tobytes() for w in other]})
-
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(chosen, "k").withColumn("k", F.col("k").cast("string")).mapInPandas(run, "y int, k string, x binary, c binary").toPandas()
-    rows = rows.sort_values(["k", "x"], kind="stable")
-    read = lambda b: None if b is None else np.frombuffer(b, np.uint32)
-    total = sum(counts.values())
-    return fit([read(x) for x in rows["x"]], rows["y"].to_numpy(np.float64), [read(c) for c in rows["c"]], counts.get(1, 0) / total if total else 0.0, **options)
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a score for each row; null and empty texts have the intercept's score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
