@@ -57,7 +57,11 @@ def test_command_line_and_dialects(spark, tmp_path):
     out = cli.main([source, str(tmp_path / "out"), "--quiet", "--stats"])
     table = spark.read.csv(out, sep="\t", header=True, inferSchema=True)
     assert table.count() == 2 and {r.direction for r in table.collect()} == {"L", "R"}
-    assert spark.read.csv(str(tmp_path / "out/example.stats.tsv"), sep="\t", header=True).count() == len(cli.FEATURES)
+    stats = spark.read.csv(str(tmp_path / "out/example.stats.tsv"), sep="\t", header=True)
+    assert stats.count() == len(cli.FEATURES) and stats.columns == ["feature", "count", "mean", "std", "min", "p1", "p5", "p25", "p50", "p75", "p95", "p99", "max"]
+    bins = spark.read.csv(str(tmp_path / "out/example.histograms.tsv"), sep="\t", header=True, inferSchema=True)
+    assert bins.groupBy("feature").sum("n").count() == len(cli.FEATURES) and bins.agg(F.max("bin")).first()[0] == 49
+    assert cli.main([source, str(tmp_path / "named"), "-n", "mine", "-v", "-l", "ERROR"]).endswith("mine.stripes.tsv")
     dialects.save_viewer_stripes(table, str(tmp_path / "viewer"), pad_w=5, pad_l=7)
     right = next(r for r in dialects.viewer_rows(table, pad_w=5, pad_l=7).collect() if r.direction == "R")
     assert (right.chr, right.pos1, right.pos2, right.pos3, right.pos4) == ("20", 10001 - 5 - 1, 25001 + 5, 10001 - 7, 105001 + 5)

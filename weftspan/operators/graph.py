@@ -160,4 +160,4 @@ def build(
     found = extra_nodes(found) if extra_nodes else found
     linked = edges(pairs if edge_aggs is None else inside, assigned, edge_aggs)
     linked = extra_edges(linked) if extra_edges else linked
-    return found, cut(strands(found, linked) if strands else linked)
+    return found, strands(found, linked) if strands else linked

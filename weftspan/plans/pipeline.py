@@ -33,7 +33,7 @@ class Params:
 
 
 class Call:
-    """One run of the caller. Stages that several others read are written to the shared checkpoint folder once."""
+    """One run of the caller. Stages that two or more steps read are written to the shared folder once, the others not."""
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, params: Params):
         self.nodes, self.edges, self.params = nodes, edges, params
@@ -48,7 +48,7 @@ class Call:
 
     @cached_property
     def loop_clusters(self) -> DataFrame:
-        found = cut(stripes.loop_clusters(self.clustered))
+        found = stripes.loop_clusters(self.clustered)
         return cut(features.lengths_and_gaps(found.join(stripes.number_stripes(found), stripes.CLUSTER)))
 
     @cached_property
@@ -57,7 +57,7 @@ class Call:
 
     @cached_property
     def knots(self) -> DataFrame:
-        return cut(features.quantile_knots(self.loop_clusters, self.params.n_quantile_levels))
+        return features.quantile_knots(self.loop_clusters, self.params.n_quantile_levels)
 
     @cached_property
     def scored(self) -> DataFrame:
