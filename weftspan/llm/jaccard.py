@@ -144,8 +144,9 @@ def near_copies(docs: DataFrame, text: str = "text", words: int = 5) -> DataFram
     found = cut(_verified(simhash.links(reps).unionByName(equal), texts, words))
     keys, rows = cut(texts.select("key", "id").distinct()), None
     for every in (False, True):
-        linked = components(found).join(keys.withColumnRenamed("id", "node"), "node")
-        linked = cut(linked.select("key", F.xxhash64("component").alias("c")))
+        found = cut(components(found).select(F.col("node").alias("a"), F.col("component").alias("b")))  # stars: soon joined again
+        linked = found.join(keys.withColumnRenamed("id", "a"), "a")
+        linked = cut(linked.select("key", F.xxhash64("b").alias("c")))
         rows = _prefixes(texts, linked, words) if rows is None else rows
         live = rows.join(_sent(linked), "key", "left").withColumn("c", F.coalesce("c", "key"))
         mixed = live.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("h")
