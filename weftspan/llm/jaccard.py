@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,10 @@ SLOTS = 1 << 22
 RARE = 4
 #: Parts that the sets with one common shingle are dealt into.
 SALT = 1 << 10
+#: Pairs of texts that a task is given at a time.
+BATCH = 500
+#: Rounds with one leader a shingle go on while one in so many of the pairs they look at is a link.
+WORTH = 50
 #: Keys that are sent to all tasks, with a number each (4 MB); more are joined by a shuffle.
 SENT = 1 << 18
 
@@ -106,8 +111,11 @@ def _sent(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= SENT else keys
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Those pairs (a, b) of keys whose sets are similar, as pairs of ids; only the texts of these pairs are moved."""
+def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> tuple[DataFrame, int]:
+    """Those pairs (a, b) of keys whose sets are similar, as pairs of ids, and how many pairs were looked at.
+
+    Only the texts of these pairs are moved, and tasks are given few of them at a time, as each may be very long.
+    """
 
     @F.pandas_udf("boolean")
     def check(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -120,7 +128,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     some = cut(texts.join(_sent(asked), "key", "left_semi").dropDuplicates(["id"]))
     left = some.select(F.col("key").alias("a"), F.col("id").alias("ia"), F.col("t").alias("ta"))
     right = some.select(F.col("key").alias("b"), F.col("id").alias("ib"), F.col("t").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").filter(F.col("ia") != F.col("ib")).filter(check("ta", "tb")).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+    both = pairs.join(right, "b").join(left, "a").filter(F.col("ia") != F.col("ib")).filter(check("ta", "tb"))
+    conf, name = texts.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    try:
+        conf.set(name, str(BATCH))
+        return cut(both.select(F.col("ia").alias("a"), F.col("ib").alias("b"))), pairs.count()
+    finally:
+        conf.set(name, before)
 
 
 def _may_overlap(x: str, y: str) -> Column:
@@ -134,16 +149,16 @@ def near_copies(docs: DataFrame, text: str = "text", words: int = 5) -> DataFram
 
     Two texts link if the Jaccard similarity of their word shingles is 4/5 or more; components are those of all links.
     Pairs within one component need no further look, so that a large group of copies costs a few looks a text: SimHash
-    links come first, then each set is compared with one other set of every shingle that it shares, and only sets that
-    share a shingle and are still apart are compared pair by pair.
+    links come first, then each set is compared with one other set of every shingle that it shares, another in each
+    round, as long as that finds links; only sets that are then still apart are compared pair by pair.
     """
     texts = docs.select(F.xxhash64(_body(text)).alias("key"), identity(text).alias("id"), F.col(text).alias("t"))
     prints = cut(simhash.fingerprints(texts, "key", "t", words).distinct())
     reps = cut(prints.groupBy("fp").agg(F.min("key").alias("rep")))
     equal = prints.join(reps, "fp").filter("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
-    found = cut(_verified(simhash.links(reps).unionByName(equal), texts, words))
-    keys, rows = cut(texts.select("key", "id").distinct()), None
-    for every in (False, True):
+    found, _ = _verified(simhash.links(reps).unionByName(equal), texts, words)
+    keys, rows, every = cut(texts.select("key", "id").distinct()), None, False
+    for k in count():
         found = cut(components(found).select(F.col("node").alias("a"), F.col("component").alias("b")))  # stars: soon joined again
         linked = found.join(keys.withColumnRenamed("id", "a"), "a")
         linked = cut(linked.select("key", F.xxhash64("b").alias("c")))
@@ -151,10 +166,13 @@ def near_copies(docs: DataFrame, text: str = "text", words: int = 5) -> DataFram
         live = rows.join(_sent(linked), "key", "left").withColumn("c", F.coalesce("c", "key"))
         mixed = live.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("h")
         live = cut(live.join(mixed, "h", "left_semi").distinct())
-        lead = live if every else live.groupBy("h").agg(F.min(F.struct("key", "size", "pos", "c")).alias("l")).select("h", "l.*")
+        lead = live if every else live.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(k), "key").alias("o"), "key", "size", "pos", "c")).alias("l")).select("h", "l.*")
         met = live.alias("x").join(lead.alias("y"), F.col("x.h") == F.col("y.h")).filter((F.col("x.c") != F.col("y.c")) & _may_overlap("x", "y"))
         if every:
             met = met.filter(F.col("x.key") < F.col("y.key"))
         pairs = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-        found = cut(found.unionByName(_verified(pairs, texts, words)))
-    return components(found).select(F.col("node").alias("id"), "component")
+        new, looked = _verified(pairs, texts, words)
+        found = cut(found.unionByName(new))
+        if every or not looked:
+            return components(found).select(F.col("node").alias("id"), "component")
+        every = new.count() * WORTH < looked
