@@ -275,9 +275,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     dealt = named.filter("k is not null").withColumn("bucket", F.pmod(F.xxhash64("k", "t"), F.lit(buckets)))
     by_bucket = dealt.repartition(min(buckets, 4 * shares), "bucket").groupBy("bucket")
     blocks = by_bucket.applyInPandas(_send_blocks(window, shares, low_bits), "share int, bucket long, kind int, blob binary")
-    hits = blocks.groupBy("share").applyInPandas(_find_hits(low_bits), "share int, bucket long, blob binary")
+    hits = blocks.repartition(shares, "share").groupBy("share").applyInPandas(_find_hits(low_bits), "share int, bucket long, blob binary")
     windows = by_bucket.cogroup(hits.groupBy("bucket")).applyInPandas(_send_windows(window, shares, low_bits), "share int, bucket long, hashes binary, keys binary, starts binary")
-    later = windows.groupBy("share").applyInPandas(_find_later, "bucket long, blob binary")
+    later = windows.repartition(shares, "share").groupBy("share").applyInPandas(_find_later, "bucket long, blob binary")
     answers = hits.unionByName(later.withColumn("share", F.lit(-1)))
     kinds = "".join(f", carried_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     out = f"k long, n_words long, n_removed long, kept_sha256 string, kept string{kinds}"
