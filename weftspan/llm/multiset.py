@@ -54,7 +54,8 @@ def with_vector(rows: DataFrame, text: str, out: str) -> DataFrame:
     """``rows`` with the vector of the column ``text``: the number of units, then integers of four components each."""
     names = [f"_h{j}" for j in range(HASHES)]
     rows = rows.withColumn("_h0", hashes(F.col(text)))
-    rows = rows.withColumns({names[j]: F.transform("_h0", lambda x, j=j: F.xxhash64(x, F.lit(j))) for j in range(1, HASHES)})
+    again = lambda j: F.transform("_h0", lambda x: F.xxhash64(x, F.lit(j)))
+    rows = rows.withColumns({names[j]: again(j) for j in range(1, HASHES)})
     return rows.withColumn(out, totals(names)).drop(*names)
 
 
