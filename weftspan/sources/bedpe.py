@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,9 +51,14 @@ def read_contacts(spark: SparkSession, path: str | list[str], *extra: tuple[int,
     likewise ``petcount_col`` below 0 looks for a count column by name. What follows a comment sign is cut off a line.
     If not all chromosome names begin with chr, all get that prefix; that takes a look at all rows when the result is
     computed, unless ``prefixed`` says whether they do. ``chromosomes``: one name (on either side), or
-    several (on both). ``nrows`` takes the first rows of the file, before any filter. Several files that are read
-    together must have the same header.
+    several (on both). ``nrows`` takes the first rows of the file, before any filter. A list of several files is read by
+    the data source in ``bedpe_files``: each has a head and a prefix of its own, and gives its own first rows.
     """
+    if not isinstance(path, str) and len(path) > 1:
+        from weftspan.sources.bedpe_files import read_files
+
+        options = dict(sep=sep, skiprows=skiprows, comment=comment, petcount_col=petcount_col, nrows=nrows, fix_chromosome=fix_chromosome, prefixed=prefixed)
+        return read_files(spark, path, *extra, **options, min_petcount=min_petcount, chromosomes=chromosomes, intrachromosomal=intrachromosomal, interchromosomal=interchromosomal).drop("file", "place")
     taken = set(range(6)) | ({petcount_col} if petcount_col >= 0 else set())
     for i, name, _ in extra:
         if i in taken:
@@ -72,11 +78,11 @@ def read_contacts(spark: SparkSession, path: str | list[str], *extra: tuple[int,
         lines = early.filter(~((F.col("_n") < skiprows) & F.col("value").isin(first[:skiprows]))).drop("_n")
     elif header is not None:
         lines = lines.filter(F.col("value") != header)
-    body = F.split(F.col("value"), comment)[0]
+    body = F.substring_index("value", comment, 1)
     lines = lines.select(body.alias("value")).filter(F.trim("value") != "")
     if nrows is not None:
         lines = lines.limit(nrows)
-    field = F.split("value", sep if len(sep) > 1 else f"[{sep}]")
+    field = F.split("value", re.escape(sep))
     kinds = ("string", "long", "long") * 2
     columns = [F.get(field, i).cast(kind).alias(n) for i, (n, kind) in enumerate(zip(CORE, kinds, strict=True))]
     if count is not None:
