@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftspan.llm import simhash
-from weftspan.llm.common import cut, distinct
+from weftspan.llm.common import cut, distinct, expand, mix, squeeze, total_bytes
 from weftspan.llm.components import components
 
 #: Slots of the table of classes, a byte each.
 SLOTS = 1 << 22
-#: A shingle in 2**(RARE + c) prefixes has class c.
+#: A shingle in 2**(RARE + c) texts has class c.
 RARE = 4
+#: Bits of a hash that are counted; bytes of text that a share of the hash space stands for; hashes sent at a time.
+KEPT, SHARE_BYTES, SENT_HASHES = 48, 1 << 23, 1 << 22
 #: Parts that the sets with one common shingle are dealt into.
 SALT = 1 << 10
 #: Pairs of texts that a task is given at a time.
@@ -60,22 +62,76 @@ def _body(text: str) -> Column:
     return F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.col(text)).otherwise("").cast("binary")
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as compressed byte planes of their differences."""
+    steps = np.diff(values, prepend=np.zeros(1, values.dtype)).astype("<u8")
+    return squeeze(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(expand(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view("<u8"), dtype=np.uint64)
+
+
 def _classes(texts: DataFrame, words: int) -> np.ndarray:
-    """The class of every slot: how common its most common shingle is among the prefixes by hash of all texts."""
+    """The class of every slot: in how many texts the most common one of its shingles is.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Every shingle of every text is counted. Tasks send the first KEPT bits of their hashes, sorted and packed by share
+    of the hash space, as many shares as it takes for one to fit in a task; copies that a task has read are left out.
+    """
+    shares = 1 << max(4, (total_bytes(texts, "t") // SHARE_BYTES).bit_length())
+    drop, high = np.uint64(64 - KEPT), np.uint64(64 - shares.bit_length() + 1)
+
+    def sent(hashes: list[np.ndarray]) -> pd.DataFrame:
+        h = np.sort(np.concatenate([np.zeros(0, np.uint64), *hashes]))
+        share = (h >> high).astype(np.int64)
+        ends = np.flatnonzero(np.diff(share, append=-1)) + 1
+        starts = np.concatenate([[0], ends[:-1]]).astype(int)
+        return pd.DataFrame({"share": share[starts[: len(ends)]], "packed": [_packed(h[a:b] >> drop) for a, b in zip(starts, ends, strict=False)]})
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size, seen = [], 0, set()
         for b in batches:
-            sets = [shingles(t, words) for t in b["t"]]
-            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, np.uint64), *(h[: len(h) // 5 + 1] for h in sets)]).view(np.int64)})
-
-    counted = texts.select("t").mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= 2 << RARE)
-    slot = F.col("h").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
-    found = counted.groupBy(slot).agg(F.max(F.floor(F.log2("n")) - RARE).cast("byte").alias("c")).toPandas()  # SLOTS rows at most
+            for key, t in zip(b["key"].to_numpy(np.int64).tolist(), b["t"], strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    held.append(shingles(t, words))
+                    size += len(held[-1])
+                if size >= SENT_HASHES:
+                    yield sent(held)
+                    held, size = [], 0
+        if size:
+            yield sent(held)
+
+    def common(blobs: list[bytes]) -> pd.DataFrame:
+        h, n = np.unique(np.concatenate([_unpacked(x) for x in blobs]), return_counts=True)
+        many = n >= 2 << RARE
+        return pd.DataFrame({"slot": _slots(h[many] << drop), "c": (np.floor(np.log2(n[many])) - RARE).astype(np.int8)})
+
+    def count_shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        share, held = None, []
+        for b in batches:
+            for s, blob in zip(b["share"], b["packed"], strict=True):
+                if s != share and held:
+                    yield common(held)
+                    held = []
+                share = s
+                held.append(blob)
+        if held:
+            yield common(held)
+
+    dealt = texts.select("key", "t").mapInPandas(gather, "share long, packed binary").repartition("share").sortWithinPartitions("share")
+    found = dealt.mapInPandas(count_shares, "slot int, c byte").groupBy("slot").agg(F.max("c").alias("c")).toPandas()  # SLOTS rows at most
     table = np.zeros(SLOTS, np.uint8)
     table[found["slot"]] = found["c"]
     return table
 
 
+def _slots(h: np.ndarray) -> np.ndarray:
+    """Slots of the table of classes, from the bits of a hash that are counted."""
+    return (mix(h >> np.uint64(64 - KEPT)) & np.uint64(SLOTS - 1)).astype(np.int32)
+
+
 def _prefixes(texts: DataFrame, linked: DataFrame, words: int) -> DataFrame:
     """(h, key, size, pos) of the sets by the shingles of their first fifth, where sets that share one are still apart.
 
@@ -89,7 +145,7 @@ def _prefixes(texts: DataFrame, linked: DataFrame, words: int) -> DataFrame:
             b, out = b.drop_duplicates("key"), {"h": [], "key": [], "place": [], "part": []}
             for key, t in zip(b["key"].to_numpy(np.int64), b["t"], strict=True):
                 h = shingles(t, words)
-                c = table[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
+                c = table[_slots(h)]
                 first = np.argsort(c, kind="stable")[: len(h) // 5 + 1]  # by class, then by hash
                 out["h"].append(h[first].view(np.int64))
                 out["key"].append(np.full(len(first), key))
