@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,54 @@ def test_three_tables_and_alignment(spark):
     rows = spark.createDataFrame([(0, "x"), (1, "y")], "row_id long, v string")
     pairs = spark.createDataFrame([(0, 1), (1, 1)], "i long, j long")
     assert sorted((r.v_A, r.v_B) for r in joins.join_by_indices(rows, rows, pairs).collect()) == [("x", "y"), ("y", "y")]
+
+
+def _many(seed=1, n=6000):
+    """Nine rows in ten of one group, half of all starts in a narrow place, one far out, one below; some null keys."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        start = int(rng.integers(5000, 9000) if i % 2 else rng.integers(0, 10**9))
+        rows.append(("hot" if i % 10 else [None, "b", "c"][i // 10 % 3], start, start + int(rng.integers(0, 40))))
+    return [*rows, ("hot", 10**15, 10**15 + 1), ("hot", -(10**14), 0)]
+
+
+@pytest.mark.parametrize(("levels", "rows"), [(10, 1 << 15), (3, 1 << 15), (3, 50), (1, 1)])
+def test_islands_by_ranges_match_one_walk(spark, monkeypatch, levels, rows):
+    monkeypatch.setattr(islands, "LEVELS", levels)
+    monkeypatch.setattr(islands, "RANGE_ROWS", rows)
+    data = _many(n=1500)
+    df = spark.createDataFrame(data, "k string, start long, end long")
+    got = {}
+    for r in islands.islands(df, ["k"]).collect():
+        got.setdefault(r.k, []).append(((r.start, r.end), r.island))
+    want = {k: sorted(island_model([(s, e) for x, s, e in data if x == k])) for k in ("hot", "b", "c", None)}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    hulls = {}
+    for k, v in want.items():
+        for (s, e), i in v:
+            a, b = hulls.get((k, i), (s, e))
+            hulls[k, i] = (min(a, s), max(b, e))
+    key = lambda r: (r[0] or "", *r[1:])
+    assert sorted(map(tuple, islands.union_self(df, ["k"]).collect()), key=key) == sorted(((k, *h) for (k, _), h in hulls.items()), key=key)
+
+
+def test_no_range_has_much_more_than_its_part(spark):
+    """One start at 10**15 and a group with nine rows in ten leave ranges even, and so the tasks they are dealt to."""
+    df = spark.createDataFrame(_many(), "k string, start long, end long")
+    sizes = [r["count"] for r in islands.with_range(df, "range").groupBy("range").count().collect()]
+    assert len(sizes) > 900 and max(sizes) <= 25  # six rows each on average
+    tasks = [r["count"] for r in islands._ranged(df, ["k"], "start", None).repartition(8, "_by").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(tasks) < 2 * sum(tasks) / 8
+
+
+def test_range_joins_run_nothing_early(spark):
+    """Classes of lengths are looked up when the join runs."""
+    df = spark.range(5).select(F.col("id").alias("a"), (F.col("id") + 3).alias("b"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("early", "")
+    pairs = joins.overlapping_pairs(df, df.withColumnsRenamed({"a": "c", "b": "d"}), ("a", "b"), ("c", "d"))
+    assert not tracker.getJobIdsForGroup("early")
+    spark.sparkContext.setJobGroup("other", "")
+    assert pairs.count() == 5 + 2 * (4 + 3)
+    assert joins.overlapping_pairs(df.limit(0), df.withColumnsRenamed({"a": "c", "b": "d"}), ("a", "b"), ("c", "d")).count() == 0

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftspan.functions.lineage import cut
 from weftspan.operators.islands import union_self
 from weftspan.operators.joins import merge_ranges_single
 
@@ -90,7 +91,7 @@ def compare_stripes(stripes: DataFrame, by: Sequence[str], on: Sequence[str], in
 def compare_domains(stripes: DataFrame, by: Sequence[str], on: Sequence[str], inner_on: Sequence[str] = ("chromosome", "direction"), tolerance: int = 0) -> tuple[DataFrame, DataFrame]:
     """(pairs, counts) of the regions that the stripes of a dataset cover together."""
     keys = list(dict.fromkeys([*by, *on, *inner_on]))
-    covered = union_self(stripes, keys).withColumn("domain", F.concat_ws(":", *keys, "start"))
+    covered = cut(union_self(stripes, keys)).withColumn("domain", F.concat_ws(":", *keys, "start"))
     pairs = merge_ranges_single(covered, by=by, on=on, ids=["domain"], inner_on=inner_on, tolerance=tolerance)
     return pairs, count_overlaps_single(pairs, covered, by, on, "domain")
 

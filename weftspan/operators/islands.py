@@ -9,16 +9,59 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftspan.functions.intervals import floor_div
+from weftspan.functions.lineage import cut
 
+#: Bounds between ranges are quantiles of the starts, 2**LEVELS of them.
+LEVELS = 10
+#: Rows that a range should have at most; with more, what lies between two bounds is split on evenly.
+RANGE_ROWS = 1 << 15
 
-#: Tiles that the extent of a table of intervals is cut into.
-TILES = 4096
 
+def with_range(df: DataFrame, out: str, start: str = "start") -> DataFrame:
+    """``df`` with the number of the range of starts that a row belongs to: ranges have about as many rows each.
+
+    Their bounds are quantiles of all starts (a sketch that merges map-side, and a scalar subquery), so neither a few starts
+    far from the others nor a place where most of them are makes a range large. Rows with one start stay together.
+    """
+    n = 1 << LEVELS
+    facts = df.agg(F.struct(F.count(start).alias("n"), F.percentile_approx(start, [i / n for i in range(n + 1)], 8 * n).alias("bounds"))).scalar()
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(LEVELS))))
+    at = F.aggregate(steps, F.lit(0), lambda i, step: i + F.when(F.get("_facts.bounds", i + step) <= F.col(start), step).otherwise(0))
+    low, high = F.get("_facts.bounds", F.col("_at")).cast("double"), F.get("_facts.bounds", F.col("_at") + 1).cast("double")
+    parts = F.ceil(F.col("_facts.n") / (n * RANGE_ROWS))
+    within = F.greatest(F.lit(0), F.least(parts - 1, F.floor((F.col(start) - low) / (high - low + 1) * parts)))
+    return df.withColumn("_facts", facts).withColumn("_at", at).withColumn(out, (F.col("_at") * parts + within).cast("long")).drop("_facts", "_at")
+
+
+def _ranged(df: DataFrame, keys: Sequence[str], start: str, tile: int | None) -> DataFrame:
+    """``df`` with ``_by``, its keys and range (or tile of a given width) in one: the column it is dealt, grouped and
+    joined by, so that its rows move once. Nulls in it are equal to each other."""
+    placed = with_range(df, "_tile", start) if tile is None else df.withColumn("_tile", floor_div(F.col(start), tile))
+    return placed.withColumn("_by", F.struct(*keys, "_tile")).drop("_tile")
+
+
+def _local(rows: DataFrame, start: str, end: str, order: Sequence[str]) -> DataFrame:
+    """``rows`` with ``_own``, the number (from 1) of their island as far as their own range tells."""
+    w = Window.partitionBy("_by").orderBy(start, end, *order)
+    seen = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = rows.withColumn("_seen", seen).withColumn("_opens", F.when(F.col("_seen").isNull() | (F.col(start) >= F.col("_seen")), 1).otherwise(0))
+    return opens.withColumn("_own", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_seen", "_opens")
 
-def tile_width(df: DataFrame, start: str = "start", tiles: int = TILES) -> Column:
-    """The width of a tile such that there are about ``tiles`` of them; a scalar subquery."""
-    extent = F.max(start) - F.min(start)
-    return df.agg(F.greatest(F.lit(1).cast("long"), F.coalesce(F.floor(extent / tiles), F.lit(1)))).scalar()
+
+def _joined(local: DataFrame, keys: Sequence[str], start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """(islands of each range, facts of each range): ``_by``, ``_own``, first start and last end of the former; of the
+    latter how many islands began before it (``_base``), and how many of its own go on from there (``_on``)."""
+    found = local.groupBy("_by", "_own").agg(F.min(start).alias("_s"), F.max(end).alias("_e"))
+    across = Window.partitionBy(*(F.col(f"_by.{k}") for k in keys)).orderBy("_by._tile").rowsBetween(Window.unboundedPreceding, -1)
+    carried = found.groupBy("_by").agg(F.max("_e").alias("_high")).select("_by", F.max("_high").over(across).alias("_before"))
+    goes_on = F.coalesce(F.col("_s") < F.col("_before"), F.lit(False)).cast("long")
+    counts = found.join(carried, "_by").groupBy("_by").agg(F.sum(goes_on).alias("_on"), F.sum(1 - goes_on).alias("_new"))
+    return found, counts.select("_by", "_on", F.coalesce(F.sum("_new").over(across), F.lit(0)).alias("_base"))
+
+
+def _number() -> Column:
+    """The number of an island, from its place in its range; the first ones may go on from an earlier range's last."""
+    return F.col("_base") - 1 + F.greatest(F.lit(0).cast("long"), F.col("_own") - F.col("_on"))
 
 
 def islands(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", out: str = "island", tile: int | None = None, order: Sequence[str] = ()) -> DataFrame:
@@ -28,9 +71,9 @@ def islands(df: DataFrame, keys: Sequence[str], start: str = "start", end: str =
     (start, end): touching intervals do not overlap. Each empty interval at an edge is an island of its own; columns
     named in ``order`` say which comes first of several equal ones.
 
-    Rows are dealt by (keys, start // tile) and tiles pass on their largest end and number of islands, so that one
-    group may hold any part of all rows without landing in one task. The width of a tile comes from the extent of all
-    starts unless it is given; with 0 each group is one tile, which suits groups of a bounded size.
+    Rows are dealt by (keys, range of starts), and ranges pass on their largest end and number of islands, so that one
+    group may hold any part of all rows, and starts may lie anywhere, without a task getting much more than others.
+    With a ``tile`` ranges have that width; with 0 each group is one, which suits groups of a bounded size.
     """
     keys = list(keys)
     if tile == 0:
@@ -38,18 +81,9 @@ def islands(df: DataFrame, keys: Sequence[str], start: str = "start", end: str =
         seen = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
         opens = F.when(seen.isNull() | (F.col(start) >= seen), 1).otherwise(0)
         return df.withColumn("_opens", opens).withColumn(out, F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_opens")
-    by = [*keys, "_tile"]
-    width = tile_width(df, start) if tile is None else F.lit(tile).cast("long")
-    tiled = df.withColumn("_tile", floor_div(F.col(start), width))
-    across = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tiled.groupBy(*by).agg(F.max(end).alias("_end")).withColumn("_before", F.max("_end").over(across)).drop("_end")
-    w = Window.partitionBy(*by).orderBy(start, end, *order)
-    joined = _attach(tiled, carried, by)
-    seen = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_before")
-    opened = joined.withColumn("_opens", F.when(seen.isNull() | (F.col(start) >= seen), 1).otherwise(0))
-    counted = opened.withColumn("_here", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    totals = counted.groupBy(*by).agg(F.sum("_opens").alias("_all")).withColumn("_earlier", F.coalesce(F.sum("_all").over(across), F.lit(0))).drop("_all")
-    return _attach(counted, totals, by).select(*df.columns, (F.col("_here") + F.col("_earlier") - 1).alias(out))
+    local = _local(_ranged(df, keys, start, tile), start, end, order)
+    _, facts = _joined(local, keys, start, end)
+    return local.join(facts, "_by").select(*df.columns, _number().alias(out))
 
 
 def _attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -74,9 +108,11 @@ def global_islands(df: DataFrame, keys: Sequence[str], start: str = "start", end
 
 
 def union_self(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """(keys, start, end): the hull of each island."""
-    found = islands(df.select(*keys, start, end), keys, start, end, "_island")
-    return found.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    """(keys, start, end): the hull of each island. After the first shuffle only islands of ranges move on."""
+    keys = list(keys)
+    found, facts = _joined(_local(_ranged(df.select(*keys, start, end), keys, start, None), start, end, ()), keys, start, end)
+    named = found.join(facts, "_by").select("_by.*", _number().alias("_island"), "_s", "_e")
+    return named.groupBy(*keys, "_island").agg(F.min("_s").alias(start), F.max("_e").alias(end)).drop("_island")
 
 
 def intersect_self(df: DataFrame, keys: Sequence[str] = (), start: str = "start", end: str = "end") -> DataFrame:
@@ -121,8 +157,8 @@ def intersect_other(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), start:
     """What two sets have in common: islands of each, joined where they overlap; the result is disjoint."""
     from weftspan.operators.joins import overlapping_pairs
 
-    left = union_self(a, keys, start, end).withColumnsRenamed({start: "_s1", end: "_e1"})
-    right = union_self(b, keys, start, end).withColumnsRenamed({start: "_s2", end: "_e2"})
+    left = cut(union_self(a, keys, start, end)).withColumnsRenamed({start: "_s1", end: "_e1"})
+    right = cut(union_self(b, keys, start, end)).withColumnsRenamed({start: "_s2", end: "_e2"})
     pairs = overlapping_pairs(left, right, ("_s1", "_e1"), ("_s2", "_e2"), keys)
     return pairs.select(*keys, F.greatest("_s1", "_s2").alias(start), F.least("_e1", "_e2").alias(end))
 

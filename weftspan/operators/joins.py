@@ -25,8 +25,9 @@ def length_class(length: Column) -> Column:
     return k
 
 
-def _classes(df: DataFrame, i: Interval) -> list[int]:
-    return sorted(r["k"] for r in df.select(length_class(i.length()).alias("k")).distinct().collect())  # CLASSES + 1 at most
+def _classes(df: DataFrame, i: Interval) -> Column:
+    """The classes that a table has, CLASSES + 1 at most: a scalar subquery, so that nothing runs before the join does."""
+    return df.agg(F.sort_array(F.collect_set(length_class(i.length())))).scalar()
 
 
 def _dealt(df: DataFrame, i: Interval, levels: Column) -> DataFrame:
@@ -53,11 +54,12 @@ def overlapping_pairs(a: DataFrame, b: DataFrame, ends_a: tuple[str, str], ends_
         left, right = split(a, ia), split(b, ib)
     else:
         in_a, in_b = _classes(a, ia), _classes(b, ib)
-        at = lambda ks, side, keep: F.transform(F.filter(F.array(*map(F.lit, ks)).cast("array<int>"), keep), lambda k: F.struct(k.alias("k"), F.lit(side).alias("side")))
+        at = lambda ks, side, keep: F.transform(F.filter(ks, keep), lambda k: F.struct(k.alias("k"), F.lit(side).alias("side")))
         own_a, own_b = length_class(ia.length()), length_class(ib.length())
+        known = lambda df: df.withColumns({"_in_a": in_a, "_in_b": in_b})
         # Side 0: the longer is of a (or both are of one class); side 1: the longer is of b.
-        left = _dealt(a, ia, F.concat(at(in_a, 0, lambda k: k == own_a), at(in_b, 1, lambda k: k > own_a)))
-        right = _dealt(b, ib, F.concat(at(in_a, 0, lambda k: k >= own_b), at(in_b, 1, lambda k: k == own_b)))
+        left = _dealt(known(a), ia, F.concat(at("_in_a", 0, lambda k: k == own_a), at("_in_b", 1, lambda k: k > own_a))).drop("_in_a", "_in_b")
+        right = _dealt(known(b), ib, F.concat(at("_in_a", 0, lambda k: k >= own_b), at("_in_b", 1, lambda k: k == own_b))).drop("_in_a", "_in_b")
     pairs = left.join(right.drop("_width"), [*keys, "_level", "_bucket"])
     first = F.greatest(floor_div(ia.start, F.col("_width")), floor_div(ib.start, F.col("_width")))
     return pairs.filter((ia.start < ib.end) & (ib.start < ia.end) & (F.col("_bucket") == first)).drop("_level", "_width", "_bucket")
