@@ -162,6 +162,15 @@ def streamed_edges(spark, folder):
     return ingest.current_pairs(spark, f"{path}/pairs").select(*graph.PAIR, "n_contacts", "total_petcount", "min_petcount", "max_petcount", "min_length", "max_length")
 
 
+@query
+def streamed_snapshot(spark, folder):
+    """Ten batches of one file each, merged after every fourth: read from one snapshot and the last two batches."""
+    path = scratch(spark)
+    adapters.contacts(spark, folder).repartition(10).write.csv(f"{path}/in", sep="\t")
+    ingest.maintain(ingest.stream_contacts(spark, f"{path}/in", max_files=1), f"{path}/pairs", f"{path}/state", compact=4).awaitTermination()
+    return ingest.current_pairs(spark, f"{path}/pairs").select(*graph.PAIR, "n_contacts", "total_petcount", "min_petcount", "max_petcount", "min_length", "max_length")
+
+
 _RAW = _summary("cs", "raw_stripes")
 _RIGHT = "CASE WHEN direction = 'R' THEN 1 ELSE 0 END"
 IO_ORACLES = {
@@ -183,3 +192,4 @@ FROM (SELECT graph, anchor_start - 3 - {_RIGHT} AS p1, anchor_end + 3 AS p2, sta
     "streamed_edges": _call("SELECT graph AS chromosome_A, sa AS start_A, ea AS end_A, graph AS chromosome_B, sb AS start_B, eb AS end_B, count(*) AS n_contacts, sum(petcount) AS total_petcount, min(petcount) AS min_petcount, max(petcount) AS max_petcount, min(abs(sa - sb + ea - eb) // 2) AS min_length, max(abs(sa - sb + ea - eb) // 2) AS max_length FROM prep GROUP BY ALL"),
 }
 ORACLES.update(IO_ORACLES)
+ORACLES["streamed_snapshot"] = ORACLES["streamed_edges"]

@@ -25,18 +25,71 @@ def bin_pairs(contacts: DataFrame, bin_size: int = 5000) -> DataFrame:
     return graph.bin_pairs(within_chromosomes(prepare(contacts, bin_size)))
 
 
-def maintain(contacts: DataFrame, path: str, checkpoint: str, bin_size: int = 5000) -> StreamingQuery:
-    """Write the changed bin pairs of every batch to a folder of its own, so that a batch that is repeated replaces itself."""
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a folder, wherever it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def written_numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """The numbers of a folder's batches or snapshots whose writing has been completed."""
+    fs, place = _files(spark, path)
+    if not fs.exists(place):
+        return []
+    names = [s.getPath() for s in fs.listStatus(place) if s.getPath().getName().startswith(f"{kind}=")]
+    done = [p for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().partition("=")[2]) for p in done)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, place = _files(spark, path)
+    fs.delete(place, True)
+
+
+def maintain(contacts: DataFrame, path: str, checkpoint: str, bin_size: int = 5000, compact: int = 8) -> StreamingQuery:
+    """Write the changed bin pairs of every batch to a folder of its own, so that a batch that is repeated replaces itself.
+
+    Each ``compact`` batches they are merged with the snapshot before into a new one. What a snapshot has taken in is
+    removed when the next one is complete, so that those who read the older one can end; a merge that failed half-way is
+    no snapshot and is made again. 0: batches are never merged.
+    """
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if compact and (number + 1) % compact == 0:
+            compact_pairs(batch.sparkSession, path, number)
 
     return bin_pairs(contacts, bin_size).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
 
 
-def current_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """The latest state of every bin pair among the batches written so far."""
-    rows = spark.read.parquet(path)
+def compact_pairs(spark: SparkSession, path: str, number: int) -> None:
+    """Write the state after batch ``number`` as a snapshot, and remove what the snapshot before that one had taken in."""
+    before = [n for n in written_numbers(spark, path, "snapshot") if n < number]
+    current_pairs(spark, path, number).write.mode("overwrite").parquet(f"{path}/snapshot={number}")
+    if before:
+        for n in written_numbers(spark, path, "batch"):
+            if n <= before[-1]:
+                _remove(spark, f"{path}/batch={n}")
+        for n in before[:-1]:
+            _remove(spark, f"{path}/snapshot={n}")
+
+
+def parts_of(spark: SparkSession, path: str, number: int | None = None) -> tuple[int | None, list[int]]:
+    """What the state after batch ``number`` (None: the last one) is read from: a snapshot, and the batches after it."""
+    upto = lambda kind: [n for n in written_numbers(spark, path, kind) if number is None or n <= number]
+    snapshot = max((n for n in upto("snapshot") if n != number), default=None)
+    return snapshot, [n for n in upto("batch") if snapshot is None or n > snapshot]
+
+
+def current_pairs(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The latest state of every bin pair: of the last snapshot and of the batches that came after it."""
+    snapshot, batches = parts_of(spark, path, number)
+    found = [f"{path}/batch={n}" for n in batches] + ([] if snapshot is None else [f"{path}/snapshot={snapshot}"])
+    if not found:
+        raise FileNotFoundError(f"no batch has been written to {path}")
+    at = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:batch|snapshot)=(\d+)/[^/]*$", 1).cast("long")
+    rows = spark.read.parquet(*found)
+    rows = rows.select(*rows.columns, at.alias("batch"))
     key = [c for c in rows.columns if c.startswith(("chromosome_", "start_", "end_"))]
     rest = [c for c in rows.columns if c not in key and c != "batch"]
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*")
