@@ -1,4 +1,8 @@
+import random
+import statistics
+
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import CONTACT_SCHEMA, EDGES_20, EDGES_21, START_20, START_21, example_contacts
 from weftspan.operators import graph, refine
@@ -103,3 +107,72 @@ def test_merge_renumbers_and_keeps_scores(spark):
     got = {(r.direction, r.lc_idx): (r.stripe_id, r.stripe_score) for r in refine.merge(df, runs).collect()}
     assert [got["R", i] for i in range(4)] == [(1, 1.0), (1, 2.0), (1, 1.1), (1, 2.1)]
     assert [got["L", i] for i in range(4)] == [(1, 1.1), (1, 2.1), (1, 2.0), (1, 1.0)]
+
+
+def test_merge_runs_in_pieces_is_the_plain_fold(spark, monkeypatch):
+    """Cuts lie only where nothing can merge: the same runs as one walk through each chromosome, whatever the blocks."""
+    rng, rows, sid = random.Random(8), [], 0
+    for graph_ in ("chr1", "chr2", "chr10"):
+        for direction in "RL":
+            at = 0
+            for _ in range(120):
+                at += rng.choice((2000, 6000, 20000, 70000, 200000))
+                width, length = rng.choice((4000, 10000, 30000)), rng.choice((30000, 60000, 400000))
+                rows.append((graph_, direction, sid, at, at + width, *((at, at + length) if direction == "R" else (at + width - length, at + width))))
+                sid += rng.choice((1, 1, 1, 5))
+    df = spark.createDataFrame(rows, "graph string, direction string, stripe_id long, anchor_start long, anchor_end long, start long, end long")
+    for threshold in (0, 5000):
+        want, run = {}, None
+        for g, d, i, x0, x1, y0, y1 in rows:
+            if run and run[:2] == (g, d) and run[4] - x0 <= threshold and x1 - run[3] <= 80000 and abs((y1 - y0) - (run[6] - run[5])) <= 200000:
+                a0, a1 = min(run[3], x0), max(run[4], x1)
+                run = (g, d, run[2], a0, a1, *((a0, max(run[6], y1)) if d == "R" else (min(run[5], y0), a1)))
+            else:
+                run = (g, d, i, x0, x1, y0, y1)
+            want[i] = run[2]
+        for block in (1 << 14, 7, 1):
+            monkeypatch.setattr(refine, "BLOCK", block)
+            assert {r.stripe_id: r.run_id for r in refine.merge_runs(df, threshold, compat="fixed").collect()} == want, (threshold, block)
+    sizes = [r["count"] for r in refine.pieces(df, 0).groupBy("piece").count().collect()]
+    assert len(sizes) > 60 and max(sizes) < 60
+
+
+def test_holistic_aggregates(spark):
+    """Medians of counts and lengths beside plain columns, against statistics; edges that batches cut are whole."""
+    rng, rows = random.Random(3), []
+    for _ in range(900):
+        a, b = sorted(rng.sample(range(5), 2))
+        rows.append(("chr1", a * 20000, a * 20000 + 900, "chr1", b * 20000, b * 20000 + rng.choice((900, 5900)), rng.choice((1, 2, 3, 9, None))))
+    df = graph.prepare(spark.createDataFrame(rows, CONTACT_SCHEMA + ", petcount long"))
+    own = {"median": graph.Holistic(graph.counted_quantile(0.5)), "middle_length": graph.Holistic(graph.counted_quantile(0.5), "length"), "modes": graph.Holistic(lambda v, n: int((n == n.max()).sum()), kind="long"), "sum": F.sum("petcount")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    _, found = graph.build(df, edge_aggs=own)
+    got = {(r.chromosome_A_, r.chromosome_B_): r for r in found.select("*", F.col("node_id_A").alias("chromosome_A_"), F.col("node_id_B").alias("chromosome_B_")).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    starts = sorted({r[1] for r in rows} | {r[4] for r in rows})
+    by = {}
+    for r in df.collect():
+        by.setdefault((r.start_A, r.start_B), []).append(r)
+    assert len(got) == 10 and sum(r.n_contacts for r in got.values()) == 900 and len(starts) == 5
+    for r in got.values():
+        mine = [x for (a, b), v in by.items() for x in v if sorted({k[0] for k in by} | {k[1] for k in by}).index(a) == r.node_id_A and sorted({k[0] for k in by} | {k[1] for k in by}).index(b) == r.node_id_B]
+        counts = [x.petcount for x in mine if x.petcount is not None]
+        assert r["median"] == statistics.median(counts) and r["sum"] == sum(counts) and r.n_contacts == len(mine)
+        assert r.middle_length == statistics.median(abs(x.start_A - x.start_B + x.end_A - x.end_B) // 2 for x in mine)
+        most = max(counts.count(v) for v in set(counts))
+        assert r.modes == sum(counts.count(v) == most for v in set(counts))
+
+
+def test_edges_have_one_exchange_after_bin_pairs(spark):
+    """Anchors and nodes are sent where they are few, else both sides are shuffled; the result is the same."""
+    df = graph.prepare(spark.createDataFrame(example_contacts(), CONTACT_SCHEMA))
+    _, found = graph.build(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastHashJoin") == 2
+    before, graph.SENT_ROWS = graph.SENT_ROWS, -1
+    try:
+        _, other = graph.build(df)
+        flat = lambda d: sorted(map(tuple, d.collect()))
+        assert flat(other) == flat(found)
+    finally:
+        graph.SENT_ROWS = before

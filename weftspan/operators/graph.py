@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from weftspan.functions.intervals import Interval, floor_div
@@ -13,6 +20,9 @@ from weftspan.functions.lineage import cut
 from weftspan.operators.islands import islands
 
 SIDES = ("A", "B")
+EDGE = ["graph", "node_id_A", "node_id_B"]
+#: Anchors or nodes up to this number are sent to all executors for a join; of more, both sides are shuffled.
+SENT_ROWS = 1 << 19
 
 
 def prepare(df: DataFrame, bin_size: int = 5000, fix_bin_start: bool = True) -> DataFrame:
@@ -99,23 +109,109 @@ def bin_pairs(df: DataFrame) -> DataFrame:
     return df.withColumn("length", contact_length()).groupBy(*PAIR).agg(*(c.alias(n) for n, c in edge_aggregates().items()))
 
 
-def edges(df: DataFrame, assigned: DataFrame, aggregates: dict[str, Column] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Holistic:
+    """An aggregate of an edge that no sums can be merged to, such as a median: a Python function of the distinct values
+    of a column of the contacts, in ascending order, and of how often each occurs, as two numpy arrays. Contacts are
+    counted by value before they are shuffled, so an edge costs as many rows as it has values, and a task calls the
+    function for one edge after another. Nulls are not among the values; an edge without any has null.
+    """
+
+    function: Callable[[np.ndarray, np.ndarray], Any]
+    column: str = "petcount"
+    kind: str = "double"
+
+
+def counted_quantile(q: float) -> Callable[[np.ndarray, np.ndarray], float]:
+    """For Holistic: the quantile of counted values, linear between the two around it."""
+
+    def run(values: np.ndarray, counts: np.ndarray) -> float:
+        upto = counts.cumsum()
+        at = q * (upto[-1] - 1)
+        low, high = values[upto.searchsorted([math.floor(at), math.ceil(at)], side="right")]
+        return float(low + (high - low) * (at - math.floor(at)))
+
+    return run
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """A written table, marked to be sent to all executors if it is small enough."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+
+
+def node_pairs(pairs: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Pairs of anchors with their nodes' numbers; those within one node are left out."""
+    rows, ids = pairs.withColumn("graph", F.col("chromosome_A")), sent(assigned)
+    for s in SIDES:
+        own = ids.select("graph", F.col("chromosome").alias(f"chromosome_{s}"), F.col("start").alias(f"start_{s}"), F.col("end").alias(f"end_{s}"), F.col("node_id").alias(f"node_id_{s}"))
+        rows = rows.join(own, ["graph", f"chromosome_{s}", f"start_{s}", f"end_{s}"])
+    return rows.filter("node_id_A <> node_id_B")
+
+
+def _holistic(contacts: DataFrame, found: dict[str, Holistic]) -> list[DataFrame]:
+    """One table (EDGE, results) for each column that holistic aggregates read."""
+    out = []
+    for column in dict.fromkeys(h.column for h in found.values()):
+        asked = {n: h for n, h in found.items() if h.column == column}
+        schema = ", ".join(["graph string, node_id_A long, node_id_B long", *(f"`{n}` {h.kind}" for n, h in asked.items())])
+        arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+        def run(batches: Iterator[pa.RecordBatch], functions=tuple(h.function for h in asked.values()), arrow=arrow) -> Iterator[pa.RecordBatch]:
+            held = None
+            for last, b in _with_end(batches):
+                table = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+                edge = [table.column(c).to_numpy(zero_copy_only=False) for c in EDGE]
+                value, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("_value", "_n"))
+                new = np.zeros(len(n), bool)
+                new[:1] = True
+                for c in edge:
+                    new[1:] |= c[1:] != c[:-1]
+                starts = np.append(np.flatnonzero(new), len(n))
+                whole = len(starts) - (1 if last else 2)  # the last edge may go on in the next batch
+                if whole > 0:
+                    made = [[f(value[a:z], n[a:z]) for a, z in zip(starts[:whole], starts[1 : whole + 1], strict=True)] for f in functions]
+                    first = pa.array(starts[:whole])
+                    yield pa.RecordBatch.from_arrays([*(table.column(c).take(first).cast(arrow.field(c).type) for c in EDGE), *(pa.array(m, arrow.field(i + 3).type) for i, m in enumerate(made))], schema=arrow)
+                held = None if last else table.slice(int(starts[max(whole, 0)]))
+
+        values = contacts.filter(F.col(column).isNotNull()).groupBy(*EDGE, F.col(column).alias("_value")).agg(F.count("*").alias("_n"))
+        out.append(values.repartition(*EDGE).sortWithinPartitions(*EDGE, "_value").mapInArrow(run, schema))
+    return out
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Each batch that has rows, and whether it is the last."""
+    before = None
+    for b in batches:
+        if b.num_rows:
+            if before is not None:
+                yield False, before
+            before = b
+    if before is not None:
+        yield True, before
+
+
+def edges(df: DataFrame, assigned: DataFrame, aggregates: dict[str, Column | Holistic] | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(graph, node_id_A, node_id_B, counts and extremes, is_contact, is_strand, weight): contacts summed by ordered node pair.
 
-    ``df`` holds prepared interactions, or their ``bin_pairs`` if there are no aggregates of one's own. Contacts
-    within one node are left out.
+    ``df`` holds prepared interactions, or their ``bin_pairs`` if there are no aggregates of one's own. Those add
+    columns or replace them: columns are aggregated over the contacts, ``Holistic`` ones over counted values. All else
+    comes from the summed pairs (given, if they are written already), and contacts find their edge by their pair of
+    anchors. Contacts within one node are left out.
     """
-    if aggregates is None:
-        rows = df if "n_contacts" in df.columns else bin_pairs(df)
-        specs = {"n_contacts": F.sum("n_contacts"), "total_petcount": F.sum("total_petcount"), "min_petcount": F.min("min_petcount"), "max_petcount": F.max("max_petcount"), "min_length": F.min("min_length"), "max_length": F.max("max_length")}
-    else:
-        rows = df.withColumn("length", contact_length())
-        specs = edge_aggregates() | aggregates
-    rows = rows.withColumn("graph", F.col("chromosome_A"))
-    for s in SIDES:
-        ids = assigned.select("graph", F.col("chromosome").alias(f"chromosome_{s}"), F.col("start").alias(f"start_{s}"), F.col("end").alias(f"end_{s}"), F.col("node_id").alias(f"node_id_{s}"))
-        rows = rows.join(ids, ["graph", f"chromosome_{s}", f"start_{s}", f"end_{s}"])
-    found = rows.filter("node_id_A <> node_id_B").groupBy("graph", "node_id_A", "node_id_B").agg(*(c.alias(n) for n, c in specs.items()))
+    if pairs is None:
+        pairs = df if "n_contacts" in df.columns else bin_pairs(df)
+    aggregates = aggregates or {}
+    placed = node_pairs(pairs, assigned)
+    specs = {"n_contacts": F.sum("n_contacts"), "total_petcount": F.sum("total_petcount"), "min_petcount": F.min("min_petcount"), "max_petcount": F.max("max_petcount"), "min_length": F.min("min_length"), "max_length": F.max("max_length")}
+    found = placed.groupBy(*EDGE).agg(*(c.alias(n) for n, c in specs.items() if n not in aggregates))
+    if aggregates:
+        contacts = df.withColumn("length", contact_length()).join(placed.select(*PAIR, *EDGE), PAIR)
+        plain = {n: c for n, c in aggregates.items() if not isinstance(c, Holistic)}
+        parts = [contacts.groupBy(*EDGE).agg(*(c.alias(n) for n, c in plain.items()))] if plain else []
+        for part in [*parts, *_holistic(contacts, {n: c for n, c in aggregates.items() if isinstance(c, Holistic)})]:
+            found = found.join(part, EDGE, "left")
+        found = found.select(*EDGE, *(n for n in specs if n in found.columns), *(n for n in aggregates if n not in specs))
     return found.withColumns({"is_contact": F.lit(True), "is_strand": F.lit(False), "weight": F.col("total_petcount")})
 
 
@@ -156,8 +252,8 @@ def build(
     inside = within_chromosomes(df)
     pairs = cut(bin_pairs(inside))
     assigned = cut(assign_nodes(anchors(pairs), strategy))
-    found = nodes(assigned, node_aggs)
+    found = cut(nodes(assigned, node_aggs))
     found = extra_nodes(found) if extra_nodes else found
-    linked = edges(pairs if edge_aggs is None else inside, assigned, edge_aggs)
+    linked = edges(inside, assigned, edge_aggs, pairs)
     linked = extra_edges(linked) if extra_edges else linked
     return found, strands(found, linked) if strands else linked

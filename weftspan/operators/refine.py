@@ -13,6 +13,8 @@ from weftspan.functions.chromosomes import chromosome_index
 from weftspan.operators.stripes import extents, signed
 
 STRIPE = ["graph", "direction", "stripe_id"]
+#: Stripe ids in a block that is looked at together.
+BLOCK = 1 << 14
 #: Columns of the result, in order.
 RESULT = ("chromosome", "direction", "stripe_id", "anchor_start", "anchor_end", "width", "start", "end", "length", "n_fans", "n_loop_clusters", "n_leafs", "n_edges", "stripe_score", "mean_cross_score")
 
@@ -41,20 +43,45 @@ def filter_stripes(stripes: DataFrame, min_length: int = 20000, min_clusters: in
     return stripes
 
 
+def pieces(stripes: DataFrame, threshold: int = 0, max_width: int = 80000) -> DataFrame:
+    """``stripes`` with ``piece``, the id of the first of those around them that a run could reach.
+
+    A run holds the stripe before the next one, so its anchors begin no later and end no earlier than that one's. The
+    next cannot join if its end is more than ``max_width`` beyond the other's start, or if its start is more than
+    ``threshold`` before the other's end; there, whatever the run has become, a new piece begins. Stripes are looked at
+    in blocks of ids, and blocks pass on their last stripe and the piece it is in, so that no task has a chromosome.
+    """
+    side = ["direction", "graph"]
+    rows = stripes.withColumn("_block", F.floor(F.col("stripe_id") / BLOCK))
+    within = Window.partitionBy(*side, "_block").orderBy("stripe_id")
+    across = Window.partitionBy(*side).orderBy("_block")
+    last = F.struct("stripe_id", "anchor_start", "anchor_end")
+    ends = rows.groupBy(*side, "_block").agg(F.max(last).alias("_last")).select(*side, "_block", F.lag("_last").over(across).alias("_earlier"))
+    rows = rows.join(ends, [*side, "_block"])
+    before = F.coalesce(F.lag(F.struct("stripe_id", "anchor_start", "anchor_end")).over(within), F.col("_earlier"))
+    rows = rows.withColumn("_p", before)
+    apart = F.col("_p").isNull() | (F.col("anchor_end") - F.col("_p.anchor_start") > max_width) | (F.col("_p.anchor_end") - F.col("anchor_start") > threshold)
+    rows = rows.withColumn("_first", F.when(apart, F.col("stripe_id")))
+    # The id of the latest first one: of the same block, else of the latest block before that has one.
+    known = rows.groupBy(*side, "_block").agg(F.max("_first").alias("_f")).select(*side, "_block", F.max("_f").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    rows = rows.join(known, [*side, "_block"])
+    return rows.withColumn("piece", F.coalesce(F.max("_first").over(within), "_carried")).select(*stripes.columns, "piece")
+
+
 def _runs(threshold: int, max_width: int, max_length_diff: int):
-    """Walks each (direction, graph) once, in order of stripe id: which stripes merge into which run."""
+    """Walks each piece once, in order of stripe id: which stripes merge into which run."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, rid, a0, a1, s, e = None, -1, 0, 0, 0, 0
         for b in batches:
             out = []
-            for g, d, i, x0, x1, y0, y1 in zip(b["graph"], b["direction"], b["stripe_id"], b["anchor_start"], b["anchor_end"], b["start"], b["end"], strict=True):
-                joins = group == (g, d) and a1 - x0 <= threshold and x1 - a0 <= max_width and abs((y1 - y0) - (e - s)) <= max_length_diff
+            for g, c, d, i, x0, x1, y0, y1 in zip(b["piece"], b["graph"], b["direction"], b["stripe_id"], b["anchor_start"], b["anchor_end"], b["start"], b["end"], strict=True):
+                joins = group == (g, c, d) and a1 - x0 <= threshold and x1 - a0 <= max_width and abs((y1 - y0) - (e - s)) <= max_length_diff
                 if joins:
                     a0, a1 = min(a0, x0), max(a1, x1)
                     s, e = (a0, max(e, y1)) if d == "R" else (min(s, y0), a1)
                 else:
-                    group, rid, a0, a1, s, e = (g, d), i, x0, x1, y0, y1
+                    group, rid, a0, a1, s, e = (g, c, d), i, x0, x1, y0, y1
                 out.append(rid)
             yield b[["graph", "direction", "stripe_id"]].assign(run_id=out)
 
@@ -64,10 +91,11 @@ def _runs(threshold: int, max_width: int, max_length_diff: int):
 def merge_runs(stripes: DataFrame, threshold: int = 0, max_width: int = 80000, max_length_diff: int = 200000, compat: str = "reference") -> DataFrame:
     """(graph, direction, stripe_id, run_id): neighbouring stripes that merge share the id of the first of them.
 
+    Stripes are walked in pieces that no merge can cross (see ``pieces``), dealt to tasks one by one.
     With ``compat="reference"`` the last run of every chromosome but a direction's last one is left out.
     """
     rows = stripes.select(*STRIPE, "anchor_start", "anchor_end", "start", "end")
-    dealt = rows.repartition("direction", "graph").sortWithinPartitions("direction", "graph", "stripe_id")
+    dealt = pieces(rows, threshold, max_width).repartition("graph", "direction", "piece").sortWithinPartitions("graph", "direction", "piece", "stripe_id")
     runs = dealt.mapInPandas(_runs(threshold, max_width, max_length_diff), "graph string, direction string, stripe_id long, run_id long")
     if compat == "fixed":
         return runs

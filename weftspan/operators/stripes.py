@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftspan.functions.chromosomes import chromosome_index
+from weftspan.operators.graph import sent
 from weftspan.operators.spans import span_clusters
 
 SIDE = ["graph", "direction"]
@@ -25,11 +26,12 @@ def blades(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     number = F.struct("node_id_A", "node_id_B")
     pair = ["graph", "low", "high"]
-    known = edges.withColumns({"low": F.least("node_id_A", "node_id_B"), "high": F.greatest("node_id_A", "node_id_B")})
-    looked = known.groupBy(*pair).agg(F.count("*").alias("times"), F.min_by(F.struct("node_id_A", "node_id_B", "n_contacts", "weight"), number).alias("e"))
+    ordered = edges.withColumns({"low": F.least("node_id_A", "node_id_B"), "high": F.greatest("node_id_A", "node_id_B")})
+    looked = ordered.groupBy(*pair).agg(F.count("*").alias("times"), F.min_by(F.struct("node_id_A", "node_id_B", "n_contacts", "weight"), number).alias("e"))
     each = looked.select("graph", F.explode(F.array(F.struct(F.col("low").alias("anchor"), F.col("high").alias("leaf")), F.struct(F.col("high").alias("anchor"), F.col("low").alias("leaf")))).alias("x"), "times", "e.*")
     each = each.select("graph", "x.anchor", "x.leaf", "times", "node_id_A", "node_id_B", "n_contacts", "weight")
-    place = lambda p, n: nodes.select("graph", F.col("node_id").alias(n), F.col("chromosome").alias(f"{p}_chromosome"), F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"))
+    known = sent(nodes)
+    place = lambda p, n: known.select("graph", F.col("node_id").alias(n), F.col("chromosome").alias(f"{p}_chromosome"), F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"))
     rows = each.join(place("anchor", "anchor"), ["graph", "anchor"]).join(place("leaf", "leaf"), ["graph", "leaf"])
     rows = rows.withColumn("direction", F.when(F.col("leaf_start") < F.col("anchor_start"), "L").otherwise("R"))
     position = F.when(F.col("direction") == "R", F.col("leaf_start")).otherwise(-F.col("leaf_end"))

@@ -164,6 +164,7 @@ JOIN (SELECT dataset, count(*) AS n FROM u GROUP BY dataset) a ON a.dataset = da
     "nodes": _call("SELECT * FROM nodes"),
     "nodes_one_each": _call('SELECT graph, row_number() OVER (PARTITION BY graph ORDER BY s, e) - 1 AS node_id, s AS start, e AS "end" FROM anchors'),
     "edges": _call("SELECT * FROM edges"),
+    "edges_holistic_agg": _call("SELECT c.graph, a.island AS node_id_A, b.island AS node_id_B, count(*) AS n_contacts, max(petcount) AS max_petcount, round(quantile_cont(petcount, 0.5), 6) AS median_petcount, round(quantile_cont(petcount, 0.75), 6) AS q3_petcount, round(quantile_cont(CAST(abs(sa - sb + ea - eb) // 2 AS DOUBLE), 0.5), 6) AS median_length, round(avg(petcount), 6) AS mean_petcount FROM prep c JOIN placed a ON a.graph = c.graph AND a.s = c.sa AND a.e = c.ea JOIN placed b ON b.graph = c.graph AND b.s = c.sb AND b.e = c.eb WHERE a.island <> b.island GROUP BY ALL"),
     "edges_user_agg": _call("SELECT c.graph, a.island AS node_id_A, b.island AS node_id_B, count(*) AS n_contacts, round(avg(petcount), 6) AS mean_petcount FROM prep c JOIN placed a ON a.graph = c.graph AND a.s = c.sa AND a.e = c.ea JOIN placed b ON b.graph = c.graph AND b.s = c.sb AND b.e = c.eb WHERE a.island <> b.island GROUP BY ALL"),
     "strand_edges": _call("SELECT graph, node_id AS node_id_A, node_id_B, length FROM (SELECT graph, node_id, lead(node_id) OVER w AS node_id_B, lead(midpoint) OVER w - midpoint AS length FROM nodes WINDOW w AS (PARTITION BY graph ORDER BY node_id)) WHERE node_id_B IS NOT NULL"),
     "fans": _call("SELECT graph, direction, anchor, min(anchor_start) AS anchor_start, max(anchor_end) AS anchor_end, min(leaf_start) AS leafs_start, max(leaf_end) AS leafs_end, CAST(sum(times) AS BIGINT) AS size FROM blades GROUP BY graph, direction, anchor HAVING sum(times) BETWEEN 2 AND 50"),

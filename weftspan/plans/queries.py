@@ -260,6 +260,14 @@ def edges_user_agg(spark, folder):
     return rounded(found.select("graph", "node_id_A", "node_id_B", "n_contacts", "mean_petcount"), "mean_petcount")
 
 
+@query
+def edges_holistic_agg(spark, folder):
+    """Median and quartile of the counts of an edge's contacts, and how long they are by the middle one, beside plain columns."""
+    own = {"median_petcount": graph.Holistic(graph.counted_quantile(0.5)), "q3_petcount": graph.Holistic(graph.counted_quantile(0.75)), "median_length": graph.Holistic(graph.counted_quantile(0.5), "length"), "mean_petcount": F.avg("petcount")}
+    _, found = graph.build(prepared(spark, folder), edge_aggs=own)
+    return rounded(found.select("graph", "node_id_A", "node_id_B", "n_contacts", "max_petcount", *own), *own)
+
+
 @query
 def strand_edges(spark, folder):
     found = graph.nodes(graph.assign_nodes(graph.anchors(prepared(spark, folder))))
