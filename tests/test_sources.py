@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import CONTACT_SCHEMA, example_contacts
-from weftspan.operators import compare, features, graph, viewdata
+from weftspan.operators import compare, features, graph, islands, viewdata
 from weftspan.plans import cli
 from weftspan.plans.pipeline import StripeCaller
 from weftspan.sources import bedpe, catalog, dialects
@@ -188,3 +188,42 @@ def test_node_strategies_and_user_aggregates(spark):
     nodes, edges = graph.build(rows, node_aggs={"widest": F.max("length")}, edge_aggs={"mean": F.avg("petcount")})
     assert "widest" in nodes.columns and {r["mean"] for r in edges.collect()} == {1.0}
     assert graph.strand_edges(nodes).count() == 8
+
+
+def test_ids_count_rows_over_files(spark, tmp_path):
+    """Ids are row numbers from 0 in the order of the files, however they are read."""
+    lines = ["chr\tpos1\tpos2\tchr2\tpos3\tpos4\tcolor"] + [f"{1 + i % 3}\t{i * 10}\t{i * 10 + 5}\t{1 + i % 3}\t{i * 10}\t{i * 10 + 90}\tx" for i in range(400)]
+    for k in range(3):
+        (tmp_path / f"f{k}.tsv").write_text("\n".join([lines[0], *lines[1 + k * 100 : 101 + k * 100 + (100 if k == 2 else 0)]]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    got = dialects.read_viewer_stripes(spark, str(tmp_path)).collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r.stripe_id, r.anchor_start) for r in got) == [(i, i * 10) for i in range(400)]
+    natural = dialects.read_viewer_positions(spark, str(tmp_path)).orderBy("stripe_id").collect()
+    assert [(r.chr, r.pos1) for r in natural] == sorted(((f"chr{1 + i % 3}", i * 10) for i in range(400)))
+
+
+def test_keys_of_a_table_of_paths(spark, tmp_path):
+    c = catalog.Catalog(spark, str(tmp_path), ["sample", "rep"]).add("runs", r"(?P<sample>[a-z]+)_(?P<rep>\d+)\.csv", types={"rep": "int"}).add("runs", r"(?P<sample>[a-z]+)\.csv", defaults={"rep": 0}, types={"rep": "int"})
+    paths = spark.createDataFrame([("/x/q_7.csv",), ("/x/q_7.csv",), ("/y/z.csv",), ("/no.txt",)], "path string")
+    got = {r.path: (r["sample"], r.rep) for r in c.keys_of_all("runs", paths).collect()}
+    assert got == {"/no.txt": (None, None), "/x/q_7.csv": ("q", 7), "/y/z.csv": ("z", 0)}
+
+
+def test_split_tables_are_replaced_whole(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
+    for _ in range(2):
+        root, _, _ = catalog.split_write(df, f"{tmp_path}/t_", ["k"], format="parquet")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t_a", "t_b"]
+    assert [r.v for r in spark.read.parquet(f"{root}/t_a").collect()] == [1]
+
+
+def test_records_of_a_table(spark):
+    df = spark.sql("select * from values (named_struct('a', 'x', 'b', 3, 'c', 5)), (null) as t(record)")
+    assert [tuple(r) for r in islands.from_records(df, "record", ["name"]).collect()] == [("x", 3, 5)]
+    with pytest.raises(ValueError, match="3 values"):
+        islands.from_records(df.selectExpr("struct(1, 2) as record"), "record", ["name"])
+    with pytest.raises(Exception, match="before it starts"):
+        islands.from_records(df.selectExpr("struct(5, 2) as record"), "record").collect()

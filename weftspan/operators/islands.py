@@ -163,13 +163,25 @@ def intersect_other(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), start:
     return pairs.select(*keys, F.greatest("_s1", "_s2").alias(start), F.least("_e1", "_e2").alias(end))
 
 
-def from_records(spark: SparkSession, records: Sequence[tuple], keys: Sequence[str] = (), start: str = "start", end: str = "end") -> DataFrame:
-    """A table of given intervals: tuples of the key columns (text) and both ends; no records give no rows."""
-    if any(len(r) != len(keys) + 2 for r in records):
-        raise ValueError(f"a record must have {len(keys) + 2} values")
+def from_records(source: SparkSession | DataFrame, records: Sequence[tuple] | str, keys: Sequence[str] = (), start: str = "start", end: str = "end") -> DataFrame:
+    """A table of given intervals: records of the key columns (text) and both ends; no records give no rows.
+
+    Records are tuples, or a column of structs of a table, whose fields are taken by position. An interval that ends
+    before it starts is an error, of the job in a table; null records are left out.
+    """
+    names = [*keys, start, end]
+    if isinstance(source, DataFrame):
+        fields = source.schema[records].dataType.fieldNames()
+        if len(fields) != len(names):
+            raise ValueError(f"a record must have {len(names)} values")
+        rows = source.filter(F.col(records).isNotNull()).select(*(F.col(records)[f].cast("long" if i >= len(keys) else "string").alias(n) for i, (f, n) in enumerate(zip(fields, names, strict=True))))
+        wrong = F.raise_error(F.lit("an interval ends before it starts"))
+        return rows.withColumn(end, F.when(F.col(end) < F.col(start), wrong.cast("long")).otherwise(F.col(end)))
+    if any(len(r) != len(names) for r in records):
+        raise ValueError(f"a record must have {len(names)} values")
     if any(r[-2] > r[-1] for r in records):
         raise ValueError("an interval ends before it starts")
-    return spark.createDataFrame(list(records), ", ".join([*(f"`{k}` string" for k in keys), f"`{start}` long", f"`{end}` long"]))
+    return source.createDataFrame(list(records), ", ".join([*(f"`{k}` string" for k in keys), f"`{start}` long", f"`{end}` long"]))
 
 
 def subset(df: DataFrame, take: Column | Sequence[int], row_id: str | None = None) -> DataFrame:

@@ -15,7 +15,8 @@ from weftspan.operators import graph
 from weftspan.plans.oracles import ORACLES, _call, _summary
 from weftspan.plans.queries import call, query, table_of
 from weftspan.sources import adapters, bedpe, dialects
-from weftspan.sources.catalog import Catalog, read_and_concat, split_write
+from weftspan.sources.bedpe_files import read_files
+from weftspan.sources.catalog import Catalog, name_part, read_and_concat, split_write
 from weftspan.streaming import ingest
 
 
@@ -23,9 +24,9 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/files-{uuid.uuid4()}"
 
 
-def written(spark: SparkSession, lines: DataFrame, before: list[str], after: list[str] = ()) -> str:
+def written(spark: SparkSession, lines: DataFrame, before: list[str], after: list[str] = (), path: str | None = None) -> str:
     """A text file of ``lines`` (one column) between some given ones; one file, as a header stands in one."""
-    path = scratch(spark)
+    path = path or scratch(spark)
     given = lambda text: spark.createDataFrame([(x,) for x in text], "value string").coalesce(1)
     given(before).union(lines).union(given(after)).coalesce(1).write.text(path)
     return path
@@ -35,12 +36,12 @@ def lines_of(rows: DataFrame, *columns: str | Column) -> DataFrame:
     return rows.select(F.concat_ws("\t", *columns).alias("value"))
 
 
-def mixed_contacts(spark: SparkSession, folder: str) -> DataFrame:
+def mixed_contacts(spark: SparkSession, folder: str, *more: str) -> DataFrame:
     """Contacts of which some are between chromosomes, without a prefix, with a price and a flag."""
     rows = adapters.table(spark, folder, "lineitem")
     return rows.select(
         (1 + F.col("l_orderkey") % 22).cast("string").alias("a"), (F.col("l_partkey") * 10).alias("s"), (1 + F.col("l_suppkey") % 22).cast("string").alias("b"), (F.col("l_orderkey") * 3).alias("t"),
-        F.col("l_quantity").cast("long").alias("n"), F.col("l_extendedprice").cast("string").alias("price"), "l_returnflag",
+        F.col("l_quantity").cast("long").alias("n"), F.col("l_extendedprice").cast("string").alias("price"), "l_returnflag", *more,
     )
 
 
@@ -82,30 +83,44 @@ def bedpe_reader_between(spark, folder):
 
 @query
 def bedpe_reader_limit(spark, folder):
-    rows = bedpe.read_contacts(spark, contact_file(spark, folder, named=True), nrows=1000)
-    return rows.agg(F.count("*").alias("n"))
+    lines = mixed_contacts(spark, folder, "l_orderkey", "l_linenumber").coalesce(1).sortWithinPartitions("l_orderkey", "l_linenumber")
+    path = written(spark, lines_of(lines, "a", "s", F.col("s") + 500, "b", "t", F.col("t") + 700, "n"), ["\t".join([*"abcdef", "count"])])
+    return bedpe.read_contacts(spark, path, nrows=1000)
+
+
+@query
+def bedpe_files(spark, folder):
+    """Three files in one read: names with a count, comments without, lines to skip before an unnamed count."""
+    path, rows = scratch(spark), mixed_contacts(spark, folder, "l_linenumber").withColumn("part", F.col("l_linenumber") % 3)
+    core = lambda name: [name("a"), "s", F.col("s") + 500, name("b"), "t", F.col("t") + 700]
+    plain, prefixed = F.col, lambda c: F.concat(F.lit("chr"), F.col(c))
+    written(spark, lines_of(rows.filter("part = 0"), *core(plain), "l_returnflag", "n"), ["\t".join([*"abcdef", "flag", "count"])], path=f"{path}/named")
+    written(spark, lines_of(rows.filter("part = 1"), *core(prefixed), F.concat("l_returnflag", F.lit("# said"))), ["# one", "# two"], ["", "# end"], path=f"{path}/commented")
+    written(spark, lines_of(rows.filter("part = 2"), *core(prefixed), "l_returnflag", "price", "n"), ["not a contact", "a\tb\tc\td"], path=f"{path}/skipped")
+    found = read_files(spark, [path], (6, "flag", "string"), own={"skipped": {"skiprows": 2, "petcount_col": 8}}, chunk=1 << 16)
+    return found.withColumn("file", F.regexp_extract("file", "([a-z]+)/[^/]*$", 1)).drop("place")
 
 
 @query
 def viewer_read_stripes(spark, folder):
     path = scratch(spark)
-    dialects.save_viewer_stripes(call(spark, folder).raw, path, pad_w=3)
-    return dialects.read_viewer_stripes(spark, path).drop("stripe_id")
+    dialects.save_viewer_stripes(call(spark, folder).raw.orderBy("stripe_id"), path, pad_w=3)
+    return dialects.read_viewer_stripes(spark, path)
 
 
 @query
 def viewer_read_positions(spark, folder):
     path = scratch(spark)
-    dialects.save_viewer_stripes(call(spark, folder).raw, path)
-    return dialects.read_viewer_positions(spark, path).withColumnRenamed("stripe_id", "saved").groupBy("chr", "chr2", "pos1", "pos2", "pos3", "pos4", "direction").agg(F.count("*").alias("n"))
+    dialects.save_viewer_stripes(call(spark, folder).raw.orderBy("stripe_id"), path)
+    return dialects.read_viewer_positions(spark, path)
 
 
 @query
 def third_party_read(spark, folder):
     path = scratch(spark)
-    rows = call(spark, folder).raw
+    rows = call(spark, folder).raw.orderBy("stripe_id")
     dialects.write_tsv(rows.select(F.expr("substr(chromosome, 4)").alias("chr"), F.col("anchor_start").alias("pos1"), F.col("anchor_end").alias("pos2"), F.expr("substr(chromosome, 4)").alias("chr2"), F.col("start").alias("pos3"), F.col("end").alias("pos4"), "length", "width"), path)
-    return dialects.read_third_party(spark, path).drop("stripe_id")
+    return dialects.read_third_party(spark, path)
 
 
 @query
@@ -124,7 +139,10 @@ def order_files(spark: SparkSession, folder: str, suffix: str = ".csv") -> Catal
 
 @query
 def catalog_paths(spark, folder):
-    return order_files(spark, folder).paths("orders", check_unique=False).select("o_orderstatus", "o_orderpriority").distinct()
+    """Each table's folder, and how many files it has; part files have names of their own in each run."""
+    rows = order_files(spark, folder).paths("orders", check_unique=False)
+    where = F.regexp_extract("path", r"([^/]+)/part-[^/]*$", 1)
+    return rows.groupBy("o_orderstatus", "o_orderpriority", where.alias("path")).agg((F.count("*") > 0).alias("has_files"))
 
 
 @query
@@ -132,17 +150,30 @@ def catalog_table(spark, folder):
     found = order_files(spark, folder)
     pattern = found.sources[0].pattern.removeprefix("^(?:.*/)?").removesuffix("$")
     found.add("urgent", pattern, encoded=True, filters=(lambda d: d["o_orderpriority"].startswith("1"),), action=lambda p: F.upper(p))
-    rows = found.table("none")
-    return rows.select("o_orderstatus", "o_orderpriority", (F.col("orders") != "none").alias("orders"), (F.col("urgent") != "none").alias("urgent")).distinct()
+    where = lambda c: F.when(F.col(c) != "none", F.regexp_extract(c, r"([^/]+)/(?i:part)-[^/]*$", 1)).alias(c)
+    return found.table("none").select("o_orderstatus", "o_orderpriority", where("orders"), where("urgent")).distinct()
 
 
 @query
 def catalog_keys_of(spark, folder):
-    found, rows = order_files(spark, folder), []
-    for name in ("/anywhere/orders_F_1-URGENT.csv/part-0", "/orders_P_4-NOT+SPECIFIED.csv/part-7", "/orders_F.csv/part-0"):
-        keys = found.keys_of("orders", name)
-        rows.append((name, *(keys.values() if keys else (None, None))))
-    return spark.createDataFrame(rows, "path string, status string, priority string")
+    """Keys of the path that a file for each order would have; every seventh belongs to no source."""
+    orders = adapters.table(spark, folder, "orders")
+    name = F.concat(F.lit("orders_"), name_part(F.col("o_orderstatus"), "_"), F.lit("_"), name_part(F.col("o_orderpriority"), "_"), F.lit(".csv"))
+    path = F.concat(F.lit("/of/"), F.col("o_custkey").cast("string"), F.lit("/"), F.when(F.col("o_orderkey") % 7 == 0, "orders.csv").otherwise(name), F.lit("/part-"), F.col("o_orderkey").cast("string"))
+    return order_files(spark, folder).keys_of_all("orders", orders.select(path.alias("path")))
+
+
+@query
+def catalog_limited(spark, folder):
+    """The first file of each of two sources of one name, by path, and the tables whose files more than one source has."""
+    found = order_files(spark, folder)
+    pattern = found.sources[0].pattern.removeprefix("^(?:.*/)?").removesuffix("$")
+    found.add("orders", pattern, encoded=True, filters=(lambda d: d["o_orderpriority"] >= "4",))
+    first = found.paths("orders", limit_per_source=10**6, check_unique=False)
+    folders = lambda d: d.select("o_orderstatus", "o_orderpriority", F.regexp_extract("path", r"([^/]+)/part-[^/]*$", 1).alias("path")).distinct()
+    several = first.groupBy("path").agg(F.count("*").alias("n"), F.first("o_orderstatus").alias("o_orderstatus"), F.first("o_orderpriority").alias("o_orderpriority")).filter("n > 1")
+    few = found.paths("orders", limit_per_source=1, check_unique=False)
+    return folders(several).withColumn("kind", F.lit("several")).unionByName(folders(few).withColumn("kind", F.lit("first")))
 
 
 @query
@@ -173,21 +204,29 @@ def streamed_snapshot(spark, folder):
 
 _RAW = _summary("cs", "raw_stripes")
 _RIGHT = "CASE WHEN direction = 'R' THEN 1 ELSE 0 END"
+NAME = "'orders_' || o_orderstatus || '_' || replace(o_orderpriority, ' ', '+') || '.csv'"
 IO_ORACLES = {
     "bedpe_reader": f"WITH {MIXED} SELECT {CORE}, n AS petcount, price, l_returnflag AS flag FROM m",
     "bedpe_reader_comments": f"WITH {MIXED} SELECT {CORE}, n AS petcount FROM m",
     "bedpe_reader_skiprows": f"WITH {MIXED} SELECT {CORE}, n AS petcount, price FROM m WHERE n >= 10",
     "bedpe_reader_between": f"WITH {MIXED} SELECT {CORE}, n AS petcount FROM m WHERE a <> b AND n >= 20 AND (a = '3' OR b = '3')",
-    "bedpe_reader_limit": f"WITH {MIXED} SELECT least(count(*), 1000) AS n FROM m",
+    "bedpe_reader_limit": f"WITH {MIXED.replace('l_returnflag FROM', 'l_returnflag, l_orderkey, l_linenumber FROM')} SELECT {CORE}, n AS petcount FROM m ORDER BY l_orderkey, l_linenumber LIMIT 1000",
+    "bedpe_files": f"WITH {MIXED.replace('l_returnflag FROM', 'l_returnflag, l_linenumber % 3 AS part FROM')} SELECT {CORE}, CASE WHEN part <> 1 THEN n END AS petcount, l_returnflag AS flag, CASE part WHEN 0 THEN 'named' WHEN 1 THEN 'commented' ELSE 'skipped' END AS file FROM m",
     "viewer_read_stripes": _call(
-        f"""SELECT graph AS chromosome, CASE WHEN abs(p3 - p1) < abs(p4 - p2) THEN 'R' ELSE 'L' END AS direction, p1 AS anchor_start, p2 AS anchor_end, p2 - p1 AS width, p3 AS start, p4 AS "end", p4 - p3 AS length
-FROM (SELECT graph, anchor_start - 3 - {_RIGHT} AS p1, anchor_end + 3 AS p2, start - CASE WHEN direction = 'R' THEN 0 ELSE 3 END AS p3, "end" + CASE WHEN direction = 'R' THEN 3 ELSE 0 END AS p4 FROM raw_stripes)""", _RAW),
-    "viewer_read_positions": _call(f'SELECT graph AS chr, graph AS chr2, anchor_start - {_RIGHT} AS pos1, anchor_end AS pos2, start AS pos3, "end" AS pos4, direction, count(*) AS n FROM raw_stripes GROUP BY ALL', _RAW),
-    "third_party_read": _call("""SELECT graph AS chr, anchor_start AS pos1, anchor_end AS pos2, graph AS chr2, start AS pos3, "end" AS pos4, length, width, CASE WHEN anchor_start + anchor_end > start + "end" THEN 'L' ELSE 'R' END AS direction FROM raw_stripes""", _RAW),
+        f"""SELECT stripe_id, graph AS chromosome, CASE WHEN abs(p3 - p1) < abs(p4 - p2) THEN 'R' ELSE 'L' END AS direction, p1 AS anchor_start, p2 AS anchor_end, p2 - p1 AS width, p3 AS start, p4 AS "end", p4 - p3 AS length
+FROM (SELECT stripe_id, graph, anchor_start - 3 - {_RIGHT} AS p1, anchor_end + 3 AS p2, start - CASE WHEN direction = 'R' THEN 0 ELSE 3 END AS p3, "end" + CASE WHEN direction = 'R' THEN 3 ELSE 0 END AS p4 FROM raw_stripes)""", _RAW),
+    "viewer_read_positions": _call(f"""SELECT row_number() OVER (ORDER BY CAST(substr(chr, 4) AS INTEGER), pos1, pos2, pos3, pos4, saved) - 1 AS stripe_id, * EXCLUDE (saved)
+FROM (SELECT graph AS chr, graph AS chr2, anchor_start - {_RIGHT} AS pos1, anchor_end AS pos2, start AS pos3, "end" AS pos4, direction, stripe_id AS saved FROM raw_stripes)""", _RAW),
+    "third_party_read": _call("""SELECT row_number() OVER (ORDER BY CAST(substr(chr, 4) AS INTEGER), pos1, pos2, pos3, pos4, saved) - 1 AS stripe_id, * EXCLUDE (saved)
+FROM (SELECT graph AS chr, anchor_start AS pos1, anchor_end AS pos2, graph AS chr2, start AS pos3, "end" AS pos4, length, width, CASE WHEN anchor_start + anchor_end > start + "end" THEN 'L' ELSE 'R' END AS direction, stripe_id AS saved FROM raw_stripes)""", _RAW),
     "stripes_saved": ORACLES["stripes_final"],
-    "catalog_paths": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
-    "catalog_table": "SELECT DISTINCT o_orderstatus, o_orderpriority, true AS orders, o_orderpriority LIKE '1%' AS urgent FROM orders",
-    "catalog_keys_of": "SELECT * FROM (VALUES ('/anywhere/orders_F_1-URGENT.csv/part-0', 'F', '1-URGENT'), ('/orders_P_4-NOT+SPECIFIED.csv/part-7', 'P', '4-NOT SPECIFIED'), ('/orders_F.csv/part-0', NULL, NULL)) t(path, status, priority)",
+    "catalog_paths": f"SELECT DISTINCT o_orderstatus, o_orderpriority, {NAME} AS path, true AS has_files FROM orders",
+    "catalog_table": f"SELECT DISTINCT o_orderstatus, o_orderpriority, {NAME} AS orders, CASE WHEN o_orderpriority LIKE '1%' THEN upper({NAME}) END AS urgent FROM orders",
+    "catalog_keys_of": f"""SELECT DISTINCT '/of/' || o_custkey || '/' || CASE WHEN o_orderkey % 7 = 0 THEN 'orders.csv' ELSE {NAME} END || '/part-' || o_orderkey AS path,
+CASE WHEN o_orderkey % 7 > 0 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END AS o_orderpriority FROM orders""",
+    "catalog_limited": f"""WITH k AS (SELECT DISTINCT o_orderstatus, o_orderpriority, {NAME} AS path FROM orders)
+SELECT *, 'several' AS kind FROM k WHERE o_orderpriority >= '4' UNION ALL (SELECT *, 'first' FROM k ORDER BY path LIMIT 1)
+UNION ALL (SELECT *, 'first' FROM k WHERE o_orderpriority >= '4' ORDER BY path LIMIT 1)""",
     "catalog_read": "SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderpriority, count(*) OVER () AS rows, count(*) OVER () - 1 AS last FROM orders",
     "streamed_edges": _call("SELECT graph AS chromosome_A, sa AS start_A, ea AS end_A, graph AS chromosome_B, sb AS start_B, eb AS end_B, count(*) AS n_contacts, sum(petcount) AS total_petcount, min(petcount) AS min_petcount, max(petcount) AS max_petcount, min(abs(sa - sb + ea - eb) // 2) AS min_length, max(abs(sa - sb + ea - eb) // 2) AS max_length FROM prep GROUP BY ALL"),
 }

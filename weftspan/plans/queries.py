@@ -466,7 +466,9 @@ def interval_subset(spark, folder):
 
 @query
 def interval_records(spark, folder):
-    return islands.from_records(spark, [("chr1", "x", 5, 9), ("chr1", "y", 7, 7), ("chr2", "x", -3, 4)], ["chromosome", "name"])
+    rows = adapters.spans(spark, folder)
+    records = F.struct(F.concat(F.lit("chr"), "key"), F.col("id").cast("string"), F.col("start").cast("int"), F.col("end"))
+    return islands.from_records(rows.select(F.when(F.col("id") % 5 > 0, records).alias("record")), "record", ["chromosome", "name"])
 
 
 @query

@@ -30,7 +30,7 @@ from weftspan.sources.bedpe import CORE, filter_contacts, sniff
 CHUNK = 1 << 25
 #: Endings of files that have to be read from their beginning.
 WHOLE = (".gz", ".bz2", ".zst", ".lz4")
-#: What one file may have of its own, by its base name, in the option ``own``.
+#: What a file may have of its own in the option ``own``, by its name or that of a folder that it is in.
 OWN = {"skiprows", "petcount_col", "sep", "comment"}
 
 
@@ -169,7 +169,7 @@ class BedpeReader(DataSourceReader):
 
     def settings(self, path: str) -> dict:
         default = {"sep": self.options.get("sep", "\t"), "comment": self.options.get("comment", "#"), "skiprows": int(self.options.get("skiprows", -1)), "petcount_col": int(self.options.get("petcount_col", -1))}
-        return default | self.own.get(path.rpartition("/")[2], {})
+        return default | next((self.own[part] for part in reversed(path.split("/")) if part in self.own), {})
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.path:
@@ -217,7 +217,7 @@ class BedpeSource(DataSource):
     where a row comes from: ``file``, and ``place``, the byte at which its line begins.
 
     Options: ``files`` (a list, as JSON) or a path; ``sep``, ``comment``, ``skiprows`` and ``petcount_col`` for all
-    files, ``own`` (JSON: settings by base name) for single ones; ``extra`` (JSON: [index, name, type]); ``nrows`` for
+    files, ``own`` (JSON: settings by the name of a file or folder) for some; ``extra`` (JSON: [index, name, type]); ``nrows`` for
     the first rows of each file; ``chunk`` for the bytes of a range.
     """
 
@@ -237,7 +237,7 @@ class BedpeSource(DataSource):
 def read_files(spark: SparkSession, paths: Sequence[str], *extra: tuple[int, str, str], own: dict[str, dict] | None = None, sep: str = "\t", skiprows: int = -1, comment: str = "#", petcount_col: int = -1, nrows: int | None = None, fix_chromosome: bool = True, prefixed: bool | None = None, chunk: int = CHUNK, min_petcount: int = 0, chromosomes: str | Sequence[str] | None = None, intrachromosomal: bool = True, interchromosomal: bool = True) -> DataFrame:
     """Interactions of many files, with ``file`` and ``place``; parameters as in ``bedpe.read_contacts``.
 
-    Each file has its own header, count column and skipped rows (``own`` sets them by base name), takes its own first
+    Each file has its own header, count column and skipped rows (``own`` sets them by the name of a file or folder), takes its own first
     ``nrows``, and gets the prefix chr unless all of its names have it. A file without a count column has null counts,
     which ``min_petcount`` lets pass. Empty files give no rows.
     """

@@ -91,6 +91,16 @@ class Catalog:
                 return {k: r[k] for k in self.keys}
         return None
 
+    def keys_of_all(self, name: str, paths: DataFrame) -> DataFrame:
+        """(path, keys) of a table of paths, whether the files are there or not; null keys where no source of that name
+        has it, those of the first source where several do. Repeated paths are one; nothing is listed or read."""
+        asked, out = paths.select("path").distinct(), None
+        for i, s in enumerate(self._named(name)):
+            found = self._matched(s, asked).select(F.col("file").alias("path"), F.struct(F.lit(i).alias("source"), *self.keys).alias("k"))
+            out = found if out is None else out.unionByName(found)
+        first = out.groupBy("path").agg(F.min("k").alias("k"))
+        return asked.join(first, "path", "left").select("path", *(F.col(f"k.{k}").alias(k) for k in self.keys))
+
     def paths(self, name: str, limit_per_source: int | None = None, check_unique: bool = True) -> DataFrame:
         """(keys, path) of all sources of a name; keys that come twice, and files of several sources, are logged."""
         out = None
@@ -188,8 +198,12 @@ def split_write(
         folder = status.getPath().getName()
         if folder.startswith("_name="):
             target = unquote(folder.removeprefix("_name="))  # what Spark has escaped in the folder's name
-            fs.delete(path(f"{root or '.'}/{target}"), True)
-            fs.rename(status.getPath(), path(f"{root or '.'}/{target}"))
+            # The old table is set aside until the new one is in its place.
+            place, aside = path(f"{root or '.'}/{target}"), path(f"{staging}/.old-{folder}")
+            if fs.exists(place):
+                fs.rename(place, aside)
+            fs.rename(status.getPath(), place)
+            fs.delete(aside, True)
             moved.add(target)
     fs.delete(path(staging), True)
     if not skip_empty:

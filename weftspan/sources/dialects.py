@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftspan.functions.chromosomes import add_prefix, chromosome_index, strip_prefix
+from weftspan.functions.lineage import number_rows
 
 VIEWER = ("chr", "pos1", "pos2", "chr2", "pos3", "pos4")
 
 
+#: Where a row stands: its file, the part of it that one task reads, and its place there.
+PLACE = ["_file", "_part_start", "_line"]
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=True)
+    """All rows of a file or folder of files, with their place."""
+    rows = spark.read.csv(path, sep="\t", header=True)
+    return rows.select("*", F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.file_block_start").alias(PLACE[1]), F.monotonically_increasing_id().alias(PLACE[2]))
+
+
+def _numbered(rows: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Rows with a running ``stripe_id`` from 0: in the order of the files, or of some columns and then that. No task
+    has all rows; those of one read are numbered alike in the next."""
+    return number_rows(rows.drop("stripe_id"), [*order, *PLACE], "stripe_id").drop(*PLACE)
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Rows in natural order with a running ``stripe_id`` from 0 (a stripe table is small: one row a stripe)."""
-    order = Window.orderBy(chromosome_index("chr"), "pos1", "pos2", chromosome_index("chr2"), "pos3", "pos4")
-    return rows.withColumn("stripe_id", (F.row_number().over(order) - 1).cast("long"))
+def _in_natural_order(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumns({"_c1": chromosome_index("chr"), "_c2": chromosome_index("chr2")})
+    return _numbered(rows, ["_c1", "pos1", "pos2", "_c2", "pos3", "pos4"]).drop("_c1", "_c2")
 
 
 def _typed(rows: DataFrame) -> DataFrame:
@@ -27,12 +40,13 @@ def _typed(rows: DataFrame) -> DataFrame:
 
 def read_viewer_positions(spark: SparkSession, path: str) -> DataFrame:
     """Viewer files as they are: positions with prefixed chromosomes, sorted and numbered; the colour goes."""
-    return _numbered(_typed(_read(spark, path))).drop("color")
+    return _in_natural_order(_typed(_read(spark, path))).drop("color")
 
 
 def read_viewer_stripes(spark: SparkSession, path: str) -> DataFrame:
-    """Viewer files as stripes: R if the far positions are nearer to the first anchor's start than to its end."""
-    rows = _typed(_read(spark, path)).withColumn("stripe_id", F.monotonically_increasing_id())
+    """Viewer files as stripes, numbered as their rows stand: R if the far positions are nearer to the first anchor's
+    start than to its end."""
+    rows = _numbered(_typed(_read(spark, path)))
     right = F.abs(F.col("pos3") - F.col("pos1")) < F.abs(F.col("pos4") - F.col("pos2"))
     return rows.select(
         "stripe_id", F.col("chr").alias("chromosome"), F.when(right, "R").otherwise("L").alias("direction"), F.col("pos1").alias("anchor_start"), F.col("pos2").alias("anchor_end"),
@@ -42,7 +56,7 @@ def read_viewer_stripes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_third_party(spark: SparkSession, path: str) -> DataFrame:
     """Another caller's table: L if the anchor's middle lies beyond that of the far positions."""
-    rows = _numbered(_typed(_read(spark, path)).withColumns({c: F.col(c).cast("long") for c in ("length", "width")}))
+    rows = _in_natural_order(_typed(_read(spark, path)).withColumns({c: F.col(c).cast("long") for c in ("length", "width")}))
     left = (F.col("pos2") + F.col("pos1")) - (F.col("pos4") + F.col("pos3")) > 0
     return rows.withColumn("direction", F.when(left, "L").otherwise("R"))
 
