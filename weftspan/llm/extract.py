@@ -4,8 +4,8 @@ Markup is read once, from left to right, and cut into blocks: runs of text betwe
 each block a score. Length with a density of stop words, as running text has it, speaks for a block; link density
 speaks against it. So do, less or more, the elements and names (class, id, role) that it stands under; an article or
 main element around it counts for little. A high score makes a block text, a low one makes it furniture, and what is
-between, such as a short block or one in a language without known stop words, stays open. Pass two gives each open
-block the label of its nearest decided neighbours.
+between, such as a short block, stays open. Pass two gives each open block the label of its nearest decided neighbours.
+On a page whose text has hardly any of the known stop words, in another language, length alone stands for running text.
 
 An element named like furniture that holds most of the page's stop words, and an article or all of its running text,
 is no furniture.
@@ -62,6 +62,13 @@ STRONG_NAMES = frozenset(
 )
 #: Words that furniture and articles both are named by.
 WEAK_NAMES = frozenset("header related recommended recommendations teaser widget widgets".split())
+#: Last parts of names that say which part or shape of something it is; what is named is in the part before.
+NEUTRAL = frozenset(
+    """area author bar block body box btn button buttons center column container content count element field form frame
+    full group head holder icon icons inner input item items label layout left line link links list main media meta
+    module outer overlay panel post right row section slot small template text thread title toggle top unit wrap
+    wrapper zone""".split()
+)
 #: First parts of names that say what a page or wrapper has, not what it is.
 ABOUT = frozenset("has no with without is not hide show".split())
 
@@ -69,8 +76,8 @@ ABOUT = frozenset("has no with without is not hide show".split())
 LINK_DENSITY = 0.5
 #: Blocks of fewer characters are too short to tell.
 SHORT = 70
-#: Running text has at least this part of stop words.
-STOP_DENSITY = 0.08
+#: Running text has at least this part of stop words; a page with less than the second part is in an unknown language.
+STOP_DENSITY, SPOKEN_DENSITY = 0.08, 0.02
 #: Scores: running text, an article around, text beside the page's articles, names, and what decides a block.
 RUNNING, IN_ARTICLE, BESIDE, WEAK, STRONG, LINKS = 2, 1, -1, -1, -4, -4
 TEXT, FURNITURE = 2, -1
@@ -157,6 +164,22 @@ def tokens(markup: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             yield "close" if m[1] else "open", tag, attributes
 
 
+def _called(word: str) -> int:
+    """How strongly one name says furniture. A compound is what its last part is called ("user-comments" are comments,
+    a "share-price" is a price), neutral parts and numbers aside; a part before that is a weak sign only."""
+    if word in STRONG_NAMES:
+        return STRONG
+    pieces = [x for x in re.split(r"[-_]+", word) if x]
+    if not pieces:
+        return 0
+    found = 0 if (STRONG_NAMES | WEAK_NAMES).isdisjoint(pieces) else WEAK
+    if pieces[0] in ABOUT:
+        return found
+    while len(pieces) > 1 and (pieces[-1] in NEUTRAL or pieces[-1].isdigit()):
+        pieces.pop()
+    return STRONG if pieces[-1] in STRONG_NAMES else found
+
+
 def _named(tag: str, attributes: dict[str, str], in_article: bool) -> int:
     """How strongly an element says that it is furniture: STRONG, WEAK or 0."""
     if tag in FURNITURE_TAGS and not (tag == "header" and in_article):
@@ -165,15 +188,8 @@ def _named(tag: str, attributes: dict[str, str], in_article: bool) -> int:
         return 0
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attributes.get("style", "").lower()):
         return STRONG
-    found = 0
-    for name in ("class", "id", "role"):
-        for word in attributes.get(name, "").lower().split():
-            pieces = re.split(r"[-_]+", word)
-            if word in STRONG_NAMES or pieces[0] not in ABOUT and not STRONG_NAMES.isdisjoint(pieces):
-                return STRONG
-            if not (STRONG_NAMES | WEAK_NAMES).isdisjoint(pieces):
-                found = WEAK
-    return 0 if tag in HEADINGS else found
+    found = min((_called(w) for name in ("class", "id", "role") for w in attributes.get(name, "").lower().split()), default=0)
+    return found if found == STRONG or tag not in HEADINGS else 0
 
 
 class _Named:
@@ -190,6 +206,7 @@ def blocks_of(markup: str) -> list[Block]:
     named = [_Named(-1, 0)]  # what is under no named element
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # open block elements: tag, innermost named element, article
     opened: Counter[str] = Counter()
+    menus: list[int] = []  # places in the stack of elements that end where an article begins
     raw: list[list] = []  # parts, linked, tag, named element, article
     articles, link_depth = 0, 0  # depth of the stack at which the open link began; 0: none
 
@@ -217,20 +234,23 @@ def blocks_of(markup: str) -> list[Block]:
                 while opened[value]:
                     tag = stack.pop()[0]
                     opened[tag] -= 1
+                    if menus and menus[-1] == len(stack):
+                        menus.pop()
                     if tag == value:
                         break
                 if link_depth > len(stack):
                     link_depth = 0
                 begin("", *stack[-1][1:])
                 continue
-            if value in ARTICLE_TAGS and not stack[-1][2] and any(opened[t] for t in BEFORE_ARTICLE):
-                keep = [x for x in stack if x[0] not in BEFORE_ARTICLE]  # an unclosed menu ends where the article begins
-                while len(stack) > 1 and stack[-1][0] in BEFORE_ARTICLE:
-                    opened[stack.pop()[0]] -= 1
-                if len(keep) < len(stack):
-                    for t, _, _ in stack[len(keep) :]:
-                        opened[t] -= 1
-                    stack, opened = [(t, 0, 0) for t, _, _ in keep], Counter(t for t, _, _ in keep[1:])
+            if value in ARTICLE_TAGS and not stack[-1][2] and menus:
+                # Unclosed menus end where the article begins. What stands in the stack above the first of them goes on
+                # under the names that were around that one; it is looked at once, as no menu is left in it.
+                first = menus[0]
+                around, above = stack[first - 1][1:], stack[first:]
+                for t, _, _ in above:
+                    opened[t] -= t in BEFORE_ARTICLE
+                stack[first:] = [(t, *around) for t, _, _ in above if t not in BEFORE_ARTICLE]
+                menus.clear()
                 link_depth = 0
             _, inside, article = stack[-1]
             if value in ARTICLE_TAGS:
@@ -243,6 +263,8 @@ def blocks_of(markup: str) -> list[Block]:
                 named.append(_Named(inside, says))
                 inside = len(named) - 1
             if value not in VOID_TAGS and value != "p":
+                if value in BEFORE_ARTICLE and not article:
+                    menus.append(len(stack))
                 stack.append((value, inside, article))
                 opened[value] += 1
             begin(value, inside, article)
@@ -257,10 +279,12 @@ def blocks_of(markup: str) -> list[Block]:
 
 def _weigh(found: list[tuple], named: list[_Named]) -> list[Block]:
     """The blocks with the strongest name around each, once it is known which named elements are furniture."""
-    for block in map(Block._make, found):
+    blocks = list(map(Block._make, found))
+    spoken = _spoken(blocks)
+    for block in blocks:
         if not _is_link(block):
-            named[block.name].stops += block.stops
-            named[block.name].running += _is_running(block)
+            named[block.name].stops += block.stops if spoken else len(block.text) * _is_running(block, spoken)
+            named[block.name].running += _is_running(block, spoken)
     free = named[0].running
     for x in reversed(named[1:]):  # an element comes after the one around it
         named[x.parent].stops += x.stops
@@ -275,19 +299,26 @@ def _is_link(b: Block) -> bool:
     return b.linked > LINK_DENSITY * len(b.text.replace(" ", ""))
 
 
-def _is_running(b: Block) -> bool:
-    return len(b.text) >= SHORT and b.stops >= STOP_DENSITY * max(1, b.words)
+def _spoken(blocks: list[Block]) -> bool:
+    """Whether the page's text has the stop words of a known language."""
+    words = [(b.stops, b.words) for b in blocks if not _is_link(b)]
+    return sum(s for s, _ in words) >= SPOKEN_DENSITY * sum(w for _, w in words)
+
+
+def _is_running(b: Block, spoken: bool = True) -> bool:
+    return len(b.text) >= SHORT and (not spoken or b.stops >= STOP_DENSITY * max(1, b.words))
 
 
 def decide(blocks: list[Block]) -> list[bool | None]:
     """Pass one: text, furniture, or open."""
     beside = any(b.article and b.name == 0 and not _is_link(b) for b in blocks)
+    spoken = _spoken(blocks)
     out: list[bool | None] = []
     for b in blocks:
         score = b.name + (IN_ARTICLE if b.article else BESIDE if beside else 0)
         if _is_link(b):
             score += 0 if b.heading and b.article else LINKS  # the heading of an article may be its link
-        elif _is_running(b):
+        elif _is_running(b, spoken):
             score += RUNNING
         out.append(True if score >= TEXT else False if score <= FURNITURE else None)
     return out
