@@ -29,13 +29,15 @@ from weftspan.llm.components import components
 SLOTS = 1 << 22
 #: A shingle in 2**(RARE + c) texts has class c.
 RARE = 4
-#: Bits of a hash that are counted; bytes of text that a share of the hash space stands for; hashes sent at a time.
-KEPT, SHARE_BYTES, SENT_HASHES = 48, 1 << 23, 1 << 22
+#: Of a hash so many bits more are counted than number the bytes of all texts, so that few shingles fall together.
+SPARE = 10
+#: Bytes of text that a share of the hash space stands for; hashes sent at a time.
+SHARE_BYTES, SENT_HASHES = 1 << 23, 1 << 22
 #: Parts that the sets with one common shingle are dealt into.
 SALT = 1 << 10
 #: Pairs of texts that a task is given at a time.
 BATCH = 500
-#: Rounds with one leader a shingle go on while one in so many of the pairs they look at is a link.
+#: Rounds of one kind go on while one in so many of the pairs they look at is a link.
 WORTH = 50
 #: Keys that are sent to all tasks, with a number each (4 MB); more are joined by a shuffle.
 SENT = 1 << 18
@@ -73,14 +75,15 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def _classes(texts: DataFrame, words: int) -> np.ndarray:
-    """The class of every slot: in how many texts the most common one of its shingles is.
+def _classes(texts: DataFrame, words: int) -> tuple[np.ndarray, int]:
+    """The class of every slot: in how many texts the most common one of its shingles is; and the bits of a hash that count.
 
-    Every shingle of every text is counted. Tasks send the first KEPT bits of their hashes, sorted and packed by share
-    of the hash space, as many shares as it takes for one to fit in a task; copies that a task has read are left out.
+    Every shingle of every text is counted. Tasks send the first bits of their hashes, sorted and packed by share of the
+    hash space, as many shares as it takes for one to fit in a task; copies that a task has read are left out.
     """
-    shares = 1 << max(4, (total_bytes(texts, "t") // SHARE_BYTES).bit_length())
-    drop, high = np.uint64(64 - KEPT), np.uint64(64 - shares.bit_length() + 1)
+    size = total_bytes(texts, "t")
+    shares, kept = 1 << max(4, (size // SHARE_BYTES).bit_length()), min(64, size.bit_length() + SPARE)
+    drop, high = np.uint64(64 - kept), np.uint64(64 - shares.bit_length() + 1)
 
     def sent(hashes: list[np.ndarray]) -> pd.DataFrame:
         h = np.sort(np.concatenate([np.zeros(0, np.uint64), *hashes]))
@@ -106,7 +109,7 @@ def _classes(texts: DataFrame, words: int) -> np.ndarray:
     def common(blobs: list[bytes]) -> pd.DataFrame:
         h, n = np.unique(np.concatenate([_unpacked(x) for x in blobs]), return_counts=True)
         many = n >= 2 << RARE
-        return pd.DataFrame({"slot": _slots(h[many] << drop), "c": (np.floor(np.log2(n[many])) - RARE).astype(np.int8)})
+        return pd.DataFrame({"slot": _slots(h[many] << drop, kept), "c": (np.floor(np.log2(n[many])) - RARE).astype(np.int8)})
 
     def count_shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         share, held = None, []
@@ -124,12 +127,12 @@ def _classes(texts: DataFrame, words: int) -> np.ndarray:
     found = dealt.mapInPandas(count_shares, "slot int, c byte").groupBy("slot").agg(F.max("c").alias("c")).toPandas()  # SLOTS rows at most
     table = np.zeros(SLOTS, np.uint8)
     table[found["slot"]] = found["c"]
-    return table
+    return table, kept
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    """Slots of the table of classes, from the bits of a hash that are counted."""
-    return (mix(h >> np.uint64(64 - KEPT)) & np.uint64(SLOTS - 1)).astype(np.int32)
+def _slots(h: np.ndarray, kept: int) -> np.ndarray:
+    """Slots of the table of classes, from the first bits of hashes."""
+    return (mix(h >> np.uint64(64 - kept)) & np.uint64(SLOTS - 1)).astype(np.int32)
 
 
 def _prefixes(texts: DataFrame, linked: DataFrame, words: int) -> DataFrame:
@@ -140,12 +143,12 @@ def _prefixes(texts: DataFrame, linked: DataFrame, words: int) -> DataFrame:
     known = texts.sparkSession.sparkContext.broadcast(_classes(texts, words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = known.value
+        table, kept = known.value
         for b in batches:
             b, out = b.drop_duplicates("key"), {"h": [], "key": [], "place": [], "part": []}
             for key, t in zip(b["key"].to_numpy(np.int64), b["t"], strict=True):
                 h = shingles(t, words)
-                c = table[_slots(h)]
+                c = table[_slots(h, kept)]
                 first = np.argsort(c, kind="stable")[: len(h) // 5 + 1]  # by class, then by hash
                 out["h"].append(h[first].view(np.int64))
                 out["key"].append(np.full(len(first), key))
@@ -200,20 +203,42 @@ def _may_overlap(x: str, y: str) -> Column:
     return 9 * F.least(c(x, "size") - c(x, "pos"), c(y, "size") - c(y, "pos")) >= 4 * (c(x, "size") + c(y, "size"))
 
 
+def _all_pairs(live: DataFrame, best: bool) -> DataFrame:
+    """All pairs (a, b) of sets that are still apart and, as far as their prefixes tell, may be similar; with ``best``,
+    of each two components only the pair whose prefixes have most in common.
+
+    Up to the end of the prefix that ends first in the order of shingles, all that two sets share is seen. Beyond it
+    they share at most what is left of that set, and at most what the other has left after the last one they share. So
+    of two sets of one size nearly half of the prefixes must agree; most pairs that met in a few shingles are left out.
+    """
+    met = live.alias("x").join(live.alias("y"), F.col("x.h") == F.col("y.h")).filter((F.col("x.c") != F.col("y.c")) & (F.col("x.key") < F.col("y.key")))
+    most = lambda side: F.max(F.struct(F.col(f"{side}.pos").alias("pos"), F.col(f"{side}.size").alias("size"))).alias(side)
+    pairs = met.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count("*").alias("m"), most("x"), most("y"), F.min(F.least("x.c", "y.c")).alias("c"), F.min(F.greatest("x.c", "y.c")).alias("d"))
+    left = lambda side: F.col(f"{side}.size") - F.floor(F.col(f"{side}.size") / 5) - 1
+    after = lambda side: F.col(f"{side}.size") - F.col(f"{side}.pos") - 1
+    beyond = F.greatest(F.least(left("x"), after("y")), F.least(left("y"), after("x")))
+    pairs = pairs.filter(9 * (F.col("m") + beyond) >= 4 * (F.col("x.size") + F.col("y.size")))
+    if best:
+        common = F.struct(F.col("m") / (F.col("x.size") + F.col("y.size")), "a", "b")
+        pairs = pairs.groupBy("c", "d").agg(F.max_by(F.struct("a", "b"), common).alias("p")).select("p.*")
+    return pairs.select("a", "b")
+
+
 def near_copies(docs: DataFrame, text: str = "text", words: int = 5) -> DataFrame:
     """(id, component) of the distinct texts that are linked to another; ids as ``identity`` gives them.
 
     Two texts link if the Jaccard similarity of their word shingles is 4/5 or more; components are those of all links.
     Pairs within one component need no further look, so that a large group of copies costs a few looks a text: SimHash
     links come first, then each set is compared with one other set of every shingle that it shares, another in each
-    round, as long as that finds links; only sets that are then still apart are compared pair by pair.
+    round, as long as that finds links; then components are compared by their likeliest pair, and only sets that are then
+    still apart pair by pair.
     """
     texts = docs.select(F.xxhash64(_body(text)).alias("key"), identity(text).alias("id"), F.col(text).alias("t"))
     prints = cut(simhash.fingerprints(texts, "key", "t", words).distinct())
     reps = cut(prints.groupBy("fp").agg(F.min("key").alias("rep")))
     equal = prints.join(reps, "fp").filter("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
     found, _ = _verified(simhash.links(reps).unionByName(equal), texts, words)
-    keys, rows, every = cut(texts.select("key", "id").distinct()), None, False
+    keys, rows, stage = cut(texts.select("key", "id").distinct()), None, 0  # one leader a shingle, best pairs, all pairs
     for k in count():
         found = cut(components(found).select(F.col("node").alias("a"), F.col("component").alias("b")))  # stars: soon joined again
         linked = found.join(keys.withColumnRenamed("id", "a"), "a")
@@ -222,13 +247,14 @@ def near_copies(docs: DataFrame, text: str = "text", words: int = 5) -> DataFram
         live = rows.join(_sent(linked), "key", "left").withColumn("c", F.coalesce("c", "key"))
         mixed = live.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("h")
         live = cut(live.join(mixed, "h", "left_semi").distinct())
-        lead = live if every else live.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(k), "key").alias("o"), "key", "size", "pos", "c")).alias("l")).select("h", "l.*")
-        met = live.alias("x").join(lead.alias("y"), F.col("x.h") == F.col("y.h")).filter((F.col("x.c") != F.col("y.c")) & _may_overlap("x", "y"))
-        if every:
-            met = met.filter(F.col("x.key") < F.col("y.key"))
-        pairs = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+        if stage:
+            pairs = _all_pairs(live, best=stage == 1)
+        else:
+            lead = live.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(k), "key").alias("o"), "key", "size", "pos", "c")).alias("l")).select("h", "l.*")
+            met = live.alias("x").join(lead.alias("y"), F.col("x.h") == F.col("y.h")).filter((F.col("x.c") != F.col("y.c")) & _may_overlap("x", "y"))
+            pairs = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
         new, looked = _verified(pairs, texts, words)
         found = cut(found.unionByName(new))
-        if every or not looked:
+        if stage == 2 or not looked:
             return components(found).select(F.col("node").alias("id"), "component")
-        every = new.count() * WORTH < looked
+        stage += new.count() * WORTH < looked
