@@ -32,7 +32,9 @@ RARE = 4
 #: Of a hash so many bits more are counted than number the bytes of all texts, so that few shingles fall together.
 SPARE = 10
 #: Bytes of text that a share of the hash space stands for; hashes sent at a time.
-SHARE_BYTES, SENT_HASHES = 1 << 23, 1 << 22
+SHARE_BYTES, SENT_HASHES = 1 << 22, 1 << 20
+#: Texts whose prefixes a task holds at a time.
+HELD_TEXTS = 512
 #: Parts that the sets with one common shingle are dealt into.
 SALT = 1 << 10
 #: Pairs of texts that a task is given at a time.
@@ -145,16 +147,18 @@ def _prefixes(texts: DataFrame, linked: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, kept = known.value
         for b in batches:
-            b, out = b.drop_duplicates("key"), {"h": [], "key": [], "place": [], "part": []}
-            for key, t in zip(b["key"].to_numpy(np.int64), b["t"], strict=True):
-                h = shingles(t, words)
-                c = table[_slots(h, kept)]
-                first = np.argsort(c, kind="stable")[: len(h) // 5 + 1]  # by class, then by hash
-                out["h"].append(h[first].view(np.int64))
-                out["key"].append(np.full(len(first), key))
-                out["place"].append((len(h) << 32) + np.arange(len(first)))
-                out["part"].append(np.where(c[first] > 0, key % SALT, -1))
-            yield pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()}).astype({"part": np.int16})
+            b = b.drop_duplicates("key")
+            for at in range(0, len(b), HELD_TEXTS):
+                some, out = b.iloc[at : at + HELD_TEXTS], {"h": [], "key": [], "place": [], "part": []}
+                for key, t in zip(some["key"].to_numpy(np.int64), some["t"], strict=True):
+                    h = shingles(t, words)
+                    c = table[_slots(h, kept)]
+                    first = np.argsort(c, kind="stable")[: len(h) // 5 + 1]  # by class, then by hash
+                    out["h"].append(h[first].view(np.int64))
+                    out["key"].append(np.full(len(first), key))
+                    out["place"].append((len(h) << 32) + np.arange(len(first)))
+                    out["part"].append(np.where(c[first] > 0, key % SALT, -1))
+                yield pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()}).astype({"part": np.int16})
 
     rows = texts.select("key", "t").mapInPandas(run, "h long, key long, place long, part short")
     rows = rows.join(_sent(linked), "key", "left").withColumn("c", F.coalesce("c", "key"))
