@@ -31,7 +31,7 @@ def _numbered(rows: DataFrame, order: Sequence[str] = ()) -> DataFrame:
 
 def _in_natural_order(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_c1": chromosome_index("chr"), "_c2": chromosome_index("chr2")})
-    return _numbered(rows, ["_c1", "pos1", "pos2", "_c2", "pos3", "pos4"]).drop("_c1", "_c2")
+    return _numbered(rows, ["_c1", "pos1", "pos2", "_c2", "pos3", "pos4"]).drop("_c1", "_c2").orderBy("stripe_id")
 
 
 def _typed(rows: DataFrame) -> DataFrame:
