@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from pyspark.sql.window import Window
 
 #: First part of the name of the folder that holds an application's cuts.
 OWN = "cuts"
+#: Folder within it of the scope that is open.
+_SCOPE: ContextVar[str] = ContextVar("scope", default="")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,17 +39,37 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the checkpoint folder as Parquet and read from there.
 
     Later plans begin at the written rows and read the columns they need; a lost executor costs no more than reading
-    them again. The files stay until ``clear`` removes them, as plans that read them may run at any time.
+    them again. The files stay until their ``scope`` ends or ``clear`` removes them, as plans that read them may run at any time.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{OWN}-{spark.sparkContext.applicationId}/{uuid.uuid4()}"
+    path = f"{_cuts(spark)}/{_SCOPE.get()}{uuid.uuid4()}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _cuts(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{OWN}-{spark.sparkContext.applicationId}"
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Cuts made inside are removed at the end, and no others; what is read from them has to be written by then."""
+    name = f"{_SCOPE.get()}scope-{uuid.uuid4()}/"
+    token = _SCOPE.set(name)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        _remove(spark, f"{_cuts(spark)}/{name}")
+
+
 def clear(spark: SparkSession) -> None:
     """Remove all that this application has cut; to be called when its results are written."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{OWN}-{spark.sparkContext.applicationId}")
+    _remove(spark, _cuts(spark))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
