@@ -4,8 +4,8 @@ SimHash comes first: the trie self-join of five-word fingerprints links most cop
 differing bits finds every such pair (they differ in ten of 64 bits on average, and in any number), so what it leaves
 apart is searched for by prefixes. All shingles have one order; of two sets that are similar enough, the first shingle
 in common is among the first fifth of both, and so early that what follows can still overlap enough. This holds for any
-order. Ours puts common shingles last: the prefixes by hash alone are counted over all texts, and what occurs in many
-of them has a class in a table of fixed size that all tasks share. Each candidate of either kind is verified on the
+order. Ours puts common shingles last: all shingles of all texts are counted, and what occurs in many texts has a class
+in a table of fixed size that all tasks share. Each candidate of either kind is verified on the
 whole sets.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftspan.llm import simhash
-from weftspan.llm.common import cut, distinct, expand, mix, squeeze, total_bytes
+from weftspan.llm.common import batches_of, cut, distinct, expand, mix, squeeze, total_bytes
 from weftspan.llm.components import components
 
 #: Slots of the table of classes, a byte each.
@@ -33,11 +33,9 @@ RARE = 4
 SPARE = 10
 #: Bytes of text that a share of the hash space stands for; hashes sent at a time.
 SHARE_BYTES, SENT_HASHES = 1 << 22, 1 << 20
-#: Texts whose prefixes a task holds at a time.
-HELD_TEXTS = 512
 #: Parts that the sets with one common shingle are dealt into.
 SALT = 1 << 10
-#: Pairs of texts that a task is given at a time.
+#: Texts, or pairs of them, that a task is given at a time.
 BATCH = 500
 #: Rounds of one kind go on while one in so many of the pairs they look at is a link.
 WORTH = 50
@@ -147,18 +145,16 @@ def _prefixes(texts: DataFrame, linked: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, kept = known.value
         for b in batches:
-            b = b.drop_duplicates("key")
-            for at in range(0, len(b), HELD_TEXTS):
-                some, out = b.iloc[at : at + HELD_TEXTS], {"h": [], "key": [], "place": [], "part": []}
-                for key, t in zip(some["key"].to_numpy(np.int64), some["t"], strict=True):
-                    h = shingles(t, words)
-                    c = table[_slots(h, kept)]
-                    first = np.argsort(c, kind="stable")[: len(h) // 5 + 1]  # by class, then by hash
-                    out["h"].append(h[first].view(np.int64))
-                    out["key"].append(np.full(len(first), key))
-                    out["place"].append((len(h) << 32) + np.arange(len(first)))
-                    out["part"].append(np.where(c[first] > 0, key % SALT, -1))
-                yield pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()}).astype({"part": np.int16})
+            b, out = b.drop_duplicates("key"), {"h": [], "key": [], "place": [], "part": []}
+            for key, t in zip(b["key"].to_numpy(np.int64), b["t"], strict=True):
+                h = shingles(t, words)
+                c = table[_slots(h, kept)]
+                first = np.argsort(c, kind="stable")[: len(h) // 5 + 1]  # by class, then by hash
+                out["h"].append(h[first].view(np.int64))
+                out["key"].append(np.full(len(first), key))
+                out["place"].append((len(h) << 32) + np.arange(len(first)))
+                out["part"].append(np.where(c[first] > 0, key % SALT, -1))
+            yield pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()}).astype({"part": np.int16})
 
     rows = texts.select("key", "t").mapInPandas(run, "h long, key long, place long, part short")
     rows = rows.join(_sent(linked), "key", "left").withColumn("c", F.coalesce("c", "key"))
@@ -177,7 +173,7 @@ def _sent(keys: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> tuple[DataFrame, int]:
     """Those pairs (a, b) of keys whose sets are similar, as pairs of ids, and how many pairs were looked at.
 
-    Only the texts of these pairs are moved, and tasks are given few of them at a time, as each may be very long.
+    Only the texts of these pairs are moved.
     """
 
     @F.pandas_udf("boolean")
@@ -192,13 +188,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> tuple[DataFrame
     left = some.select(F.col("key").alias("a"), F.col("id").alias("ia"), F.col("t").alias("ta"))
     right = some.select(F.col("key").alias("b"), F.col("id").alias("ib"), F.col("t").alias("tb"))
     both = pairs.join(right, "b").join(left, "a").filter(F.col("ia") != F.col("ib")).filter(check("ta", "tb"))
-    conf, name = texts.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    try:
-        conf.set(name, str(BATCH))
-        return cut(both.select(F.col("ia").alias("a"), F.col("ib").alias("b"))), pairs.count()
-    finally:
-        conf.set(name, before)
+    return cut(both.select(F.col("ia").alias("a"), F.col("ib").alias("b"))), pairs.count()
 
 
 def _may_overlap(x: str, y: str) -> Column:
@@ -235,8 +225,13 @@ def near_copies(docs: DataFrame, text: str = "text", words: int = 5) -> DataFram
     Pairs within one component need no further look, so that a large group of copies costs a few looks a text: SimHash
     links come first, then each set is compared with one other set of every shingle that it shares, another in each
     round, as long as that finds links; then components are compared by their likeliest pair, and only sets that are then
-    still apart pair by pair.
+    still apart pair by pair. While it runs, tasks are given ``BATCH`` texts at a time, as each may be very long.
     """
+    with batches_of(docs.sparkSession, BATCH):
+        return _near_copies(docs, text, words)
+
+
+def _near_copies(docs: DataFrame, text: str, words: int) -> DataFrame:
     texts = docs.select(F.xxhash64(_body(text)).alias("key"), identity(text).alias("id"), F.col(text).alias("t"))
     prints = cut(simhash.fingerprints(texts, "key", "t", words).distinct())
     reps = cut(prints.groupBy("fp").agg(F.min("key").alias("rep")))
