@@ -28,10 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspan.llm.common import distinct, mix, pack, parts, total_bytes, unpack, utf8
+from weftspan.llm.common import cut, distinct, mix, pack, parts, unpack, utf8
 
-#: Text bytes that one bucket should have, and those whose hashes meet in one share: some three million of 4 bytes.
+#: Bytes that one bucket should have, and those whose hashes meet in one share: some three million of 4 bytes.
 BUCKET_BYTES, SHARE_BYTES = 4 << 20, 16 << 20
+#: Bytes that a row counts for besides its text, so that any number of empty texts is dealt out too.
+ROW_BYTES = 128
+#: Equal rows that are kept together at most; of more, each so many in the order of the scan have a bucket of their own.
+EQUAL_ROWS = 1 << 10
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -252,6 +256,20 @@ def _untouched(*args) -> Callable:
     return run
 
 
+def _dealt_out(rows: DataFrame) -> tuple[int, DataFrame, int]:
+    """Bytes of all rows, ``rows`` with a bucket each, and how many buckets there are."""
+    rows = rows.withColumn("h", F.xxhash64("k", "t"))
+    own = F.coalesce(F.octet_length("t"), F.lit(0)).cast("long") + ROW_BYTES
+    alike = cut(rows.groupBy("h").agg(F.count("*").alias("n"), F.sum(own).alias("bytes")))
+    size = alike.agg(F.sum("bytes")).first()[0] or 0
+    buckets = max(8, -(-size // BUCKET_BYTES))
+    many = alike.filter(F.col("n") > EQUAL_ROWS).select("h", F.lit(True).alias("many"))
+    if not many.isEmpty():
+        placed = rows.withColumn("place", F.floor(F.monotonically_increasing_id() / EQUAL_ROWS))
+        rows = placed.join(many, "h", "left").withColumn("h", F.when(F.col("many"), F.xxhash64("h", "place")).otherwise(F.col("h")))
+    return size, rows.withColumn("bucket", F.pmod("h", F.lit(buckets))).drop("h", "many", "place"), buckets
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, texts: bool = True, carry: tuple[str, ...] = (), low_bits: int = 32) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256, kept, carried columns): one row for each row of ``docs``.
 
@@ -262,17 +280,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     remain (null if ``texts`` is off); ``kept_sha256`` is always of the joined words.
     Null, empty and short texts lose nothing; very long ones are read whole, in a bucket of their own size. Rows that
     repeat a key have a fixed order among themselves (by bucket, a hash of key and text, and then by text), and are
-    dealt out like others. The key is an integer; rows with a null key come out unchanged, as they have no place in
+    dealt out like others; so are equal rows where they are many, by their place, so ``docs`` should be a scan (a table
+    read from files) or a checkpoint, whose rows come out in one order when a task is repeated. The key is an integer; rows with a null key come out unchanged, as they have no place in
     the order. An empty table gives no rows.
 
     ``low_bits`` (32 or 64) is how much of a block's hash travels besides its share of the hash space.
     """
     spark = docs.sparkSession
-    size = total_bytes(docs, text)
-    shares = max(16, parts(spark), -(-size // SHARE_BYTES))  # what a task holds does not grow with the input
-    buckets = max(8, -(-size // BUCKET_BYTES))
     named = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
-    dealt = named.filter("k is not null").withColumn("bucket", F.pmod(F.xxhash64("k", "t"), F.lit(buckets)))
+    size, dealt, buckets = _dealt_out(named.filter("k is not null"))
+    shares = max(16, parts(spark), -(-size // SHARE_BYTES))  # what a task holds does not grow with the input
     by_bucket = dealt.repartition(min(buckets, 4 * shares), "bucket").groupBy("bucket")
     blocks = by_bucket.applyInPandas(_send_blocks(window, shares, low_bits), "share int, bucket long, kind int, blob binary")
     hits = blocks.repartition(shares, "share").groupBy("share").applyInPandas(_find_hits(low_bits), "share int, bucket long, blob binary")
