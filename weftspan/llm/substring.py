@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from weftspan.llm.common import cut, distinct, mix, pack, parts, unpack, utf8
 
 #: Bytes that one bucket should have, and those whose hashes meet in one share: some three million of 4 bytes.
-BUCKET_BYTES, SHARE_BYTES = 4 << 20, 16 << 20
+BUCKET_BYTES, SHARE_BYTES = 2 << 20, 16 << 20
 #: Bytes that a row counts for besides its text, so that any number of empty texts is dealt out too.
 ROW_BYTES = 128
 #: Equal rows that are kept together at most; of more, each so many in the order of the scan have a bucket of their own.
