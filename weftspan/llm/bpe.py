@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from weftspan.llm.common import expand, pack, parts, ranges, squeeze, total_bytes, unpack
 
-#: Characters of text, about, that make one chunk.
-CHUNK_CHARS = 16 << 20
+#: Characters of text, about, that make one chunk, and those that a row counts for besides its text.
+CHUNK_CHARS, ROW_CHARS = 16 << 20, 64
 #: Text bytes whose words' ids meet in one share.
 SHARE_BYTES = 32 << 20
 #: Frequent words of a chunk that are numbered by how often they occur.
@@ -164,7 +164,7 @@ def _split(pattern: str, shares: int) -> Callable:
                 words = find(t) if isinstance(t, str) else []
                 keys.append(k)
                 sequences.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words)))
-                size += len(t) if isinstance(t, str) else 0
+                size += ROW_CHARS + (len(t) if isinstance(t, str) else 0)
                 if size >= CHUNK_CHARS:
                     yield _chunk_rows(number, keys, sequences, known, shares)
                     number, keys, sequences, known, size = number + 1, [], [], {}, 0
