@@ -163,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fit on at most ``sample`` rows of either label with ``entries`` features; give only labels that may be learnt from.
 
     Rows without key or label are left out; of a key's labels the largest holds, and of its texts the one whose hash
-    is least, so that however many rows repeat a key, one of them is fitted. Both tables may be empty: the model then
+    is least, so that however many rows repeat a key, one of them is fitted. Texts with more than a 64th of ``entries``
+    features are not fitted, so that a few very long ones do not take the place of all others. Both tables may be empty: the model then
     scores everything alike.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
@@ -179,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(chosen, "k")
     one = rows.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("m")).select("y", F.xxhash64("k").alias("o"), "m.t")
-    found = cut(one.mapInPandas(run, "y int, o long, n long, x binary, c binary"))
+    found = cut(one.mapInPandas(run, "y int, o long, n long, x binary, c binary").filter(F.col("n") <= entries // 64))
     so_far = F.sum("n").over(Window.orderBy("o", "n", "y").rowsBetween(Window.unboundedPreceding, 0))  # 2 * sample numbers
     within = found.select("o", "n", "y").withColumn("upto", so_far).filter(F.col("upto") <= entries).agg(F.max("o").alias("last"))
     total = sum(counts.values())
