@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftspan.llm.common import cut, each_copy, parts
+from weftspan.llm.common import cut, each_copy, total_bytes
 
 #: Rows that a bucket should have; their keys take some 100 kB, their texts some 10 MB.
 BUCKET_ROWS = 2048
+#: Buckets of keys that a task permutes, and bytes of text in a file of a shard.
+TASK_BUCKETS, FILE_BYTES = 256, 256 << 20
 
 
 def running_total(df: DataFrame, order: str, value: str, out: str, group: int = 1024) -> DataFrame:
@@ -44,7 +46,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 7, key: str = "
     size is the text's UTF-8 bytes plus 1, text_crc32 that of its bytes; a null text counts as empty. Rows that agree
     in key, size and checksum are counted first and numbered apart, so that copies of one row, however many, scatter
     like others. A null key is a key of its own. Of a text only its size and checksum travel, however long it is. An empty table gives no rows. The order depends on the rows and the
-    seed (and on the number of partitions that Spark is told to use), not on where the rows are read.
+    seed, not on settings or on where the rows are read.
     """
     placed = _places(docs, shards, seed, key, text)
     return placed.select(F.col("k").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
@@ -60,7 +62,7 @@ def _places(docs: DataFrame, shards: int, seed: int, key: str, text: str) -> Dat
     scattered = each.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "k", "size", "crc", "copy"), F.lit(buckets)))
     # One row for each bucket; a fixed number of partitions and sorted buckets make the seeded permutation repeatable.
     gathered = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("k", "size", "crc", "copy"))).alias("rows"))
-    dealt = gathered.repartition(min(buckets, 4 * parts(docs.sparkSession)), "bucket").sortWithinPartitions("bucket")
+    dealt = gathered.repartition(min(buckets, max(64, -(-buckets // TASK_BUCKETS))), "bucket").sortWithinPartitions("bucket")
     permuted = cut(dealt.select("bucket", F.shuffle("rows", F.lit(seed)).alias("rows")))
     offsets = running_total(permuted.select("bucket", F.size("rows").cast("long").alias("n")), "bucket", "n", "offset").select("bucket", "offset")
     placed = permuted.join(offsets, "bucket").select("offset", F.posexplode("rows").alias("i", "r"))
@@ -71,7 +73,7 @@ def _places(docs: DataFrame, shards: int, seed: int, key: str, text: str) -> Dat
 def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write ``docs`` to ``path``/shard=N in slot order, and return what was written: each row once.
 
-    Keys may be null or repeated. Rows that agree in key, size and checksum are numbered by all their columns (but
+    A shard is as many files as its bytes ask for, whose names ascend with their slots. Keys may be null or repeated. Rows that agree in key, size and checksum are numbered by all their columns (but
     maps) and take the places of that many copies.
     """
     places = _places(docs, shards, seed, key, text).select(*(F.col(c).alias(f"place_{c}") for c in ("k", "size", "crc", "copy")), "shard", "slot")
@@ -80,5 +82,6 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 7, ke
     rows = rows.withColumn("own_copy", F.row_number().over(Window.partitionBy(key, "own_size", "own_crc").orderBy(whole)))
     same = F.col(key).eqNullSafe(F.col("place_k")) & (F.col("own_size") == F.col("place_size")) & (F.col("own_crc") == F.col("place_crc")) & (F.col("own_copy") == F.col("place_copy"))
     placed = rows.join(places, same).select(*(F.col(f"`{c}`") for c in docs.columns), "shard", "slot")
-    placed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    files = max(shards, -(-total_bytes(docs, text) // FILE_BYTES))
+    placed.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.parquet(path)
