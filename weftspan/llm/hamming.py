@@ -1,6 +1,6 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into segments of at most ``WIDEST`` bits, each with an index from its values to the codes that have them:
+A code is cut into segments of about log2 of the rows' number of bits, each with an index from its values to the codes that have them:
 one table of (segment, value, code) that all queries are joined with. A query looks up all values within a growing
 radius of its own in every segment. When all segments have been searched to radius r, each code within Hamming distance
 ``segments * (r + 1) - 1`` has been seen; a query is done when it has seen k rows that are no farther than that. Only
@@ -15,14 +15,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftspan.llm.common import cut
 
 #: Bits of a segment at least and at most; between them about log2 of the rows, so that a value has about one code.
-NARROWEST, WIDEST = 4, 16
+NARROWEST, WIDEST = 4, 30
 
 
 def sign_bits(vector: str) -> Column:
@@ -48,10 +48,11 @@ def _width(size: str, code: str, j: str) -> Column:
     return F.floor(F.col(size) * (F.col(j) + 1) / count).cast("int") - F.floor(F.col(size) * F.col(j) / count).cast("int")
 
 
-def _masks(spark: SparkSession) -> DataFrame:
-    """(b, r, mask): the values of b bits of which r are set, for all b up to WIDEST; 2 ** (WIDEST + 1) rows at most."""
-    rows = spark.range(1 << WIDEST).select(F.col("id").cast("int").alias("mask"), F.bit_count("id").alias("r"))
-    return rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(WIDEST)))).filter(F.col("mask") < F.call_function("shiftleft", F.lit(1), F.col("b")))
+def _wider(probes: DataFrame) -> DataFrame:
+    """The values one bit further away: each probe with every bit above its last one (``top``) turned in addition."""
+    turned = probes.filter(F.col("top") < F.col("b") - 1).withColumn("bit", F.explode(F.sequence(F.col("top") + 1, F.col("b") - 1)))
+    value = F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1), F.col("bit")))
+    return turned.select("size", "q", "j", "b", value.alias("value"), F.col("bit").alias("top"))
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -73,13 +74,12 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
     index = codes.select("size", "n", "code", F.posexplode("code").alias("j", "value"))
     totals = codes.groupBy("size").agg(F.sum("n").alias("total"))
     asked = cut(coded(asked).select(F.col("id").alias("query_id"), "size", F.col("code").alias("q")))
-    masks = cut(_masks(spark).withColumn("b", F.col("b").cast("int")))
     open_ = cut(asked.select("size", "q").distinct().join(totals, "size"))
+    probes = open_.select("size", "q", F.posexplode("q").alias("j", "value")).withColumn("b", _width("size", "q", "j").cast("int"))
+    probes = probes.select("size", "q", "j", "b", "value", F.lit(-1).alias("top"))
     found, radius = None, 0
     while not open_.isEmpty():
-        probes = open_.select("size", "q", F.posexplode("q").alias("j", "own")).withColumn("b", _width("size", "q", "j"))
-        probes = probes.join(F.broadcast(masks.filter(F.col("r") == radius)), "b").select("size", "q", "j", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(index, ["size", "j", "value"]).withColumn("apart", F.zip_with("q", "code", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
+        met = probes.select("size", "q", "j", "value").join(index, ["size", "j", "value"]).withColumn("apart", F.zip_with("q", "code", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
         first = (F.array_min("apart") == radius) & (F.array_position("apart", F.lit(radius)) == F.col("j") + 1)
         new = cut(met.filter(first).select("size", "q", "code", "n", F.aggregate("apart", F.lit(0), lambda x, y: x + y).alias("distance")))
         found = new if found is None else found.unionByName(new)
@@ -89,6 +89,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
         left = open_.join(seen, ["size", "q"], "left")
         done = (F.coalesce("near", F.lit(0)) >= k) | (F.coalesce("all", F.lit(0)) >= F.col("total")) | (covered >= F.col("size"))
         open_ = cut(left.filter(~done).select("size", "q", "total"))
+        probes = cut(_wider(probes.join(open_, ["size", "q"], "left_semi")))
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, neighbour_id long, distance int")
     best = Window.partitionBy("size", "q").orderBy("distance", "id")
