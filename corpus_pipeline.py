@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftspan.functions.lineage import scope, shared_folder
 from weftspan.llm import bpe, jaccard, mixing, substring, toxicity
-from weftspan.llm.common import WORD, shared_folder
+from weftspan.llm.common import WORD
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -89,12 +90,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each result is written to the shared folder and read again.
 
-    A stage's input is removed once its result is written, so the result of the last stage is all that stays there.
+    A stage's input, and all that the stage has cut, is removed once its result is written, so the result of the last
+    stage is all that stays there.
     """
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
         if k:
             before = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
