@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from weftspan.llm import simhash, substring
 
@@ -173,6 +174,22 @@ def test_substring_with_repeated_keys(spark, monkeypatch):
     assert again == got
 
 
+def test_substring_deals_out_empty_and_equal_rows(spark, monkeypatch):
+    empty = spark.range(1_000_000).select(F.col("id").alias("k"), F.lit(None).cast("string").alias("t"))
+    _, dealt, buckets = substring._dealt_out(empty)
+    assert buckets == -(-1_000_000 * substring.ROW_BYTES // substring.BUCKET_BYTES)
+    assert dealt.groupBy("bucket").count().agg(F.max("count")).first()[0] < 1.2 * 1_000_000 / buckets
+    equal = spark.range(100_000).select(F.lit(7).alias("k"), F.lit("some words").alias("t"))
+    _, dealt, buckets = substring._dealt_out(equal)
+    assert dealt.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 100_000 / buckets + 20 * substring.EQUAL_ROWS
+    monkeypatch.setattr(substring, "EQUAL_ROWS", 4)
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 400)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(7, passage)] * 50 + [(8, f"x {passage}"), (9, "short"), (9, "short"), (6, None)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(frame(spark, rows)).collect())
+    assert got == sorted([(7, 30, 0), *[(7, 30, 30)] * 49, (8, 31, 30), (9, 1, 0), (9, 1, 0), (6, 0, 0)])
+
+
 def test_substring_with_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(substring, "BUCKET_BYTES", 500)
     rows = list(enumerate(passages(random.Random(4), 60)))

@@ -1,16 +1,19 @@
 """Top-k search, sharding, mixing, and the pipeline against brute force."""
 
+import pathlib
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
 from tests.llm.test_dedup import brute_components, brute_repeats
 from weftspan.llm import hamming, mixing, sharding
+from weftspan.llm.common import shared_folder
 from weftspan.llm.components import components
 from weftspan.llm.queries import ORACLES, QUERIES
 
@@ -38,6 +41,28 @@ def test_top_k_is_exact(spark, size):
     assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == brute_top_k(rows, asked, 7)
 
 
+def test_top_k_with_wide_segments(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "NARROWEST", 24)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 64))
+    rows = [(i, [float(x) for x in centres[i % 40] + rng.normal(size=64) * 0.3]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in hamming.top_k(df, df.filter("vec_id % 100 = 0"), k=5).collect():
+        got[r.query_id].append((r.rank, r.distance, r.neighbour_id))
+    assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == brute_top_k(rows, {0, 100, 200, 300}, 5)
+
+
+def test_every_value_is_probed_once(spark):
+    probes, seen = spark.createDataFrame([(6, [5], 0, 6, 5, -1)], "size int, q array<int>, j int, b int, value int, top int"), [5]
+    for radius in range(1, 7):
+        probes = hamming._wider(probes)
+        now = [r.value for r in probes.collect()]
+        assert all((v ^ 5).bit_count() == radius for v in now)
+        seen += now
+    assert sorted(seen) == list(range(64)) and hamming._wider(probes).isEmpty()
+
+
 def test_top_k_of_few_rows_and_repeated_queries(spark):
     df = spark.createDataFrame([(1, [1.0, -1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     twice = df.filter("vec_id = 1").unionAll(df.filter("vec_id = 1"))
@@ -79,6 +104,29 @@ def test_shards_against_sql(spark):
     assert (got["law"] == "rows").all() and got["grown_shard"].isna().all()
 
 
+def test_shards_do_not_depend_on_settings(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(9000)], "doc_id long, text string")
+    name, found = "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(name)
+    try:
+        for n in ("1", "3"):
+            spark.conf.set(name, n)
+            found.append({(r.doc_id, r.shard, r.slot) for r in sharding.assign_shards(docs).collect()})
+    finally:
+        spark.conf.set(name, before)
+    assert found[0] == found[1]
+
+
+def test_shards_are_many_files_in_slot_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "FILE_BYTES", 2000)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(1000)], "doc_id long, text string")
+    sharding.write_shards(docs, str(tmp_path / "out"), shards=2)
+    for k, n in ((0, 500), (1, 500)):
+        files = sorted((tmp_path / f"out/shard={k}").glob("part-*"))
+        slots = [s for f in files for s in pq.read_table(f, partitioning=None)["slot"].to_pylist()]
+        assert len(files) > 1 and slots == list(range(n))
+
+
 def test_written_shards(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(100)], "doc_id long, text string")
     back = sharding.write_shards(docs, str(tmp_path / "out"), shards=3)
@@ -228,6 +276,8 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
         uses[i] += n
     want = Counter({(i, hashlib.sha256((t or "").encode()).hexdigest()): uses[i] for i, t, _ in texts})
     assert got == want
+    cuts = pathlib.Path(shared_folder(spark).removeprefix("file:")) / f"cuts-{spark.sparkContext.applicationId}"
+    assert not list(cuts.glob("scope-*"))  # what the stages cut is gone
 
 
 def run_pipeline(spark, folder, rows, labels):

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -324,6 +325,24 @@ def test_scores_are_those_of_the_weights(spark):
         assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-6
 
 
+def test_bpe_chunks_are_bounded_by_rows():
+    rows = 2 * bpe.CHUNK_CHARS // bpe.ROW_CHARS + 1
+    found = pd.concat(bpe._split(public_tokenizers.PATTERN, 16)([pd.DataFrame({"k": np.arange(rows), "t": [None] * rows})]))
+    assert list(found["chunk"]) == [0, 1, 2] and (found["share"] < 0).all()
+
+
+def test_one_very_long_text_does_not_end_the_sample(spark):
+    rows = toxic_rows()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    few = toxicity.train(docs, labels, entries=6400)
+    long = " ".join(f"w{j}" for j in range(500))
+    more = docs.unionByName(spark.createDataFrame([(1000 + i, long) for i in range(20)], docs.schema))
+    marked = labels.unionByName(spark.createDataFrame([(1000 + i, i % 2) for i in range(20)], labels.schema))
+    same = toxicity.train(more, marked, entries=6400)
+    assert np.count_nonzero(few.weights) and set(np.flatnonzero(few.weights)) == set(np.flatnonzero(same.weights))
+
+
 def test_toxicity_fits_one_row_a_key_within_its_bounds(spark):
     rows = toxic_rows()
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(3, f"idiot again {i % 50}") for i in range(4000)], "doc_id long, text string")
