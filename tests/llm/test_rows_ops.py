@@ -237,7 +237,7 @@ def test_queries_match_their_sql(spark):
         want = con.execute(sql).df()
         columns = sorted(want.columns)
         assert sorted(got.columns) == columns, name
-        both = [x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (got, want)]
+        both = [x[columns].convert_dtypes().astype(str).sort_values(columns).reset_index(drop=True) for x in (got, want)]
         assert both[0].equals(both[1]), name
 
 
