@@ -69,10 +69,13 @@ def quantiles(rows: DataFrame, levels: Sequence[float]) -> DataFrame:
 
 
 def quantile_knots(rows: DataFrame, levels: int = 50, column: str = "raw_gap_score") -> DataFrame:
-    """(q, level): quantiles of all values at levels + 2 even steps from 0 to 1; equal quantiles keep the lowest level."""
+    """(q, level): quantiles of all values at levels + 2 even steps from 0 to 1; equal quantiles keep the lowest level.
+
+    Without values all quantiles are null, so there is one knot, (null, 0)."""
     steps = [i / (levels + 1) for i in range(levels + 2)]
     found = quantiles(rows.select(F.lit("").alias("feature"), F.col(column).alias("v")), steps)
-    return found.groupBy(F.round("q", 12).alias("q")).agg(F.min("level").alias("level"))
+    every = rows.sparkSession.range(1).select(F.explode(F.array(*(F.lit(s) for s in steps))).alias("level"))
+    return every.join(found, "level", "left").groupBy(F.round("q", 12).alias("q")).agg(F.min("level").alias("level"))
 
 
 def interpolate(value: Column, xs: Column, ys: Column) -> Column:
