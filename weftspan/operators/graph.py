@@ -200,16 +200,19 @@ def edges(df: DataFrame, assigned: DataFrame, aggregates: dict[str, Column | Hol
     anchors. Contacts within one node are left out.
     """
     if pairs is None:
-        pairs = df if "n_contacts" in df.columns else bin_pairs(df)
+        pairs = df if "n_contacts" in df.columns else cut(bin_pairs(df))
     aggregates = aggregates or {}
     placed = node_pairs(pairs, assigned)
     specs = {"n_contacts": F.sum("n_contacts"), "total_petcount": F.sum("total_petcount"), "min_petcount": F.min("min_petcount"), "max_petcount": F.max("max_petcount"), "min_length": F.min("min_length"), "max_length": F.max("max_length")}
     found = placed.groupBy(*EDGE).agg(*(c.alias(n) for n, c in specs.items() if n not in aggregates))
     if aggregates:
-        contacts = df.withColumn("length", contact_length()).join(placed.select(*PAIR, *EDGE), PAIR)
-        plain = {n: c for n, c in aggregates.items() if not isinstance(c, Holistic)}
+        plain, own = {n: c for n, c in aggregates.items() if not isinstance(c, Holistic)}, {n: c for n, c in aggregates.items() if isinstance(c, Holistic)}
+        # The pair is one column, which is never null: asked whether each of its parts is, Spark would compute all six
+        # from the contacts again for each row, below the join.
+        both = df.withColumns({"length": contact_length(), "_pair": F.struct(*PAIR)}).join(placed.select(F.struct(*PAIR).alias("_pair"), *EDGE), "_pair").drop("_pair")
+        contacts = cut(both) if own else both
         parts = [contacts.groupBy(*EDGE).agg(*(c.alias(n) for n, c in plain.items()))] if plain else []
-        for part in [*parts, *_holistic(contacts, {n: c for n, c in aggregates.items() if isinstance(c, Holistic)})]:
+        for part in [*parts, *_holistic(contacts, own)]:
             found = found.join(part, EDGE, "left")
         found = found.select(*EDGE, *(n for n in specs if n in found.columns), *(n for n in aggregates if n not in specs))
     return found.withColumns({"is_contact": F.lit(True), "is_strand": F.lit(False), "weight": F.col("total_petcount")})
