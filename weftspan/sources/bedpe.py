@@ -44,6 +44,12 @@ def sniff(lines: Sequence[str], sep: str = "\t", comment: str = "#") -> tuple[st
     return header, count
 
 
+def _parts(spark: SparkSession, text: DataFrame) -> list[str]:
+    """The files that a table of lines is read from, by name."""
+    jvm = spark._jvm
+    return sorted(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)).toString() for f in text.inputFiles())
+
+
 def read_contacts(spark: SparkSession, path: str | list[str], *extra: tuple[int, str, str], sep: str = "\t", skiprows: int = -1, comment: str = "#", min_petcount: int = 0, chromosomes: str | Sequence[str] | None = None, intrachromosomal: bool = True, interchromosomal: bool = True, nrows: int | None = None, petcount_col: int = -1, fix_chromosome: bool = True, prefixed: bool | None = None) -> DataFrame:
     """Interactions of a file: six core columns, petcount if there is one, and extra columns (index, name, type).
 
@@ -51,7 +57,8 @@ def read_contacts(spark: SparkSession, path: str | list[str], *extra: tuple[int,
     likewise ``petcount_col`` below 0 looks for a count column by name. What follows a comment sign is cut off a line.
     If not all chromosome names begin with chr, all get that prefix; that takes a look at all rows when the result is
     computed, unless ``prefixed`` says whether they do. ``chromosomes``: one name (on either side), or
-    several (on both). ``nrows`` takes the first rows of the file, before any filter. A list of several files is read by
+    several (on both). ``nrows`` takes the first rows of the file, before any filter. A folder is one file written in parts,
+    in the order of their names; what is passed over with ``skiprows`` lies in the first one. A list of several files is read by
     the data source in ``bedpe_files``: each has a head and a prefix of its own, and gives its own first rows.
     """
     if not isinstance(path, str) and len(path) > 1:
@@ -65,23 +72,31 @@ def read_contacts(spark: SparkSession, path: str | list[str], *extra: tuple[int,
             raise ValueError(f"column {i} ({name}) is taken already")
         taken.add(i)
     text = spark.read.text(path)
-    first = [r["value"] for r in text.limit(max(1, skiprows)).collect()]
+    parts = _parts(spark, text)
+    lead = spark.read.text(parts[0]) if len(parts) > 1 else text
+    first = [r["value"] for r in lead.limit(max(1, skiprows)).collect()]
     if skiprows < 0:
-        body = text.filter(~F.col("value").startswith(comment)).first()  # however many comments come before it
+        said = ~F.col("value").startswith(comment)
+        body = lead.filter(said).first()  # however many comments come before it
+        if body is None and len(parts) > 1:  # comments only, up to a later part
+            body = next(filter(None, (spark.read.text(p).filter(said).first() for p in parts[1:])), None)
         header, found = sniff([*first, *([body["value"]] if body else [])], sep, comment)
     else:
         header, found = None, sniff(first[:1], sep, "\0")[1] if first and len(first[0].split(sep)) >= 3 else None
     count = petcount_col if petcount_col >= 0 else found
-    lines = text
+    placed = lambda t: t if nrows is None else t.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    lines = placed(text)
     if skiprows > 0:
-        early = lines.withColumn("_n", F.monotonically_increasing_id())
+        early = placed(lead).withColumn("_n", F.monotonically_increasing_id())
         lines = early.filter(~((F.col("_n") < skiprows) & F.col("value").isin(first[:skiprows]))).drop("_n")
+        if len(parts) > 1:
+            lines = lines.unionByName(placed(spark.read.text(parts[1:])))
     elif header is not None:
         lines = lines.filter(F.col("value") != header)
     body = F.substring_index("value", comment, 1)
-    lines = lines.select(body.alias("value")).filter(F.trim("value") != "")
-    if nrows is not None:
-        lines = lines.limit(nrows)
+    lines = lines.withColumn("value", body).filter(F.trim("value") != "")
+    if nrows is not None:  # by their places: a limit takes the rows of whichever task is done first
+        lines = lines.orderBy("_file", "_block", "_line").limit(nrows)
     field = F.split("value", re.escape(sep))
     kinds = ("string", "long", "long") * 2
     columns = [F.get(field, i).cast(kind).alias(n) for i, (n, kind) in enumerate(zip(CORE, kinds, strict=True))]
