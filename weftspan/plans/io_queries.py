@@ -6,6 +6,7 @@ Each writes a table as files of the kind that its reader takes, to the shared fo
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +26,20 @@ def scratch(spark: SparkSession) -> str:
 
 
 def written(spark: SparkSession, lines: DataFrame, before: list[str], after: list[str] = (), path: str | None = None) -> str:
-    """A text file of ``lines`` (one column) between some given ones; one file, as a header stands in one."""
+    """A text of ``lines`` (one column) between some given ones, written in parts: the first and last hold what is given."""
     path = path or scratch(spark)
-    given = lambda text: spark.createDataFrame([(x,) for x in text], "value string").coalesce(1)
-    given(before).union(lines).union(given(after)).coalesce(1).write.text(path)
+    given = lambda text: [spark.createDataFrame([(x,) for x in text], "value string").coalesce(1)] if text else []
+    tables = [*given(before), lines, *given(after)]
+    reduce(DataFrame.union, tables).write.text(path)
     return path
 
 
+def headed(lines: DataFrame, before: list[str], path: str) -> None:
+    """Text files of ``lines``, each of which begins with the given ones, as files of their own do."""
+    opens = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # the first row of a partition
+    lines.select(F.when(opens, F.concat(F.lit("".join(x + "\n" for x in before)), "value")).otherwise(F.col("value")).alias("value")).write.text(path)
+
+
 def lines_of(rows: DataFrame, *columns: str | Column) -> DataFrame:
     return rows.select(F.concat_ws("\t", *columns).alias("value"))
 
@@ -83,20 +91,20 @@ def bedpe_reader_between(spark, folder):
 
 @query
 def bedpe_reader_limit(spark, folder):
-    lines = mixed_contacts(spark, folder, "l_orderkey", "l_linenumber").coalesce(1).sortWithinPartitions("l_orderkey", "l_linenumber")
+    lines = mixed_contacts(spark, folder, "l_orderkey", "l_linenumber").orderBy("l_orderkey", "l_linenumber")
     path = written(spark, lines_of(lines, "a", "s", F.col("s") + 500, "b", "t", F.col("t") + 700, "n"), ["\t".join([*"abcdef", "count"])])
     return bedpe.read_contacts(spark, path, nrows=1000)
 
 
 @query
 def bedpe_files(spark, folder):
-    """Three files in one read: names with a count, comments without, lines to skip before an unnamed count."""
+    """Three kinds of files in one read: names with a count, comments without, lines to skip before an unnamed count."""
     path, rows = scratch(spark), mixed_contacts(spark, folder, "l_linenumber").withColumn("part", F.col("l_linenumber") % 3)
     core = lambda name: [name("a"), "s", F.col("s") + 500, name("b"), "t", F.col("t") + 700]
     plain, prefixed = F.col, lambda c: F.concat(F.lit("chr"), F.col(c))
-    written(spark, lines_of(rows.filter("part = 0"), *core(plain), "l_returnflag", "n"), ["\t".join([*"abcdef", "flag", "count"])], path=f"{path}/named")
+    headed(lines_of(rows.filter("part = 0"), *core(plain), "l_returnflag", "n"), ["\t".join([*"abcdef", "flag", "count"])], f"{path}/named")
     written(spark, lines_of(rows.filter("part = 1"), *core(prefixed), F.concat("l_returnflag", F.lit("# said"))), ["# one", "# two"], ["", "# end"], path=f"{path}/commented")
-    written(spark, lines_of(rows.filter("part = 2"), *core(prefixed), "l_returnflag", "price", "n"), ["not a contact", "a\tb\tc\td"], path=f"{path}/skipped")
+    headed(lines_of(rows.filter("part = 2"), *core(prefixed), "l_returnflag", "price", "n"), ["not a contact", "a\tb\tc\td"], f"{path}/skipped")
     found = read_files(spark, [path], (6, "flag", "string"), own={"skipped": {"skiprows": 2, "petcount_col": 8}}, chunk=1 << 16)
     return found.withColumn("file", F.regexp_extract("file", "([a-z]+)/[^/]*$", 1)).drop("place")
 
