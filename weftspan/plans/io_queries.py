@@ -195,9 +195,11 @@ def catalog_read(spark, folder):
 
 @query
 def streamed_edges(spark, folder):
-    path = scratch(spark)
-    adapters.contacts(spark, folder).repartition(4, "chromosome_A").write.csv(f"{path}/in", sep="\t")
-    ingest.maintain(ingest.stream_contacts(spark, f"{path}/in", max_files=2), f"{path}/pairs", f"{path}/state").awaitTermination()
+    """Four files or more, as many as the table is read in parts, in two batches."""
+    path, rows = scratch(spark), adapters.contacts(spark, folder)
+    files = max(4, rows.rdd.getNumPartitions())
+    rows.repartition(files).write.csv(f"{path}/in", sep="\t")
+    ingest.maintain(ingest.stream_contacts(spark, f"{path}/in", max_files=-(-files // 2)), f"{path}/pairs", f"{path}/state").awaitTermination()
     return ingest.current_pairs(spark, f"{path}/pairs").select(*graph.PAIR, "n_contacts", "total_petcount", "min_petcount", "max_petcount", "min_length", "max_length")
 
 
