@@ -1,10 +1,11 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into segments of about log2 of the rows' number of bits, each with an index from its values to the codes that have them:
-one table of (segment, value, code) that all queries are joined with. A query looks up all values within a growing
-radius of its own in every segment. When all segments have been searched to radius r, each code within Hamming distance
-``segments * (r + 1) - 1`` has been seen; a query is done when it has seen k rows that are no farther than that. Only
-queries that are not done go on to the next radius.
+A code is cut into segments of a few bits less than log2 of the rows' number, each with an index from its values to the
+codes that have them: one table of (segment, value, code) that all queries are joined with. A query looks up all values
+within a growing radius of its own in every segment. When all segments have been searched to radius r, and the first m of
+them to r + 1, each code within Hamming distance ``segments * (r + 1) + m - 1`` has been seen. The k-th nearest row seen so
+far bounds how far a query has to look: rows beyond it are not kept, and of the next radius only as many segments are
+searched as the bound asks for. Only queries that are not done go on to the next radius.
 
 A pair of codes meets in the segment where they differ least (the first of these) and at that radius, so each pair is
 verified and kept once. Equal codes are one code with up to k ids. Everything is joins and sums on DataFrames: what a
@@ -21,8 +22,9 @@ from pyspark.sql.window import Window
 
 from weftspan.llm.common import cut
 
-#: Bits of a segment at least and at most; between them about log2 of the rows, so that a value has about one code.
-NARROWEST, WIDEST = 4, 30
+#: Bits of a segment at least and at most; between them SPARED less than log2 of the rows. A value then has a few codes,
+#: which the join compares in passing; a value that is looked up costs a row of its own, and wide segments have many.
+NARROWEST, WIDEST, SPARED = 4, 30, 2
 
 
 def sign_bits(vector: str) -> Column:
@@ -52,7 +54,14 @@ def _wider(probes: DataFrame) -> DataFrame:
     """The values one bit further away: each probe with every bit above its last one (``top``) turned in addition."""
     turned = probes.filter(F.col("top") < F.col("b") - 1).withColumn("bit", F.explode(F.sequence(F.col("top") + 1, F.col("b") - 1)))
     value = F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1), F.col("bit")))
-    return turned.select("size", "q", "j", "b", value.alias("value"), F.col("bit").alias("top"))
+    return turned.withColumns({"value": value, "top": F.col("bit")}).drop("bit")
+
+
+def _seen(found: DataFrame, k: int) -> DataFrame:
+    """(size, q, far, all): the distance of the k-th nearest row found (null: fewer are), and how many are found."""
+    upto = Window.partitionBy("size", "q").orderBy("distance").rowsBetween(Window.unboundedPreceding, 0)
+    sums = found.groupBy("size", "q", "distance").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(upto))
+    return sums.groupBy("size", "q").agg(F.min(F.when(F.col("upto") >= k, F.col("distance"))).alias("far"), F.max("upto").alias("all"))
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -66,7 +75,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
     spark = rows.sparkSession
     bits = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter("id is not null and v is not null").select("id", F.size("v").alias("size"), sign_bits("v").alias("bits"))
     base, asked = bits(rows), bits(queries)
-    width = min(WIDEST, max(NARROWEST, math.ceil(math.log2(max(2, base.count())))))
+    width = min(WIDEST, max(NARROWEST, math.ceil(math.log2(max(2, base.count()))) - SPARED))
     coded = lambda df: df.select("id", "size", segments(F.col("bits"), width).alias("code"))
     own = Window.partitionBy("size", "code").orderBy("id")
     ids = cut(coded(base).withColumn("place", F.row_number().over(own)).filter(F.col("place") <= k).drop("place"))
@@ -74,22 +83,24 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
     index = codes.select("size", "n", "code", F.posexplode("code").alias("j", "value"))
     totals = codes.groupBy("size").agg(F.sum("n").alias("total"))
     asked = cut(coded(asked).select(F.col("id").alias("query_id"), "size", F.col("code").alias("q")))
-    open_ = cut(asked.select("size", "q").distinct().join(totals, "size"))
+    open_ = cut(asked.select("size", "q").distinct().join(totals, "size").withColumn("far", F.lit(None).cast("int")))
     probes = open_.select("size", "q", F.posexplode("q").alias("j", "value")).withColumn("b", _width("size", "q", "j").cast("int"))
-    probes = probes.select("size", "q", "j", "b", "value", F.lit(-1).alias("top"))
+    probes = probes.select("size", "q", F.lit(None).cast("int").alias("far"), "j", "b", "value", F.lit(-1).alias("top"))
     found, radius = None, 0
     while not open_.isEmpty():
-        met = probes.select("size", "q", "j", "value").join(index, ["size", "j", "value"]).withColumn("apart", F.zip_with("q", "code", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
+        met = probes.select("size", "q", "far", "j", "value").join(index, ["size", "j", "value"]).withColumn("apart", F.zip_with("q", "code", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
         first = (F.array_min("apart") == radius) & (F.array_position("apart", F.lit(radius)) == F.col("j") + 1)
-        new = cut(met.filter(first).select("size", "q", "code", "n", F.aggregate("apart", F.lit(0), lambda x, y: x + y).alias("distance")))
+        met = met.filter(first).withColumn("distance", F.aggregate("apart", F.lit(0), lambda x, y: x + y))
+        new = cut(met.filter(F.col("far").isNull() | (F.col("distance") <= F.col("far"))).select("size", "q", "code", "n", "distance"))
         found = new if found is None else found.unionByName(new)
         radius += 1
-        covered = F.size("q") * radius - 1  # every code at this distance or nearer has been seen
-        seen = found.groupBy("size", "q").agg(F.sum(F.when(F.col("distance") <= F.size("q") * radius - 1, F.col("n"))).alias("near"), F.sum("n").alias("all"))
-        left = open_.join(seen, ["size", "q"], "left")
-        done = (F.coalesce("near", F.lit(0)) >= k) | (F.coalesce("all", F.lit(0)) >= F.col("total")) | (covered >= F.col("size"))
-        open_ = cut(left.filter(~done).select("size", "q", "total"))
-        probes = cut(_wider(probes.join(open_, ["size", "q"], "left_semi")))
+        covered = F.size("q") * radius - 1  # every code at this distance or nearer has been seen, or is beyond ``far``
+        left = open_.drop("far").join(_seen(found, k), ["size", "q"], "left")
+        # A query that searched only some segments was to see all up to ``far``, which is then below ``covered``: it is done.
+        done = F.coalesce(F.col("far") <= covered, F.lit(False)) | (F.coalesce("all", F.lit(0)) >= F.col("total")) | (covered >= F.col("size"))
+        open_ = cut(left.filter(~done).select("size", "q", "total", "far"))
+        asks = F.coalesce(F.col("far") - covered, F.size("q"))  # segments to be searched at the next radius
+        probes = cut(_wider(probes.drop("far").join(open_.drop("total"), ["size", "q"]).filter(F.col("j") < asks)))
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, neighbour_id long, distance int")
     best = Window.partitionBy("size", "q").orderBy("distance", "id")
