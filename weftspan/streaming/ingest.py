@@ -21,10 +21,16 @@ def stream_contacts(spark: SparkSession, path: str, schema: str = SCHEMA, max_fi
 
 
 def bin_pairs(contacts: DataFrame, bin_size: int = 5000) -> DataFrame:
-    """Contacts summed by pair of bins: the sums merge map-side, and a stream keeps one row of state for each pair."""
+    """Contacts summed by pair of bins: the sums merge map-side."""
     return graph.bin_pairs(within_chromosomes(prepare(contacts, bin_size)))
 
 
+def merged(pairs: DataFrame) -> DataFrame:
+    """Sums of several parts of the contacts, in one table, as the sums of all of them."""
+    how = {"n_contacts": F.sum, "total_petcount": F.sum, "min_petcount": F.min, "max_petcount": F.max, "min_length": F.min, "max_length": F.max}
+    return pairs.groupBy(*graph.PAIR).agg(*(how[c](c).alias(c) for c in pairs.columns if c not in graph.PAIR))
+
+
 def _files(spark: SparkSession, path: str):
     """(file system, path) of Hadoop for a folder, wherever it is."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -47,19 +53,20 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def maintain(contacts: DataFrame, path: str, checkpoint: str, bin_size: int = 5000, compact: int = 8) -> StreamingQuery:
-    """Write the changed bin pairs of every batch to a folder of its own, so that a batch that is repeated replaces itself.
+    """Write every batch's own sums by bin pair to a folder of its own, so that a batch that is repeated replaces itself.
 
-    Each ``compact`` batches they are merged with the snapshot before into a new one. What a snapshot has taken in is
+    No state is kept beside these folders, in memory or elsewhere: a batch costs what its contacts do, however many pairs
+    came before it, and sums are merged when they are read. Each ``compact`` batches they are merged with the snapshot before into a new one. What a snapshot has taken in is
     removed when the next one is complete, so that those who read the older one can end; a merge that failed half-way is
     no snapshot and is made again. 0: batches are never merged.
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        bin_pairs(batch, bin_size).write.mode("overwrite").parquet(f"{path}/batch={number}")
         if compact and (number + 1) % compact == 0:
             compact_pairs(batch.sparkSession, path, number)
 
-    return bin_pairs(contacts, bin_size).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
+    return contacts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
 
 
 def compact_pairs(spark: SparkSession, path: str, number: int) -> None:
@@ -82,14 +89,9 @@ def parts_of(spark: SparkSession, path: str, number: int | None = None) -> tuple
 
 
 def current_pairs(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
-    """The latest state of every bin pair: of the last snapshot and of the batches that came after it."""
+    """The sums of every bin pair: of the last snapshot and of the batches that came after it."""
     snapshot, batches = parts_of(spark, path, number)
     found = [f"{path}/batch={n}" for n in batches] + ([] if snapshot is None else [f"{path}/snapshot={snapshot}"])
     if not found:
         raise FileNotFoundError(f"no batch has been written to {path}")
-    at = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:batch|snapshot)=(\d+)/[^/]*$", 1).cast("long")
-    rows = spark.read.parquet(*found)
-    rows = rows.select(*rows.columns, at.alias("batch"))
-    key = [c for c in rows.columns if c.startswith(("chromosome_", "start_", "end_"))]
-    rest = [c for c in rows.columns if c not in key and c != "batch"]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*")
+    return merged(spark.read.parquet(*found))
