@@ -10,9 +10,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspan.functions.lineage import cut, shared_folder
+from weftspan.functions.lineage import cut, scope, shared_folder, shuffles_removed
 
-__all__ = ["cut", "shared_folder"]
+__all__ = ["cut", "scope", "shared_folder", "shuffles_removed"]
 
 #: The characters that separate words, as a Java regular expression for one word.
 WORD = r"[^\x20\x09-\x0D]+"

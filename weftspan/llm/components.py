@@ -22,20 +22,25 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.filter("u <> v").distinct()
+    moved = moved.filter("u <> v")
+    return moved if large else moved.distinct()  # repeated links do no harm in between
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether all links are stars: each node has one link, to its component's smallest node, or is that node."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below"))
+    ends = ends.unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("above"), F.lit(1).alias("below")))
+    seen = ends.groupBy("node").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+    return seen.filter(F.col("above") + F.col("below") > 1).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable.
 
-    Rounds go on until nothing changes, and are logarithmic in the length of the longest chain; every one is
+    Rounds go on until all links are stars, and are logarithmic in the length of the longest chain; every one is
     written to the shared checkpoint folder. Self links and repeated links are allowed; null ends are dropped.
     """
     links = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    seen = None
-    while True:
+    while not _settled(links):
         links = cut(_star(_star(links, True), False))
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seen = now
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

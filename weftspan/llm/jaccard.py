@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftspan.llm import simhash
-from weftspan.llm.common import batches_of, cut, distinct, expand, mix, squeeze, total_bytes
+from weftspan.llm.common import batches_of, cut, distinct, expand, mix, scope, shuffles_removed, squeeze, total_bytes
 from weftspan.llm.components import components
 
 #: Slots of the table of classes, a byte each.
@@ -135,10 +135,10 @@ def _slots(h: np.ndarray, kept: int) -> np.ndarray:
     return (mix(h >> np.uint64(64 - kept)) & np.uint64(SLOTS - 1)).astype(np.int32)
 
 
-def _prefixes(texts: DataFrame, linked: DataFrame, words: int) -> DataFrame:
+def _prefixes(texts: DataFrame, linked: DataFrame, words: int, place: str) -> DataFrame:
     """(h, key, size, pos) of the sets by the shingles of their first fifth, where sets that share one are still apart.
 
-    ``linked`` (key, c) has the components so far; a text that is in none is one by itself.
+    ``linked`` (key, c) has the components so far; a text that is in none is one by itself. ``place`` is where it is written.
     """
     known = texts.sparkSession.sparkContext.broadcast(_classes(texts, words))
 
@@ -161,7 +161,7 @@ def _prefixes(texts: DataFrame, linked: DataFrame, words: int) -> DataFrame:
     # Sets with a common shingle are many: they are dealt out and kept, the others are looked at by shingle.
     own = Window.partitionBy("h", "part")
     met = rows.withColumns({"x": F.min("c").over(own), "y": F.max("c").over(own)})
-    apart = cut(met.filter((F.col("part") >= 0) | (F.col("x") < F.col("y"))).select("h", "key", "place"))
+    apart = cut(met.filter((F.col("part") >= 0) | (F.col("x") < F.col("y"))).select("h", "key", "place"), place)
     return apart.select("h", "key", F.shiftright("place", 32).alias("size"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
 
 
@@ -173,7 +173,7 @@ def _sent(keys: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> tuple[DataFrame, int]:
     """Those pairs (a, b) of keys whose sets are similar, as pairs of ids, and how many pairs were looked at.
 
-    Only the texts of these pairs are moved.
+    Only the texts of these pairs are moved, and what is written of them is removed again.
     """
 
     @F.pandas_udf("boolean")
@@ -182,13 +182,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> tuple[DataFrame
         for a, b in batches:
             yield pd.Series([similar(read(x), read(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    pairs = cut(pairs)
-    asked = cut(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
-    some = cut(texts.join(_sent(asked), "key", "left_semi").dropDuplicates(["id"]))
-    left = some.select(F.col("key").alias("a"), F.col("id").alias("ia"), F.col("t").alias("ta"))
-    right = some.select(F.col("key").alias("b"), F.col("id").alias("ib"), F.col("t").alias("tb"))
-    both = pairs.join(right, "b").join(left, "a").filter(F.col("ia") != F.col("ib")).filter(check("ta", "tb"))
-    return cut(both.select(F.col("ia").alias("a"), F.col("ib").alias("b"))), pairs.count()
+    with scope(pairs.sparkSession) as outside:
+        pairs = cut(pairs)
+        asked = cut(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
+        some = cut(texts.join(_sent(asked), "key", "left_semi").dropDuplicates(["id"]))
+        left = some.select(F.col("key").alias("a"), F.col("id").alias("ia"), F.col("t").alias("ta"))
+        right = some.select(F.col("key").alias("b"), F.col("id").alias("ib"), F.col("t").alias("tb"))
+        both = pairs.join(right, "b").join(left, "a").filter(F.col("ia") != F.col("ib")).filter(check("ta", "tb"))
+        return cut(both.select(F.col("ia").alias("a"), F.col("ib").alias("b")), outside), pairs.count()
 
 
 def _may_overlap(x: str, y: str) -> Column:
@@ -227,7 +228,7 @@ def near_copies(docs: DataFrame, text: str = "text", words: int = 5) -> DataFram
     round, as long as that finds links; then components are compared by their likeliest pair, and only sets that are then
     still apart pair by pair. While it runs, tasks are given ``BATCH`` texts at a time, as each may be very long.
     """
-    with batches_of(docs.sparkSession, BATCH):
+    with batches_of(docs.sparkSession, BATCH), shuffles_removed(docs.sparkSession):
         return _near_copies(docs, text, words)
 
 
@@ -237,23 +238,31 @@ def _near_copies(docs: DataFrame, text: str, words: int) -> DataFrame:
     reps = cut(prints.groupBy("fp").agg(F.min("key").alias("rep")))
     equal = prints.join(reps, "fp").filter("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
     found, _ = _verified(simhash.links(reps).unionByName(equal), texts, words)
+    found = _joined(found, None)
     keys, rows, stage = cut(texts.select("key", "id").distinct()), None, 0  # one leader a shingle, best pairs, all pairs
     for k in count():
-        found = cut(components(found).select(F.col("node").alias("a"), F.col("component").alias("b")))  # stars: soon joined again
-        linked = found.join(keys.withColumnRenamed("id", "a"), "a")
-        linked = cut(linked.select("key", F.xxhash64("b").alias("c")))
-        rows = _prefixes(texts, linked, words) if rows is None else rows
-        live = rows.join(_sent(linked), "key", "left").withColumn("c", F.coalesce("c", "key"))
-        mixed = live.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("h")
-        live = cut(live.join(mixed, "h", "left_semi").distinct())
-        if stage:
-            pairs = _all_pairs(live, best=stage == 1)
-        else:
-            lead = live.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(k), "key").alias("o"), "key", "size", "pos", "c")).alias("l")).select("h", "l.*")
-            met = live.alias("x").join(lead.alias("y"), F.col("x.h") == F.col("y.h")).filter((F.col("x.c") != F.col("y.c")) & _may_overlap("x", "y"))
-            pairs = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-        new, looked = _verified(pairs, texts, words)
-        found = cut(found.unionByName(new))
+        with scope(docs.sparkSession) as outside:  # of what a round writes, its links stay alone
+            linked = found.join(keys.withColumnRenamed("id", "a"), "a")
+            linked = cut(linked.select("key", F.xxhash64("b").alias("c")))
+            rows = _prefixes(texts, linked, words, outside) if rows is None else rows
+            live = rows.join(_sent(linked), "key", "left").withColumn("c", F.coalesce("c", "key"))
+            mixed = live.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("h")
+            live = cut(live.join(mixed, "h", "left_semi").distinct())
+            if stage:
+                pairs = _all_pairs(live, best=stage == 1)
+            else:
+                lead = live.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(k), "key").alias("o"), "key", "size", "pos", "c")).alias("l")).select("h", "l.*")
+                met = live.alias("x").join(lead.alias("y"), F.col("x.h") == F.col("y.h")).filter((F.col("x.c") != F.col("y.c")) & _may_overlap("x", "y"))
+                pairs = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+            new, looked = _verified(pairs, texts, words)
+            linking = new.count()
+            if linking:
+                found = _joined(found.unionByName(new), outside)
         if stage == 2 or not looked:
-            return components(found).select(F.col("node").alias("id"), "component")
-        stage += new.count() * WORTH < looked
+            return found.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        stage += linking * WORTH < looked
+
+
+def _joined(links: DataFrame, place: str | None) -> DataFrame:
+    """Links (a, b) from every text to the smallest of its component: soon joined with others."""
+    return cut(components(links).select(F.col("node").alias("a"), F.col("component").alias("b")), place)
