@@ -184,12 +184,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> tuple[DataFrame
 
     with scope(pairs.sparkSession) as outside:
         pairs = cut(pairs)
-        asked = cut(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
-        some = cut(texts.join(_sent(asked), "key", "left_semi").dropDuplicates(["id"]))
+        looked = pairs.count()
+        asked = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key")))
+        asked = F.broadcast(asked) if 2 * looked <= SENT else _sent(cut(asked.distinct()))
+        some = cut(texts.join(asked, "key", "left_semi").dropDuplicates(["id"]))
         left = some.select(F.col("key").alias("a"), F.col("id").alias("ia"), F.col("t").alias("ta"))
         right = some.select(F.col("key").alias("b"), F.col("id").alias("ib"), F.col("t").alias("tb"))
         both = pairs.join(right, "b").join(left, "a").filter(F.col("ia") != F.col("ib")).filter(check("ta", "tb"))
-        return cut(both.select(F.col("ia").alias("a"), F.col("ib").alias("b")), outside), pairs.count()
+        return cut(both.select(F.col("ia").alias("a"), F.col("ib").alias("b")), outside), looked
 
 
 def _may_overlap(x: str, y: str) -> Column:
@@ -235,14 +237,14 @@ def near_copies(docs: DataFrame, text: str = "text", words: int = 5) -> DataFram
 def _near_copies(docs: DataFrame, text: str, words: int) -> DataFrame:
     texts = docs.select(F.xxhash64(_body(text)).alias("key"), identity(text).alias("id"), F.col(text).alias("t"))
     prints = cut(simhash.fingerprints(texts, "key", "t", words).distinct())
-    reps = cut(prints.groupBy("fp").agg(F.min("key").alias("rep")))
-    equal = prints.join(reps, "fp").filter("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    reps = cut(prints.groupBy("fp").agg(F.min("key").alias("rep"), F.count("*").alias("n")))
+    equal = prints.join(_sent(reps.filter("n > 1")), "fp").filter("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
     found, _ = _verified(simhash.links(reps).unionByName(equal), texts, words)
-    found = _joined(found, None)
+    found = cut(components(found).select(F.col("node").alias("a"), F.col("component").alias("b")))
     keys, rows, stage = cut(texts.select("key", "id").distinct()), None, 0  # one leader a shingle, best pairs, all pairs
     for k in count():
         with scope(docs.sparkSession) as outside:  # of what a round writes, its links stay alone
-            linked = found.join(keys.withColumnRenamed("id", "a"), "a")
+            linked = keys.withColumnRenamed("id", "a").join(_sent(found), "a")
             linked = cut(linked.select("key", F.xxhash64("b").alias("c")))
             rows = _prefixes(texts, linked, words, outside) if rows is None else rows
             live = rows.join(_sent(linked), "key", "left").withColumn("c", F.coalesce("c", "key"))
@@ -257,12 +259,20 @@ def _near_copies(docs: DataFrame, text: str, words: int) -> DataFrame:
             new, looked = _verified(pairs, texts, words)
             linking = new.count()
             if linking:
-                found = _joined(found.unionByName(new), outside)
+                found = _joined(found, new, outside)
         if stage == 2 or not looked:
             return found.select(F.col("a").alias("id"), F.col("b").alias("component"))
         stage += linking * WORTH < looked
 
 
-def _joined(links: DataFrame, place: str | None) -> DataFrame:
-    """Links (a, b) from every text to the smallest of its component: soon joined with others."""
-    return cut(components(links).select(F.col("node").alias("a"), F.col("component").alias("b")), place)
+def _joined(found: DataFrame, new: DataFrame, place: str) -> DataFrame:
+    """``found``, the links (a, b) from every text to the smallest of its component, with the ``new`` links: only
+    components and the new texts are joined, and the others follow theirs."""
+    known = _sent(found)
+    own = lambda end: known.select(F.col("a").alias(end), F.col("b").alias(f"of_{end}"))
+    ends = new.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    apart = cut(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    moved = _sent(components(apart).withColumnRenamed("component", "to"))
+    old = found.join(moved, found["b"] == moved["node"], "left").select("a", F.coalesce("to", "b").alias("b"))
+    fresh = moved.join(known, moved["node"] == known["a"], "left_anti").select(F.col("node").alias("a"), F.col("to").alias("b"))
+    return cut(old.unionByName(fresh), place)

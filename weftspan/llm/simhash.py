@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """
     own = cut(fingerprints(docs, key, text, words).withColumnRenamed(key, "k"))
     reps = cut(own.filter("k is not null").groupBy("fp").agg(F.min("k").alias("rep")))
-    whole = components(links(reps, budget))
+    whole = components(cut(links(reps, budget)))
     named = cut(reps.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
     return own.join(named, "fp", "left").select(
         F.col("k").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("k").isNotNull(), F.col("component_id")).alias("component_id")
