@@ -13,6 +13,7 @@ the hash of a reference block of some document. Three shuffles of packed hashes
    then removes the words that repeated windows cover: the maximal exact repeats.
 
 A hash travels once for each bucket, so a passage that a third of all documents share costs as much as a unique one.
+Whole texts that a smaller key has too take no part: all of their windows start earlier, in that row.
 Block hashes only choose what is looked at (a chance hit costs time, not correctness); windows are told apart by their
 share of the hash space and 64 independent bits.
 """
@@ -36,6 +37,8 @@ BUCKET_BYTES, SHARE_BYTES = 2 << 20, 16 << 20
 ROW_BYTES = 128
 #: Equal rows that are kept together at most; of more, each so many in the order of the scan have a bucket of their own.
 EQUAL_ROWS = 1 << 10
+#: Texts that occur again, up to which their digests are sent to all executors.
+SENT_ROWS = 1 << 19
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -126,7 +129,7 @@ def _send_blocks(window: int, shares: int, low_bits: int) -> Callable:
         ref[back[anchor]] = True
         kind, share = ref * 2 + (times > 1), _dealt(seen, shares)
         low = (seen & np.uint64((1 << low_bits) - 1)).astype(f"<u{low_bits // 8}")
-        rows = [(s, key[0], int(k), low[p[q]].tobytes()) for s, p in _groups(share) for k, q in _groups(kind[p])]
+        rows = [(x // 4, key[0], x % 4, low[p].tobytes()) for x, p in _groups(share * 4 + kind)]
         return pd.DataFrame(rows, columns=["share", "bucket", "kind", "blob"])
 
     return run
@@ -141,7 +144,7 @@ def _find_hits(low_bits: int) -> Callable:
         h = np.concatenate(arrays)
         kind = np.repeat(pdf["kind"].to_numpy(np.int8), sizes)
         bucket = np.repeat(pdf["bucket"].to_numpy(np.int64), sizes)
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         h, kind, bucket = h[order], kind[order], bucket[order]
         first = np.concatenate([[True], h[1:] != h[:-1]])
         group = np.cumsum(first) - 1
@@ -149,23 +152,26 @@ def _find_hits(low_bits: int) -> Callable:
         ref = np.maximum.reduceat(kind >> 1, at) > 0
         places = np.add.reduceat(1 + (kind & 1), at)
         hit = (ref & (places > 1))[group]
-        rows = [(key[0], k, h[hit][p].tobytes()) for k, p in _groups(bucket[hit])]
+        h, bucket = h[hit], bucket[hit]
+        rows = [(key[0], k, h[p].tobytes()) for k, p in _groups(bucket)]
         return pd.DataFrame(rows, columns=["share", "bucket", "blob"])
 
     return run
 
 
+def _names(share: np.ndarray, low: np.ndarray, low_bits: int) -> np.ndarray:
+    """One number for each share and low bits of a hash."""
+    return low.astype(np.uint64) | (share.astype(np.uint64) << np.uint64(low_bits) if low_bits < 64 else np.uint64(0))
+
+
 def _hits(answers: pd.DataFrame, b: Bucket, shares: int, low_bits: int) -> np.ndarray:
     """The full hashes of this bucket that the answers name by share and low bits."""
     _, h = b.blocks()
     seen = distinct(h)
-    share, low = _dealt(seen, shares), seen & np.uint64((1 << low_bits) - 1)
-    named = [np.zeros(0, np.uint64)]
-    own = dict(_groups(share))
-    for s, blob in zip(answers["share"], answers["blob"], strict=True):
-        mine = own[int(s)]
-        named.append(seen[mine[np.isin(low[mine], np.frombuffer(blob, f"<u{low_bits // 8}").astype(np.uint64))]])
-    return np.sort(np.concatenate(named))
+    low = [np.zeros(0, f"<u{low_bits // 8}"), *(np.frombuffer(x, f"<u{low_bits // 8}") for x in answers["blob"])]
+    share = np.repeat(np.array([0, *answers["share"]], np.int64), [len(x) for x in low])
+    own = _names(_dealt(seen, shares), seen & np.uint64((1 << low_bits) - 1), low_bits)
+    return seen[np.isin(own, _names(share, np.concatenate(low), low_bits))]
 
 
 def _bucket(pdf: pd.DataFrame, window: int) -> Bucket:
@@ -207,10 +213,14 @@ def _find_later(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     g = np.frombuffer(b"".join(pdf["hashes"]), "<u8")
     keys, starts = np.concatenate([*map(unpack_keys, pdf["keys"])]), np.concatenate([*map(unpack, pdf["starts"])])
     bucket = np.repeat(pdf["bucket"].to_numpy(np.int64), [len(x) // 8 for x in pdf["hashes"]])
-    order = np.lexsort((starts, bucket, keys, g))
+    order = np.argsort(g)
+    alike = np.concatenate([[False], g[order[1:]] == g[order[:-1]], [False]])
+    several = order[alike[1:] | alike[:-1]]  # most windows are in one bucket only
+    order = several[np.lexsort((starts[several], bucket[several], keys[several], g[several]))]
     g, bucket = g[order], bucket[order]
-    later = np.concatenate([[False], g[1:] == g[:-1]])
-    rows = [(k, g[later][p].tobytes()) for k, p in _groups(bucket[later])]
+    later = np.concatenate([[False], g[1:] == g[:-1]])[: len(g)]
+    g, bucket = g[later], bucket[later]
+    rows = [(k, g[p].tobytes()) for k, p in _groups(bucket)]
     return pd.DataFrame(rows, columns=["bucket", "blob"])
 
 
@@ -256,6 +266,29 @@ def _untouched(*args) -> Callable:
     return run
 
 
+def _copied(window: int, texts: bool) -> Callable:
+    """Rows whose whole text a smaller key has too: a text of at least one window loses all words, a shorter one none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = [utf8(t).split() for t in b["t"]]
+            gone = [len(w) >= window for w in words]
+            left = [hashlib.sha256(b"" if x else b" ".join(w)).hexdigest() for w, x in zip(words, gone, strict=True)]
+            kept = [None if not texts else "" if x else t for t, x in zip(b["t"], gone, strict=True)]
+            counts = {"n_words": [len(w) for w in words], "n_removed": [len(w) * x for w, x in zip(words, gone, strict=True)]}
+            yield b.drop(columns="t").assign(**counts, kept_sha256=left, kept=pd.Series(kept, b.index, dtype=object))
+
+    return run
+
+
+def _without_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of each text that have its smallest key, and the others; ``place`` is a row's in the scan."""
+    rows = rows.withColumn("d", F.unhex(F.sha2(F.coalesce("t", F.lit("")), 256))).withColumn("place", F.floor(F.monotonically_increasing_id() / EQUAL_ROWS))
+    again = cut(rows.groupBy("d").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").drop("last"))
+    marked = rows.join(F.broadcast(again) if again.count() <= SENT_ROWS else again, "d", "left")
+    return marked.filter("first is null or k = first").drop("d", "first"), marked.filter("k > first").drop("d", "first", "place")
+
+
 def _dealt_out(rows: DataFrame) -> tuple[int, DataFrame, int]:
     """Bytes of all rows, ``rows`` with a bucket each, and how many buckets there are."""
     rows = rows.withColumn("h", F.xxhash64("k", "t"))
@@ -265,7 +298,7 @@ def _dealt_out(rows: DataFrame) -> tuple[int, DataFrame, int]:
     buckets = max(8, -(-size // BUCKET_BYTES))
     many = alike.filter(F.col("n") > EQUAL_ROWS).select("h", F.lit(True).alias("many"))
     if not many.isEmpty():
-        placed = rows.withColumn("place", F.floor(F.monotonically_increasing_id() / EQUAL_ROWS))
+        placed = rows if "place" in rows.columns else rows.withColumn("place", F.floor(F.monotonically_increasing_id() / EQUAL_ROWS))
         rows = placed.join(many, "h", "left").withColumn("h", F.when(F.col("many"), F.xxhash64("h", "place")).otherwise(F.col("h")))
     return size, rows.withColumn("bucket", F.pmod("h", F.lit(buckets))).drop("h", "many", "place"), buckets
 
@@ -288,7 +321,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """
     spark = docs.sparkSession
     named = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
-    size, dealt, buckets = _dealt_out(named.filter("k is not null"))
+    firsts, copies = _without_copies(named.filter("k is not null"))
+    size, dealt, buckets = _dealt_out(firsts)
     shares = max(16, parts(spark), -(-size // SHARE_BYTES))  # what a task holds does not grow with the input
     by_bucket = dealt.repartition(min(buckets, 4 * shares), "bucket").groupBy("bucket")
     blocks = by_bucket.applyInPandas(_send_blocks(window, shares, low_bits), "share int, bucket long, kind int, blob binary")
@@ -300,5 +334,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     out = f"k long, n_words long, n_removed long, kept_sha256 string, kept string{kinds}"
     kept = by_bucket.cogroup(answers.groupBy("bucket")).applyInPandas(_keep(window, shares, low_bits, texts), out)
     lone = named.filter("k is null").mapInPandas(_untouched(window, shares, low_bits, texts), out)
-    whole = kept.unionByName(lone)
+    whole = kept.unionByName(lone).unionByName(copies.mapInPandas(_copied(window, texts), out))
     return whole.select(F.col("k").alias(key), "n_words", "n_removed", "kept_sha256", "kept", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
