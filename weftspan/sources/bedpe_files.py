@@ -3,8 +3,8 @@
     spark.dataSource.register(BedpeSource)
     spark.read.format("bedpe").option("chunk", 1 << 25).load("folder/of/files")
 
-Files are cut into ranges of bytes, one partition each, that begin and end at line ends; compressed ones are one range.
-The task that reads a range looks at the head of its file by itself, so the driver lists files and reads none. Lines are
+Files are cut into ranges of bytes that begin and end at line ends; compressed ones are one range. A partition is one range,
+or several where they are many: small files are read together, and small ranges of one file as one. The task that reads a range looks at the head of its file by itself, so the driver lists files and reads none. Lines are
 split and cast as Arrow columns. Paths are local or of a store that pyarrow opens (such as hdfs or s3); for stores that
 only Spark's own readers can open there is ``bedpe.read_contacts`` with one path.
 """
@@ -28,6 +28,12 @@ from weftspan.sources.bedpe import CORE, filter_contacts, sniff
 
 #: Bytes of a range, unless the option ``chunk`` says otherwise.
 CHUNK = 1 << 25
+#: Partitions that ranges are dealt to at least, if there are so many; more bytes than CHUNK are not put together.
+PARTITIONS = 1 << 6
+#: Bytes that opening a file counts for.
+OPENING = 1 << 12
+#: Files up to which what is known of each is sent to all executors.
+SENT_FILES = 1 << 19
 #: Endings of files that have to be read from their beginning.
 WHOLE = (".gz", ".bz2", ".zst", ".lz4")
 #: What a file may have of its own in the option ``own``, by its name or that of a folder that it is in.
@@ -68,6 +74,32 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads."""
+
+    ranges: list[Range]
+
+
+def together(found: Sequence[tuple[Range, int]], chunk: int) -> list[Ranges]:
+    """Ranges and their sizes as partitions; neighbours in one file become one range."""
+    cost = sum(size for _, size in found) + OPENING * len({r.path for r, _ in found})
+    most = min(max(cost // PARTITIONS, chunk), max(CHUNK, chunk))
+    out, held = [], 0
+    for r, size in found:
+        last = out[-1].ranges[-1] if out else None
+        follows = last is not None and last.path == r.path and last.end == r.start
+        held += size if follows else OPENING + size
+        if last is None or held > most:
+            out.append(Ranges([r]))
+            held = OPENING + size
+        elif follows:
+            last.end = r.end
+        else:
+            out[-1].ranges.append(r)
+    return out
+
+
 class _Lines:
     """Lines of a file from a place on, with the bytes they begin at."""
 
@@ -138,7 +170,7 @@ def columns(data: bytes, at: int, sep: str, comment: str, wanted: Sequence[tuple
     bare, begins = bare.filter(kept), begins.filter(kept)
     most = max((i for i, _ in wanted if i is not None), default=0)
     padded = pc.binary_join_element_wise(bare, pa.scalar(sep * most, pa.large_string()), pa.scalar("", pa.large_string()))  # so that every line has the last field
-    fields, out = pc.split_pattern(padded, sep), []
+    fields, out = pc.split_pattern(padded, sep, max_splits=most + 1), []
     for i, kind in wanted:
         if i is None:
             out.append(pa.nulls(len(bare), kind))
@@ -159,22 +191,31 @@ class BedpeReader(DataSourceReader):
         if unknown := {k for o in self.own.values() for k in o} - OWN:
             raise ValueError(f"unknown settings of a file: {sorted(unknown)}")
 
-    def partitions(self) -> Sequence[Range]:
+    def partitions(self) -> Sequence[Ranges]:
         chunk, found = int(self.options.get("chunk", CHUNK)), []
         for path in self.paths:
             for name, size in listed(path):
                 whole = name.endswith(WHOLE) or "nrows" in self.options
-                found += [Range(name, 0, -1)] if whole else [Range(name, a, min(a + chunk, size)) for a in range(0, size, chunk)]
-        return found or [Range("", 0, 0)]
+                found += [(Range(name, 0, -1), size)] if whole else [(Range(name, a, min(a + chunk, size)), min(chunk, size - a)) for a in range(0, size, chunk)]
+        return together(found, chunk) or [Ranges([])]
 
     def settings(self, path: str) -> dict:
         default = {"sep": self.options.get("sep", "\t"), "comment": self.options.get("comment", "#"), "skiprows": int(self.options.get("skiprows", -1)), "petcount_col": int(self.options.get("petcount_col", -1))}
         return default | next((self.own[part] for part in reversed(path.split("/")) if part in self.own), {})
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        own, names = self.settings(partition.path), to_arrow_schema(self.schema)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for r in partition.ranges:
+            yield from self.prefixes(r) if "prefixes" in self.options else self.rows(r, to_arrow_schema(self.schema))
+
+    def prefixes(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        """Of each block of lines, whether all names have the prefix; null if there are none."""
+        names = pa.schema([("chromosome_A", pa.string()), ("chromosome_B", pa.string()), ("place", pa.int64()), ("file", pa.string())])
+        for batch in self.rows(partition, names):
+            have = pc.and_kleene(*(pc.starts_with(batch[c], "chr") for c in ("chromosome_A", "chromosome_B")))
+            yield pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([pc.all(have).as_py()], pa.bool_())], schema=to_arrow_schema(self.schema))
+
+    def rows(self, partition: Range, names: pa.Schema) -> Iterator[pa.RecordBatch]:
+        own = self.settings(partition.path)
         begin, count = head(partition.path, **own)
         index = dict(zip(CORE, range(6), strict=True)) | {"petcount": count} | {name: i for i, name, _ in self.extra}
         fields = [f for f in names if f.name not in ("file", "place")]
@@ -218,7 +259,8 @@ class BedpeSource(DataSource):
 
     Options: ``files`` (a list, as JSON) or a path; ``sep``, ``comment``, ``skiprows`` and ``petcount_col`` for all
     files, ``own`` (JSON: settings by the name of a file or folder) for some; ``extra`` (JSON: [index, name, type]); ``nrows`` for
-    the first rows of each file; ``chunk`` for the bytes of a range.
+    the first rows of each file; ``chunk`` for the bytes of a range. With ``prefixes`` rows are (file, _have): whether all
+    names of a block of lines begin with chr.
     """
 
     @classmethod
@@ -226,6 +268,8 @@ class BedpeSource(DataSource):
         return "bedpe"
 
     def schema(self) -> str:
+        if "prefixes" in self.options:
+            return "file string, _have boolean"
         extra = json.loads(self.options.get("extra", "[]"))
         core = [f"{c} {k}" for c, k in zip(CORE, ("string", "long", "long") * 2, strict=True)]
         return ", ".join([*core, "petcount long", *(f"`{n}` {k}" for _, n, k in extra), "file string", "place long"])
@@ -248,12 +292,14 @@ def read_files(spark: SparkSession, paths: Sequence[str], *extra: tuple[int, str
         taken.add(i)
     spark.dataSource.register(BedpeSource)
     options = {"files": json.dumps(list(paths)), "extra": json.dumps(extra), "own": json.dumps(own or {}), "sep": sep, "comment": comment, "skiprows": skiprows, "petcount_col": petcount_col, "chunk": chunk}
-    rows = spark.read.format("bedpe").options(**options | ({} if nrows is None else {"nrows": nrows})).load()
+    options |= {} if nrows is None else {"nrows": nrows}
+    rows = spark.read.format("bedpe").options(**options).load()
     if fix_chromosome:
         named = ("chromosome_A", "chromosome_B")
         if prefixed is None:
-            every = F.bool_and(F.col("chromosome_A").startswith("chr") & F.col("chromosome_B").startswith("chr"))
-            rows = rows.join(rows.groupBy("file").agg(every.alias("_have")), "file")
+            have = spark.read.format("bedpe").options(**options, prefixes=True).load().groupBy("file").agg(F.bool_and("_have").alias("_have"))
+            few = sum(len(listed(p)) for p in paths) <= SENT_FILES
+            rows = rows.join(F.broadcast(have) if few else have, "file")
         else:
             rows = rows.withColumn("_have", F.lit(prefixed))
         rows = rows.withColumns({c: F.when(F.col("_have"), F.col(c)).otherwise(F.concat(F.lit("chr"), F.col(c))) for c in named}).drop("_have")
